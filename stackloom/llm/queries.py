@@ -6,10 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, packing, quality, simhash, toxicity
+from . import bpe, language, licenses, neighbours, packing, quality, secrets, simhash, surrogates, toxicity
 from .common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
+#: Of the registered query only; users pass a secret of their own.
+PII_KEY = "query"
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +21,11 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"), path_col="source")
+    return found.select("doc_id", "k", "start", "value", "score", "is_secret")
+
+
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(~held_out())
@@ -26,6 +33,11 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "worst_sentence", "worst_score")
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return surrogates.surrogate(docs, PII_KEY)
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
 
@@ -45,12 +57,16 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     ledger = quality.apply_policy(quality.measure(table(spark, sf_dir, "documents")))
     return ledger.select("doc_id", *quality.MEASURES, "failed_bits", quality.failed(quality.BASE).alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op3_toxicity, op5_packing, op6_simhash, op7_licenses, op8_language, op10_quality)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_toxicity, op4_pii, op5_packing, op6_simhash, op7_licenses, op8_language, op9_neighbours, op10_quality)}
 
 #: DuckDB SQL for the queries that it can express.
 ORACLE_SQL: dict[str, str] = {}
