@@ -126,18 +126,21 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
     return learn(got.sort_values(["h", "lang"], kind="stable"))
 
 
-def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, lang_pred string, score double)."""
-    check_names(id_col, ("lang_pred", "score"))
+def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """(id, lang_pred string, score double). With keep, all columns of df stand
+    in place of the id."""
+    kept = df.columns if keep else [id_col]
+    for c in kept:
+        check_names(c, ("lang_pred", "score"))
     shared = df.sparkSession.sparkContext.broadcast(model)  # landmarks of a bounded sample
-    rows = df.select(F.col(id_col), F.col(text_col).alias("__text"))
+    rows = df.select(*kept, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 part = batch.slice(i, 512)
-                names, scores = shared.value.predict(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(names, pa.string()), pa.array(scores)], [id_col, "lang_pred", "score"])
+                names, scores = shared.value.predict(part.column(len(kept)).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    schema = T.StructType([*df.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(run, schema)

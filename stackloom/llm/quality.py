@@ -121,19 +121,23 @@ def measure_text(text: str | None) -> tuple[int, ...]:
     return (n, sum(map(len, words)), len(text) - len(text.translate(_SYMBOLS)), dup, repeat, full, upper, marked, bare_words, letters, longest, bullets, ellipses)
 
 
-def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The ledger: (id, MEASURES long, failed_bits long)."""
-    check_names(id_col, (*MEASURES, "failed_bits"))
-    rows = df.select(F.col(id_col), F.col(text_col).alias("__text"))
+def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
+    """The ledger: (id, MEASURES long, failed_bits long). With keep, all columns
+    of df stand in place of the id, so that a policy can filter rows as they
+    come by, without a join."""
+    kept = df.columns if keep else [id_col]
+    for c in kept:
+        check_names(c, (*MEASURES, "failed_bits"))
+    rows = df.select(*kept, F.col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, batch.num_rows, 1000):
-                part = batch.slice(i, 1000)
-                got = list(zip(*map(measure_text, part.column(1).to_pylist()), strict=True))
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, pa.int64()) for c in got)], [id_col, *MEASURES])
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                got = list(zip(*map(measure_text, part.column(len(kept)).to_pylist()), strict=True))
+                yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *(pa.array(c, pa.int64()) for c in got)], [*kept, *MEASURES])
 
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in MEASURES)])
+    schema = T.StructType([*df.select(*kept).schema.fields, *(T.StructField(c, T.LongType()) for c in MEASURES)])
     bits = sum((F.when(F.expr(r.fails), F.lit(BITS[r.name])).otherwise(F.lit(0)).cast("long") for r in RULES), F.lit(0).cast("long"))
     return rows.mapInArrow(run, schema).withColumn("failed_bits", bits)
 

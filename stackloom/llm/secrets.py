@@ -132,10 +132,13 @@ def scan(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id",
 
 def redact(df: DataFrame, findings: DataFrame, mask: str = "[SECRET]", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """df with every value in findings that is_secret replaced in the text of
-    the rows with its id; all other rows and columns stay as they are."""
+    the rows with its id; all other rows and columns stay as they are. Only
+    rows with a candidate are joined."""
     values = findings.where("is_secret").groupBy(F.col(id_col).alias("__id")).agg(F.collect_set("value").alias("__values"))
-    rows = df.join(values, F.col(id_col) == F.col("__id"), "left")
+    some = F.coalesce(F.col(text_col).rlike(CANDIDATE), F.lit(False))
+    rows = df.where(some).join(values, F.col(id_col) == F.col("__id"), "left")
     between, found = F.split(text_col, CANDIDATE, -1), F.regexp_extract_all(text_col, F.lit(CANDIDATE), F.lit(0))
     shown = F.transform(found, lambda v: F.when(F.array_contains("__values", v), F.lit(mask)).otherwise(v))
     joined = F.array_join(F.zip_with(between, F.concat(shown, F.array(F.lit(""))), lambda a, b: F.concat(a, b)), "")
-    return rows.withColumn(text_col, F.when(F.col("__values").isNotNull(), joined).otherwise(F.col(text_col))).select(*df.columns)
+    changed = rows.withColumn(text_col, F.when(F.col("__values").isNotNull(), joined).otherwise(F.col(text_col))).select(*df.columns)
+    return df.where(~some).unionByName(changed)

@@ -237,3 +237,11 @@ def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = RADIUS, block
     heads = linked.groupBy("root").agg(F.min("__low").alias("component_id"))
     ids = materialize(linked.join(heads, "root").select("fp", "component_id"), "components")
     return docs.join(ids, "fp").select(id_col, "fp", "component_id")
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
+    """df with one row for each component, that of its smallest id. Rows
+    without an id can't be told apart and go."""
+    found = near_duplicates(df, id_col=id_col, text_col=text_col, **how)
+    heads = found.where(F.col(id_col) == F.col("component_id")).select(id_col)
+    return df.join(heads, id_col, "left_semi").dropDuplicates([id_col]).select(*df.columns)
