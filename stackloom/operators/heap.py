@@ -45,9 +45,12 @@ def heap_size(matched: DataFrame, kept: DataFrame | None = None) -> DataFrame:
     leak_match() gives. With kept, a filtered view of it, only its rows count,
     but the row that releases one of them counts even if it isn't kept."""
     kept = matched if kept is None else kept
-    own = kept.select("exp_id", "row_id", F.when(F.col("htype").isin(MALLOC, MMAP, REALLOC), F.col("hsize")).otherwise(0).alias("delta"), F.col("hleaked").alias("leak"), F.struct(F.col("row_id").alias("row"), F.lit(0).alias("seq")).alias("ord"), F.lit(0).alias("release"))
-    gone = kept.where("link_row > 0").select("exp_id", (F.col("link_row") - 1).alias("row_id"), (-F.col("hsize")).alias("delta"), F.lit(None).cast("bigint").alias("leak"), F.struct(F.col("row_id").alias("row"), F.lit(1).alias("seq")).alias("ord"), F.lit(1).alias("release"))
-    touched = own.unionByName(gone).groupBy("exp_id", "row_id").agg(
+    allocates = F.col("htype").isin(MALLOC, MMAP, REALLOC)
+    touch = lambda row, delta, leak, seq: F.struct(row.alias("row"), delta.cast("bigint").alias("delta"), leak.cast("bigint").alias("leak"), F.struct(F.col("row_id").alias("row"), F.lit(seq).alias("seq")).alias("ord"), F.lit(seq).alias("release"))
+    own = touch(F.col("row_id"), F.when(allocates, F.col("hsize")).otherwise(0), F.col("hleaked"), 0)
+    gone = F.when(F.col("link_row") > 0, touch(F.col("link_row") - 1, -F.col("hsize"), F.lit(None), 1))
+    touches = kept.select("exp_id", F.inline(F.filter(F.array(own, gone), lambda t: t.isNotNull()))).withColumnRenamed("row", "row_id")
+    touched = touches.groupBy("exp_id", "row_id").agg(
         F.sum("delta").alias("net_alloc"),
         # the leak of a row stands unless a release touches the row after its own touch
         F.when(F.max(F.when(F.col("release") == 1, F.col("ord"))) > F.max(F.when(F.col("release") == 0, F.col("ord"))), 0).otherwise(F.coalesce(F.max("leak"), F.lit(0))).cast("bigint").alias("leak"),

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from stackloom.tables import stored
+
 TOTAL = "<Total>"
 
 
@@ -111,7 +113,7 @@ def flame_levels(df: DataFrame, weight: str, order: str, total: object = TOTAL)
     """(idx, parent_idx, level, function, value): nodes of the path tree in
     breadth-first order, children in the order in which they were first seen.
     The root is 1 on level 0, its parent 0."""
-    tree = path_tree(df, weight, order)
+    tree = stored(path_tree(df, weight, order), "tree")  # summed up once, used several times
     # the order numbers of all nodes from the root down to this one
     up = tree.select("path", "level", F.explode(F.transform(F.sequence(F.lit(0), F.col("level")), lambda i: F.slice(F.col("path"), F.lit(1), i))).alias("__prefix"))
     seen = up.join(tree.select(F.col("path").alias("__prefix"), F.col("first").alias("__first"), F.col("level").alias("__at")), "__prefix")

@@ -77,15 +77,16 @@ def high_water(df: DataFrame, value: str, start: int, delta: int, bins: int, lan
     """(lane, bin, value) for all bins: the largest value in a bin, 0 at least
     (but not in bin 0 where a row before the range carries over into it); a bin
     without rows has the last value before it, 0 if there is none."""
-    prior = df.where(F.col("tstamp") < start).groupBy(*lane).agg(F.max_by(value, F.struct("tstamp", "row_id")).alias("v"))
-    prior = prior.select(*lane, F.lit(0).cast("bigint").alias("bin"), F.struct(F.lit(start - 1).cast("bigint").alias("t"), F.lit(-1).cast("bigint").alias("r")).alias("ord"), F.col("v").cast("bigint").alias("v"), F.lit(True).alias("prior"))
-    rows = in_range(df, start, delta, bins).select(*lane, _bin(F.col("tstamp"), start, delta).alias("bin"), F.struct(F.col("tstamp").alias("t"), F.col("row_id").cast("bigint").alias("r")).alias("ord"), F.col(value).cast("bigint").alias("v"), F.lit(False).alias("prior"))
-    per = prior.unionByName(rows).groupBy(*lane, "bin").agg(F.max("v").alias("top"), F.max_by("v", "ord").alias("last"), F.max("prior").alias("prior"))
-    per = per.withColumn("top", F.when(F.col("prior"), F.col("top")).otherwise(F.greatest("top", F.lit(0).cast("bigint"))))
-    grid = df.select(*lane).distinct().select("*", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
+    at = F.when(F.col("tstamp") < start, F.lit(-1)).when(F.col("tstamp") >= start + bins * delta, F.lit(bins)).otherwise(_bin(F.col("tstamp"), start, delta)).cast("bigint")
+    # bin -1 is what comes before the range; rows after it only say that the lane exists
+    per = df.groupBy(*lane, at.alias("bin")).agg(F.max(F.col(value).cast("bigint")).alias("top"), F.max_by(F.col(value).cast("bigint"), F.struct("tstamp", "row_id")).alias("last"))
+    grid = per.select(*lane).distinct().select("*", F.explode(F.sequence(F.lit(-1).cast("bigint"), F.lit(bins - 1).cast("bigint"))).alias("bin"))
     before = Window.partitionBy(*lane).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
-    filled = grid.join(per, [*lane, "bin"], "left").withColumn("carried", F.last("last", ignorenulls=True).over(before))
-    return filled.select(*lane, "bin", F.coalesce("top", "carried", F.lit(0).cast("bigint")).alias("value"))
+    filled = grid.join(per, [*lane, "bin"], "left").withColumn("carried", F.last("last", ignorenulls=True).over(before)).where("bin >= 0")
+    zero = F.lit(0).cast("bigint")
+    carries = (F.col("bin") == 0) & F.col("carried").isNotNull()
+    shown = F.when(carries, F.greatest("top", "carried")).when(F.col("top").isNotNull(), F.greatest("top", zero)).otherwise(F.coalesce("carried", zero))
+    return filled.select(*lane, "bin", shown.alias("value"))
 
 
 def representatives(df: DataFrame, start: int, delta: int, bins: int, reverse: bool = False, lane: Sequence[str] = ("exp_id",)) -> DataFrame:
