@@ -31,9 +31,9 @@ from pyspark.sql import types as T
 from .common import check_names
 
 #: Distinct chunks whose ids a task remembers; beyond it, it starts anew.
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 250_000
 #: Characters of text that are encoded at a time.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 4_000_000
 _SHIFT = 17
 _WALL, _GONE = -1, -2
 #: Control characters that str.split() takes for white space and the vocabulary's pattern does not.
@@ -76,6 +76,7 @@ class Vocabulary:
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
         names = {i: t for t, i in vocab.items()} | {i: t for t, i in added.items()}
         self.tokens = [names.get(i) for i in range(max(names) + 1)]
+        self.names = pa.array(self.tokens, pa.string())
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.pieces = regex.compile(split["pattern"]["Regex"]).findall
 
@@ -154,7 +155,7 @@ class Vocabulary:
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Texts of lists of ids: the tokens joined by a space, as the library
         does where the file names no decoder; ids it doesn't know are skipped."""
-        names = pa.array(self.tokens, pa.string())
+        names = self.names
         flat, offsets = ids.values, ids.offsets.to_numpy()
         ok = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(names))), False)
         flat = pc.if_else(ok, flat, pa.scalar(None, pa.int32()))
@@ -276,9 +277,10 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
-def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Token ids of every whole text: (id, ids array<int>)."""
-    check_names(id_col, ("ids",))
+def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """Token ids of every whole text: (id, ids array<int>). With decoded, also
+    the text that decode() makes of them, in the same pass."""
+    check_names(id_col, ("ids", "decoded"))
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocab_path))  # a file of fixed size
     rows = df.select(F.col(id_col), F.col(text_col).alias("__text"))
 
@@ -292,11 +294,18 @@ def encode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", text_col: str
                 for part in _parts(batch):
                     yield from zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True)
 
-        for keys, flat, counts in Encoder(vocabulary(shared.value)).blocks(pairs()):
+        vocab = vocabulary(shared.value)
+        for keys, flat, counts in Encoder(vocab).blocks(pairs()):
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(keys, at), pa.ListArray.from_arrays(offsets, pa.array(flat))], [id_col, "ids"])
+            whole = pa.RecordBatch.from_arrays([pa.array(keys, at), pa.ListArray.from_arrays(offsets, pa.array(flat))], [id_col, "ids"])
+            for part in _parts(whole, 200):
+                ids = pa.concat_arrays([part.column(1)])
+                text = [vocab.decode(ids)] if decoded else []
+                yield pa.RecordBatch.from_arrays([part.column(0), ids, *text], fields)
 
-    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+    fields = [id_col, "ids", "decoded"][: 2 + decoded]
+    kinds = [df.schema[id_col].dataType, T.ArrayType(T.IntegerType()), T.StringType()]
+    schema = T.StructType([T.StructField(c, k) for c, k in zip(fields, kinds, strict=False)])
     return rows.mapInArrow(run, schema)
 
 
@@ -315,7 +324,7 @@ def decode(df: DataFrame, vocab_path: str, id_col: str = "doc_id", ids_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(shared.value)
         for batch in batches:
-            for part in _parts(batch):
+            for part in _parts(batch, 200):
                 ids = pa.concat_arrays([part.column(1)])
                 yield pa.RecordBatch.from_arrays([part.column(0), ids, vocab.decode(ids).cast(pa.string())], [id_col, "ids", "decoded"])
 

@@ -16,7 +16,7 @@ PII_KEY = "query"
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(WORD_BPE)
-    got = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), path), path)
+    got = bpe.encode(table(spark, sf_dir, "documents"), path, decoded=True)
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return got.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
