@@ -118,8 +118,9 @@ def flame_levels(df: DataFrame, weight: str, order: str, total: object = TOTAL)
     up = tree.select("path", "level", F.explode(F.transform(F.sequence(F.lit(0), F.col("level")), lambda i: F.slice(F.col("path"), F.lit(1), i))).alias("__prefix"))
     seen = up.join(tree.select(F.col("path").alias("__prefix"), F.col("first").alias("__first"), F.col("level").alias("__at")), "__prefix")
     seen = seen.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__first"))), lambda s: s["__first"]).alias("__order"))
-    sizes = tree.groupBy("level").agg(F.count("*").alias("__n"))
-    before = sizes.alias("b").join(sizes.alias("a").select(F.col("level").alias("__l"), F.col("__n").alias("__m")), F.col("__l") < F.col("level"), "left").groupBy("level").agg(F.coalesce(F.sum("__m"), F.lit(0)).alias("__before"))
+    # one row for each level
+    above = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
+    before = tree.groupBy("level").agg(F.count("*").alias("__n")).select("level", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))
     in_level = Window.partitionBy("level").orderBy("__order", "path")
     nodes = tree.join(seen, "path").join(before, "level").withColumn("idx", (F.row_number().over(in_level) + F.col("__before")).cast("long"))
     parents = nodes.select(F.col("path").alias("__parent"), F.col("idx").alias("parent_idx"))

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUFFIX = ".er"
@@ -42,10 +42,9 @@ def read_groups(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def number_experiments(experiments: DataFrame) -> DataFrame:
-    """Adds exp_id: 1, 2, 3 ... by path. Lists of experiments, not events."""
-    from pyspark.sql import Window
-
-    return experiments.withColumn("exp_id", F.dense_rank().over(Window.orderBy("experiment")))
+    """Adds exp_id: 1, 2, 3 ... by path."""
+    numbers = experiments.select("experiment").distinct().withColumn("exp_id", F.row_number().over(Window.orderBy("experiment")))
+    return experiments.join(numbers, "experiment")
 
 
 def _unescape(c: Column) -> Column:
@@ -79,8 +78,6 @@ def log_events(elements: DataFrame) -> DataFrame:
 def schema_declarations(elements: DataFrame) -> DataFrame:
     """(experiment, profile, packet_kind, field, offset, type, ord): declared
     columns; a repeated declaration of a field is ignored."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("experiment").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     a = F.col("attributes")
     rows = elements.where("element IN ('profile', 'profpckt', 'field')")
@@ -92,8 +89,6 @@ def schema_declarations(elements: DataFrame) -> DataFrame:
 def state_names(elements: DataFrame) -> DataFrame:
     """(experiment, field, value, name, uname) from state elements, which stand
     inside the field that they belong to."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("experiment").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     a = F.col("attributes")
     rows = elements.where("element IN ('field', 'state')").withColumn("field", F.last(F.when(F.col("element") == "field", a["name"]), True).over(w))

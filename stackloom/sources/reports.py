@@ -21,8 +21,10 @@ def write_columns(result: DataFrame, columns: Sequence[str], path: str) -> None:
 
 
 def write_text(result: DataFrame, path: str, n: int = 0, delimiter: str = ",") -> None:
-    """The first n rows (0: all) as delimited text with a header, in order."""
-    limited(result, n).coalesce(1).write.mode("overwrite").option("sep", delimiter).csv(path, header=True)
+    """The first n rows, in order, as one delimited file with a header; for 0
+    all rows, as many files as the result has partitions."""
+    rows = limited(result, n)
+    (rows.coalesce(1) if n else rows).write.mode("overwrite").option("sep", delimiter).csv(path, header=True)
 
 
 def text_report(table: DataFrame, metric: str, n: int, key: str = "function") -> DataFrame:

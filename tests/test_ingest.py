@@ -4,7 +4,7 @@ import struct
 
 from pyspark.sql import functions as F
 
-from stackloom.sources import experiments, packets
+from stackloom.sources import experiments, packets, reports
 from stackloom.streaming.bins import streamed_bins
 
 FIELDS = {3: [("tstamp", 4, "INT64"), ("thrid", 12, "UINT32"), ("name", 16, "STRING")]}
@@ -107,6 +107,7 @@ def test_discovery_and_groups(spark, tmp_path):
     write(tmp_path, "profile", b"\0" * 8, run="b.er")
     rows = experiments.discover(spark, str(tmp_path)).orderBy("experiment").collect()
     assert [(r.experiment[-4:], r.status) for r in rows] == [("a.er", "ok"), ("b.er", "no log")]
+    assert [r.exp_id for r in experiments.number_experiments(experiments.discover(spark, str(tmp_path))).orderBy("experiment").collect()] == [1, 2]
     (tmp_path / "g").write_text("#analyzer experiment group\n# no\n\n a.er extra\nb.er\n")
     (tmp_path / "h").write_text("a.er\n")
     got = experiments.read_groups(spark, [str(tmp_path / "g"), str(tmp_path / "h")]).orderBy("ord").collect()
@@ -122,3 +123,12 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert sorted(map(tuple, spark.table("binned").collect())) == sorted(map(tuple, bins(events).collect()))
+
+
+def test_sinks(spark, tmp_path):
+    table = spark.createDataFrame([("b", 2), ("a", 3), ("<Total>", 5)], "function string, incl long")
+    reports.write_text(reports.text_report(table, "incl", 2), str(tmp_path / "text"), 2, "|")
+    lines = [line for p in (tmp_path / "text").glob("part-*") for line in p.read_text().splitlines()]
+    assert lines == ["function|incl", "<Total>|5", "a|3"]
+    reports.write_columns(table, ["incl"], str(tmp_path / "cols"))
+    assert spark.read.parquet(str(tmp_path / "cols")).columns == ["incl"]
