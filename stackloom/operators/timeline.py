@@ -128,14 +128,20 @@ def lookup(df: DataFrame, at: int, relation: str, lane: Sequence[str] = ("exp_id
     return df.where(cond).groupBy(*lane).agg(pick.alias("e")).select(*lane, "e.*")
 
 
-def nearest(df: DataFrame, at: int, lane: Sequence[str] = ("exp_id",)) -> DataFrame:
-    """(lane, row_id, tstamp): of the last event up to a time and the first
-    from it on, the closer one, by the part of its duration that is closest."""
+def nearest(df: DataFrame, at: int, lane: Sequence[str] = ("exp_id",), direction: int = 0) -> DataFrame:
+    """(lane, row_id, tstamp): of the last event before a time and the first
+    from it on the closer one; the later one counts from where it starts. A
+    direction below 0 takes the last event up to the time, if there is one,
+    then, like one above 0, the first from it on."""
     event, order = F.struct("row_id", "tstamp", F.coalesce("evt_time", F.lit(0)).alias("evt_time")), F.struct("tstamp", "row_id")
-    sides = df.groupBy(*lane).agg(F.max_by(F.when(F.col("tstamp") <= at, event), F.when(F.col("tstamp") <= at, order)).alias("l"), F.min_by(F.when(F.col("tstamp") >= at, event), F.when(F.col("tstamp") >= at, order)).alias("r"))
-    left, right = F.lit(at) - F.col("l.tstamp"), F.greatest(F.col("r.tstamp") - F.col("r.evt_time") - at, F.lit(0))
-    best = F.when(F.col("r").isNull() | (F.col("l").isNotNull() & (left <= right)), F.col("l")).otherwise(F.col("r"))
-    return sides.withColumn("e", best).select(*lane, "e.row_id", "e.tstamp")
+    last = lambda cond: F.max_by(F.when(cond, event), F.when(cond, order))
+    first = lambda cond: F.min_by(F.when(cond, event), F.when(cond, order))
+    t = F.col("tstamp")
+    sides = df.groupBy(*lane).agg(last(t < at).alias("l"), last(t <= at).alias("e"), first(t >= at).alias("r"))
+    nearer = F.lit(at) - F.col("l.tstamp") > F.col("r.tstamp") - F.col("r.evt_time") - at
+    generic = F.when(F.col("l").isNull() | nearer, F.col("r")).otherwise(F.col("l"))
+    best = F.coalesce(*([F.col("e")] if direction < 0 else []), *([F.col("r")] if direction else []), generic)
+    return sides.withColumn("best", best).select(*lane, "best.row_id", "best.tstamp")
 
 
 def step(df: DataFrame, n: int, lane: Sequence[str] = ("exp_id",)) -> DataFrame:

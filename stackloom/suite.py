@@ -561,8 +561,8 @@ def timeline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AT = START + 10 * DAY + 12345
 
 
-@register(f"""SELECT l.exp_id, CASE WHEN {_AT} - l.t <= greatest(r.t - r.d - {_AT}, 0) THEN l.id ELSE r.id END AS row_id, CASE WHEN {_AT} - l.t <= greatest(r.t - r.d - {_AT}, 0) THEN l.t ELSE r.t END AS tstamp
-FROM (SELECT exp_id, max(tstamp) AS t, arg_max(row_id, tstamp) AS id FROM clock WHERE tstamp <= {_AT} GROUP BY 1) l
+@register(f"""SELECT l.exp_id, CASE WHEN {_AT} - l.t <= r.t - r.d - {_AT} THEN l.id ELSE r.id END AS row_id, CASE WHEN {_AT} - l.t <= r.t - r.d - {_AT} THEN l.t ELSE r.t END AS tstamp
+FROM (SELECT exp_id, max(tstamp) AS t, arg_max(row_id, tstamp) AS id FROM clock WHERE tstamp < {_AT} GROUP BY 1) l
 JOIN (SELECT exp_id, min(tstamp) AS t, arg_min(row_id, tstamp) AS id, arg_min(evt_time, tstamp) AS d FROM clock WHERE tstamp >= {_AT} GROUP BY 1) r USING (exp_id)""", fx.CLOCK)
 def timeline_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.nearest(fx.clock_events(spark, sf_dir), _AT)

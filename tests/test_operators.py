@@ -279,3 +279,17 @@ def test_text(spark):
     df = frame(spark, [("(ILjava/lang/String;[[D)V", "Ljava/util/Map;", "12.5")], "d string, n string, t string")
     row = df.select(text.parameter_list("d"), text.dotted_name("n"), text.time_ns("t")).first()
     assert tuple(row) == ("(int, java.lang.String, double[][])", "java.util.Map", 12_000_000_005)
+
+
+def test_nearest(spark):
+    df = frame(spark, [(1, 0, 10, 0), (1, 1, 30, 5), (1, 2, 30, 5)], "exp_id int, row_id long, tstamp long, evt_time long")
+    at = lambda t, d=0: timeline.nearest(df, t, direction=d).first().row_id
+    assert [at(5), at(12), at(17), at(18), at(30), at(99)] == [0, 0, 0, 1, 1, 2]
+    assert [at(5, -1), at(30, -1), at(29, -1), at(12, 1), at(99, 1)] == [0, 2, 0, 1, 2]
+
+
+def test_steps_and_lookups(spark):
+    df = frame(spark, [(1, i, t, 4) for i, t in enumerate((10, 20, 30))], "exp_id int, row_id long, tstamp long, evt_time long")
+    assert {r.row_id: (r.to_row, r.center) for r in timeline.step(df, 1).collect()} == {0: (1, 18), 1: (2, 28), 2: (None, None)}
+    found = {rel: [r.row_id for r in timeline.lookup(df, 20, rel).collect()] for rel in ("<", "<=", "=", ">=", ">")}
+    assert found == {"<": [0], "<=": [1], "=": [1], ">=": [1], ">": [2]}
