@@ -30,17 +30,24 @@ def _bin(ts: Column, start: int, delta: int) -> Column:
     return F.call_function("div", ts - F.lit(start), F.lit(delta).cast("bigint"))
 
 
-def in_range(df: DataFrame, start: int, delta: int, bins: int) -> DataFrame:
-    return df.where((F.col("tstamp") >= start) & (F.col("tstamp") < start + bins * delta))
+def in_range(df: DataFrame, start: int, delta: int, bins: int, tail: bool = False, lane: Sequence[str] = ("exp_id",)) -> DataFrame:
+    """Events that end in the range. With tail, also the next one of each lane,
+    if it starts before the range ends (durations are shown)."""
+    end = start + bins * delta
+    inside = df.where((F.col("tstamp") >= start) & (F.col("tstamp") < end))
+    if not tail:
+        return inside
+    after = df.where(F.col("tstamp") >= end).groupBy(*lane).agg(F.min_by(F.struct(*df.columns), F.struct("tstamp", "row_id")).alias("e")).select("e.*")
+    return inside.unionByName(after.where(F.col("tstamp") - F.coalesce("evt_time", F.lit(0)) < end))
 
 
-def binned(df: DataFrame, start: int, delta: int, bins: int, value: Column | None = None, durations: bool = False, lane: Sequence[str] = (), dense: bool = False) -> DataFrame:
+def binned(df: DataFrame, start: int, delta: int, bins: int, value: Column | None = None, durations: bool = False, lane: Sequence[str] = (), dense: bool = False, tail: bool = False) -> DataFrame:
     """(lane, bin, value): events in a bin, or the sum of a value; an event
     stands in the bin that it ends in, with durations in the one it starts in
     (the first, if that lies before the range). dense fills empty bins of all
     lanes with 0."""
     at = F.greatest(F.col("tstamp") - F.coalesce("evt_time", F.lit(0)), F.lit(start)) if durations else F.col("tstamp")
-    rows = in_range(df, start, delta, bins).withColumn("bin", _bin(at, start, delta))
+    rows = in_range(df, start, delta, bins, tail, lane).withColumn("bin", F.least(_bin(at, start, delta), F.lit(bins - 1)))
     out = rows.groupBy(*lane, "bin").agg((F.count("*") if value is None else F.coalesce(F.sum(value), F.lit(0))).alias("value"))
     if not dense:
         return out
@@ -49,7 +56,7 @@ def binned(df: DataFrame, start: int, delta: int, bins: int, value: Column | Non
     return grid.join(out, [*lane, "bin"], "left").withColumn("value", F.coalesce("value", F.lit(0).cast("bigint")))
 
 
-def state_spread(df: DataFrame, start: int, delta: int, bins: int, state: str = "mstate", states: int = 12, weight: Column | None = None, widen: int = 0, lane: Sequence[str] = ()) -> DataFrame:
+def state_spread(df: DataFrame, start: int, delta: int, bins: int, state: str = "mstate", states: int = 12, weight: Column | None = None, widen: int = 0, lane: Sequence[str] = (), tail: bool = False) -> DataFrame:
     """(lane, bin, state, value): the weight of each event spread over the bins
     that it lasts for. Whole bins get weight / (duration / delta), the first
     and last what they cover of it, events that the range cuts a whole share
@@ -57,7 +64,7 @@ def state_spread(df: DataFrame, start: int, delta: int, bins: int, state: str =
     as the last. weight: given for clock states, else the duration, 1 if it is
     0; widen: one tick, for clock states shown with durations."""
     end = start + bins * delta
-    rows = in_range(df, start, delta, bins)
+    rows = in_range(df, start, delta, bins, tail, lane)
     dur = F.coalesce(F.col("evt_time"), F.lit(0)).cast("bigint")
     code = F.when(F.col(state).between(0, states - 1), F.col(state)).otherwise(states - 1).cast("int")
     w = weight if weight is not None else F.when(dur + widen != 0, dur + widen).otherwise(1)
@@ -89,12 +96,12 @@ def high_water(df: DataFrame, value: str, start: int, delta: int, bins: int, lan
     return filled.select(*lane, "bin", shown.alias("value"))
 
 
-def representatives(df: DataFrame, start: int, delta: int, bins: int, reverse: bool = False, lane: Sequence[str] = ("exp_id",)) -> DataFrame:
+def representatives(df: DataFrame, start: int, delta: int, bins: int, reverse: bool = False, lane: Sequence[str] = ("exp_id",), tail: bool = False) -> DataFrame:
     """(lane, bin, row_id, tstamp, evt_time): one event for each bin: the first
     of the bin that it ends in, or, in reverse, the latest of the bin that it
     starts in."""
     at = F.greatest(F.col("tstamp") - F.coalesce("evt_time", F.lit(0)), F.lit(start)) if reverse else F.col("tstamp")
-    rows = in_range(df, start, delta, bins).withColumn("bin", _bin(at, start, delta))
+    rows = in_range(df, start, delta, bins, tail, lane).withColumn("bin", F.least(_bin(at, start, delta), F.lit(bins - 1)))
     event, order = F.struct("row_id", "tstamp", F.coalesce("evt_time", F.lit(0)).alias("evt_time")), F.struct("tstamp", "row_id")
     picked = rows.groupBy(*lane, "bin").agg((F.max_by(event, order) if reverse else F.min_by(event, order)).alias("e"))
     return picked.select(*lane, "bin", "e.*")

@@ -293,3 +293,12 @@ def test_steps_and_lookups(spark):
     assert {r.row_id: (r.to_row, r.center) for r in timeline.step(df, 1).collect()} == {0: (1, 18), 1: (2, 28), 2: (None, None)}
     found = {rel: [r.row_id for r in timeline.lookup(df, 20, rel).collect()] for rel in ("<", "<=", "=", ">=", ">")}
     assert found == {"<": [0], "<=": [1], "=": [1], ">=": [1], ">": [2]}
+
+
+def test_an_event_that_ends_after_the_range(spark):
+    df = frame(spark, [(1, 0, 5, 1), (1, 1, 25, 8), (1, 2, 26, 9)], "exp_id int, row_id long, tstamp long, evt_time long")
+    bins = lambda **how: {r.bin: r.value for r in timeline.binned(df, 0, 10, 2, durations=True, lane=["exp_id"], **how).collect()}
+    assert bins() == {0: 1}
+    assert bins(tail=True) == {0: 1, 1: 1}
+    reps = timeline.representatives(df, 0, 10, 2, reverse=True, tail=True)
+    assert {r.bin: r.row_id for r in reps.collect()} == {0: 0, 1: 1}
