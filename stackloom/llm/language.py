@@ -33,7 +33,7 @@ UNDETERMINED = "und"
 BITS = 13
 MAX_N = 3
 #: Labelled rows of a language that a model is learned from at most.
-SAMPLE = 500
+SAMPLE = 300
 #: Landmarks of a language at most.
 LANDMARKS = 40
 MAX_LANGUAGES = 100
@@ -74,6 +74,11 @@ def presences(texts: list[str | None]) -> np.ndarray:
     return out
 
 
+def _unit_presences(texts: list[str]) -> np.ndarray:
+    x = presences(texts)
+    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
@@ -101,15 +106,15 @@ def learn(rows: pd.DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE)
     languages = tuple(sorted(set(rows["lang"])))
     if not languages:
         return Model((), np.zeros((1 << BITS, 0), np.float32), np.zeros((0, 0)))
-    x = presences(rows["text"].tolist())
-    x /= np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+    texts = rows["text"].tolist()
     y = (rows["lang"].to_numpy()[:, None] == np.array(languages, object)[None, :]).astype(float)
     chosen = np.concatenate([np.flatnonzero(y[:, k])[:landmarks] for k in range(len(languages))])
-    marks = x[chosen]
+    marks = np.concatenate([_unit_presences([texts[i] for i in chosen[at : at + 64]]) for at in range(0, len(chosen), 64)])
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     nystroem = vector[:, good] / np.sqrt(value[good])
-    z = (x @ marks.T).astype(np.float64) @ nystroem
+    # presences of a few texts at a time: only their kernels with the landmarks stay
+    z = np.concatenate([_unit_presences(texts[at : at + 64]) @ marks.T for at in range(0, len(texts), 64)]).astype(np.float64) @ nystroem
     weight = (1 / y.sum(0)) @ y.T  # every language counts alike
     a = z.T @ (z * weight[:, None])
     beta = np.linalg.solve(a + ridge * np.eye(len(a)) * len(languages) / len(a), z.T @ (y * weight[:, None]))
