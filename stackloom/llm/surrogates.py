@@ -16,6 +16,8 @@ other than the text pass through. Empty tables give empty results.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,7 +26,7 @@ from .common import check_names, materialize
 _START, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
 #: kind: pattern; of patterns that match at one place the first counts
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "iban": _START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
     "card": _START + r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}" + _END,
     "ssn": _START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
@@ -57,9 +59,14 @@ def _pick(values: list[str], n: Column) -> Column:
     return F.element_at(F.array(*map(F.lit, values)), n % len(values) + 1)
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value worked out once however often then uses it."""
+    return F.transform(F.array(value), then)[0]
+
+
 def _digits(digest: Column) -> Column:
-    """Decimal digits made of pairs of hex digits, nearly uniform."""
-    return F.concat_ws("", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: ((_nibble(digest, 2 * i) * 16 + _nibble(digest, 2 * i + 1)) % 10).cast("string")))
+    """128 decimal digits made of 120 hex digits, 15 at a time."""
+    return F.concat(*[F.right(F.lpad(F.conv(F.substring(digest, F.lit(1 + 15 * k), F.lit(15)), 16, 10), 19, "0"), F.lit(16)) for k in range(8)])
 
 
 def _luhn(number: Column) -> Column:
@@ -109,7 +116,11 @@ def draw(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     """The surrogate's canonical form at an attempt."""
     seed = F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"))
     digest = F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("\x1f1")), 256))
-    digits = _digits(digest)
+    drawn = F.struct(kind.alias("kind"), value.alias("value"), digest.alias("digest"), _digits(digest).alias("digits"), F.sha2(F.concat(seed, F.lit("\x1f2")), 256).alias("other"))
+    return _let(drawn, lambda s: _surrogate(s["kind"], s["value"], s["digest"], s["digits"], s["other"]))
+
+
+def _surrogate(kind: Column, value: Column, digest: Column, digits: Column, other: Column) -> Column:
     n = F.length(value)
     body = F.concat(F.substring(value, 1, 1), F.substring(digits, F.lit(1), n - 2))
     check = ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")
@@ -119,7 +130,7 @@ def draw(kind: Column, value: Column, key: str, attempt: Column) -> Column:
     phone = F.concat(F.left(value, F.greatest(n - 10, F.lit(0))), F.substring(digits, F.lit(1), F.least(n, F.lit(10))))
     local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     top = F.substring_index(host, ".", -1)
-    email = F.concat(_reshape(local, digest), F.lit("@"), _reshape(F.left(host, F.length(host) - F.length(top)), F.sha2(F.concat(seed, F.lit("\x1f2")), 256)), top)
+    email = F.concat(_reshape(local, digest), F.lit("@"), _reshape(F.left(host, F.length(host) - F.length(top)), other), top)
     female, cyrillic = value.rlike(_FEMALE), value.rlike(r"\p{IsCyrillic}")
     given = lambda g, s: _pick(_GIVEN[(g, s)], _nibble(digest, 0))
     surname = lambda s: F.initcap(F.concat(*[_pick(_SYLLABLES[s], _nibble(digest, i)) for i in range(1, 5)]))
@@ -160,7 +171,9 @@ def mentions(df: DataFrame, text_col: str = "text") -> DataFrame:
 def assign(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value): distinct surrogates
     for the values of a kind, none of them a value that occurs."""
-    entities = materialize(entities.select("kind", "value").distinct(), "entities")
+    parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # drawing is slow for its few bytes: the rows are dealt to all tasks
+    entities = materialize(entities.select("kind", "value").distinct().repartition(parts, "kind", "value"), "entities")
     real = entities.withColumnRenamed("value", "surrogate")
     left, done = entities, None
     for attempt in range(MAX_DRAWS):
