@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import language, packing, quality, secrets, simhash
+from stackloom.llm import language, packing, quality, secrets, shingles
 from stackloom.llm.common import materialize
 
 #: Least score with which a document's language counts as told.
@@ -29,8 +29,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return simhash.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates: five-word shingles, Jaccard
+    similarity 0.8 or more."""
+    return shingles.drop_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,0 +1,272 @@
+"""Near-duplicates by exact similarity of word shingles, with a prefix join.
+
+Two texts are linked where the Jaccard similarity of their sets of shingles is
+at least a threshold. All shingles stand in one order; of a set of n that has to
+share at least m with any partner, one of the first n - m + 1 is among the first
+ones of the partner too. So only those are sent to buckets, one for each
+shingle, and pairs of a bucket whose sizes and places allow the threshold are
+candidates: none that reaches it is missed. Shingles that a bounded sample finds
+often come last in the order, which spares the buckets of common lines. Sets
+that differ in k shingles have bitmaps of parities that differ in at most k
+bits, which rules out most candidates; each that is left is verified on whole texts; candidates that verified ones join already
+are left out.
+
+Texts without a word are alike, and like no other. Rows with a null id or the
+same id are told apart by their texts. Empty tables give empty results.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+from fractions import Fraction
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from .common import check_names, materialize
+from .components import connected_components
+from .simhash import _UPPER, _WORD, SEED, Forest
+
+SHINGLE, SIMILARITY = 5, 0.8
+#: texts of the sample, times that it has a common shingle, such shingles at most
+SAMPLE, COMMON, MAX_COMMON = 40_000, 3, 500_000
+#: sets of a bucket that stand in one shard at most, and texts of a block to verify
+SHARD, BLOCK = 2_000, 500
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """The distinct hashes of a text's shingles, ascending; shorter texts are one."""
+    words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_UPPER))
+    n = len(words)
+    line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
+    if n <= shingle:
+        return np.array([digest(line, SEED)], np.uint64)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
+    starts = [0, *ends[: n - shingle].tolist()]
+    return np.unique(np.array([digest(line[i:j], SEED) for i, j in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64))
+
+
+def parities(tokens: np.ndarray) -> bytes:
+    """A bitmap of at least as many bits as tokens; a bit tells whether an odd
+    number of tokens falls on it. The halves of a bitmap fold to the smaller one."""
+    size = max(64, 1 << (len(tokens) - 1).bit_length())
+    count = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size)
+    return np.packbits((count & 1).astype(bool), bitorder="little").tobytes()
+
+
+def least_difference(a: bytes, b: bytes) -> int:
+    """In how many tokens the sets of two bitmaps differ at least."""
+    x, y = (a, b) if len(a) <= len(b) else (b, a)
+    y_ = int.from_bytes(y, "little")
+    bits = 8 * len(y)
+    while bits > 8 * len(x):
+        bits //= 2
+        y_ = (y_ >> bits) ^ (y_ & ((1 << bits) - 1))
+    return (int.from_bytes(x, "little") ^ y_).bit_count()
+
+
+def _key(text_col: str):
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def common_shingles(texts: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) -> np.ndarray:
+    """Hashes of shingles that several texts of a bounded sample have, ascending."""
+    n = texts.count()
+    some = texts if n <= sample else texts.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample / n)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                got = [shingle_set(t, shingle) for t in batch.slice(i, 500).column(0).to_pylist()]
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["token"])
+
+    counts = some.select("text").limit(2 * sample).mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= COMMON)
+    rows = counts.orderBy(F.desc("count"), "token").limit(MAX_COMMON).toPandas()
+    return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
+
+
+def prefixes(texts: DataFrame, common: np.ndarray, shingle: int, least: Fraction) -> DataFrame:
+    """(key, n int, prefix array<long>, bits binary) for texts (key, text): the
+    size of the set, those of its shingles of which a partner has one among its
+    own, and its bitmap."""
+    shared = texts.sparkSession.sparkContext.broadcast(common)
+
+    def one(text: str | None) -> tuple[int, list[int], bytes]:
+        tokens, often = shingle_set(text, shingle), shared.value
+        n = len(tokens)
+        last = often[np.minimum(np.searchsorted(often, tokens), len(often) - 1)] == tokens if len(often) else np.zeros(n, bool)
+        first = np.concatenate([tokens[~last], tokens[last]])[: n - -(-least.numerator * n // least.denominator) + 1]
+        return n, first.view(np.int64).tolist(), parities(tokens)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                got = [one(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int32()), pa.array([g[1] for g in got], pa.list_(pa.int64())), pa.array([g[2] for g in got], pa.binary())], ["key", "n", "prefix", "bits"])
+
+    return texts.select("key", "text").mapInArrow(run, "key string, n int, prefix array<long>, bits binary")
+
+
+def candidates(sets: DataFrame, least: Fraction, shard: int = SHARD) -> DataFrame:
+    """Distinct pairs (a, b) of nodes of sets (node, n, prefix), a < b: all that
+    reach the threshold, and some that don't."""
+    p, q = least.numerator, least.denominator
+    rows = sets.select("node", "n", F.posexplode("prefix").alias("place", "token"))
+    rows = rows.withColumn("size", F.count("*").over(Window.partitionBy("token"))).where("size > 1")
+    rows = rows.withColumn("shards", F.ceil(F.col("size") / shard).cast("int")).withColumn("own", F.pmod(F.xxhash64("node"), F.col("shards")).cast("int"))
+    # each set stands in one shard, and is compared with all of its bucket's
+    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).withColumn("inside", F.col("own") == F.col("tree"))
+    parts = max(1, int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = rows.select("token", "tree", "node", "n", "place", "inside").repartition(parts, "token", "tree").sortWithinPartitions("token", "tree", "node")
+
+    def pairs(table: pa.Table, at: list[int]) -> Iterator[np.ndarray]:
+        node, n, place, inside = (table.column(c).to_numpy() for c in ("node", "n", "place", "inside"))
+        n, place = n.astype(np.int64), place.astype(np.int64)
+        for i, j in zip(at, at[1:], strict=False):
+            y = np.flatnonzero(inside[i:j]) + i
+            for x in range(i, j, 1000):
+                x = np.arange(x, min(x + 1000, j))[:, None]
+                both = n[x] + n[y]
+                # all that the two can still share after their first common shingle
+                rest = 1 + np.minimum(n[x] - place[x], n[y] - place[y]) - 1
+                ok = (node[x] < node[y]) & (np.minimum(n[x], n[y]) * q >= p * np.maximum(n[x], n[y])) & (rest * (p + q) >= p * both)
+                r, c = np.nonzero(ok)
+                if len(r):
+                    yield np.stack([node[x[r, 0]], node[y[c]]])
+
+    def batch_of(table: pa.Table, at: list[int]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for got in pairs(table, at):
+            held.append(got)
+            size += got.shape[1]
+            if size > 200_000:
+                yield from unique(held)
+                held, size = [], 0
+        if held:
+            yield from unique(held)
+
+    def unique(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        got = np.unique(np.concatenate(held, axis=1), axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+            key = np.stack([table.column(c).to_numpy() for c in ("token", "tree")])
+            change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+            cut = int(change[-1]) if len(change) else 0
+            rest = table.slice(cut)
+            if cut:
+                yield from batch_of(table.slice(0, cut), [0, *change[:-1].tolist(), cut])
+        if rest is not None and rest.num_rows:
+            yield from batch_of(rest, [0, rest.num_rows])
+
+    return rows.mapInArrow(run, "a long, b long").distinct()
+
+
+def possible(pairs: DataFrame, sets: DataFrame, least: Fraction) -> DataFrame:
+    """The pairs whose bitmaps allow the threshold."""
+    p, q = least.numerator, least.denominator
+    side = sets.select("node", "n", "bits")
+    both = pairs.join(side.toDF("a", "n_a", "bits_a"), "a").join(side.toDF("b", "n_b", "bits_b"), "b").select("a", "b", "n_a", "n_b", "bits_a", "bits_b")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = (batch.column(2).to_numpy().astype(np.int64) + batch.column(3).to_numpy()) * (q - p)
+            apart = map(least_difference, batch.column(4).to_pylist(), batch.column(5).to_pylist())
+            ok = np.fromiter(apart, np.int64, batch.num_rows) * (p + q) <= n
+            yield batch.select(["a", "b"]).filter(pa.array(ok))
+
+    return both.mapInArrow(run, "a long, b long")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, shingle: int, least: Fraction, block: int = BLOCK) -> DataFrame:
+    """Of the pairs (a, b) of nodes of texts (node, text) those that reach the
+    threshold, without some that others join."""
+    p, q = least.numerator, least.denominator
+    groups = connected_components(pairs)
+    heads = groups.select("component").distinct().select(F.col("component").alias("node"), "component")
+    groups = groups.unionByName(heads)
+    size = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    groups = materialize(groups.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")), "groups")
+    # a text goes to each pair of blocks that its own is in: just one where the group is small
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sent = texts.join(groups, "node").withColumn("__o", other).select("component", F.least("block", "__o").alias("low"), F.greatest("block", "__o").alias("high"), "node", "text")
+    side = groups.select("component", "block", "node")
+    asked = pairs.join(side.toDF("component", "block_a", "a"), "a").join(side.select(F.col("node").alias("b"), F.col("block").alias("block_b")), "b")
+    asked = asked.select("component", F.least("block_a", "block_b").alias("low"), F.greatest("block_a", "block_b").alias("high"), "a", "b")
+
+    def check(ask: pd.DataFrame, text: pd.DataFrame) -> pd.DataFrame:
+        if not len(ask):
+            return pd.DataFrame({"a": [], "b": []})
+        at = {v: i for i, v in enumerate(text["node"].tolist())}
+        sets: dict[int, np.ndarray] = {}
+        forest, out = Forest(len(at)), []
+        column = text["text"].tolist()
+        for a, b in ask.sort_values(["a", "b"])[["a", "b"]].itertuples(index=False):
+            i, j = at[a], at[b]
+            if forest.find(i) == forest.find(j):
+                continue
+            for k in (i, j):
+                if k not in sets:
+                    sets[k] = shingle_set(column[k], shingle)
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * (p + q) >= p * (len(sets[i]) + len(sets[j])):
+                forest.join(i, j)
+                out.append((a, b))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    keys = ["component", "low", "high"]
+    return asked.groupBy(*keys).cogroup(sent.groupBy(*keys)).applyInPandas(check, "a long, b long")
+
+
+def components(df: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, text_col: str = "text", shard: int = SHARD, block: int = BLOCK) -> DataFrame:
+    """(key, component), both md5 of a text in hex, for each text of df that is
+    linked with a different one."""
+    least = Fraction(str(similarity))
+    if not 0 < least <= 1:
+        raise ValueError("need 0 < similarity <= 1")
+    texts = df.select(_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sets = prefixes(texts, common_shingles(texts, shingle), shingle, least)
+    sets = sets.dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id())
+    sets = materialize(sets, "sets")
+    pairs = materialize(possible(candidates(sets, least, shard), sets, least), "pairs")
+    asked = pairs.select("a").union(pairs.select("b")).distinct().toDF("node")
+    wanted = sets.select("node", "key").join(asked, "node")
+    some = materialize(texts.join(wanted, "key").dropDuplicates(["node"]).select("node", "text"), "texts")
+    found = connected_components(verified(pairs, some, shingle, least, block))
+    names = sets.select("node", "key")
+    heads = names.select(F.col("node").alias("component"), F.col("key").alias("head"))
+    of = found.join(names, "node").join(heads, "component").select("key", F.col("head").alias("component"))
+    return of.union(of.select("component", "component").distinct())
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
+    """df with one row for each component of its texts: that of its smallest id,
+    null last, then of the smallest md5 of its text."""
+    check_names(id_col, ("__key", "__n"))
+    linked = components(df, text_col=text_col, **how).select(F.col("key").alias("__key"), "component")
+    rows = df.select(F.col(id_col).alias("__id"), _key(text_col).alias("__key")).groupBy("__id", "__key").agg(F.count("*").alias("__n"))
+    rows = materialize(rows.join(linked, "__key", "left").withColumn("component", F.coalesce("component", "__key")), "rows")
+    best = Window.partitionBy("component").orderBy(F.col("__id").asc_nulls_last(), "__key")
+    marked = rows.withColumn("__k", F.row_number().over(best)).where("__k > 1 OR __n > 1")
+    marked = materialize(marked.select("__id", "__key", (F.col("__k") > 1).alias("__drop")), "marked")
+    keyed = df.withColumn("__key", _key(text_col))
+    same = lambda m: (keyed["__key"] == m["__key"]) & keyed[id_col].eqNullSafe(m["__id"])
+    kept = keyed.join(marked, same(marked), "left_anti").select(*df.columns)
+    again = marked.where("NOT __drop")
+    if again.isEmpty():
+        return kept
+    # of rows with the same id and text one stays
+    order = Window.partitionBy(id_col, "__key").orderBy(*[F.col(c).cast("string") for c in df.columns])
+    once = keyed.join(again, same(again), "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return kept.unionByName(once.select(*df.columns))

@@ -1,0 +1,81 @@
+"""Near-duplicates by similarity of shingles against brute force."""
+
+import random
+
+import numpy as np
+
+from stackloom.llm import shingles
+
+
+def grams(text):
+    words = (text or "").split()
+    return {tuple(words[i : i + 5]) for i in range(max(len(words) - 4, 1))}
+
+
+def brute_heads(rows, least=0.8):
+    rows = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
+    sets = [grams(t) for _, t in rows]
+    up = list(range(len(rows)))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 9 * len(sets[i] & sets[j]) >= 4 * (len(sets[i]) + len(sets[j])):
+                a, b = find(i), find(j)
+                up[max(a, b)] = min(a, b)
+    return [rows[i] for i in range(len(rows)) if up[i] == i]
+
+
+def near_copies(seed=1):
+    rng = random.Random(seed)
+    texts = []
+    for _ in range(25):
+        base = [rng.choice("alpha beta gamma delta eps zeta".split()) + str(rng.randrange(60)) for _ in range(rng.randrange(20, 300))]
+        for _ in range(rng.randrange(1, 8)):
+            words = list(base)
+            for _ in range(rng.randrange(0, max(2, len(words) // 30))):
+                words[rng.randrange(len(words))] = f"changed{rng.random()}"
+            texts.append(" ".join(words))
+    shared = " ".join(f"boiler{k}" for k in range(40))
+    return texts + [shared + " " + " ".join(f"own{i}x{k}" for k in range(45)) for i in range(30)]
+
+
+def test_near_copies_equal_brute_force(spark):
+    rows = list(enumerate(near_copies()))
+    want = brute_heads(rows)
+    assert 25 < len(want) < len(rows) - 20
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for how in ({}, {"shard": 3, "block": 2}):
+        got = shingles.drop_near_duplicates(df, **how).collect()
+        assert sorted(tuple(r) for r in got) == want
+    assert shingles.drop_near_duplicates(df.limit(0)).count() == 0
+
+
+def test_bitmaps_rule_out_no_pair():
+    rng = random.Random(2)
+    for n in (1, 64, 65, 200, 1000):
+        a = {rng.getrandbits(64) for _ in range(n)}
+        for k in (0, 1, n // 4, n):
+            b = set(list(a)[k:]) | {rng.getrandbits(64) for _ in range(k + n // 5 + 1)}
+            bits = [shingles.parities(np.array(sorted(x), np.uint64)) for x in (a, b)]
+            assert shingles.least_difference(*bits) == shingles.least_difference(*bits[::-1]) <= len(a ^ b)
+
+
+def test_pipeline_stage_drops_near_copies(spark):
+    import corpus_pipeline
+
+    base = [f"word{i}" for i in range(200)]
+    copy = base[:100] + ["other"] + base[101:]
+    rows = [(1, " ".join(base)), (2, " ".join(copy)), (3, " ".join(f"else{i}" for i in range(200)))]
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()
+    assert {r.doc_id for r in got} == {1, 3}
+
+
+def test_null_and_repeated_ids_lose_no_text(spark):
+    rows = [(None, "one text of five words"), (None, "quite another text of words"), (7, "a third text stands here"), (7, "and a fourth one here"), (7, "a third text stands here"), (8, None), (9, "")]
+    got = shingles.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text or "" for r in got) == sorted({t or "" for _, t in rows})
