@@ -9,8 +9,9 @@ list of neighbours, and the lists of all shards are united to one flat graph.
 Each vector is looked up by greedy search from the shards' medoids (and from
 itself), which then expands over all neighbours in range. Every link is
 verified in double precision, so none is false; how many are found is audited
-against brute force on a bounded set of queries, and if too few are, all is
-done again with wider overlap and beams.
+against brute force on a bounded set of queries of each label, and if too few
+are, all is done again with wider overlap and beams. Labels that still miss too
+many are then compared whole, block by block.
 
 Vectors that are null, zero, empty, or hold null or non-finite components, and
 those without a label, link with nothing. Vectors of different length don't
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -38,7 +39,8 @@ CELL = 2_000
 MAX_PIVOTS = 65_536
 #: Vectors of a shard, neighbours of a node, candidates for them, slack of pruning, width of the beam.
 SHARD, DEGREE, CANDIDATES, ALPHA, BEAM = 256, 16, 128, 1.2, 16
-AUDIT_QUERIES = 200
+#: queries of the audit for each label, and for all of them
+LABEL_QUERIES, AUDIT_QUERIES = 50, 2_000
 TARGET_RECALL = 0.95
 
 
@@ -258,12 +260,39 @@ def _links(classes: DataFrame, threshold: float, cell: int, overlap: int, beam:
     return rows.select(keep).groupBy("label", "dim", "cell", "part").applyInPandas(find, "a long, b long, n long")
 
 
-def audit_recall(classes: DataFrame, counts: DataFrame, threshold: float, queries: int = AUDIT_QUERIES) -> float:
-    """Share of the links of a bounded set of vectors that counts (a, n) has,
-    against brute force over all classes; 1 where there is none to find."""
-    asked = classes.orderBy(F.xxhash64("id", F.lit(11)), "id").limit(queries).select("id", "label", "dim", "vector").toPandas()
+def _exact_links(classes: DataFrame, threshold: float, cell: int) -> DataFrame:
+    """As _links, with all links counted: each pair of blocks of a label is compared."""
+    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("blocks"))
+    rows = classes.join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("label", "dim", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "vector")
+
+    def find(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("id", kind="stable")
+        ids, count, own = group["id"].to_numpy(), group["n"].to_numpy(), group["own"].to_numpy()
+        x, within = _unit(group["vector"]), group["low"].iloc[0] == group["high"].iloc[0]
+        forest, tree, total = Forest(len(x)), [], np.zeros(len(x), np.int64)
+        for at in range(0, len(x), 512):
+            near = x[at : at + 512] @ x.T >= threshold
+            near &= (np.arange(at, at + len(near))[:, None] != np.arange(len(x))) & (within | (own[at : at + 512, None] != own))
+            total[at : at + 512] = near @ count
+            a, b = np.nonzero(near)
+            tree += [(i, j) for i, j in zip((a + at).tolist(), b.tolist(), strict=True) if i < j and forest.join(i, j)]
+        some = np.flatnonzero(total)
+        i, j = (np.array([t[k] for t in tree], np.int64) for k in (0, 1))
+        return pd.DataFrame({"a": np.concatenate([ids[some], ids[i]]), "b": pd.array([*[None] * len(some), *ids[j].tolist()], "Int64"), "n": np.concatenate([total[some], np.zeros(len(i), np.int64)])})
+
+    return rows.groupBy("label", "dim", "low", "high").applyInPandas(find, "a long, b long, n long")
+
+
+def audit(classes: DataFrame, counts: DataFrame, threshold: float, queries: int = AUDIT_QUERIES, each: int = LABEL_QUERIES) -> list[tuple]:
+    """(label, dim, links, links that counts (a, n) has) of a bounded set of
+    vectors of each label, against brute force over the label's classes."""
+    order = Window.partitionBy("label", "dim").orderBy(F.xxhash64("id", F.lit(11)), "id")
+    asked = classes.select("id", "label", "dim", F.row_number().over(order).alias("k")).where(F.col("k") <= each).orderBy("k", F.xxhash64("id", F.lit(11)), "id").limit(queries)
+    asked = classes.join(F.broadcast(asked.select("id")), "id", "left_semi").select("id", "label", "dim", "vector").toPandas()
     if not len(asked):
-        return 1.0
+        return []
     shared = classes.sparkSession.sparkContext.broadcast([(k, g["id"].to_numpy(), _unit(g["vector"])) for k, g in asked.groupby(["label", "dim"])])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -275,8 +304,12 @@ def audit_recall(classes: DataFrame, counts: DataFrame, threshold: float, querie
                     yield pd.DataFrame({"a": ids, "n": near @ g["n"].to_numpy()})
 
     true = classes.mapInPandas(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("true"))
-    both = true.join(counts, "a", "left").agg(F.sum("true"), F.sum(F.least("true", F.coalesce("n", F.lit(0))))).first()
-    return both[1] / both[0] if both[0] else 1.0
+    both = {r.a: r for r in true.join(counts, "a", "left").select("a", "true", F.least("true", F.coalesce("n", F.lit(0))).alias("got")).collect()}
+    out = []
+    for (label, dim), g in asked.groupby(["label", "dim"]):
+        of = [both[i] for i in g["id"].tolist() if i in both]
+        out.append((g["label"].tolist()[0], int(dim), sum(r.true for r in of), sum(r.got for r in of)))
+    return out
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell: int = CELL, target_recall: float = TARGET_RECALL) -> DataFrame:
@@ -288,8 +321,15 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     for overlap, beam in ((2, BEAM), (4, 4 * BEAM), (8, 16 * BEAM)):
         found = materialize(_links(classes, threshold, cell, overlap, beam), "found")
         counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
-        if audit_recall(classes, counts, threshold) >= target_recall:
+        poor = [r[:2] for r in audit(classes, counts, threshold) if r[3] < target_recall * r[2]]
+        if not poor:
             break
+    else:
+        bad = df.sparkSession.createDataFrame(poor, T.StructType([classes.schema["label"], classes.schema["dim"]]))
+        whole = materialize(classes.join(F.broadcast(bad), ["label", "dim"], "left_semi"), "poor")
+        rest = found.join(whole.select(F.col("id").alias("a")), "a", "left_anti")
+        found = materialize(rest.unionByName(_exact_links(whole, threshold, cell)), "found")
+        counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "a")
     of_class = classes.select(F.col("id").alias("a"), "label", "dim", "vector", F.col("n").alias("same")).join(counts, "a", "left").join(roots, "a", "left")
     of_class = of_class.select("label", "dim", "vector", (F.col("same") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "a").alias("component_id"))
