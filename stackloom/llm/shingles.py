@@ -32,8 +32,8 @@ from .components import connected_components
 from .simhash import _UPPER, _WORD, SEED, Forest
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: texts of the sample, times that it has a common shingle, such shingles at most
-SAMPLE, COMMON, MAX_COMMON = 40_000, 3, 500_000
+#: texts of the sample (about), times that it has a common shingle, such shingles at most
+SAMPLE, COMMON, MAX_COMMON = 10_000, 3, 500_000
 #: sets of a bucket that stand in one shard at most, and texts of a block to verify
 SHARD, BLOCK = 2_000, 500
 
@@ -77,7 +77,7 @@ def _key(text_col: str):
 def common_shingles(texts: DataFrame, shingle: int = SHINGLE, sample: int = SAMPLE) -> np.ndarray:
     """Hashes of shingles that several texts of a bounded sample have, ascending."""
     n = texts.count()
-    some = texts if n <= sample else texts.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int((1 << 30) * sample / n)))
+    some = texts if n <= sample else texts.sample(sample / n, seed=7)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -86,7 +86,7 @@ def common_shingles(texts: DataFrame, shingle: int = SHINGLE, sample: int = SAMP
                 if got:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64))], ["token"])
 
-    counts = some.select("text").limit(2 * sample).mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= COMMON)
+    counts = some.select("text").mapInArrow(run, "token long").groupBy("token").count().where(F.col("count") >= COMMON)
     rows = counts.orderBy(F.desc("count"), "token").limit(MAX_COMMON).toPandas()
     return np.sort(rows["token"].to_numpy(np.int64).view(np.uint64))
 
