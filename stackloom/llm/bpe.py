@@ -36,6 +36,8 @@ CACHE_CHUNKS = 250_000
 BLOCK_CHARS = 4_000_000
 _SHIFT = 17
 _WALL, _GONE = -1, -2
+#: stands before a chunk that is a special token; a space, which parts all other chunks
+_MARK = " "
 #: Control characters that str.split() takes for white space and the vocabulary's pattern does not.
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"[\t-\r \x85\p{Zs}\p{Zl}\p{Zp}]+")
@@ -200,8 +202,9 @@ class Encoder:
         special = self.vocab.special
         if special and "<|" in text and any(s in text for s in special):
             out: list[str] = []
-            for part in self.vocab.special_at.split(text):
-                out += [part] if part in special else self._plain(part)
+            for k, part in enumerate(self.vocab.special_at.split(text)):
+                # the odd parts are special tokens, spelled as the file spells them; no plain chunk has the mark
+                out += [_MARK + part] if k % 2 else self._plain(part)
             return out
         return self._plain(text)
 
@@ -238,16 +241,16 @@ class Encoder:
             elif c[-1] in ".," and c[:-1].isalpha():
                 cut.append((c[:-1], c[-1]))
             else:
-                cut.append([c] if c in special else pieces(c))
+                cut.append([c] if c[0] == _MARK else pieces(c))
         number = _Numbers()
         order = np.array([number[p] for ps in cut for p in ps], np.int64)
-        plain = [p for p in number if p not in special]
+        plain = [p for p in number if p[0] != _MARK]
         flat, sizes = self.vocab.index_encode(plain)
         if len(plain) < len(number):
             for i, p in enumerate(number):
-                if p in special:
+                if p[0] == _MARK:
                     at = int(sizes[:i].sum())
-                    flat, sizes = np.insert(flat, at, special[p]), np.insert(sizes, i, 1)
+                    flat, sizes = np.insert(flat, at, special[p[1:]]), np.insert(sizes, i, 1)
         starts = np.cumsum(sizes) - sizes
         each = sizes[order]
         ends = np.cumsum(each)

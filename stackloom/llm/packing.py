@@ -140,12 +140,13 @@ def pack(pieces: DataFrame, max_tokens: int = 2048, shard_pieces: int = SHARD_PI
     check_names(id_col, ("sequence_id", "offset"))
     rows = materialize(pieces.drop("sequence_id", "offset"), "pieces")  # counted and packed, tokenized once
     shards = max(1, -(-rows.count() // shard_pieces))
-    key = F.pmod(F.xxhash64(id_col, "piece", "length"), F.lit(shards))
+    # the written table is read in the same splits by every try of a task, so a row's number stays
+    key = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))
     schema = T.StructType([*rows.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     names = rows.columns
 
     def fill(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["length", id_col, "piece"], ascending=[False, True, True], kind="stable")
+        group = group.sort_values(["length", id_col, "piece"], ascending=[False, True, True], kind="stable", na_position="last")
         bins, offsets = pack_lengths(group["length"].to_numpy(np.int64), max_tokens)
         return group[names].assign(sequence_id=(int(group["__shard"].iloc[0]) << 32) + bins, offset=offsets)
 
