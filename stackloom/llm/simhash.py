@@ -1,32 +1,47 @@
 """SimHash near-duplicates, found in BK-trees.
 
 A text's fingerprint has a bit set where more than half of its shingles' hashes
-have it. Texts with equal fingerprints are one class from the start; only
-distinct fingerprints are compared. Two that differ in at most ``radius`` bits
-agree on at least ``blocks - radius`` of ``blocks`` blocks of bits, so each is
-sent to one bucket for every choice of that many blocks. The fingerprints of a
-bucket are dealt to shards of bounded size; each shard is a BK-tree, whose
-children hang on the integer Hamming distance to their parent, and every
-fingerprint of the bucket is looked up in each of the bucket's shard trees
-along the edges that the radius allows. Of the links found, a task passes on a
-spanning forest, which has the same components.
+have it. Fingerprints are looked up in BK-trees, whose children hang on the
+integer Hamming distance to their parent, along the edges that the radius
+allows. Only fingerprints of one bucket are compared, and a bucket's trees are
+shards of bounded size: a bucket of one shard is a tree in its own task; those
+of larger buckets are broadcast, some at a time, and all fingerprints of the
+bucket stream past them. Of the links found, a task passes on a spanning
+forest, which has the same components.
+
+``near_duplicates`` links fingerprints that differ in at most ``radius`` bits:
+they agree on at least ``blocks - radius`` of ``blocks`` blocks of bits, so each
+is sent to one bucket for every choice of that many blocks, and no link is lost.
+
+``drop_near_duplicates`` links texts whose sets of shingles have a Jaccard
+similarity of at least a threshold. Two texts of similarity 0.8 have
+fingerprints 10 bits apart on average, and more than RADIUS_TEXTS in a few of
+100,000 cases. Such a radius leaves nearly all edges of a tree open, so buckets
+have to do more here: they are made of shingles. Of a text's SKETCH smallest
+hashes, the first KEYS that don't stand in very many texts are its buckets; two
+texts of similarity 0.8 share one but for some pairs in 10,000 at worst (where
+all that they share stands in very many texts too). What is found joins texts to
+groups of candidates; in a group, all pairs in the radius are verified on whole
+texts, in blocks, unless links that are verified join them already.
 
 Null and empty texts have no word and the fingerprint zero, which links like
-any other. Rows with the same id share a row's result each. An empty table
-gives an empty result.
+any other. Rows with the same id have a row of the result each; a null id is
+never the smallest of a component, unless all are null. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,32 +52,46 @@ from .components import connected_components
 RADIUS = 2
 #: blocks that the 64 bits are cut into
 BLOCKS = 4
-#: fingerprints in a shard's tree at most
-SHARD = 2_000
+#: fingerprints in a shard's tree (about, where a bucket has several), and trees that are broadcast at a time (about)
+SHARD, TREES = 2_000, 128
+#: verified near-duplicates: words of a shingle, least similarity, bits that may differ
+SHINGLE, SIMILARITY, RADIUS_TEXTS = 5, 0.8, 22
+#: smallest hashes kept of a text, and how many of them it is looked up by
+SKETCH, KEYS = 32, 12
+#: sketches that a hash may stand in before other hashes go first, and hashes that may have to wait:
+#: fewer than SKETCH x texts / limit hashes can stand in more than limit sketches, which bounds them
+HOT, MAX_HOT = 1_000, 1_000_000
+#: texts of a block to verify
+BLOCK = 500
 SEED = 42
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _UPPER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 
 
-def text_fingerprint(text: str | None, shingle: int = 3) -> int:
-    """The fingerprint of one whole text; signed, as Spark's long holds it."""
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """Hashes of a text's shingles, repeats included; a text of fewer words is
+    one shingle, a text without a word none."""
     words = _WORD.findall((text or "").encode("utf-8", "surrogatepass").translate(_UPPER))
-    if not words:
-        return 0
-    line = b" ".join(words)
     n = len(words)
+    if not n:
+        return np.zeros(0, np.uint64)
+    line = b" ".join(words)
+    digest = xxhash.xxh64_intdigest
     if n <= shingle:
-        h = xxhash.xxh64_intdigest(line, SEED)
-        return h - (h >> 63 << 64)
+        return np.array([digest(line, SEED)], np.uint64)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1)
-    starts = (ends[: n - shingle + 1] - np.fromiter(map(len, words[: n - shingle + 1]), np.int64, n - shingle + 1) - 1).tolist()
-    digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(line[i:j], SEED) for i, j in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
-    return majority(hashes)
+    starts = [0, *ends[: n - shingle].tolist()]
+    return np.array([digest(line[i:j], SEED) for i, j in zip(starts, (ends[shingle - 1 :] - 1).tolist(), strict=True)], np.uint64)
+
+
+def text_fingerprint(text: str | None, shingle: int = 3) -> int:
+    """The fingerprint of one whole text; signed, as Spark's long holds it."""
+    return majority(shingle_hashes(text, shingle))
 
 
 def majority(hashes: np.ndarray) -> int:
-    """The bits that over half of the hashes have set, as a signed integer."""
+    """The bits that over half of the hashes have set, as a signed integer; 0
+    for no hashes."""
     count = np.zeros(64, np.int64)
     for i in range(0, len(hashes), 8192):
         bits = np.unpackbits(hashes[i : i + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
@@ -157,91 +186,273 @@ class Forest:
         return x != y
 
 
-def spanning_links(fps: np.ndarray, tree_of: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Of the links between the fingerprints and those at the places tree_of,
-    enough to join what all of them join."""
-    forest, a, b = Forest(len(fps)), [], []
-    for q, node in BKTree(fps[tree_of]).search(fps, radius):
-        other = tree_of[node]
-        for x, y in zip(q[q != other].tolist(), other[q != other].tolist(), strict=True):
+def spanning_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links between fingerprints, which may repeat: enough to join
+    what all links join."""
+    values, first, of = np.unique(fps, return_index=True, return_inverse=True)
+    same = np.flatnonzero(first[of] != np.arange(len(fps)))
+    a, b = first[of[same]].tolist(), same.tolist()
+    forest = Forest(len(values))
+    for q, node in BKTree(values).search(values, radius):
+        for x, y in zip(q[q < node].tolist(), node[q < node].tolist(), strict=True):
             if forest.join(x, y):
-                a.append(x)
-                b.append(y)
+                a.append(first[x])
+                b.append(first[y])
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def block_masks(blocks: int, radius: int) -> list[int]:
-    """Signed 64-bit masks, one for each choice of blocks - radius blocks."""
-    if not 0 < radius < blocks <= 64:
-        raise ValueError("need 0 < radius < blocks <= 64")
-    cuts = [64 * i // blocks for i in range(blocks + 1)]
-    one = [(1 << cuts[i + 1]) - (1 << cuts[i]) for i in range(blocks)]
-    masks = [sum(c) for c in combinations(one, blocks - radius)]
-    return [m - (m >> 63 << 64) for m in masks]
-
-
-def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) between the distinct fingerprints of column fp that are at
-    most radius bits apart: not all, but enough to have the same components."""
-    keys = F.array(*[F.struct(F.lit(i).alias("choice"), F.col("fp").bitwiseAND(F.lit(m)).alias("bits")) for i, m in enumerate(block_masks(blocks, radius))])
-    rows = fps.select("fp", F.inline(keys))
-    # buckets of one fingerprint hold no link
-    size = rows.groupBy("choice", "bits").agg(F.count("*").alias("n")).where("n > 1")
-    size = size.withColumn("shards", F.ceil(F.col("n") / shard).cast("int"))
-    rows = rows.join(size, ["choice", "bits"])
-    # each fingerprint stands in one shard's tree, and asks all of its bucket's
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("shards")).cast("int"))
-    rows = rows.withColumn("tree", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)))
-    rows = rows.select("choice", "bits", "tree", "fp", (F.col("own") == F.col("tree")).alias("inside"))
-    parts = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = rows.repartition(parts, "choice", "bits", "tree").sortWithinPartitions("choice", "bits", "tree", "fp")
+def bucket_links(rows: DataFrame, radius: int, shard: int = SHARD, trees: int = TREES) -> DataFrame:
+    """Links (a, b) between nodes of one bucket whose fingerprints are at most
+    radius bits apart, for rows (bucket, node, fp), all long: not all links, but
+    enough to have the same components."""
+    # buckets of one row hold no link
+    size = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    small = rows.join(size.where(F.col("n") <= shard), "bucket").select("bucket", "node", "fp")
+    small = small.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
+        rest = None  # the last bucket so far, which may go on: a shard at most
         for batch in batches:
             table = pa.Table.from_batches([batch])
             table = table if rest is None else pa.concat_tables([rest, table])
-            key = np.stack([table.column(c).to_numpy() for c in ("choice", "bits", "tree")])
-            change = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
-            cut = int(change[-1]) if len(change) else 0
-            rest = table.slice(cut)
-            if cut:
-                yield from buckets(table.slice(0, cut), [0, *change[:-1].tolist(), cut])
+            key = table.column("bucket").to_numpy()
+            change = (np.flatnonzero(key[1:] != key[:-1]) + 1).tolist()
+            rest = table.slice(change[-1] if change else 0)
+            if change:
+                yield from buckets(table.slice(0, change[-1]), [0, *change])
         if rest is not None and rest.num_rows:
             yield from buckets(rest, [0, rest.num_rows])
 
     def buckets(table: pa.Table, at: list[int]) -> Iterator[pa.RecordBatch]:
-        fp, inside = table.column("fp").to_numpy(), table.column("inside").to_numpy(zero_copy_only=False)
+        node, fp = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
         a, b = [], []
         for i, j in zip(at, at[1:], strict=False):
-            own = fp[i:j].view(np.uint64)
             if j - i == 2:  # the usual bucket: a tree of one node and its child
-                x = np.array([0] if np.bitwise_count(own[0] ^ own[1]) <= radius else [], np.int64)
+                x = np.array([0] if np.bitwise_count(fp[i] ^ fp[i + 1]) <= radius else [], np.int64)
                 y = x + 1
             else:
-                x, y = spanning_links(own, np.flatnonzero(inside[i:j]), radius)
-            a.append(fp[i:j][x])
-            b.append(fp[i:j][y])
+                x, y = spanning_links(fp[i:j], radius)
+            a.append(node[i:j][x])
+            b.append(node[i:j][y])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    return rows.mapInArrow(run, "a long, b long")
+    found = small.mapInArrow(run, "a long, b long")
+    large = materialize(size.where(F.col("n") > shard), "large_buckets")
+    return found if large.isEmpty() else found.unionByName(_large_bucket_links(rows.join(large, "bucket"), radius, shard, trees))
+
+
+def _large_bucket_links(rows: DataFrame, radius: int, shard: int, trees: int) -> DataFrame:
+    """As bucket_links, for buckets of several shards. Each round broadcasts
+    the trees of about ``trees`` shards, and all rows of their buckets ask."""
+    tree = F.pmod(F.xxhash64("fp", F.lit(5)), F.ceil(F.col("n") / shard))
+    rows = materialize(rows.select("bucket", "node", "fp", tree.alias("tree")), "large")
+    # nodes with one fingerprint hang on the smallest of them, which stands for all
+    heads = rows.groupBy("bucket", "tree", "fp").agg(F.min("node").alias("node"))
+    same = rows.join(heads.withColumnRenamed("node", "head"), ["bucket", "tree", "fp"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    heads = materialize(heads, "heads")
+    rounds = max(1, -(-heads.select("bucket", "tree").distinct().count() // trees))
+    heads = heads.withColumn("round", F.pmod(F.xxhash64("bucket", "tree", F.lit(9)), F.lit(rounds)))
+    found = [same]
+    for k in range(rounds):
+        some = heads.where(F.col("round") == k).select("bucket", "tree", "node", "fp").toPandas()
+        forest = {}
+        for (bucket, _), g in some.groupby(["bucket", "tree"]):
+            forest.setdefault(int(bucket), []).append((g["node"].to_numpy(), g["fp"].to_numpy()))
+        shared = rows.sparkSession.sparkContext.broadcast(forest)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            grown = {bucket: [(node, BKTree(fp.view(np.uint64))) for node, fp in shards] for bucket, shards in shared.value.items()}
+            for batch in batches:
+                bucket, node, fp = (batch.column(c).to_numpy() for c in range(3))
+                for key in np.unique(bucket).tolist():
+                    at = np.flatnonzero(bucket == key)
+                    ids, asked = node[at], fp[at].view(np.uint64)
+                    for names, tree in grown.get(key, ()):
+                        links, a, b = Forest(len(at) + len(names)), [], []
+                        for q, n in tree.search(asked, radius):
+                            for x, y in zip(q.tolist(), n.tolist(), strict=True):
+                                if links.join(x, len(at) + y):
+                                    a.append(x)
+                                    b.append(y)
+                        a, b = ids[np.array(a, np.int64)], names[np.array(b, np.int64)]
+                        yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
+
+        found.append(materialize(heads.select("bucket", "node", "fp").mapInArrow(run, "a long, b long"), "tree_links"))
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def block_masks(blocks: int, radius: int) -> list[int]:
+    """Signed 64-bit masks, one for each choice of blocks - radius blocks."""
+    if not 0 < radius < blocks <= 64:
+        raise ValueError("need 0 < radius < blocks <= 64")
+    cuts = [64 * i // blocks for i in range(blocks + 1)]
+    one = [(1 << cuts[i + 1]) - (1 << cuts[i]) for i in range(blocks)]
+    masks = [sum(c) for c in combinations(one, blocks - radius)]
+    return [m - (m >> 63 << 64) for m in masks]
+
+
+def links(fps: DataFrame, radius: int = RADIUS, blocks: int = BLOCKS, shard: int = SHARD, trees: int = TREES) -> DataFrame:
+    """Links (a, b) between the distinct fingerprints of column fp that are at
+    most radius bits apart: not all, but enough to have the same components."""
+    # two buckets whose hashes are the same are one bucket, in which no more is linked
+    keys = F.array(*[F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(block_masks(blocks, radius))])
+    rows = fps.select(F.explode(F.array_distinct(keys)).alias("bucket"), F.col("fp").alias("node"), "fp")
+    return bucket_links(rows, radius, shard, trees)
 
 
-def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = RADIUS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, shingle: int = 3, radius: int = RADIUS, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text", shard: int = SHARD) -> DataFrame:
     """(id, fp long, component_id): the smallest id that a document reaches
     over links between fingerprints, itself included."""
     docs = materialize(fingerprints(df, shingle, id_col, text_col), "fingerprints")
     classes = docs.groupBy("fp").agg(F.min(id_col).alias("__low"))
-    joined = connected_components(links(classes.select("fp"), radius, blocks))
+    joined = connected_components(links(classes.select("fp"), radius, blocks, shard))
     linked = classes.join(joined.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "__low", F.coalesce("component", "fp").alias("root"))
     heads = linked.groupBy("root").agg(F.min("__low").alias("component_id"))
     ids = materialize(linked.join(heads, "root").select("fp", "component_id"), "components")
     return docs.join(ids, "fp").select(id_col, "fp", "component_id")
 
 
-def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: int) -> DataFrame:
-    """df with one row for each component, that of its smallest id. Rows
-    without an id can't be told apart and go."""
-    found = near_duplicates(df, id_col=id_col, text_col=text_col, **how)
-    heads = found.where(F.col(id_col) == F.col("component_id")).select(id_col)
-    return df.join(heads, id_col, "left_semi").dropDuplicates([id_col]).select(*df.columns)
+# ---- near-duplicates verified on their texts ----
+
+
+def _key(text_col: str) -> Column:
+    return F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))
+
+
+def sketches(texts: DataFrame, shingle: int = SHINGLE, size: int = SKETCH) -> DataFrame:
+    """(key, fp long, sketch array<long>) for texts (key, text): the fingerprint
+    and the smallest hashes of the set of shingles, ascending as unsigned. Texts
+    without a word have the hash 0 alone."""
+
+    def one(text: str | None) -> tuple[int, list[int]]:
+        hashes = shingle_hashes(text, shingle)
+        small = np.unique(hashes if len(hashes) <= 4 * size else np.partition(hashes, 4 * size - 1)[: 4 * size])
+        if len(small) < size < len(hashes):  # repeats: look at all
+            small = np.unique(hashes)
+        return majority(hashes), small[:size].view(np.int64).tolist() or [0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, 500):
+                part = batch.slice(i, 500)
+                got = [one(t) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["key", "fp", "sketch"])
+
+    return texts.select("key", "text").mapInArrow(run, "key string, fp long, sketch array<long>")
+
+
+def text_buckets(sets: DataFrame, keys: int = KEYS, hot: int = HOT, max_hot: int = MAX_HOT) -> DataFrame:
+    """(bucket, node, fp) for sets (node, fp, sketch): the first keys of each
+    sketch; hashes in very many sketches come last."""
+    total = sets.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
+    limit = max(hot, -(-total // max_hot))  # so that fewer than max_hot hashes exceed it
+    often = sets.select(F.explode("sketch").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit)
+    shared = sets.sparkSession.sparkContext.broadcast(np.sort(often.select("h").toPandas()["h"].to_numpy(np.int64)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, 2000):
+                part = batch.slice(i, 2000)
+                sketch = pa.concat_arrays([part.column(2)])
+                h, ends = sketch.flatten().to_numpy(), sketch.offsets.to_numpy()
+                row = np.repeat(np.arange(part.num_rows), np.diff(ends))
+                is_hot = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
+                order = np.lexsort((is_hot, row))  # stable: by hash within each half
+                place = np.arange(len(h)) - (ends - ends[0])[row[order]]
+                take = order[place < keys]
+                yield pa.RecordBatch.from_arrays([pa.array(h[take]), part.column(0).take(pa.array(row[take])), part.column(1).take(pa.array(row[take]))], ["bucket", "node", "fp"])
+
+    return sets.select("node", "fp", "sketch").mapInArrow(run, "bucket long, node long, fp long")
+
+
+def _verify(group: pd.DataFrame, shingle: int, least: Fraction, radius: int) -> pd.DataFrame:
+    """Links (a, b) that join what all pairs of the group join that are within
+    the radius and reach the threshold. Of two blocks, pairs with one text in
+    each are looked at."""
+    group = group.sort_values("node", kind="stable")
+    node, text, block = group["node"].tolist(), group["text"].tolist(), group["block"].to_numpy()
+    cross = group["low"].iloc[0] != group["high"].iloc[0]
+    values, of = np.unique(group["fp"].to_numpy().view(np.uint64), return_inverse=True)
+    members = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=len(values)))[:-1])
+    sets: dict[int, np.ndarray] = {}
+    forest, out = Forest(len(node)), []
+
+    def shingles(i: int) -> np.ndarray:
+        if i not in sets:
+            sets[i] = np.unique(shingle_hashes(text[i], shingle))
+        return sets[i]
+
+    for q, n in BKTree(values).search(values, radius):
+        for u, v in zip(q[q <= n].tolist(), n[q <= n].tolist(), strict=True):
+            for i in members[u].tolist():
+                for j in members[v].tolist():
+                    if (u == v and i >= j) or (cross and block[i] == block[j]) or forest.find(i) == forest.find(j):
+                        continue
+                    x, y = shingles(i), shingles(j)
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both * (least.numerator + least.denominator) >= least.numerator * (len(x) + len(y)):
+                        forest.join(i, j)
+                        out.append((node[i], node[j]))
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def verified_links(groups: DataFrame, sets: DataFrame, texts: DataFrame, shingle: int, least: Fraction, radius: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between nodes of one group (node, component) whose texts
+    reach the threshold, enough to join what all of them join."""
+    groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
+    size = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    groups = groups.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
+    wanted = materialize(sets.select("node", "key", "fp").join(groups, "node"), "groups")
+    some = texts.join(wanted, "key").dropDuplicates(["node"])
+    # a text goes to each pair of blocks that its own is in: just one where the group is small
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    sent = some.withColumn("other", other).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "fp", "text")
+    return sent.groupBy("component", "low", "high").applyInPandas(lambda g: _verify(g, shingle, least, radius), "a long, b long")
+
+
+def text_components(df: DataFrame, shingle: int = SHINGLE, similarity: float = SIMILARITY, radius: int = RADIUS_TEXTS, text_col: str = "text", shard: int = SHARD, block: int = BLOCK, hot: int = HOT) -> DataFrame:
+    """(key, component), both md5 of a text in hex, for each text of df that is
+    linked with a different one."""
+    least = Fraction(str(similarity))
+    if not 0 < least <= 1:
+        raise ValueError("need 0 < similarity <= 1")
+    texts = df.select(_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    sets = sketches(texts, shingle).dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id())
+    sets = materialize(sets, "sketches")
+    groups = connected_components(bucket_links(text_buckets(sets, hot=hot), radius, shard))
+    found = connected_components(verified_links(groups, sets, texts, shingle, least, radius, block))
+    names = sets.select("node", "key")
+    heads = names.select(F.col("node").alias("component"), F.col("key").alias("head"))
+    of = found.join(names, "node").join(heads, "component").select("key", F.col("head").alias("component"))
+    return of.union(of.select("component", "component").distinct())
+
+
+def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how: float) -> DataFrame:
+    """df with one row for each component of its texts (text_components): that
+    of its smallest id, null last, then of the smallest md5 of its text. Rows
+    with a null id or the same id are told apart by their texts."""
+    check_names(id_col, ("__key", "__n"))
+    linked = text_components(df, text_col=text_col, **how).select(F.col("key").alias("__key"), "component")
+    rows = df.select(F.col(id_col).alias("__id"), _key(text_col).alias("__key")).groupBy("__id", "__key").agg(F.count("*").alias("__n"))
+    rows = rows.join(linked, "__key", "left").withColumn("component", F.coalesce("component", "__key"))
+    # a component's head is found by a sum, so that none is gathered in one task
+    place = F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.col("__key").alias("key"))
+    rows = materialize(rows, "rows")
+    heads = rows.groupBy("component").agg(F.min(place).alias("__head"))
+    marked = rows.join(heads, "component").withColumn("__drop", ~F.col("__id").eqNullSafe(F.col("__head.id")) | (F.col("__key") != F.col("__head.key")))
+    marked = materialize(marked.where("__drop OR __n > 1").select("__id", "__key", "__drop"), "marked")
+    keyed = df.withColumn("__key", _key(text_col))
+    same = lambda m: (keyed["__key"] == m["__key"]) & keyed[id_col].eqNullSafe(m["__id"])
+    kept = keyed.join(marked, same(marked), "left_anti").select(*df.columns)
+    again = marked.where("NOT __drop")
+    if again.isEmpty():
+        return kept
+    # of rows with the same id and text one stays
+    order = Window.partitionBy(id_col, "__key").orderBy(*[F.col(c).cast("string") for c in df.columns])
+    once = keyed.join(again, same(again), "left_semi").withColumn("__n", F.row_number().over(order)).where("__n = 1")
+    return kept.unionByName(once.select(*df.columns))

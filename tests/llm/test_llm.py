@@ -210,7 +210,7 @@ def test_links_with_small_shards_keep_the_components(spark):
             fps.add(v - (v >> 63 << 64))
     df = spark.createDataFrame([(f,) for f in fps], "fp long")
     for shard in (7, 2000):
-        got = {r.node: r.component for r in components.connected_components(simhash.links(df, shard=shard)).collect()}
+        got = {r.node: r.component for r in components.connected_components(simhash.links(df, shard=shard, trees=3)).collect()}
         linked = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) % 2**64).bit_count() <= 2]
         want = brute_components(fps, linked)
         assert {f: got.get(f, f) for f in fps} == want
@@ -507,10 +507,9 @@ def test_pipeline(spark, sf_dir, corpus):
     docs_ = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = corpus_pipeline.run(spark, sf_dir).collect()
     left = {r.doc_id for r in out}
-    kept = {i for i, t in corpus.items() if not quality_fails(t)}
-    fps = {i: brute_fingerprint(corpus[i]) for i in kept}
-    ids = sorted(kept)
-    roots = brute_components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fps[a] ^ fps[b]).bit_count() <= 2])
+    ids = sorted(i for i, t in corpus.items() if not quality_fails(t))
+    grams = {i: set(zip(*[text_words(corpus[i])[k:] for k in range(5)])) for i in ids}
+    roots = brute_components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if 9 * len(grams[a] & grams[b]) >= 4 * (len(grams[a]) + len(grams[b]))])
     assert left == {i for i in ids if roots[i] == i}
     assert {"doc_id", "text", "lang", "source", "n_chars"} == set(docs_.columns)
 

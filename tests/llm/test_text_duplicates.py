@@ -1,10 +1,8 @@
-"""Near-duplicates by similarity of shingles against brute force."""
+"""Near-duplicates verified on their texts, and buckets of several shards, against brute force."""
 
 import random
 
-import numpy as np
-
-from stackloom.llm import shingles
+from stackloom.llm import components, simhash
 
 
 def grams(text):
@@ -49,20 +47,10 @@ def test_near_copies_equal_brute_force(spark):
     want = brute_heads(rows)
     assert 25 < len(want) < len(rows) - 20
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    for how in ({}, {"shard": 3, "block": 2}):
-        got = shingles.drop_near_duplicates(df, **how).collect()
+    for how in ({}, {"shard": 3, "block": 2, "hot": 5}):
+        got = simhash.drop_near_duplicates(df, **how).collect()
         assert sorted(tuple(r) for r in got) == want
-    assert shingles.drop_near_duplicates(df.limit(0)).count() == 0
-
-
-def test_bitmaps_rule_out_no_pair():
-    rng = random.Random(2)
-    for n in (1, 64, 65, 200, 1000):
-        a = {rng.getrandbits(64) for _ in range(n)}
-        for k in (0, 1, n // 4, n):
-            b = set(list(a)[k:]) | {rng.getrandbits(64) for _ in range(k + n // 5 + 1)}
-            bits = [shingles.parities(np.array(sorted(x), np.uint64)) for x in (a, b)]
-            assert shingles.least_difference(*bits) == shingles.least_difference(*bits[::-1]) <= len(a ^ b)
+    assert simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
 def test_pipeline_stage_drops_near_copies(spark):
@@ -77,5 +65,43 @@ def test_pipeline_stage_drops_near_copies(spark):
 
 def test_null_and_repeated_ids_lose_no_text(spark):
     rows = [(None, "one text of five words"), (None, "quite another text of words"), (7, "a third text stands here"), (7, "and a fourth one here"), (7, "a third text stands here"), (8, None), (9, "")]
-    got = shingles.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(r.text or "" for r in got) == sorted({t or "" for _, t in rows})
+
+
+def test_equal_ids_and_extra_columns(spark):
+    a, b = "one text of some words here", "another text of other words there"
+    rows = [(3, a, "x", 1), (5, a, "y", 2), (5, b, "z", 3), (5, b, "z", 3)]
+    got = simhash.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, fp string, n_words int")).collect()
+    assert sorted(tuple(r) for r in got) == [(3, a, "x", 1), (5, b, "z", 3)]
+
+
+def test_large_buckets_are_split(spark):
+    """One bucket of several shards, in several rounds, with repeated fingerprints."""
+    rng = random.Random(6)
+    center, rows = rng.getrandbits(64), []
+    for node in range(400):
+        v = center
+        for _ in range(rng.randrange(12)):
+            v ^= 1 << rng.randrange(64)
+        rows.append((1 if node < 300 else 2, node, v - (v >> 63 << 64)))
+    df = spark.createDataFrame(rows, "bucket long, node long, fp long")
+    linked = [(a[1], b[1]) for i, a in enumerate(rows) for b in rows[i + 1 :] if a[0] == b[0] and ((a[2] ^ b[2]) % 2**64).bit_count() <= 3]
+    want = {}
+    for a, b in linked:
+        want.setdefault(a, set()).add(b)
+        want.setdefault(b, set()).add(a)
+    for shard, trees in ((2000, 128), (20, 4), (150, 1)):
+        found = components.connected_components(simhash.bucket_links(df, 3, shard, trees))
+        got = {r.node: r.component for r in found.collect()}
+        up = {}
+        for start in sorted(want):
+            if start in up:
+                continue
+            todo = [start]
+            while todo:
+                x = todo.pop()
+                if x not in up:
+                    up[x] = start
+                    todo += want[x]
+        assert {n: got.get(n, n) for n in up} == up and got.keys() <= up.keys()
