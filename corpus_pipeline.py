@@ -10,34 +10,48 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import language, packing, quality, secrets, shingles
+from stackloom.llm import language, packing, quality, secrets, simhash
 from stackloom.llm.common import materialize
 
 #: Least score with which a document's language counts as told.
 MIN_LANGUAGE_SCORE = 0.2
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with columns of other names, so that none clashes with a result's,
+    and the name of the text."""
+    names = [f"__{i}" for i in range(len(docs.columns))]
+    return docs.toDF(*names), names[docs.columns.index("text")]
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail no rule of the strict policy."""
-    return quality.measure(docs, keep=True).where(~quality.failed()).select(*docs.columns)
+    """Documents that fail no rule of the default policy."""
+    rows, text = _numbered(docs)
+    good = quality.measure(rows, text_col=text, keep=True).where(~quality.failed())
+    return good.select(*rows.columns).toDF(*docs.columns)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told."""
+    rows, text = _numbered(docs)
     told = (F.col("lang_pred") != language.UNDETERMINED) & (F.col("score") >= MIN_LANGUAGE_SCORE)
-    return language.predict(docs, language.fit(docs), keep=True).where(told).select(*docs.columns)
+    good = language.predict(rows, language.fit(docs), text_col=text, keep=True).where(told)
+    return good.select(*rows.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: five-word shingles, Jaccard
-    similarity 0.8 or more."""
-    return shingles.drop_near_duplicates(docs)
+    """One document of each group of near-duplicates: SimHash candidates from
+    BK-trees, verified as five-word shingles of Jaccard similarity 0.8 or more."""
+    return simhash.drop_near_duplicates(docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets masked and n_chars to match."""
-    clean = secrets.redact(docs, secrets.scan(docs, path_col="source"))
-    return clean.withColumn("n_chars", F.length("text").cast("long"))
+    """All documents, secrets masked and n_chars to match. Ids may be null or
+    repeat, so findings go by text and path."""
+    key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
+    rows = docs.withColumn("__key", key)
+    clean = secrets.redact(rows, secrets.scan(rows, id_col="__key", path_col="source"), id_col="__key")
+    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
