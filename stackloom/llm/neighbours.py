@@ -3,7 +3,7 @@
 Vectors are linked where their labels are equal and their cosine is at least a
 threshold. Equal vectors are one class from the start. The classes of a label
 are dealt to overlapping cells around pivots; a cell with too many is split by
-hash, and every vector of the cell asks each part. A part is cut into
+hash in parts, and each pair of parts is searched. It is cut into
 overlapping cluster shards; in each shard every vector keeps a robust-pruned
 list of neighbours, and the lists of all shards are united to one flat graph.
 Each vector is looked up by greedy search from the shards' medoids (and from
@@ -15,7 +15,10 @@ many are then compared whole, block by block.
 
 Vectors that are null, zero, empty, or hold null or non-finite components, and
 those without a label, link with nothing. Vectors of different length don't
-link either. Empty tables give empty results.
+link either. Every row has a row of the result: rows with one id, or with a null
+id, are vectors of their own, and a null id is never the smallest of a component
+unless all are null. Other columns aren't looked at. Empty tables give empty
+results.
 """
 
 from __future__ import annotations
@@ -25,11 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import check_names, materialize
 from .components import connected_components
 from .simhash import Forest
 
@@ -39,13 +42,14 @@ CELL = 2_000
 MAX_PIVOTS = 65_536
 #: Vectors of a shard, neighbours of a node, candidates for them, slack of pruning, width of the beam.
 SHARD, DEGREE, CANDIDATES, ALPHA, BEAM = 256, 16, 128, 1.2, 16
-#: queries of the audit for each label, and for all of them
-LABEL_QUERIES, AUDIT_QUERIES = 50, 2_000
+#: queries of the audit for each label, as many of those with a link found, and for all labels
+LABEL_QUERIES, AUDIT_QUERIES = 50, 4_000
 TARGET_RECALL = 0.95
 
 
 def _unit(column: pa.Array | pd.Series) -> np.ndarray:
     x = np.array(column.tolist(), np.float64)
+    x /= np.abs(x).max(axis=1, keepdims=True)  # so that no square is too large or too small
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -178,11 +182,11 @@ class FlatGraph:
             q, node = q[s >= threshold], node[s >= threshold]
 
 
-def valid_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
-    """(id, label, vector array<double>) of the rows that can link."""
-    rows = df.select(F.col(id_col).alias("id"), F.col(label_col).alias("label"), F.col(vector_col).cast("array<double>").alias("vector"))
-    finite = F.forall("vector", lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
-    return rows.where(F.col("label").isNotNull() & F.col("vector").isNotNull() & finite & F.exists("vector", lambda x: x != 0) & F.col("id").isNotNull())
+def valid_vector(vector_col: str, label_col: str) -> Column:
+    """The vector as array<double>, null where it can't link."""
+    vector = F.col(vector_col).cast("array<double>")
+    finite = F.forall(vector, lambda x: F.coalesce(~F.isnan(x) & (F.abs(x) < float("inf")), F.lit(False)))
+    return F.when(F.col(label_col).isNotNull() & finite & F.exists(vector, lambda x: x != 0), vector)
 
 
 def _cells(classes: DataFrame, cell: int, overlap: int) -> DataFrame:
@@ -190,14 +194,13 @@ def _cells(classes: DataFrame, cell: int, overlap: int) -> DataFrame:
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size"))
     total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
     cell = max(cell, -(-total // MAX_PIVOTS))
+    # labels of more than one cell: MAX_PIVOTS at most, as each holds more than total / MAX_PIVOTS classes
     wanted = sizes.withColumn("k", F.ceil(F.col("size") / cell)).where("k > 1")
-    # about k pivots for each label, by a hash of the id; their number is bounded by MAX_PIVOTS
+    # about k pivots for each of them, by a hash of the id: 2 x MAX_PIVOTS in all on average at most
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
-    pivots = classes.join(F.broadcast(wanted.limit(MAX_PIVOTS)), ["label", "dim"]).where(draw < F.col("k") / F.col("size"))
-    by: dict[tuple, list] = {}
-    for r in pivots.select("label", "dim", "id", "vector").orderBy("id").limit(2 * MAX_PIVOTS).toLocalIterator():
-        by.setdefault((r.label, r.dim), []).append(r.vector)
-    shared = classes.sparkSession.sparkContext.broadcast({k: _unit(pd.Series(v)).astype(np.float32) for k, v in by.items()})
+    pivots = classes.join(F.broadcast(wanted), ["label", "dim"]).where(draw < F.col("k") / F.col("size"))
+    drawn = pivots.select("label", "dim", "id", "vector").toPandas().sort_values("id", kind="stable")
+    shared = classes.sparkSession.sparkContext.broadcast({k: _unit(g["vector"]).astype(np.float32) for k, g in drawn.groupby(["label", "dim"])})
     schema = T.StructType([*classes.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -216,56 +219,61 @@ def _cells(classes: DataFrame, cell: int, overlap: int) -> DataFrame:
     return classes.mapInPandas(run, schema)
 
 
+def _pairs_of_parts(rows: DataFrame, keys: list[str], cell: int) -> DataFrame:
+    """rows in parts of about 2 x cell by a hash, each row once for each pair of
+    parts (low, high) that its own is in."""
+    parts = rows.groupBy(*keys).agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("parts"))
+    rows = rows.join(parts, keys).withColumn("own", F.pmod(F.xxhash64("id", F.lit(23)), F.col("parts")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("low", F.least("own", "other")).withColumn("high", F.greatest("own", "other")).drop("parts", "other")
+
+
+def _report(ids: np.ndarray, total: np.ndarray, tree: list[tuple[int, int]]) -> pd.DataFrame:
+    """Counts (a, null, n) and links (a, b, 0)."""
+    some = np.flatnonzero(total)
+    i, j = (np.array([t[k] for t in tree], np.int64) for k in (0, 1))
+    return pd.DataFrame({"a": np.concatenate([ids[some], ids[i]]), "b": pd.array([*[None] * len(some), *ids[j].tolist()], "Int64"), "n": np.concatenate([total[some], np.zeros(len(i), np.int64)])})
+
+
 def _links(classes: DataFrame, threshold: float, cell: int, overlap: int, beam: int) -> DataFrame:
     """(a, b, n): for each class a, in rows without b, how many vectors of
     other classes it links with; in rows with b, links that join what all join."""
-    rows = _cells(classes, cell, overlap)
-    parts = rows.groupBy("label", "dim", "cell").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("parts"))
-    rows = rows.join(parts, ["label", "dim", "cell"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
-    rows = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("inside", F.col("own") == F.col("part"))
+    keys = ["label", "dim", "cell"]
+    rows = _pairs_of_parts(_cells(classes, cell, overlap), keys, cell)
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
-        ids, count, inside = group["id"].to_numpy(), group["n"].to_numpy(), group["inside"].to_numpy()
+        ids, count, own = group["id"].to_numpy(), group["n"].to_numpy(), group["own"].to_numpy()
+        cross = group["low"].iloc[0] != group["high"].iloc[0]
+        if len(group) < 2:
+            return _report(ids, np.zeros(len(ids), np.int64), [])
         x = _unit(group["vector"])
-        nodes = np.flatnonzero(inside)
-        if not len(nodes) or len(group) < 2:
-            return pd.DataFrame({"a": [], "b": [], "n": []})
-        own = np.full(len(x), -1)
-        own[nodes] = np.arange(len(nodes))
         cells = np.array([(c + c[-1:] * overlap)[:overlap] for c in map(list, group["cells"])])
         here = int(group["cell"].iloc[0])
-        forest = Forest(len(x))
-        total = np.zeros(len(x), np.int64)
-        known: list[np.ndarray] = []
-        for q, node in FlatGraph(x[nodes], overlap=overlap).search(x, own, threshold, beam):
-            other = nodes[node]
-            keep = q != other
-            known.append(q[keep] * len(x) + other[keep])
-            # what one of two nodes finds, both have
-            both = keep & inside[q]
-            known.append(other[both] * len(x) + q[both])
+        forest, total = Forest(len(x)), np.zeros(len(x), np.int64)
+        known = [np.zeros(0, np.int64)]
+        for q, node in FlatGraph(x, overlap=overlap).search(x, np.arange(len(x)), threshold, beam):
+            keep = (q != node) & (~cross | (own[q] != own[node]))
+            # what one of two finds, both have
+            known += [q[keep] * len(x) + node[keep], node[keep] * len(x) + q[keep]]
+            if sum(map(len, known)) > 4_000_000:
+                known = [np.unique(np.concatenate(known))]
         pairs = np.unique(np.concatenate(known))
         a, b = pairs // len(x), pairs % len(x)
         # of the cells that both are in, the first counts the pair
-        common = np.where((cells[a][:, :, None] == cells[b][:, None, :]).any(2), cells[a], np.iinfo(np.int32).max).min(1)
-        first = common == here
+        first = np.concatenate([np.zeros(0, bool), *(np.where((cells[a[i : i + 500_000]][:, :, None] == cells[b[i : i + 500_000]][:, None, :]).any(2), cells[a[i : i + 500_000]], np.iinfo(np.int32).max).min(1) == here for i in range(0, len(a), 500_000))])
         np.add.at(total, a[first], count[b[first]])
-        tree = [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if i < j and forest.join(i, j)] if inside.all() else [(i, j) for i, j in zip(a.tolist(), b.tolist(), strict=True) if forest.join(i, j)]
-        some = np.flatnonzero(total)
-        i, j = (np.array([t[k] for t in tree], np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": np.concatenate([ids[some], ids[i]]), "b": pd.array([*[None] * len(some), *ids[j].tolist()], "Int64"), "n": np.concatenate([total[some], np.zeros(len(i), np.int64)])})
+        up = a < b
+        return _report(ids, total, [(i, j) for i, j in zip(a[up].tolist(), b[up].tolist(), strict=True) if forest.join(i, j)])
 
-    keep = ["label", "dim", "cell", "part", "id", "n", "vector", "inside", "cells"]
-    return rows.select(keep).groupBy("label", "dim", "cell", "part").applyInPandas(find, "a long, b long, n long")
+    keep = [*keys, "low", "high", "own", "id", "n", "vector", "cells"]
+    return rows.select(keep).groupBy(*keys, "low", "high").applyInPandas(find, "a long, b long, n long")
 
 
 def _exact_links(classes: DataFrame, threshold: float, cell: int) -> DataFrame:
-    """As _links, with all links counted: each pair of blocks of a label is compared."""
-    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / (2 * cell)).cast("int").alias("blocks"))
-    rows = classes.join(sizes, ["label", "dim"]).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("label", "dim", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "id", "n", "vector")
+    """As _links, with all links counted: each pair of parts of a label is compared."""
+    keys = ["label", "dim"]
+    rows = _pairs_of_parts(classes, keys, cell)
 
     def find(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("id", kind="stable")
@@ -278,18 +286,20 @@ def _exact_links(classes: DataFrame, threshold: float, cell: int) -> DataFrame:
             total[at : at + 512] = near @ count
             a, b = np.nonzero(near)
             tree += [(i, j) for i, j in zip((a + at).tolist(), b.tolist(), strict=True) if i < j and forest.join(i, j)]
-        some = np.flatnonzero(total)
-        i, j = (np.array([t[k] for t in tree], np.int64) for k in (0, 1))
-        return pd.DataFrame({"a": np.concatenate([ids[some], ids[i]]), "b": pd.array([*[None] * len(some), *ids[j].tolist()], "Int64"), "n": np.concatenate([total[some], np.zeros(len(i), np.int64)])})
+        return _report(ids, total, tree)
 
-    return rows.groupBy("label", "dim", "low", "high").applyInPandas(find, "a long, b long, n long")
+    return rows.select(*keys, "low", "high", "own", "id", "n", "vector").groupBy(*keys, "low", "high").applyInPandas(find, "a long, b long, n long")
 
 
 def audit(classes: DataFrame, counts: DataFrame, threshold: float, queries: int = AUDIT_QUERIES, each: int = LABEL_QUERIES) -> list[tuple]:
     """(label, dim, links, links that counts (a, n) has) of a bounded set of
-    vectors of each label, against brute force over the label's classes."""
-    order = Window.partitionBy("label", "dim").orderBy(F.xxhash64("id", F.lit(11)), "id")
-    asked = classes.select("id", "label", "dim", F.row_number().over(order).alias("k")).where(F.col("k") <= each).orderBy("k", F.xxhash64("id", F.lit(11)), "id").limit(queries)
+    vectors of each label, against brute force over the label's classes: of any,
+    and of those that have a link in counts, as many each, so that labels with
+    few links are seen to have some."""
+    order = Window.partitionBy("label", "dim", "linked").orderBy(F.xxhash64("id", F.lit(11)), "id")
+    drawn = classes.select("id", "label", "dim", F.lit(False).alias("linked")).unionByName(classes.join(counts.select(F.col("a").alias("id")), "id").select("id", "label", "dim", F.lit(True).alias("linked")))
+    # the window keeps the first of each group before the shuffle
+    asked = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).orderBy("k", F.xxhash64("id", F.lit(11)), "id", "linked").limit(queries)
     asked = classes.join(F.broadcast(asked.select("id")), "id", "left_semi").select("id", "label", "dim", "vector").toPandas()
     if not len(asked):
         return []
@@ -313,10 +323,13 @@ def audit(classes: DataFrame, counts: DataFrame, threshold: float, queries: int
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell: int = CELL, target_recall: float = TARGET_RECALL) -> DataFrame:
-    """(id, n_links long, component_id long, kept boolean) for each row; ids
-    are integers and each stands once."""
-    valid = valid_vectors(df, id_col, vector_col, label_col)
-    members = materialize(valid.select("id", "label", F.size("vector").alias("dim"), "vector"), "vectors")
+    """(id, n_links long, component_id, kept boolean) for each row. kept says
+    that the id is the component's."""
+    check_names(id_col, ("n_links", "component_id", "kept"))
+    rows = df.select(F.col(id_col).alias("key"), F.col(label_col).alias("label"), valid_vector(vector_col, label_col).alias("vector"))
+    # all that follows goes by a row's number, which is written with it
+    rows = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "vectors")
+    members = rows.where("vector IS NOT NULL").select("id", "key", "label", F.size("vector").alias("dim"), "vector")
     classes = materialize(members.groupBy("label", "dim", "vector").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes")
     for overlap, beam in ((2, BEAM), (4, 4 * BEAM), (8, 16 * BEAM)):
         found = materialize(_links(classes, threshold, cell, overlap, beam), "found")
@@ -325,15 +338,17 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
         if not poor:
             break
     else:
-        bad = df.sparkSession.createDataFrame(poor, T.StructType([classes.schema["label"], classes.schema["dim"]]))
+        bad = df.sparkSession.createDataFrame(poor, T.StructType([classes.schema["label"], classes.schema["dim"]]))  # one row for audited labels at most
         whole = materialize(classes.join(F.broadcast(bad), ["label", "dim"], "left_semi"), "poor")
         rest = found.join(whole.select(F.col("id").alias("a")), "a", "left_anti")
         found = materialize(rest.unionByName(_exact_links(whole, threshold, cell)), "found")
         counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
     roots = connected_components(found.where("b IS NOT NULL").select("a", "b")).withColumnRenamed("node", "a")
     of_class = classes.select(F.col("id").alias("a"), "label", "dim", "vector", F.col("n").alias("same")).join(counts, "a", "left").join(roots, "a", "left")
-    of_class = of_class.select("label", "dim", "vector", (F.col("same") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "a").alias("component_id"))
-    linked = members.join(of_class, ["label", "dim", "vector"]).select(F.col("id").alias("__id"), "n_links", "component_id")
-    rows = df.select(F.col(id_col)).join(linked, F.col(id_col) == F.col("__id"), "left")
-    root = F.coalesce("component_id", F.col(id_col))
-    return rows.select(F.col(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), root.alias("component_id"), (root == F.col(id_col)).alias("kept"))
+    of_class = of_class.select("label", "dim", "vector", (F.col("same") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "a").alias("root"))
+    linked = materialize(members.join(of_class, ["label", "dim", "vector"]).select("id", "key", "n_links", "root"), "linked")
+    heads = linked.groupBy("root").agg(F.min("key").alias("head"))
+    linked = linked.join(heads, "root").select("id", "n_links", "head")
+    out = rows.select("id", "key").join(linked, "id", "left")
+    head = F.coalesce("head", "key")
+    return out.select(F.col("key").alias(id_col), F.coalesce("n_links", F.lit(0)).alias("n_links"), head.alias("component_id"), head.eqNullSafe(F.col("key")).alias("kept"))
