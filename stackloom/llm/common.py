@@ -23,25 +23,34 @@ def held_out(id_col: str | Column = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a
-    temporary one where the session (a local one, as in tests) names none."""
+    """The folder that driver and executors share: spark.checkpoint.dir. A
+    local session, as in tests, gets a temporary one where it names none."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
-        at = tempfile.mkdtemp(prefix="stackloom-")
-        spark.sparkContext.setCheckpointDir(at)
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stackloom-"))
         at = spark.sparkContext.getCheckpointDir()
-    return at
+    return f"{at}/stackloom/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: computed once, lineage
-    cut, and still there when an executor is lost."""
+    cut, and still there when an executor is lost. ``discard`` deletes it."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/stackloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession) -> None:
+    """Delete all tables that this application has stored in the shared folder
+    (raw mentions and candidates among them). Results that haven't been written
+    can't be read any more afterwards."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def check_names(id_col: str, outputs: tuple[str, ...]) -> None:
     """Operators return the id column and columns of their own; they refuse an
     id column that bears one of these names."""

@@ -1,17 +1,24 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 Mail addresses, phone, card, bank and social security numbers, host addresses
-and titled names are found in every whole text. Each mention has a canonical
-form (the digits of a number, a lower-cased address), so that spellings of one
-entity get one surrogate, in all documents. A surrogate is drawn from a keyed
-hash of kind and canonical form, keeps kind and format (length, digits where
-digits were, valid card numbers valid, gender and script of a name) and is
-rendered in each mention's own spelling. Surrogates of different entities of a
-kind are kept distinct, and none is an entity that occurs: those that collide
-are drawn again.
+and names of persons are found in every whole text. A name is found after a
+title, after a common given name, or (in Han script) before a title; once found,
+its parts are replaced wherever else they stand in the same text. Each mention has
+a canonical form (the digits of a number, a lower-cased address, a given name
+and a surname without the title), so that spellings and parts of one entity get
+one surrogate, in all documents. A surrogate is drawn from a keyed hash of kind
+and canonical form, keeps kind and format (length, digits where digits were,
+card and bank numbers valid, gender and script of a name) and is rendered in each mention's
+own spelling. Surrogates of different entities of a kind are kept distinct, and
+none is an entity that occurs (a given name may be another's): those that
+collide are drawn again. From the third draw on, the format is widened (more
+letters, or digits after a dash), further with each draw, so that every entity gets a
+surrogate however little room its format has.
 
 Null and empty texts stay as they are. Repeated rows are repeated; columns
-other than the text pass through. Empty tables give empty results.
+other than the text pass through, whatever their names. Empty tables give empty
+results. Intermediate tables hold the raw mentions: ``common.discard`` deletes
+them once the result is written.
 """
 
 from __future__ import annotations
@@ -21,32 +28,38 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import check_names, materialize
+from .common import materialize
 
 _START, _END = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
-#: kind: pattern; of patterns that match at one place the first counts
+_FEMALE_TITLES = "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Sra Doña Госпожа".split()
+_MALE_TITLES = "Mr Sir Herr Monsieur Señor Sr Don Господин".split()
+_OTHER_TITLES = "Dr Prof Professor Doctor Docteur Doktor".split()
+_TITLES = "(?:" + "|".join(sorted(_FEMALE_TITLES + _MALE_TITLES + _OTHER_TITLES, key=len, reverse=True)) + ")"
+#: given names by gender and script: they begin names that no title precedes, and surrogates are drawn from them
+_GIVEN = {
+    ("f", "latin"): "Anna Clara Dora Elena Fiona Greta Helen Irene Julia Karla Laura Maria Nora Olga Paula Rosa Alice Carmen Claire Emma Eva Hannah Isabel Jane Linda Lucía Mary Monique Sarah Sofia Susan Ursula".split(),
+    ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Noah Oscar Paul Antonio Carlos Daniel Diego Francisco Hans Henri James Jean John José Juan Michael Peter Pierre Robert".split(),
+    ("f", "cyrillic"): "Анна Вера Дарья Елена Жанна Зоя Инна Клара Лидия Мария Нина Ольга Полина Раиса София Юлия".split(),
+    ("m", "cyrillic"): "Антон Борис Вадим Глеб Денис Егор Иван Кирилл Лев Марк Никита Олег Павел Роман Семён Юрий".split(),
+}
+#: syllables that surnames are made of; family and given names in Han script
+_SYLLABLES = {"latin": "ba co de fi ga he ki lo ma ne po ra si to va zu".split(), "cyrillic": "ба во га де жи зо ка ли мо на по ра си то фе ду".split()}
+_HAN_FAMILY, _HAN_GIVEN = list("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧"), list("明华文平安宁海云春林晨雨思佳子欣")
+_NAME = r"\p{Lu}[\p{L}'’]*\p{Ll}(?:-\p{Lu}\p{L}*\p{Ll})*"
+#: kind: pattern; of patterns that match at one place the first counts. Only the card pattern has groups.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
     "iban": _START + r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?" + _END,
-    "card": _START + r"[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}" + _END,
+    "card": _START + r"(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -]?)[0-9]{6}\2[0-9]{5})" + _END,
     "ssn": _START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "ip": _START + r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{L}\p{N}_]|\.[0-9])",
-    "phone": r"(?<![\p{L}\p{N}_+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}" + _END,
-    "person": _START + r"(?:Mrs?|Ms|Miss|Sir|Madam|Herr|Frau|Monsieur|Madame|Mme|Señora?|Sra?|Господин|Госпожа)\.? \p{Lu}\p{Ll}+(?: \p{Lu}\p{Ll}+)?",
+    "phone": r"(?<![\p{L}\p{N}_+])(?:\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4}){1,5}[ .-]?[0-9]{2,4}|(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|0[1-9][0-9]?(?:[ .-][0-9]{2}){4})" + _END,
+    "person": _START + rf"(?:(?:{_TITLES}\.? )+{_NAME}(?: {_NAME})?|(?:{'|'.join(n for names in _GIVEN.values() for n in names)}) {_NAME})" + _END,
+    "han": "[" + "".join(_HAN_FAMILY) + r"]\p{IsHan}{1,2}(?=先生|女士|小姐|教授|医生|老师)",
 }
-_FEMALE = r"^(Mrs|Ms|Miss|Madam|Frau|Madame|Mme|Señora|Sra|Госпожа)\b"
-_TITLE = r"^(\S+ )(.*)$"
-#: given names by gender and script, 16 each, and syllables of surnames
-_GIVEN = {
-    ("f", "latin"): "Anna Clara Dora Elena Fiona Greta Helen Irene Julia Karla Laura Maria Nora Olga Paula Rosa".split(),
-    ("m", "latin"): "Adam Bruno Carl David Emil Felix Georg Hugo Ivan Jonas Karl Leon Max Noah Oscar Paul".split(),
-    ("f", "cyrillic"): "Анна Вера Дарья Елена Жанна Зоя Инна Клара Лидия Мария Нина Ольга Полина Раиса София Юлия".split(),
-    ("m", "cyrillic"): "Антон Борис Вадим Глеб Денис Егор Иван Кирилл Лев Марк Никита Олег Павел Роман Семён Юрий".split(),
-}
-_SYLLABLES = {"latin": "ba co de fi ga he ki lo ma ne po ra si to va zu".split(), "cyrillic": "ба во га де жи зо ка ли мо на по ра си то фе ду".split()}
-MAX_DRAWS = 20
-#: only the card pattern has a group of its own
 _ALL = "|".join(PATTERNS.values())
+#: draws that keep the format as it is
+PLAIN_DRAWS = 2
 
 
 def _nibble(digest: Column, i: Column | int) -> Column:
@@ -99,109 +112,184 @@ def _fill(spelling: Column, digits: Column) -> Column:
     return state["text"]
 
 
+def _words(words: list[str], digest: Column, count: Column, start: int) -> Column:
+    """count of the words (up to 16), drawn by a digest's hex digits from start on."""
+    return F.concat_ws("", F.transform(F.sequence(F.lit(0), count - 1), lambda i: _pick(words, _nibble(digest, i + start))))
+
+
 def kind_of(mention: Column) -> Column:
-    """The first kind whose pattern the whole mention fits."""
-    out = F
+    """The first kind whose pattern the whole mention fits; ``name`` for a part of a name."""
+    out = F.when(mention.rlike(r"^\p{IsHan}+$"), F.lit("han"))
     for kind, pattern in PATTERNS.items():
         out = out.when(mention.rlike(f"^(?:{pattern})$"), F.lit(kind))
-    return out.otherwise(F.lit("other"))
+    return out.otherwise(F.lit("name"))
 
 
 def canonical(kind: Column, mention: Column) -> Column:
     digits = F.regexp_replace(mention, "[^0-9]", "")
-    return F.when(kind.isin("card", "ssn", "phone"), digits).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).when(kind == "email", F.lower(mention)).otherwise(mention)
+    return (
+        F.when(kind.isin("card", "ssn"), digits)
+        .when(kind == "phone", F.concat(F.when(mention.startswith("+"), F.lit("+")).otherwise(F.lit("")), digits))
+        .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
+        .when(kind == "email", F.lower(mention))
+        .otherwise(mention)
+    )
 
 
-def draw(kind: Column, value: Column, key: str, attempt: Column) -> Column:
-    """The surrogate's canonical form at an attempt."""
-    seed = F.concat_ws("\x1f", F.lit(key), kind, value, attempt.cast("string"))
+def draw(kind: Column, value: Column, gender: Column, key: str, attempt: int) -> Column:
+    """The surrogate's canonical form at an attempt, from 0."""
+    seed = F.concat_ws("\x1f", F.lit(key), kind, value, F.lit(str(attempt)))
     digest = F.concat(F.sha2(seed, 256), F.sha2(F.concat(seed, F.lit("\x1f1")), 256))
-    drawn = F.struct(kind.alias("kind"), value.alias("value"), digest.alias("digest"), _digits(digest).alias("digits"), F.sha2(F.concat(seed, F.lit("\x1f2")), 256).alias("other"))
-    return _let(drawn, lambda s: _surrogate(s["kind"], s["value"], s["digest"], s["digits"], s["other"]))
+    drawn = F.struct(kind.alias("kind"), value.alias("value"), gender.alias("gender"), digest.alias("digest"), _digits(digest).alias("digits"), F.sha2(F.concat(seed, F.lit("\x1f2")), 256).alias("other"))
+    return _let(drawn, lambda s: _surrogate(s["kind"], s["value"], s["gender"], s["digest"], s["digits"], s["other"], attempt))
+
 
+def _mod97(number: Column) -> Column:
+    """A bank number's remainder, its letters read as two digits."""
+    return F.aggregate(F.split(number, ""), F.lit(0), lambda s, c: F.when(c.rlike("[0-9]"), (s * 10 + c.cast("int")) % 97).otherwise((s * 100 + F.ascii(F.upper(c)) - 55) % 97))
 
-def _surrogate(kind: Column, value: Column, digest: Column, digits: Column, other: Column) -> Column:
+
+def _surrogate(kind: Column, value: Column, gender: Column, digest: Column, digits: Column, other: Column, attempt: int) -> Column:
+    more = 4 * max(0, attempt - PLAIN_DRAWS + 1)  # characters that the format is widened by
+    wider = F.concat(F.lit("-"), F.substring(digits, F.lit(60), F.lit(more))) if more else F.lit("")
     n = F.length(value)
     body = F.concat(F.substring(value, 1, 1), F.substring(digits, F.lit(1), n - 2))
     check = ((10 - _luhn(F.concat(body, F.lit("0")))) % 10).cast("string")
     card = F.when(_luhn(value) == 0, F.concat(body, check)).otherwise(F.concat(body, F.substring(digits, n, F.lit(1))))
     octet = lambda i: ((_nibble(digest, 2 * i) * 16 + _nibble(digest, 2 * i + 1)) % 254 + 1).cast("string")
-    # the country code of a number of more than ten digits stays
-    phone = F.concat(F.left(value, F.greatest(n - 10, F.lit(0))), F.substring(digits, F.lit(1), F.least(n, F.lit(10))))
+    number = lambda at, size, low, span: F.lpad((F.substring(digits, at, size + 3).cast("long") % span + low).cast("string"), size, "0")
+    # areas, groups and serials that are issued
+    ssn = F.concat(number(1, 3, 100, 566), number(10, 2, 1, 99), number(20, 4, 1, 9999))
+    # the country code stays, and so does a leading zero
+    lead = F.when(value.rlike(r"^\+[17]"), 2).when(value.startswith("+"), 3).when(value.startswith("0"), 1).otherwise(0)
+    first = F.substring(F.translate(digits, "0", "7"), F.lit(50), F.lit(1))
+    phone = F.concat(F.left(value, lead), first, F.substring(digits, F.lit(1), n - lead - 1))
     local, host = F.substring_index(value, "@", 1), F.substring_index(value, "@", -1)
     top = F.substring_index(host, ".", -1)
-    email = F.concat(_reshape(local, digest), F.lit("@"), _reshape(F.left(host, F.length(host) - F.length(top)), other), top)
-    female, cyrillic = value.rlike(_FEMALE), value.rlike(r"\p{IsCyrillic}")
-    given = lambda g, s: _pick(_GIVEN[(g, s)], _nibble(digest, 0))
-    surname = lambda s: F.initcap(F.concat(*[_pick(_SYLLABLES[s], _nibble(digest, i)) for i in range(1, 5)]))
-    full = lambda g, s: F.when(F.regexp_extract(value, _TITLE, 2).contains(" "), F.concat(given(g, s), F.lit(" "), surname(s))).otherwise(surname(s))
-    name = F.when(cyrillic, F.when(female, full("f", "cyrillic")).otherwise(full("m", "cyrillic"))).otherwise(F.when(female, full("f", "latin")).otherwise(full("m", "latin")))
+    long = F.translate(F.left(other, F.lit(more)), "0123456789", "ghijklmnop") if more else F.lit("")
+    email = F.concat(_reshape(local, digest), long, F.lit("@"), _reshape(F.left(host, F.length(host) - F.length(top)), other), top)
+    country, bban = F.left(value, F.lit(2)), _reshape(F.substring(value, F.lit(5), n), digest)
+    iban = F.concat(country, F.lpad((98 - _mod97(F.concat(bban, country, F.lit("00")))).cast("string"), 2, "0"), bban)
+    cyrillic = value.rlike(r"\p{IsCyrillic}")
+    syllables = F.lit(5 + 2 * attempt)
+    surname = F.initcap(
+        F.when(cyrillic, F.concat(_words(_SYLLABLES["cyrillic"], digest, syllables - 1, 1), F.when(value.rlike("[ая]$"), F.lit("нова")).otherwise(F.lit("нов")))).otherwise(_words(_SYLLABLES["latin"], digest, syllables, 1))
+    )
+    of = lambda at: F.when(cyrillic, F.when(gender == "f", _pick(_GIVEN["f", "cyrillic"], at)).otherwise(_pick(_GIVEN["m", "cyrillic"], at))).otherwise(F.when(gender == "f", _pick(_GIVEN["f", "latin"], at)).otherwise(_pick(_GIVEN["m", "latin"], at)))
+    two = lambda i: _nibble(digest, i) * 16 + _nibble(digest, i + 1)
+    given = of(two(0))
+    if attempt:
+        given = F.concat(given, F.lit("-"), of(two(2)))
+    if more:
+        given = F.concat(given, F.lit("-"), F.initcap(F.when(cyrillic, _words(_SYLLABLES["cyrillic"], other, F.lit(more), 0)).otherwise(_words(_SYLLABLES["latin"], other, F.lit(more), 0))))
+    han = F.concat(_pick(_HAN_FAMILY, two(0)), _words(_HAN_GIVEN, digest, F.lit(more) + n - 1, 2))
     return (
-        F.when(kind == "card", card)
-        .when(kind == "ip", F.concat_ws(".", *[octet(i) for i in range(4)]))
-        .when(kind == "phone", phone)
-        .when(kind == "ssn", F.left(digits, n))
+        F.when(kind == "card", F.concat(card, wider))
+        .when(kind == "ip", F.concat(F.concat_ws(".", *[octet(i) for i in range(4)]), wider))
+        .when(kind == "phone", F.concat(phone, wider))
+        .when(kind == "ssn", F.concat(ssn, wider))
         .when(kind == "email", email)
-        .when(kind == "iban", F.concat(F.left(value, F.lit(2)), _reshape(F.substring(value, F.lit(3), n), digest)))
-        .when(kind == "person", F.concat(F.regexp_extract(value, _TITLE, 1), name))
-        .otherwise(_reshape(value, digest))
+        .when(kind == "iban", F.concat(iban, wider))
+        .when(kind == "given", given)
+        .when(kind == "surname", surname)
+        .otherwise(han)
     )
 
 
 def render(kind: Column, mention: Column, surrogate: Column) -> Column:
     """The surrogate in the mention's spelling."""
-    iban = F.concat_ws(" ", F.regexp_extract_all(surrogate, F.lit("(.{1,4})"), F.lit(1)))
-    return F.when(kind.isin("card", "ssn", "phone"), _fill(mention, surrogate)).when((kind == "iban") & mention.contains(" "), iban).otherwise(surrogate)
+    body = F.substring_index(surrogate, "-", 1)
+    wider = F.substring(surrogate, F.length(body) + 1, F.length(surrogate))
+    iban = F.concat(F.concat_ws(" ", F.regexp_extract_all(body, F.lit("(.{1,4})"), F.lit(1))), wider)
+    digits = F.concat(_fill(mention, F.replace(body, F.lit("+"), F.lit(""))), wider)
+    return F.when(kind.isin("card", "ssn", "phone"), digits).when((kind == "iban") & mention.contains(" "), iban).otherwise(surrogate)
+
+
+def _person(left: Column, mention: Column) -> Column:
+    """The pieces of a name with its title: the given name, if any, and the surname."""
+    title = F.regexp_extract(mention, rf"^((?:{_TITLES}\.? )*)", 1)
+    name = F.substring(mention, F.length(title) + 1, F.length(mention))
+    surname = F.substring_index(name, " ", -1)
+    given = F.when(F.length(name) > F.length(surname), F.left(name, F.length(name) - F.length(surname) - 1))
+    known = F.when(given.isin(_GIVEN["f", "latin"] + _GIVEN["f", "cyrillic"]), F.lit("f")).when(given.isin(_GIVEN["m", "latin"] + _GIVEN["m", "cyrillic"]), F.lit("m"))
+    gender = F.coalesce(known, F.when(title.rlike(_START + "(?:" + "|".join(_FEMALE_TITLES) + ")" + _END), F.lit("f")), F.lit("m"))
+    piece = lambda left, mention, kind, head: F.struct(left.alias("left"), mention.alias("mention"), F.lit(kind).alias("kind"), mention.alias("value"), gender.alias("gender"), F.lit(head).alias("head"))
+    alone = piece(F.concat(left, title), surname, "surname", True)
+    both = F.array(piece(F.concat(left, title), given, "given", True), piece(F.lit(" "), surname, "surname", False))
+    return F.when(given.isNull(), F.array(alone)).otherwise(both)
 
 
 def mentions(df: DataFrame, text_col: str = "text") -> DataFrame:
-    """Rows of df with a mention, cut up: a number for the row, all columns but
-    the text, and for each mention k, what stands before it, and itself; the
-    row's last piece has no mention."""
-    check_names(text_col, ("__row",))
-    rows = df.where(F.col(text_col).rlike(_ALL)).withColumn("__row", F.monotonically_increasing_id())
-    between, found = F.split(text_col, _ALL, -1), F.regexp_extract_all(text_col, F.lit(_ALL), F.lit(0))
-    pieces = F.posexplode(F.arrays_zip(between.alias("left"), found.alias("mention"))).alias("__k", "__piece")
-    rest = [c for c in df.columns if c != text_col]
-    cut = rows.select("__row", *rest, pieces).select("__row", *rest, "__k", F.col("__piece.left").alias("__left"), F.col("__piece.mention").alias("__mention"))
-    cut = cut.withColumn("__kind", F.when(F.col("__mention").isNotNull(), kind_of(F.col("__mention"))))
-    return cut.withColumn("__value", canonical(F.col("__kind"), F.col("__mention")))
+    """Rows of df with a mention, cut up: (rest, pieces): all columns but the
+    text in a struct, and for each mention, or part of a name, what stands before it (left),
+    itself, its kind, canonical value, gender, and whether it is the mention's
+    first part (head); the last piece has no mention."""
+    rest = [F.col(f"`{c}`") for c in df.columns if c != text_col]
+    rows = df.where(F.col(f"`{text_col}`").rlike(_ALL)).select(F.struct(*rest, F.lit(0).alias("__none")).alias("rest"), F.col(f"`{text_col}`").alias("text"))
+    # parts of the names found, the longer first; letters, apostrophes and dashes alone
+    named = F.regexp_extract_all("text", F.lit("(" + PATTERNS["person"] + ")"), F.lit(1))
+    parts = F.array_distinct(F.flatten(F.transform(named, lambda m: F.split(F.regexp_replace(m, rf"^(?:{_TITLES}\.? )+", ""), " "))))
+    parts = F.array_sort(parts, lambda x, y: F.length(y) - F.length(x))
+    han = F.array_distinct(F.regexp_extract_all("text", F.lit("(" + PATTERNS["han"] + ")"), F.lit(1)))
+    rows = rows.withColumn("parts", F.when(F.col("text").rlike(PATTERNS["person"]), parts)).withColumn("han", F.when(F.col("text").rlike(PATTERNS["han"]), han))
+    of_parts = F.when(F.size("parts") > 0, F.concat(F.lit(_START + "(?:"), F.array_join("parts", "|"), F.lit(")" + _END)))
+    pattern = F.concat_ws("|", F.lit(_ALL), of_parts, F.array_join("han", "|"))
+    some = F.coalesce(F.size("parts") > 0, F.lit(False)) | F.col("han").isNotNull()
+    between = F.when(some, F.split("text", pattern, -1)).otherwise(F.split("text", _ALL, -1))
+    found = F.when(some, F.regexp_extract_all("text", pattern, F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(_ALL), F.lit(0)))
+    rows = rows.select("rest", "parts", F.arrays_zip(between.alias("left"), found.alias("mention")).alias("cut"))
+    kinds = F.transform("cut", lambda p: F.struct(p["left"].alias("left"), p["mention"].alias("mention"), F.when(p["mention"].isNotNull(), kind_of(p["mention"])).alias("kind")))
+    rows = rows.withColumn("cut", kinds)
+    # what a part alone is, a found name tells: the first in a name of two is given
+    first = F.transform(F.filter("cut", lambda p: p["kind"] == "person"), lambda p: _person(p["left"], p["mention"])[0])
+    given = F.filter(first, lambda p: p["kind"] == "given")
+    rows = rows.withColumn("given", F.when(F.size("parts") > 0, F.map_from_entries(F.array_distinct(F.transform(given, lambda p: F.struct(p["value"], F.lit("m")))))))
+    plain = lambda p: F.struct(p["left"].alias("left"), p["mention"].alias("mention"), F.when(p["kind"] == "name", F.when(F.map_contains_key("given", p["mention"]), F.lit("given")).otherwise(F.lit("surname"))).otherwise(p["kind"]).alias("kind"), canonical(p["kind"], p["mention"]).alias("value"), F.lit(None).cast("string").alias("gender"), p["kind"].isNotNull().alias("head"))
+    pieces = F.flatten(F.transform("cut", lambda p: F.when(p["kind"] == "person", _person(p["left"], p["mention"])).otherwise(F.array(plain(p)))))
+    return rows.select("rest", pieces.alias("pieces"))
 
 
 def assign(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, value, surrogate) for distinct (kind, value): distinct surrogates
-    for the values of a kind, none of them a value that occurs."""
+    """(kind, value, surrogate) for distinct (kind, value, gender): distinct surrogates
+    for the values of a kind, none of them a value that occurs, but for given names."""
     parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # drawing is slow for its few bytes: the rows are dealt to all tasks
-    entities = materialize(entities.select("kind", "value").distinct().repartition(parts, "kind", "value"), "entities")
-    real = entities.withColumnRenamed("value", "surrogate")
-    left, done = entities, None
-    for attempt in range(MAX_DRAWS):
-        drawn = left.withColumn("surrogate", draw(F.col("kind"), F.col("value"), key, F.lit(attempt)))
+    known = entities.groupBy("kind", "value").agg(F.max("gender").alias("gender")).repartition(parts, "kind", "value")
+    entities = materialize(known, "entities")
+    real = entities.where("kind <> 'given'").select("kind", F.col("value").alias("surrogate"))
+    left, done, attempt = entities, None, 0
+    while True:
+        drawn = left.withColumn("surrogate", draw(F.col("kind"), F.col("value"), F.coalesce("gender", F.lit("m")), key, attempt))
         free = drawn.join(real, ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done, ["kind", "surrogate"], "left_anti")
-        first = Window.partitionBy("kind", "surrogate").orderBy("value")
-        won = materialize(free.withColumn("__n", F.row_number().over(first)).where("__n = 1").select("kind", "value", "surrogate"), "surrogates")
+        # the first of those that drew the same, by a sum on the way to the shuffle
+        won = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
+        won = materialize(won.select("kind", "value", "surrogate"), "surrogates")
         done = won if done is None else done.unionByName(won)
-        left = left.join(won, ["kind", "value"], "left_anti")
+        left = materialize(left.join(won, ["kind", "value"], "left_anti"), "left")
+        attempt += 1
         if left.isEmpty():
             return done
-    raise RuntimeError(f"entities without a surrogate after {MAX_DRAWS} draws: more than their format has room for")
-
-
-def surrogate(df: DataFrame, key: str, text_col: str = "text") -> DataFrame:
-    """df with the personal data in its texts replaced, and n_entities long,
-    the number of mentions in each."""
-    check_names(text_col, ("n_entities",))
-    df = df.drop("n_entities")
-    rest = [c for c in df.columns if c != text_col]
-    cut = materialize(mentions(df, text_col), "mentions")
-    some = cut.where("__kind IS NOT NULL")
-    names = assign(some.select(F.col("__kind").alias("kind"), F.col("__value").alias("value")), key)
-    named = cut.join(names.select(F.col("kind").alias("__kind"), F.col("value").alias("__value"), "surrogate"), ["__kind", "__value"], "left")
-    shown = F.concat(F.col("__left"), F.coalesce(render(F.col("__kind"), F.col("__mention"), F.col("surrogate")), F.lit("")))
-    whole = named.groupBy("__row").agg(*[F.first(c).alias(c) for c in rest], F.array_sort(F.collect_list(F.struct("__k", shown.alias("__shown")))).alias("__parts"), F.count("__kind").alias("n_entities"))
-    changed = whole.select(*rest, F.array_join(F.transform("__parts", lambda p: p["__shown"]), "").alias(text_col), "n_entities")
-    same = df.where(F.coalesce(~F.col(text_col).rlike(_ALL), F.lit(True))).withColumn("n_entities", F.lit(0).cast("long"))
-    return same.unionByName(changed).select(*df.columns, "n_entities")
+
+
+def surrogate(df: DataFrame, key: str, text_col: str = "text", count_col: str = "n_entities") -> DataFrame:
+    """df with the personal data in its texts replaced, and count_col long, the
+    number of mentions in each. Where df has a column of that name, the new one
+    has an underscore before it (or more)."""
+    while count_col in df.columns:
+        count_col = "_" + count_col
+    # the rows' numbers are written with them
+    cut = materialize(mentions(df, text_col).withColumn("row", F.monotonically_increasing_id()), "mentions")
+    parts = cut.select("row", F.inline("pieces")).where("kind IS NOT NULL").select("row", "kind", "value", "gender")
+    names = assign(parts.select("kind", "value", "gender"), key)
+    # a row's surrogates come to it in a map; each of them once
+    sent = parts.select("row", "kind", "value").distinct().join(names, ["kind", "value"])
+    told = sent.groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "value"), "surrogate"))).alias("told"))
+    whole = cut.join(told, "row")
+    shown = lambda p: F.concat(p["left"], F.when(p["kind"].isNull(), F.lit("")).otherwise(render(p["kind"], p["mention"], F.element_at("told", F.concat_ws("\x1f", p["kind"], p["value"])))))
+    text = F.array_join(F.transform("pieces", shown), "").alias(text_col)
+    count = F.size(F.filter("pieces", lambda p: p["head"])).cast("long").alias(count_col)
+    columns = [text if c == text_col else F.col("rest").getField(c).alias(c) for c in df.columns]
+    same = df.where(F.coalesce(~F.col(f"`{text_col}`").rlike(_ALL), F.lit(True))).withColumn(count_col, F.lit(0).cast("long"))
+    return same.unionByName(whole.select(*columns, count))

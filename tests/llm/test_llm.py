@@ -482,7 +482,7 @@ def test_surrogates(spark):
 
 
 def test_surrogates_stay_distinct(spark):
-    values = spark.range(900).select(F.lit("ssn").alias("kind"), F.format_string("%d", F.col("id") % 90 + 10).alias("value"))
+    values = spark.range(900).select(F.lit("ssn").alias("kind"), F.format_string("%d", F.col("id") % 90 + 10).alias("value"), F.lit(None).cast("string").alias("gender"))
     names = surrogates.assign(values.where("value < 40"), "k").collect()
     assert len(names) == 30 and len({r.surrogate for r in names}) == 30
     assert not {r.surrogate for r in names} & {r.value for r in names}
