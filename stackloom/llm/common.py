@@ -58,17 +58,16 @@ def check_names(id_col: str, outputs: tuple[str, ...]) -> None:
         raise ValueError(f"the id column {id_col!r} clashes with a result column")
 
 
-def sample_keys(df: DataFrame, id_col: str, size: int, by: str | None = None, max_groups: int = 1) -> DataFrame:
-    """At most ``size`` rows of df (of each of the ``max_groups`` most frequent
-    values of by), the first by a hash h of the id, which is added; of rows
-    with the same hash and value one stays. The hash is cut at a bound that
-    holds about twice as many, so that nothing large is sorted."""
+def sample_keys(df: DataFrame, id_col: str, size: int, by: str | None = None) -> DataFrame:
+    """At most ``size`` rows of df (of each value of by), the first by a hash h
+    of the id, which is added; of rows with the same hash and value one stays.
+    The hash is cut at a bound that holds about twice as many, so that nothing
+    large is sorted."""
     group = F.col(by) if by else F.lit(1)
     rows = df.withColumn("h", F.xxhash64(id_col)).withColumn("__group", group)
     stats = rows.groupBy("__group").agg(F.count("*").alias("__n"), F.min("h").alias("__low"))
-    stats = stats.orderBy(F.desc("__n"), "__group").limit(max_groups)
     below = F.lit(-(2.0**63)) + F.lit(2.0**64) * 2 * size / F.col("__n")
-    near = rows.join(F.broadcast(stats), "__group").where((F.col("__n") <= 4 * size) | (F.col("h") < below) | (F.col("h") == F.col("__low")))
+    near = rows.join(stats, "__group").where((F.col("__n") <= 4 * size) | (F.col("h") < below) | (F.col("h") == F.col("__low")))
     order = Window.partitionBy("__group").orderBy("h")
     near = near.dropDuplicates(["__group", "h"]).withColumn("__k", F.row_number().over(order))
     return near.where(F.col("__k") <= size).drop("__k", "__n", "__low", "__group")

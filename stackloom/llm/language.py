@@ -2,16 +2,22 @@
 
 The kernel of two texts is the number of n-grams of 1 to MAX_N letters that both
 hold, over the square root of the product of how many each holds (a blended
-spectrum of presences). Landmark texts, drawn for each language, give a Nyström
-map into an explicit space; one ridge regression for each language is fitted
-there against the others. Texts are scored in batches: presences times
-landmarks, times the map, times the weights.
-
-N-grams are hashed to 2**BITS places, so memory is bounded whatever the script.
-Learning uses at most ``sample`` labelled rows of each language, the first by a
-hash of the id; prediction covers all rows and whole texts. A text that is null
-or has no letter is UNDETERMINED with score 0. Without labelled rows every text
-is UNDETERMINED.
+spectrum of presences), counted over the n-grams that landmarks hold. A text
+longer than a segment counts as the mean of its segments, all of them, so that
+the kernel of a text doesn't fade as it grows and meets ever more n-grams.
+Landmark segments, drawn for each language, give a Nyström map into an explicit
+space; one ridge regression for each language is fitted there against the
+others. Texts are scored in batches by products of matrices: presences times
+landmarks times the map times the weights, the last three multiplied beforehand.
+
+N-grams are kept as they are, none stands for another. Learning uses at most
+``sample`` labelled rows of each language (fewer where ROWS / languages is less),
+the first by a hash of the id, and of each at most LEARN_CHARS characters from a
+place drawn by that hash; languages may be any number. Prediction covers all
+rows and whole texts. A text that is null or has no letter is UNDETERMINED with
+score 0. Without labelled rows every text is UNDETERMINED. Of languages that
+score the same, the first in order is taken. Repeated rows have a row of the
+result each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,74 +36,133 @@ from pyspark.sql import types as T
 from .common import check_names, sample_keys
 
 UNDETERMINED = "und"
-BITS = 13
 MAX_N = 3
-#: Labelled rows of a language that a model is learned from at most.
-SAMPLE = 300
-#: Landmarks of a language at most.
-LANDMARKS = 40
-MAX_LANGUAGES = 100
+#: Letters and gaps of a segment, about.
+SEGMENT = 2_048
+#: Labelled rows of a language that a model is learned from at most, and of all together (but one for each language).
+SAMPLE, ROWS = 300, 60_000
+#: Characters of a row that is learned from.
+LEARN_CHARS = 20_000
+#: Landmarks of a language at most, and of all together (but one for each language).
+LANDMARKS, ALL_LANDMARKS = 40, 4_000
 RIDGE = 0.01
+#: Largest table that n-grams are looked up in by place.
+_TABLE = 1 << 26
 _LETTER = regex.compile(r"\p{L}")
-_MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
-def presences(texts: list[str | None]) -> np.ndarray:
-    """One row of 2**BITS zeros and ones for each text: which hashed n-grams of
-    its lower-cased letters occur. Anything else parts words."""
-    out = np.zeros((len(texts), 1 << BITS), np.float32)
+def symbols(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The lower-cased letters of all texts as code points, a space for each run
+    of anything else, and the number of each one's text."""
     joined = "\0".join((t or "").replace("\0", " ").lower() for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
     letter = np.zeros(int(codes.max(initial=0)) + 1, bool)
     letter[codes] = True
     for c in np.flatnonzero(letter).tolist():
         letter[c] = chr(c).isalpha()
     row = np.cumsum(codes == 0)
     is_letter = letter[codes]
-    symbol = np.where(is_letter, codes, 32).astype(np.uint64)
-    # of a run of other characters, one stays
     keep = is_letter.copy()
     keep[1:] |= is_letter[:-1]
     keep &= codes != 0
-    symbol, row = symbol[keep], row[keep]
-    flat = out.reshape(-1)
-    base = row.astype(np.int64) << BITS
-    gram = np.zeros(len(symbol), np.uint64)
+    return np.where(is_letter, codes, 32)[keep], row[keep]
+
+
+def segments(row: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The segment of each symbol, and the text of each segment: each text of n
+    is cut in equal parts."""
+    size = np.bincount(row, minlength=n)
+    parts = np.maximum(1, np.round(size / SEGMENT).astype(np.int64))
+    first = np.cumsum(parts) - parts
+    place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
+    return first[row] + place * parts[row] // np.maximum(size[row], 1), np.repeat(np.arange(n), parts)
+
+
+def grams(symbol: np.ndarray, segment: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(n-grams, segments) for n from 1 to MAX_N; 21 bits for each symbol."""
+    gram = np.zeros(len(symbol), np.int64)
     for n in range(1, MAX_N + 1):
         m = len(symbol) - n + 1
         if m <= 0:
-            break
-        gram = (gram[:m] * _MIX[0]) ^ (symbol[n - 1 :] + np.uint64(n))
-        place = ((gram * _MIX[1]) ^ (gram >> np.uint64(29)) * _MIX[2]) >> np.uint64(64 - BITS)
-        inside = row[:m] == row[n - 1 :]
-        flat[base[:m][inside] + place[inside].astype(np.int64)] = 1
-    return out
-
-
-def _unit_presences(texts: list[str]) -> np.ndarray:
-    x = presences(texts)
-    return x / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
+            return
+        gram = gram[:m] << 21 | symbol[n - 1 :]
+        inside = segment[:m] == segment[n - 1 :]
+        yield gram[inside], segment[:m][inside]
+
+
+class Index:
+    """Numbers of the n-grams that landmarks hold."""
+
+    def __init__(self, known: np.ndarray):
+        self.known = known  # ascending
+        parts = np.concatenate([known >> 42, known >> 21 & (1 << 21) - 1, known & (1 << 21) - 1])
+        self.letters = np.unique(np.append(parts, 0))  # 0 stands before n-grams of fewer than MAX_N
+        self.base = len(self.letters) + 1  # the last number is that of any other letter
+        self.of_letter = np.full(int(self.letters.max()) + 2, self.base - 1, np.int64)
+        self.of_letter[self.letters] = np.arange(len(self.letters))
+        self.table = None
+        if self.base**MAX_N <= _TABLE:
+            self.table = np.full(self.base**MAX_N, -1, np.int32)
+            a, b, c = (self.of_letter[p] for p in np.split(parts, 3))
+            self.table[(a * self.base + b) * self.base + c] = np.arange(len(known))
+
+    def presences(self, symbol: np.ndarray, segment: np.ndarray, n: int) -> np.ndarray:
+        """n rows with 1 for each n-gram that the segment holds, over the square
+        root of how many it holds."""
+        out = np.zeros((n, len(self.known)), np.float32)
+        flat = out.reshape(-1)
+        if self.table is None:
+            for gram, of in grams(symbol, segment):
+                at = np.minimum(np.searchsorted(self.known, gram), len(self.known) - 1)
+                hit = self.known[at] == gram
+                flat[of[hit] * len(self.known) + at[hit]] = 1
+        else:
+            letter = self.of_letter[np.minimum(symbol, len(self.of_letter) - 1)]
+            key = np.zeros(len(symbol), np.int64)
+            for k in range(1, MAX_N + 1):
+                m = len(symbol) - k + 1
+                if m <= 0:
+                    break
+                key = key[:m] * self.base + letter[k - 1 :]
+                at = self.table[key]
+                hit = (at >= 0) & (segment[:m] == segment[k - 1 :])
+                flat[segment[:m][hit] * len(self.known) + at[hit]] = 1
+        return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
+
+    def means(self, texts: list[str | None], times: np.ndarray) -> np.ndarray:
+        """The mean over each text's segments of presences times a matrix."""
+        symbol, row = symbols(texts)
+        segment, text = segments(row, len(texts))
+        out = np.zeros((len(texts), times.shape[1]))
+        step = max(1, 4_000_000 // max(len(self.known), 1))
+        ends = np.searchsorted(segment, np.arange(len(text) + 1))
+        for at in range(0, len(text), step):
+            to = min(at + step, len(text))
+            part = slice(ends[at], ends[to])
+            np.add.at(out, text[at:to], self.presences(symbol[part], segment[part] - at, to - at) @ times)
+        return out / np.bincount(text, minlength=len(texts))[:, None]
 
 
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    landmarks: np.ndarray  # n-grams x landmarks, each column over the root of its n-grams
-    weights: np.ndarray  # landmarks x languages: the Nyström map times the regressions
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
-        if not self.languages:
-            return names, scores
-        for i in range(0, len(texts), 128):
-            part = texts[i : i + 128]
-            x = presences(part)
-            kernel = (x @ self.landmarks) / np.sqrt(np.maximum(x.sum(1, keepdims=True), 1))
-            each = kernel.astype(np.float64) @ self.weights
-            for j, (k, text) in enumerate(zip(each.argmax(1).tolist(), part, strict=True)):
+    known: np.ndarray  # n-grams of the landmarks
+    weights: np.ndarray  # n-grams x languages: landmarks times the Nyström map times the regressions
+
+    def scorer(self):
+        index = Index(self.known)
+
+        def score(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+            names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+            if not self.languages:
+                return names, scores
+            each = index.means(texts, self.weights)
+            for i, (k, text) in enumerate(zip(each.argmax(1).tolist(), texts, strict=True)):
                 if text and _LETTER.search(text):
-                    names[i + j], scores[i + j] = self.languages[k], min(1.0, max(0.0, float(each[j, k])))
-        return names, scores
+                    names[i], scores[i] = self.languages[k], min(1.0, max(0.0, float(each[i, k])))
+            return names, scores
+
+        return score
 
 
 def learn(rows: pd.DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -105,29 +170,40 @@ def learn(rows: pd.DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE)
     rows = rows[[bool(t) and _LETTER.search(t) is not None for t in rows["text"]]] if len(rows) else rows
     languages = tuple(sorted(set(rows["lang"])))
     if not languages:
-        return Model((), np.zeros((1 << BITS, 0), np.float32), np.zeros((0, 0)))
+        return Model((), np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
     texts = rows["text"].tolist()
     y = (rows["lang"].to_numpy()[:, None] == np.array(languages, object)[None, :]).astype(float)
+    landmarks = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
     chosen = np.concatenate([np.flatnonzero(y[:, k])[:landmarks] for k in range(len(languages))])
-    marks = np.concatenate([_unit_presences([texts[i] for i in chosen[at : at + 64]]) for at in range(0, len(chosen), 64)])
+    # a landmark is the first segment of a text
+    symbol, row = symbols([texts[i] for i in chosen])
+    segment, text = segments(row, len(chosen))
+    first = np.searchsorted(text, np.arange(len(chosen)))
+    keep = np.isin(segment, first)
+    symbol, row = symbol[keep], row[keep]
+    index = Index(np.unique(np.concatenate([g for g, _ in grams(symbol, row)])))
+    marks = index.presences(symbol, row, len(chosen))
     value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     good = value > 1e-6 * value.max()
     nystroem = vector[:, good] / np.sqrt(value[good])
-    # presences of a few texts at a time: only their kernels with the landmarks stay
-    z = np.concatenate([_unit_presences(texts[at : at + 64]) @ marks.T for at in range(0, len(texts), 64)]).astype(np.float64) @ nystroem
+    to_marks = np.ascontiguousarray(marks.T)
+    z = np.concatenate([index.means(texts[at : at + 256], to_marks) for at in range(0, len(texts), 256)]) @ nystroem
     weight = (1 / y.sum(0)) @ y.T  # every language counts alike
     a = z.T @ (z * weight[:, None])
     beta = np.linalg.solve(a + ridge * np.eye(len(a)) * len(languages) / len(a), z.T @ (y * weight[:, None]))
-    return Model(languages, np.ascontiguousarray(marks.T), nystroem @ beta)
+    return Model(languages, index.known, (to_marks @ (nystroem @ beta)).astype(np.float32))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Learn from at most ``sample`` rows of each language, and at most
-    ``max_languages`` languages, the most frequent."""
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
+    """Learn from at most ``sample`` rows of each language."""
     rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    keys = sample_keys(rows.select("i", "lang"), "i", sample, "lang", max_languages)
-    # at most sample x max_languages ids
-    got = rows.join(F.broadcast(keys.select("i", "lang", "h")), ["i", "lang"]).groupBy("lang", "h").agg(F.min("text").alias("text")).toPandas()
+    languages = rows.select("lang").distinct().count()
+    keys = sample_keys(rows.select("i", "lang"), "i", max(1, min(sample, ROWS // max(languages, 1))), "lang")
+    # at most ROWS ids, or one for each language
+    got = rows.join(F.broadcast(keys.select("i", "lang", "h")), ["i", "lang"])
+    # of a longer text, what begins at a drawn place
+    place = F.pmod(F.col("h"), F.greatest(F.length("text") - LEARN_CHARS + 1, F.lit(1))).cast("int") + 1
+    got = got.select("lang", "h", F.substring("text", place, F.lit(LEARN_CHARS)).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).toPandas()
     return learn(got.sort_values(["h", "lang"], kind="stable"))
 
 
@@ -137,14 +213,16 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     kept = df.columns if keep else [id_col]
     for c in kept:
         check_names(c, ("lang_pred", "score"))
-    shared = df.sparkSession.sparkContext.broadcast(model)  # landmarks of a bounded sample
-    rows = df.select(*kept, F.col(text_col).alias("__text"))
+    shared = df.sparkSession.sparkContext.broadcast(model)  # n-grams of a bounded sample
+    rows = df.select(*kept) if keep else df.select(F.col(id_col), F.col(text_col).alias("__text"))
+    at = kept.index(text_col) if keep else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score = shared.value.scorer()
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                part = batch.slice(i, 512)
-                names, scores = shared.value.predict(part.column(len(kept)).to_pylist())
+            for i in range(0, batch.num_rows, 256):
+                part = batch.slice(i, 256)
+                names, scores = score(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
     schema = T.StructType([*df.select(*kept).schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])

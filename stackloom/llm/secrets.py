@@ -148,7 +148,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 24, depth: int
     left out. None where the labels hold fewer than two classes."""
     rows = labelled.where(F.col("label").isNotNull()).select(*FEATURES, F.col("label").cast("double").alias("label"))
     rows = rows.groupBy(*FEATURES, "label").agg(F.count("*").alias("weight")).withColumn("id", F.struct(*FEATURES))
-    few = sample_keys(rows, "id", sample // 2, "label", 2)
+    few = sample_keys(rows, "id", sample // 2, "label")
     few = materialize(few.select(*FEATURES, "label", F.log1p("weight").alias("weight")).coalesce(1).sort(*FEATURES, "label"), "labelled")  # bounded, in one order
     if few.select("label").distinct().count() < 2:
         return None
