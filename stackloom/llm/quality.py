@@ -65,6 +65,40 @@ POLICIES = {
 BASE, DEFAULT = "base-1", "strict-1"
 
 
+#: DuckDB SQL of the ledger of documents, with kept and base_failed, as the table ledger.
+_LEDGER_SQL = r"""texts AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines,
+    count(*) FILTER (bare[1] IN ('-', '*', '•', '‣')) AS n_bullet_lines, count(*) FILTER (bare LIKE '%...' OR bare LIKE '%…') AS n_ellipsis_lines
+  FROM (SELECT doc_id, line, trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts)) WHERE bare <> '' GROUP BY doc_id),
+single AS (SELECT doc_id, w, rtrim(w, '!#*$%&|<>') AS core, regexp_matches(w, '\p{L}') AS lettered FROM (SELECT doc_id, unnest(words) AS w FROM texts)),
+word_sums AS (SELECT doc_id, count(*) AS n_words, sum(length(w))::BIGINT AS word_chars, max(length(w)) AS max_word_chars,
+    count(*) FILTER (length(core) > 1 AND regexp_matches(core, '\p{Lu}') AND NOT regexp_matches(core, '[\p{Ll}\p{Lt}]')) AS n_upper_words,
+    count(*) FILTER (lettered AND core <> w) AS n_marked_words, count(*) FILTER (core = '') AS n_bare_words, count(*) FILTER (lettered) AS n_letter_words FROM single GROUP BY doc_id),
+windows AS (SELECT doc_id, i, words[i : i + 2] AS g FROM (SELECT doc_id, words, unnest(range(1, len(words) - 1)) AS i FROM texts)),
+repeats AS (SELECT doc_id, count(DISTINCT place) AS n_repeat_words FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS place FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS n FROM windows) WHERE n > 1) GROUP BY doc_id),
+measures AS (SELECT texts.doc_id, coalesce(n_words, 0) AS n_words, coalesce(word_chars, 0) AS word_chars, (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(n_upper_words, 0) AS n_upper_words, coalesce(n_marked_words, 0) AS n_marked_words,
+    coalesce(n_bare_words, 0) AS n_bare_words, coalesce(n_letter_words, 0) AS n_letter_words, coalesce(max_word_chars, 0) AS max_word_chars, coalesce(n_bullet_lines, 0) AS n_bullet_lines, coalesce(n_ellipsis_lines, 0) AS n_ellipsis_lines
+  FROM texts LEFT JOIN lines USING (doc_id) LEFT JOIN word_sums USING (doc_id) LEFT JOIN repeats USING (doc_id)),
+"""
+
+
+def ledger_sql() -> str:
+    """CTEs up to one named ledger: doc_id, MEASURES, failed_bits, base_failed, kept."""
+    bits = " + ".join(f"(CASE WHEN {r.fails} THEN {BITS[r.name]} ELSE 0 END)" for r in RULES)
+    flags = f"failed_bits & {policy_mask(BASE)} <> 0 AS base_failed, failed_bits & {policy_mask(DEFAULT)} = 0 AS kept"
+    return f"WITH {_LEDGER_SQL} ledger AS (SELECT *, {flags} FROM (SELECT *, ({bits})::BIGINT AS failed_bits FROM measures))\n"
+
+
+def ablations_sql(policy: str = DEFAULT) -> str:
+    """DuckDB SQL of ablations() over documents."""
+    mask = policy_mask(policy)
+    rows = "\nUNION ALL ".join(
+        f"SELECT '{policy}' AS policy, '{name}' AS rule, count(*) FILTER (failed_bits & {BITS[name]} <> 0) AS n_failed, count(*) FILTER (failed_bits & {mask} = {BITS[name]}) AS n_only, count(*) FILTER (failed_bits & {mask} <> 0) AS n_rejected FROM ledger" for name in POLICIES[policy]
+    )
+    return ledger_sql() + rows
+
+
 def policy_mask(policy: str) -> int:
     return sum(BITS[name] for name in POLICIES[policy])
 
@@ -124,17 +158,18 @@ def measure_text(text: str | None) -> tuple[int, ...]:
 def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
     """The ledger: (id, MEASURES long, failed_bits long). With keep, all columns
     of df stand in place of the id, so that a policy can filter rows as they
-    come by, without a join."""
+    come by, without a join; columns named as the ledger's are refused."""
     kept = df.columns if keep else [id_col]
     for c in kept:
         check_names(c, (*MEASURES, "failed_bits"))
-    rows = df.select(*kept, F.col(text_col).alias("__text"))
+    rows = df if keep else df.select(F.col(id_col), F.col(text_col).alias("__text"))
+    at = kept.index(text_col) if keep else 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
-                got = list(zip(*map(measure_text, part.column(len(kept)).to_pylist()), strict=True))
+                got = list(zip(*map(measure_text, part.column(at).to_pylist()), strict=True))
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], *(pa.array(c, pa.int64()) for c in got)], [*kept, *MEASURES])
 
     schema = T.StructType([*df.select(*kept).schema.fields, *(T.StructField(c, T.LongType()) for c in MEASURES)])

@@ -66,7 +66,15 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", *quality.MEASURES, "failed_bits", quality.failed(quality.BASE).alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_toxicity, op4_pii, op5_packing, op6_simhash, op7_licenses, op8_language, op9_neighbours, op10_quality)}
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the default policy costs, from the ledger's bits."""
+    return quality.ablations(quality.measure(table(spark, sf_dir, "documents")))
+
+
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_toxicity, op4_pii, op5_packing, op6_simhash, op7_licenses, op8_language, op9_neighbours, op10_quality, quality_ablations)}
 
 #: DuckDB SQL for the queries that it can express.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op10_quality": quality.ledger_sql() + f"SELECT doc_id, {', '.join(quality.MEASURES)}, failed_bits, base_failed, kept FROM ledger",
+    "quality_ablations": quality.ablations_sql(),
+}

@@ -8,8 +8,9 @@ the sentences with any weight; the others leak once, not once each. Weights are
 from document labels alone, by gradient descent on the document's likelihood,
 and then say which sentences offend.
 
-Learning uses at most ``sample`` labelled rows, chosen by a hash of the id;
-scoring runs over all rows. Words and beginnings whose share of toxic documents
+Learning uses at most ``sample`` labelled rows, the first by a hash of the id
+whose texts together have at most ``chars`` characters; scoring runs over all
+rows and whole texts. Words and beginnings whose share of toxic documents
 differs from that of all by fewer than MIN_Z standard deviations get no weight, so the
 model is a small table. Null and empty texts have one empty sentence
 and score sigmoid(b). Null labels are not learned from; a table without labels
@@ -33,8 +34,8 @@ from pyspark.sql import types as T
 
 from .common import check_names, sample_keys
 
-#: Labelled rows that a model is learned from at most.
-SAMPLE = 4_000
+#: Labelled rows that a model is learned from at most, and characters of their texts together.
+SAMPLE, SAMPLE_CHARS = 4_000, 64_000_000
 #: Standard deviations by which a word must stand out.
 MIN_Z = 4.5
 #: Smaller weights are left out.
@@ -157,12 +158,20 @@ def learn(rows: pd.DataFrame, steps: int = 300, rate: float = 0.1, l2: float = 1
     return Model({f: x for f, x in zip(words, w.tolist(), strict=True) if abs(x) >= MIN_WEIGHT}, float(b))
 
 
-def fit(df: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def fit(df: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, chars: int = SAMPLE_CHARS) -> Model:
     """Learn from the texts of df for at most ``sample`` ids of labels whose
-    label isn't null."""
+    label isn't null. Of rows with one id, the greatest label and the smallest text count."""
     known = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(F.col(label_col).cast("int")).alias("label"))
-    keys = sample_keys(known, "i", sample).select("i", "label")
-    got = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("text")).join(F.broadcast(keys), "i").groupBy("i").agg(F.min("text").alias("text"), F.max("label").alias("label")).toPandas()
+    keys = sample_keys(known, "i", sample).select("i", "label", "h")
+    texts = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
+    # at most sample ids and lengths come first, to see which texts may
+    sizes = texts.join(F.broadcast(keys), "i").groupBy("i", "label", "h").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n")).toPandas().sort_values("h", kind="stable")
+    fits = sizes[sizes["n"].cumsum() <= chars]
+    if not len(fits):
+        return learn(pd.DataFrame({"text": [], "label": []}))
+    schema = T.StructType([T.StructField("i", df.schema[id_col].dataType), T.StructField("label", T.IntegerType())])
+    chosen = df.sparkSession.createDataFrame(list(zip(fits["i"].tolist(), fits["label"].tolist(), strict=True)), schema)
+    got = texts.join(F.broadcast(chosen), "i").groupBy("i").agg(F.min("text").alias("text"), F.max("label").alias("label")).toPandas()
     return learn(got.sort_values("i", kind="stable"))
 
 

@@ -67,6 +67,37 @@ def test_random_words_encode_as_the_library_does(library):
             assert ids.tolist() == library.encode(texts[k], add_special_tokens=False).ids
 
 
+def test_special_tokens_by_their_spelling_alone(library):
+    rng = random.Random(5)
+    parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", " ", "a", "B ", "<|", "|>", "<|endoftext", "é", "\n", "K"]
+    texts = parts + ["".join(rng.choice(parts) for _ in range(rng.randrange(9))) for _ in range(1000)]
+    encoder = bpe.Encoder(bpe.vocabulary(bpe.read_vocabulary(PATH)))
+    for keys, flat, counts in encoder.blocks(enumerate(texts)):
+        for k, ids in zip(keys, np.split(flat, np.cumsum(counts)[:-1]), strict=True):
+            assert ids.tolist() == library.encode(texts[k], add_special_tokens=False).ids
+
+
+def test_tokens_of_odd_rows(spark, library):
+    rows = [(1, "a <|EndOfText|> b", [7]), (1, "a <|EndOfText|> b", [7]), (None, None, None), (2, "word <|endoftext|>" * 20_000, [])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids array<int>")
+    got = sorted(((r.doc_id or 0, r.ids) for r in bpe.encode(df, PATH).collect()))
+    assert got == sorted((i or 0, library.encode(t or "", add_special_tokens=False).ids) for i, t, _ in rows)
+    assert bpe.encode(df.limit(0), PATH).count() == 0
+    packed = packing.pack_documents(df.withColumn("offset", F.lit("x")), PATH, max_tokens=512).collect()
+    assert sum(r.length for r in packed) == sum(len(ids) + 1 for _, ids in got)
+
+
+def test_repeated_and_null_ids_are_spread_over_shards(spark):
+    pieces = spark.range(4000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(1).cast("long").alias("length"), F.lit("y").alias("sequence_id"))
+    rows = packing.pack(pieces, max_tokens=8, shard_pieces=100).collect()
+    size = Counter(r.sequence_id >> 32 for r in rows)
+    assert len(rows) == 4000 and len(size) == 40 and max(size.values()) < 200
+    bins = {}
+    for r in rows:
+        bins.setdefault(r.sequence_id, []).append(r.offset)
+    assert all(sorted(v) == list(range(len(v))) and len(v) <= 8 for v in bins.values())
+
+
 def test_name_clash_is_refused(spark):
     with pytest.raises(ValueError):
         bpe.encode(docs(spark, ["a"]).withColumnRenamed("doc_id", "ids"), PATH, id_col="ids")
@@ -294,6 +325,23 @@ def test_op3_finds_toxic_documents(spark, sf_dir):
     assert sum(p == y for p, y in held) >= 0.8 * len(held)
 
 
+def test_op3_precision_and_recall_of_held_out_toxic_documents(spark, sf_dir):
+    sf_dir = sf_dir.replace("sf0.001", "sf0.1")
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    rows = queries.op3_toxicity(spark, sf_dir).where("held_out").collect()
+    hit, toxic = [labels[r.doc_id] for r in rows if r.predicted and labels.get(r.doc_id) is not None], sum(labels.get(r.doc_id) == 1 for r in rows)
+    assert toxic > 20 and sum(hit) >= 0.9 * toxic and sum(hit) >= 0.9 * len(hit)
+
+
+def test_toxicity_sample_is_bounded_in_characters(spark):
+    rows = [(i, "vile words here" if i % 2 else "kind words here", i % 2) for i in range(200)] + [(500, "vile " * 100_000, 0), (None, "vile", 1), (500, "vile " * 100_000, 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.fit(df, df, "toxic", chars=10_000)
+    got = toxicity.score(df.withColumn("worst_sentence", F.lit("x")), model).collect()
+    assert len(got) == len(rows) and all((r.score > 0.3) == (i % 2 == 1) for r, (i, _, y) in zip(sorted(got, key=lambda r: (r.doc_id is None, r.doc_id)), rows[:200], strict=False))
+    assert toxicity.score(df.limit(0), model).count() == 0
+
+
 def test_toxicity_locates_the_sentence(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(40)]
@@ -362,6 +410,27 @@ def test_op10_equals_brute_force(spark, sf_dir, corpus):
         assert not (r.kept and r.base_failed)
 
 
+def test_quality_sql(spark, sf_dir):
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{sf_dir}/documents.parquet')")
+    for name in ("op10_quality", "quality_ablations"):
+        got = queries.QUERIES[name](spark, sf_dir)
+        want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({queries.ORACLE_SQL[name]})").fetchall()
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+
+
+def test_quality_of_odd_rows(spark):
+    rows = [(1, "a b", 5), (1, "a b", 5), (None, None, None), (2, "x " * 300_000, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_words int")
+    got = sorted((r.doc_id or 0, r.n_words) for r in quality.measure(df).collect())
+    assert got == [(0, 0), (1, 2), (1, 2), (2, 300_000)]
+    with pytest.raises(ValueError):
+        quality.measure(df, keep=True)
+    assert quality.measure(df.limit(0)).count() == 0 and quality.ablations(quality.measure(df.limit(0))).where("n_failed > 0").count() == 0
+
+
 def test_quality_of_odd_texts():
     for text in [*ODD, "a b c a b c", "x\nx\n\n \nx", "a b\x1cc", "a b a b a b a"]:
         assert quality.measure_text(text)[:5] == brute_quality(text)
