@@ -3,8 +3,8 @@
 Vectors are linked where their labels are equal and their cosine is at least a
 threshold. Equal vectors are one class from the start. The classes of a label
 are dealt to overlapping cells around pivots; a cell with too many is split by
-hash in parts, and each pair of parts is searched. It is cut into
-overlapping cluster shards; in each shard every vector keeps a robust-pruned
+hash in parts, and of each pair of parts one is searched by the other. A part is
+cut into overlapping cluster shards; in each shard every vector keeps a robust-pruned
 list of neighbours, and the lists of all shards are united to one flat graph.
 Each vector is looked up by greedy search from the shards' medoids (and from
 itself), which then expands over all neighbours in range. Every link is
@@ -252,8 +252,14 @@ def _links(classes: DataFrame, threshold: float, cell: int, overlap: int, beam:
         here = int(group["cell"].iloc[0])
         forest, total = Forest(len(x)), np.zeros(len(x), np.int64)
         known = [np.zeros(0, np.int64)]
-        for q, node in FlatGraph(x, overlap=overlap).search(x, np.arange(len(x)), threshold, beam):
-            keep = (q != node) & (~cross | (own[q] != own[node]))
+        # of two parts, the lower asks the graph of the higher
+        asks = np.flatnonzero(own == group["low"].iloc[0])
+        nodes = np.flatnonzero(own == group["high"].iloc[0])
+        if not len(asks) or not len(nodes):
+            return _report(ids, total, [])
+        for q, node in FlatGraph(x[nodes], overlap=overlap).search(x[asks], np.full(len(asks), -1) if cross else np.arange(len(x)), threshold, beam):
+            q, node = asks[q], nodes[node]
+            keep = q != node
             # what one of two finds, both have
             known += [q[keep] * len(x) + node[keep], node[keep] * len(x) + q[keep]]
             if sum(map(len, known)) > 4_000_000:
