@@ -14,10 +14,11 @@ they agree on at least ``blocks - radius`` of ``blocks`` blocks of bits, so each
 is sent to one bucket for every choice of that many blocks, and no link is lost.
 
 ``drop_near_duplicates`` links texts whose sets of shingles have a Jaccard
-similarity of at least a threshold. Two texts of similarity 0.8 have
-fingerprints 10 bits apart on average, and more than RADIUS_TEXTS in a few of
-100,000 cases. Such a radius leaves nearly all edges of a tree open, so buckets
-have to do more here: they are made of shingles. Of a text's SKETCH smallest
+similarity of at least a threshold. The fingerprints of the sets of two texts of
+similarity 0.8 are 10 bits apart on average, and more than RADIUS_TEXTS in a few of
+100,000 cases. Such a radius lets many pairs of similarity 0.4 pass, so two more
+fingerprints are made, and of all three together at most RADIUS_ALL bits may
+differ (29 on average at 0.8). It leaves nearly all edges of a tree open, so buckets have to do more here: they are made of shingles. Of a text's SKETCH smallest
 hashes, the first KEYS that don't stand in very many texts are its buckets; two
 texts of similarity 0.8 share one but for some pairs in 10,000 at worst (where
 all that they share stands in very many texts too). What is found joins texts to
@@ -56,6 +57,8 @@ BLOCKS = 4
 SHARD, TREES = 2_000, 128
 #: verified near-duplicates: words of a shingle, least similarity, bits that may differ
 SHINGLE, SIMILARITY, RADIUS_TEXTS = 5, 0.8, 22
+#: bits that may differ of the three fingerprints of a text's set of shingles together
+RADIUS_ALL = 54
 #: smallest hashes kept of a text, and how many of them it is looked up by
 SKETCH, KEYS = 32, 12
 #: sketches that a hash may stand in before other hashes go first, and hashes that may have to wait:
@@ -186,14 +189,25 @@ class Forest:
         return x != y
 
 
-def spanning_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of links between fingerprints, which may repeat: enough to join
-    what all links join."""
-    values, first, of = np.unique(fps, return_index=True, return_inverse=True)
+def near_pairs(tree: BKTree, known: np.ndarray, asked: np.ndarray, radius: int, radius_all: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of rows of asked and of known, the tree's, that are near: in the
+    first column, and in all columns together where radius_all is given."""
+    for q, n in tree.search(asked[:, 0], radius):
+        if radius_all is not None:
+            ok = np.bitwise_count(asked[q] ^ known[n]).sum(1, dtype=np.int64) <= radius_all
+            q, n = q[ok], n[ok]
+        yield q, n
+
+
+def spanning_links(fps: np.ndarray, radius: int, radius_all: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Places of links between rows of fingerprints, which may repeat: enough to
+    join what all links join."""
+    values, first, of = np.unique(fps, axis=0, return_index=True, return_inverse=True)
+    of = of.reshape(-1)
     same = np.flatnonzero(first[of] != np.arange(len(fps)))
     a, b = first[of[same]].tolist(), same.tolist()
     forest = Forest(len(values))
-    for q, node in BKTree(values).search(values, radius):
+    for q, node in near_pairs(BKTree(values[:, 0]), values, values, radius, radius_all):
         for x, y in zip(q[q < node].tolist(), node[q < node].tolist(), strict=True):
             if forest.join(x, y):
                 a.append(first[x])
@@ -201,14 +215,20 @@ def spanning_links(fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def bucket_links(rows: DataFrame, radius: int, shard: int = SHARD, trees: int = TREES) -> DataFrame:
+def _fingerprints_of(table: pa.Table | pa.RecordBatch, names: list[str]) -> np.ndarray:
+    return np.stack([table.column(c).to_numpy().view(np.uint64) for c in names], axis=1)
+
+
+def bucket_links(rows: DataFrame, radius: int, shard: int = SHARD, trees: int = TREES, radius_all: int | None = None) -> DataFrame:
     """Links (a, b) between nodes of one bucket whose fingerprints are at most
     radius bits apart, for rows (bucket, node, fp), all long: not all links, but
-    enough to have the same components."""
+    enough to have the same components. Where radius_all is given, rows have
+    more fingerprints, which count for it."""
+    names = [c for c in rows.columns if c not in ("bucket", "node")]
     # buckets of one row hold no link
     size = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     parts = max(1, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    small = rows.join(size.where(F.col("n") <= shard), "bucket").select("bucket", "node", "fp")
+    small = rows.join(size.where(F.col("n") <= shard), "bucket").select("bucket", "node", *names)
     small = small.repartition(parts, "bucket").sortWithinPartitions("bucket", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,60 +245,63 @@ def bucket_links(rows: DataFrame, radius: int, shard: int = SHARD, trees: int =
             yield from buckets(rest, [0, rest.num_rows])
 
     def buckets(table: pa.Table, at: list[int]) -> Iterator[pa.RecordBatch]:
-        node, fp = table.column("node").to_numpy(), table.column("fp").to_numpy().view(np.uint64)
+        node, fps = table.column("node").to_numpy(), _fingerprints_of(table, names)
         a, b = [], []
         for i, j in zip(at, at[1:], strict=False):
             if j - i == 2:  # the usual bucket: a tree of one node and its child
-                x = np.array([0] if np.bitwise_count(fp[i] ^ fp[i + 1]) <= radius else [], np.int64)
+                apart = np.bitwise_count(fps[i] ^ fps[i + 1])
+                near = apart[0] <= radius and (radius_all is None or apart.sum(dtype=np.int64) <= radius_all)
+                x = np.array([0] if near else [], np.int64)
                 y = x + 1
             else:
-                x, y = spanning_links(fp[i:j], radius)
+                x, y = spanning_links(fps[i:j], radius, radius_all)
             a.append(node[i:j][x])
             b.append(node[i:j][y])
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     found = small.mapInArrow(run, "a long, b long")
     large = materialize(size.where(F.col("n") > shard), "large_buckets")
-    return found if large.isEmpty() else found.unionByName(_large_bucket_links(rows.join(large, "bucket"), radius, shard, trees))
+    return found if large.isEmpty() else found.unionByName(_large_bucket_links(rows.join(large, "bucket"), names, radius, shard, trees, radius_all))
 
 
-def _large_bucket_links(rows: DataFrame, radius: int, shard: int, trees: int) -> DataFrame:
+def _large_bucket_links(rows: DataFrame, names: list[str], radius: int, shard: int, trees: int, radius_all: int | None) -> DataFrame:
     """As bucket_links, for buckets of several shards. Each round broadcasts
     the trees of about ``trees`` shards, and all rows of their buckets ask."""
-    tree = F.pmod(F.xxhash64("fp", F.lit(5)), F.ceil(F.col("n") / shard))
-    rows = materialize(rows.select("bucket", "node", "fp", tree.alias("tree")), "large")
-    # nodes with one fingerprint hang on the smallest of them, which stands for all
-    heads = rows.groupBy("bucket", "tree", "fp").agg(F.min("node").alias("node"))
-    same = rows.join(heads.withColumnRenamed("node", "head"), ["bucket", "tree", "fp"]).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
+    tree = F.pmod(F.xxhash64(*names, F.lit(5)), F.ceil(F.col("n") / shard))
+    rows = materialize(rows.select("bucket", "node", *names, tree.alias("tree")), "large")
+    # nodes with the same fingerprints hang on the smallest of them, which stands for all
+    keys = ["bucket", "tree", *names]
+    heads = rows.groupBy(*keys).agg(F.min("node").alias("node"))
+    same = rows.join(heads.withColumnRenamed("node", "head"), keys).where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b"))
     heads = materialize(heads, "heads")
     rounds = max(1, -(-heads.select("bucket", "tree").distinct().count() // trees))
     heads = heads.withColumn("round", F.pmod(F.xxhash64("bucket", "tree", F.lit(9)), F.lit(rounds)))
     found = [same]
     for k in range(rounds):
-        some = heads.where(F.col("round") == k).select("bucket", "tree", "node", "fp").toPandas()
-        forest = {}
+        some = heads.where(F.col("round") == k).select("bucket", "tree", "node", *names).toPandas()
+        shards: dict[int, list] = {}
         for (bucket, _), g in some.groupby(["bucket", "tree"]):
-            forest.setdefault(int(bucket), []).append((g["node"].to_numpy(), g["fp"].to_numpy()))
-        shared = rows.sparkSession.sparkContext.broadcast(forest)
+            shards.setdefault(int(bucket), []).append((g["node"].to_numpy(), g[names].to_numpy().view(np.uint64)))
+        shared = rows.sparkSession.sparkContext.broadcast(shards)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            grown = {bucket: [(node, BKTree(fp.view(np.uint64))) for node, fp in shards] for bucket, shards in shared.value.items()}
+            grown = {bucket: [(node, fps, BKTree(fps[:, 0])) for node, fps in of] for bucket, of in shared.value.items()}
             for batch in batches:
-                bucket, node, fp = (batch.column(c).to_numpy() for c in range(3))
+                bucket, node, fps = batch.column(0).to_numpy(), batch.column(1).to_numpy(), _fingerprints_of(batch, names)
                 for key in np.unique(bucket).tolist():
                     at = np.flatnonzero(bucket == key)
-                    ids, asked = node[at], fp[at].view(np.uint64)
-                    for names, tree in grown.get(key, ()):
-                        links, a, b = Forest(len(at) + len(names)), [], []
-                        for q, n in tree.search(asked, radius):
+                    ids, asked = node[at], fps[at]
+                    for nodes, known, tree in grown.get(key, ()):
+                        links, a, b = Forest(len(at) + len(nodes)), [], []
+                        for q, n in near_pairs(tree, known, asked, radius, radius_all):
                             for x, y in zip(q.tolist(), n.tolist(), strict=True):
                                 if links.join(x, len(at) + y):
                                     a.append(x)
                                     b.append(y)
-                        a, b = ids[np.array(a, np.int64)], names[np.array(b, np.int64)]
+                        a, b = ids[np.array(a, np.int64)], nodes[np.array(b, np.int64)]
                         yield pa.RecordBatch.from_arrays([pa.array(a[a != b]), pa.array(b[a != b])], ["a", "b"])
 
-        found.append(materialize(heads.select("bucket", "node", "fp").mapInArrow(run, "a long, b long"), "tree_links"))
+        found.append(materialize(heads.select("bucket", "node", *names).mapInArrow(run, "a long, b long"), "tree_links"))
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
@@ -324,30 +347,32 @@ def _key(text_col: str) -> Column:
 
 
 def sketches(texts: DataFrame, shingle: int = SHINGLE, size: int = SKETCH) -> DataFrame:
-    """(key, fp long, sketch array<long>) for texts (key, text): the fingerprint
-    and the smallest hashes of the set of shingles, ascending as unsigned. Texts
-    without a word have the hash 0 alone."""
-
-    def one(text: str | None) -> tuple[int, list[int]]:
-        hashes = shingle_hashes(text, shingle)
-        small = np.unique(hashes if len(hashes) <= 4 * size else np.partition(hashes, 4 * size - 1)[: 4 * size])
-        if len(small) < size < len(hashes):  # repeats: look at all
-            small = np.unique(hashes)
-        return majority(hashes), small[:size].view(np.int64).tolist() or [0]
+    """(key, fp, fp2, fp3 long, sketch array<long>) for texts (key, text): three
+    fingerprints and the smallest hashes of the set of shingles, ascending as
+    unsigned. Texts without a word have the hash 0 alone."""
+
+    def one(text: str | None) -> tuple[int, int, int, list[int]]:
+        hashes = np.unique(shingle_hashes(text, shingle))
+        second = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        second ^= second >> np.uint64(32)
+        third = (hashes ^ (hashes >> np.uint64(31))) * np.uint64(0xC2B2AE3D27D4EB4F)
+        third ^= third >> np.uint64(33)
+        return majority(hashes), majority(second), majority(third), hashes[:size].view(np.int64).tolist() or [0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 500):
                 part = batch.slice(i, 500)
                 got = [one(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.list_(pa.int64()))], ["key", "fp", "sketch"])
+                fps = [pa.array([g[k] for g in got], pa.int64()) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([part.column(0), *fps, pa.array([g[3] for g in got], pa.list_(pa.int64()))], ["key", "fp", "fp2", "fp3", "sketch"])
 
-    return texts.select("key", "text").mapInArrow(run, "key string, fp long, sketch array<long>")
+    return texts.select("key", "text").mapInArrow(run, "key string, fp long, fp2 long, fp3 long, sketch array<long>")
 
 
 def text_buckets(sets: DataFrame, keys: int = KEYS, hot: int = HOT, max_hot: int = MAX_HOT) -> DataFrame:
-    """(bucket, node, fp) for sets (node, fp, sketch): the first keys of each
-    sketch; hashes in very many sketches come last."""
+    """(bucket, node, fp, fp2, fp3) for sets (node, the same, sketch): the first
+    keys of each sketch; hashes in very many sketches come last."""
     total = sets.agg(F.coalesce(F.sum(F.size("sketch")), F.lit(0))).first()[0]
     limit = max(hot, -(-total // max_hot))  # so that fewer than max_hot hashes exceed it
     often = sets.select(F.explode("sketch").alias("h")).groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") > limit)
@@ -358,16 +383,17 @@ def text_buckets(sets: DataFrame, keys: int = KEYS, hot: int = HOT, max_hot: int
         for batch in batches:
             for i in range(0, batch.num_rows, 2000):
                 part = batch.slice(i, 2000)
-                sketch = pa.concat_arrays([part.column(2)])
+                sketch = pa.concat_arrays([part.column(4)])
                 h, ends = sketch.flatten().to_numpy(), sketch.offsets.to_numpy()
                 row = np.repeat(np.arange(part.num_rows), np.diff(ends))
                 is_hot = late[np.minimum(np.searchsorted(late, h), len(late) - 1)] == h if len(late) else np.zeros(len(h), bool)
                 order = np.lexsort((is_hot, row))  # stable: by hash within each half
                 place = np.arange(len(h)) - (ends - ends[0])[row[order]]
                 take = order[place < keys]
-                yield pa.RecordBatch.from_arrays([pa.array(h[take]), part.column(0).take(pa.array(row[take])), part.column(1).take(pa.array(row[take]))], ["bucket", "node", "fp"])
+                of = pa.array(row[take])
+                yield pa.RecordBatch.from_arrays([pa.array(h[take]), *(part.column(k).take(of) for k in range(4))], ["bucket", "node", "fp", "fp2", "fp3"])
 
-    return sets.select("node", "fp", "sketch").mapInArrow(run, "bucket long, node long, fp long")
+    return sets.select("node", "fp", "fp2", "fp3", "sketch").mapInArrow(run, "bucket long, node long, fp long, fp2 long, fp3 long")
 
 
 def _verify(group: pd.DataFrame, shingle: int, least: Fraction, radius: int) -> pd.DataFrame:
@@ -376,9 +402,8 @@ def _verify(group: pd.DataFrame, shingle: int, least: Fraction, radius: int) ->
     each are looked at."""
     group = group.sort_values("node", kind="stable")
     node, text, block = group["node"].tolist(), group["text"].tolist(), group["block"].to_numpy()
-    cross = group["low"].iloc[0] != group["high"].iloc[0]
-    values, of = np.unique(group["fp"].to_numpy().view(np.uint64), return_inverse=True)
-    members = np.split(np.argsort(of, kind="stable"), np.cumsum(np.bincount(of, minlength=len(values)))[:-1])
+    cross = bool(group["low"].iloc[0] != group["high"].iloc[0])
+    fps = group[["fp", "fp2", "fp3"]].to_numpy().view(np.uint64)
     sets: dict[int, np.ndarray] = {}
     forest, out = Forest(len(node)), []
 
@@ -387,17 +412,19 @@ def _verify(group: pd.DataFrame, shingle: int, least: Fraction, radius: int) ->
             sets[i] = np.unique(shingle_hashes(text[i], shingle))
         return sets[i]
 
-    for q, n in BKTree(values).search(values, radius):
-        for u, v in zip(q[q <= n].tolist(), n[q <= n].tolist(), strict=True):
-            for i in members[u].tolist():
-                for j in members[v].tolist():
-                    if (u == v and i >= j) or (cross and block[i] == block[j]) or forest.find(i) == forest.find(j):
-                        continue
-                    x, y = shingles(i), shingles(j)
-                    both = len(np.intersect1d(x, y, assume_unique=True))
-                    if both * (least.numerator + least.denominator) >= least.numerator * (len(x) + len(y)):
-                        forest.join(i, j)
-                        out.append((node[i], node[j]))
+    for q, n in near_pairs(BKTree(fps[:, 0]), fps, fps, radius, RADIUS_ALL):
+        ok = (q < n) & ((not cross) | (block[q] != block[n]))
+        for i, j in zip(q[ok].tolist(), n[ok].tolist(), strict=True):
+            if forest.find(i) == forest.find(j):
+                continue
+            x, y = shingles(i), shingles(j)
+            # the smaller set bounds what both can share
+            if min(len(x), len(y)) * least.denominator < least.numerator * max(len(x), len(y)):
+                continue
+            both = len(np.intersect1d(x, y, assume_unique=True))
+            if both * (least.numerator + least.denominator) >= least.numerator * (len(x) + len(y)):
+                forest.join(i, j)
+                out.append((node[i], node[j]))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -407,11 +434,11 @@ def verified_links(groups: DataFrame, sets: DataFrame, texts: DataFrame, shingle
     groups = groups.unionByName(groups.select(F.col("component").alias("node"), "component").distinct())
     size = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     groups = groups.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
-    wanted = materialize(sets.select("node", "key", "fp").join(groups, "node"), "groups")
+    wanted = materialize(sets.select("node", "key", "fp", "fp2", "fp3").join(groups, "node"), "groups")
     some = texts.join(wanted, "key").dropDuplicates(["node"])
     # a text goes to each pair of blocks that its own is in: just one where the group is small
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    sent = some.withColumn("other", other).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "fp", "text")
+    sent = some.withColumn("other", other).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "fp", "fp2", "fp3", "text")
     return sent.groupBy("component", "low", "high").applyInPandas(lambda g: _verify(g, shingle, least, radius), "a long, b long")
 
 
@@ -424,7 +451,7 @@ def text_components(df: DataFrame, shingle: int = SHINGLE, similarity: float = S
     texts = df.select(_key(text_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     sets = sketches(texts, shingle).dropDuplicates(["key"]).withColumn("node", F.monotonically_increasing_id())
     sets = materialize(sets, "sketches")
-    groups = connected_components(bucket_links(text_buckets(sets, hot=hot), radius, shard))
+    groups = connected_components(bucket_links(text_buckets(sets, hot=hot), radius, shard, radius_all=RADIUS_ALL))
     found = connected_components(verified_links(groups, sets, texts, shingle, least, radius, block))
     names = sets.select("node", "key")
     heads = names.select(F.col("node").alias("component"), F.col("key").alias("head"))
