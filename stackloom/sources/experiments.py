@@ -102,17 +102,18 @@ def label_states(rows: DataFrame, states: DataFrame, field: str) -> DataFrame:
 
 
 def messages(elements: DataFrame) -> DataFrame:
-    """(experiment, kind, id, errno, text) of errors, warnings and comments."""
+    """(experiment, ord, kind, id, errno, text) of errors, warnings and comments."""
     a = F.col("attributes")
     kinds = {"cerror": "error", "cwarn": "warning", "comment": "comment"}
     kind = F.create_map(*[F.lit(x) for kv in kinds.items() for x in kv])[a["kind"]]
     rows = elements.where((F.col("element") == "event") & kind.isNotNull())
-    return rows.select("experiment", kind.alias("kind"), a["id"].cast("int").alias("id"), a["ec"].cast("int").alias("errno"), F.coalesce(a["text"], F.nullif("text", F.lit("")), F.lit("")).alias("text"))
+    return rows.select("experiment", "ord", kind.alias("kind"), a["id"].cast("int").alias("id"), a["ec"].cast("int").alias("errno"), F.coalesce(a["text"], F.nullif("text", F.lit("")), F.lit("")).alias("text"))
 
 
 def messages_by_run(found: DataFrame) -> DataFrame:
-    """(experiment, kind, n, texts) with the texts in order."""
-    return found.groupBy("experiment", "kind").agg(F.count("*").alias("n"), F.array_sort(F.collect_list("text")).alias("texts"))
+    """(experiment, kind, n, texts) with the texts in the order of the log."""
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("ord", "text"))), lambda m: m["text"])
+    return found.groupBy("experiment", "kind").agg(F.count("*").alias("n"), texts.alias("texts"))
 
 
 def map_records(elements: DataFrame) -> DataFrame:

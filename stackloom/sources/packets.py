@@ -166,6 +166,8 @@ def flatten_stacks(nodes: DataFrame, rounds: int = 24) -> DataFrame:
         met = rows.join(tail, ["experiment", "next"], "left")
         back = F.coalesce(F.arrays_overlap("chain", "__chain"), F.lit(True))  # or dangling
         rows = stored(met.select("experiment", "id", F.when(back, F.col("stack")).otherwise(F.concat("stack", "__stack")).alias("stack"), F.when(~back, F.col("__next")).alias("next"), F.when(back, F.col("chain")).otherwise(F.concat("chain", "__chain")).alias("chain")), "stacks")
+    if not rows.where("next IS NOT NULL").isEmpty():
+        raise RuntimeError(f"stacks are longer than {rounds} rounds can join")
     return rows.select("experiment", "id", "stack")
 
 

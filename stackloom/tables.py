@@ -10,10 +10,12 @@ from pyspark.sql import DataFrame
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """df, written once below spark.checkpoint.dir (a temporary folder where
-    the session names none) and read back, with its lineage cut."""
+    a local session names none) and read back, with its lineage cut."""
     spark = df.sparkSession
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stackloom-"))
         at = spark.sparkContext.getCheckpointDir()
     path = f"{at}/stackloom/{name}-{uuid.uuid4().hex}"

@@ -132,3 +132,9 @@ def test_sinks(spark, tmp_path):
     assert lines == ["function|incl", "<Total>|5", "a|3"]
     reports.write_columns(table, ["incl"], str(tmp_path / "cols"))
     assert spark.read.parquet(str(tmp_path / "cols")).columns == ["incl"]
+
+
+def test_messages_of_a_run_stay_in_the_order_of_the_log(spark):
+    rows = spark.createDataFrame([("a.er", 3, "error", "b"), ("a.er", 1, "error", "z"), ("a.er", 2, "error", "a"), ("a.er", 4, "comment", "c")], "experiment string, ord int, kind string, text string")
+    got = {r.kind: (r.n, r.texts) for r in experiments.messages_by_run(rows).collect()}
+    assert got == {"error": (3, ["z", "a", "b"]), "comment": (1, ["c"])}
