@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from stackloom.functions.expressions import group_handle, shift_left
 from stackloom.functions.text import group_label
+from stackloom.operators.intervals import THREAD_WIDTH, range_join
 
 TOTAL_KEY = -2
 TOTAL_LABEL = "<Total>"
@@ -65,12 +66,12 @@ def thread_labels(df: DataFrame, jthreads: DataFrame) -> DataFrame:
     """(key, label) of threads: a name known from thread records where one row
     at least has it, else the plain label; the first such row decides."""
     key = shift_left(F.col("exp_id"), 32).bitwiseOR(F.col("thrid").cast("bigint"))
-    names = jthreads.select("exp_id", F.col("tid").alias("thrid"), "name", F.col("start_ns").alias("__from"), F.col("end_ns").alias("__to"), "jthr_id")
-    joined = df.join(names, ["exp_id", "thrid"], "left")
-    alive = (F.col("tstamp") >= F.col("__from")) & (F.col("tstamp") < F.coalesce("__to", F.lit(2**63 - 1)))
-    known = F.when(alive, F.concat(F.format_string("Process %d, Thread %d, ", "exp_id", "thrid"), F.lit("JThread "), F.col("jthr_id").cast("string"), F.lit(" '"), F.col("name"), F.lit("'")))
-    plain = F.format_string("Process %d, Thread %d", "exp_id", "thrid")
-    return joined.groupBy(key.alias("key")).agg(F.coalesce(F.min_by(known, F.when(known.isNotNull(), F.struct("row_id", "jthr_id"))), F.first(plain)).alias("label"))
+    names = jthreads.select("exp_id", F.col("tid").alias("thrid"), F.col("name").alias("__name"), F.col("start_ns").alias("__from"), F.col("end_ns").alias("__to"), F.col("jthr_id").alias("__j"))
+    alive = range_join(df.select("exp_id", "thrid", "row_id", "tstamp"), names, "tstamp", "__from", "__to", THREAD_WIDTH, ("exp_id", "thrid"))
+    known = F.concat(F.format_string("Process %d, Thread %d, ", "exp_id", "thrid"), F.lit("JThread "), F.col("__j").cast("string"), F.lit(" '"), F.col("__name"), F.lit("'"))
+    named = alive.where(known.isNotNull()).groupBy(key.alias("key")).agg(F.min_by(known, F.struct("row_id", "__j")).alias("__known"))
+    plain = df.groupBy(key.alias("key")).agg(F.first(F.format_string("Process %d, Thread %d", "exp_id", "thrid")).alias("label"))
+    return plain.join(named, "key", "left").select("key", F.coalesce("__known", "label").alias("label"))
 
 
 def self_row(grouped: DataFrame, key: int, sums: list[str]) -> DataFrame:

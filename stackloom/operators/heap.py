@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackloom.operators.ranges import running
+
 MALLOC, FREE, REALLOC, MMAP, MUNMAP = range(5)
 
 
@@ -57,8 +59,8 @@ def heap_size(matched: DataFrame, kept: DataFrame | None = None) -> DataFrame:
         F.min("ord").alias("ord"),
     )
     rows = touched.join(matched.select("exp_id", "row_id", "tstamp"), ["exp_id", "row_id"])
-    run = Window.partitionBy("exp_id").orderBy("tstamp", "ord").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.select("exp_id", "row_id", "tstamp", "net_alloc", F.sum("net_alloc").over(run).alias("cur_allocs"), F.sum("leak").over(run).alias("cur_leaks"))
+    sizes = running(rows, ["exp_id"], ["tstamp", "ord"], {"cur_allocs": F.col("net_alloc"), "cur_leaks": F.col("leak")})
+    return sizes.select("exp_id", "row_id", "tstamp", "net_alloc", "cur_allocs", "cur_leaks")
 
 
 def heap_metrics(matched: DataFrame, keys: list[str] | None = None) -> DataFrame:

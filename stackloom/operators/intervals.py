@@ -12,9 +12,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackloom.tables import stored
+
 FOREVER = 2**63 - 1
 UNKNOWN = "<Unknown>"
 LEVELS = 6
+#: ns of the smallest buckets that thread intervals are entered in
+THREAD_WIDTH = 2**40
 
 
 def _div(a: Column, b: int) -> Column:
@@ -37,6 +41,7 @@ def range_join(probes: DataFrame, intervals: DataFrame, at: str, low: str, high:
     for i in range(levels):
         buckets = F.when(F.col("__level") == i, F.sequence(_div(F.col(low), wide[i]), _div(end, wide[i]))).otherwise(buckets)
     entered = intervals.where(F.col(low) <= end).withColumn("__level", level).withColumn("__bucket", F.explode(F.coalesce(buckets, F.array(F.lit(0).cast("bigint")))))
+    entered = stored(entered, "entered")
     used = {r[0] for r in entered.select("__level").distinct().collect()}  # at most LEVELS + 1 numbers
     asked = [F.struct(F.lit(i).alias("__level"), _div(F.col(at), w).alias("__bucket")) for i, w in enumerate(wide) if i in used]
     asked += [F.struct(F.lit(levels).alias("__level"), F.lit(0).cast("bigint").alias("__bucket"))] if levels in used or not used else []
@@ -152,12 +157,12 @@ def thread_intervals(log: DataFrame) -> DataFrame:
     return made.withColumn("jthr_id", number).select("exp_id", "jthr_id", "tid", "name", "group_name", "start_ns", "end_ns")
 
 
-def thread_at(probes: DataFrame, threads: DataFrame, row: Sequence[str]) -> DataFrame:
+def thread_at(probes: DataFrame, threads: DataFrame, row: Sequence[str], width: int = THREAD_WIDTH) -> DataFrame:
     """Adds jthr_id: the first interval of the probe's thread that holds its
     time, 0 if none does."""
     inner = threads.select("exp_id", F.col("tid").alias("thrid"), F.col("jthr_id").alias("__j"), "start_ns", "end_ns")
-    hit = probes.select("exp_id", "thrid", "tstamp", *[c for c in row if c not in ("exp_id", "thrid", "tstamp")]).join(inner, ["exp_id", "thrid"])
-    hit = hit.where((F.col("start_ns") <= F.col("tstamp")) & (F.col("tstamp") < F.coalesce("end_ns", F.lit(FOREVER))))
+    asked = probes.select("exp_id", "thrid", "tstamp", *[c for c in row if c not in ("exp_id", "thrid", "tstamp")])
+    hit = range_join(asked, inner, "tstamp", "start_ns", "end_ns", width, ("exp_id", "thrid"))
     return probes.join(hit.groupBy(*row).agg(F.min("__j").alias("jthr_id")), list(row), "left").withColumn("jthr_id", F.coalesce("jthr_id", F.lit(0).cast("bigint")))
 
 

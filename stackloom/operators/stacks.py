@@ -11,8 +11,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
+from stackloom.operators.ranges import running
 from stackloom.tables import stored
 
 TOTAL = "<Total>"
@@ -118,11 +118,7 @@ def flame_levels(df: DataFrame, weight: str, order: str, total: object = TOTAL)
     up = tree.select("path", "level", F.explode(F.transform(F.sequence(F.lit(0), F.col("level")), lambda i: F.slice(F.col("path"), F.lit(1), i))).alias("__prefix"))
     seen = up.join(tree.select(F.col("path").alias("__prefix"), F.col("first").alias("__first"), F.col("level").alias("__at")), "__prefix")
     seen = seen.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__first"))), lambda s: s["__first"]).alias("__order"))
-    # one row for each level
-    above = Window.orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
-    before = tree.groupBy("level").agg(F.count("*").alias("__n")).select("level", F.coalesce(F.sum("__n").over(above), F.lit(0)).alias("__before"))
-    in_level = Window.partitionBy("level").orderBy("__order", "path")
-    nodes = tree.join(seen, "path").join(before, "level").withColumn("idx", (F.row_number().over(in_level) + F.col("__before")).cast("long"))
+    nodes = running(tree.join(seen, "path"), [], ["level", "__order", "path"], {"idx": F.lit(1).cast("long")})
     parents = nodes.select(F.col("path").alias("__parent"), F.col("idx").alias("parent_idx"))
     nodes = nodes.withColumn("__parent", F.when(F.col("level") > 0, F.slice("path", F.lit(1), F.greatest(F.col("level") - 1, F.lit(0)))))
     out = nodes.join(parents, "__parent", "left")

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackloom.operators.ranges import running
+
 
 def select_events(df: DataFrame, exp_id: int | None = None, entity: str | None = None, value: int | None = None, aux: str | None = None, aux_value: int | None = None) -> DataFrame:
     """Events of a run, entity and tag, ordered by tag, entity and time."""
@@ -154,10 +156,13 @@ def nearest(df: DataFrame, at: int, lane: Sequence[str] = ("exp_id",), direction
 def step(df: DataFrame, n: int, lane: Sequence[str] = ("exp_id",)) -> DataFrame:
     """(lane, row_id, to_row, center): for each event the one n further on (or
     back), and the middle of its time; NULL where there is none."""
-    w = Window.partitionBy(*lane).orderBy("tstamp", "row_id")
     center = F.col("tstamp") - F.call_function("div", F.coalesce("evt_time", F.lit(0)).cast("bigint"), F.lit(2).cast("bigint"))
-    to = F.lead(F.struct(F.col("row_id").alias("to_row"), center.alias("center")), n).over(w)
-    return df.select(*lane, "row_id", to.alias("e")).select(*lane, "row_id", "e.*")
+    placed = running(df.select(*lane, "tstamp", "row_id", center.alias("center")), lane, ["tstamp", "row_id"], {"__place": F.lit(1).cast("bigint")})
+    further = placed.select(*[F.col(c).alias(f"__{c}") for c in lane], F.col("row_id").alias("to_row"), "center", (F.col("__place") - n).alias("__from"))
+    same = F.col("__place") == F.col("__from")
+    for c in lane:
+        same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return placed.drop("center").join(further, same, "left").select(*lane, "row_id", "to_row", "center")
 
 
 def event_detail(df: DataFrame, stacks: DataFrame, states: DataFrame, row_ids: Sequence[int]) -> DataFrame:

@@ -13,6 +13,11 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SUFFIX = ".er"
+#: Code, name and displayed name of the thread states of a run that declares none.
+DEFAULT_STATES = [
+    (0, "USER", "User CPU"), (1, "SYSTEM", "System CPU"), (2, "TRAP", "Trap CPU"), (3, "TFAULT", "Text Page Fault"), (4, "DFAULT", "Data Page Fault"), (5, "KFAULT", "Kernel Page Fault"),
+    (6, "USER_LOCK", "User Lock"), (7, "SLEEP", "Sleep"), (8, "WAIT_CPU", "Wait CPU"), (9, "STOPPED", "Stopped"), (10, "LINUX_CPU", "User+System CPU"), (11, "KERNEL_CPU", "Kernel CPU"),
+]
 #: Fixed value: the first line of a group file.
 GROUP_HEADER = "#analyzer experiment group"
 _ELEMENT = r"<([A-Za-z_][\w.-]*)((?:\s+[\w.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(?:/>|>([^<]*)</\1>|>)"
@@ -95,8 +100,17 @@ def state_names(elements: DataFrame) -> DataFrame:
     return rows.where("element = 'state'").select("experiment", "field", a["value"].cast("int").alias("value"), a["name"].alias("name"), F.coalesce(a["uname"], a["name"]).alias("uname"))
 
 
-def label_states(rows: DataFrame, states: DataFrame, field: str) -> DataFrame:
-    """rows with the name of the code in a column of that name."""
+def default_states(rows: DataFrame, field: str = "mstate") -> DataFrame:
+    """(experiment, field, value, name, uname) for the experiments in rows: the
+    thread states of a run whose log declares none."""
+    listed = F.array(*[F.struct(F.lit(code).alias("value"), F.lit(name).alias("name"), F.lit(shown).alias("uname")) for code, name, shown in DEFAULT_STATES])
+    return rows.select("experiment").distinct().select("experiment", F.lit(field).alias("field"), F.inline(listed))
+
+
+def label_states(rows: DataFrame, states: DataFrame | None, field: str) -> DataFrame:
+    """rows with the name of the code in a column of that name. Without
+    declared states those of default_states count."""
+    states = default_states(rows, field) if states is None else states
     names = states.where(F.col("field") == field).select("experiment", F.col("value").alias(field), F.col("uname").alias(f"{field}_name"))
     return rows.join(names, ["experiment", field], "left")
 

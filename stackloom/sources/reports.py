@@ -54,15 +54,21 @@ def time_info(experiments: DataFrame) -> DataFrame:
     return experiments.select("exp_id", "start_ns", F.col("last_event_ns").alias("end_ns"), ((F.col("last_event_ns") - F.col("start_ns")) / 1e9).alias("wall_sec"), "clock_mhz")
 
 
-def column_catalogue(tables: dict[str, DataFrame], states: DataFrame | None = None) -> DataFrame:
-    """(kind, column, type, n_states) for the visible columns of tables."""
-    spark = next(iter(tables.values())).sparkSession
-    rows = [(kind, c, t) for kind, df in tables.items() for c, t in df.dtypes if c not in HIDDEN]
-    listed = spark.createDataFrame(rows, "kind string, column string, type string")
-    if states is None:
-        return listed.withColumn("n_states", F.lit(0).cast("bigint"))
-    counts = states.groupBy(F.col("prop").alias("column")).agg(F.count("*").alias("n_states"))
-    return listed.join(counts, "column", "left").select("kind", "column", "type", F.coalesce("n_states", F.lit(0)).alias("n_states"))
+def column_catalogue(tables: dict[str, DataFrame], states: Sequence[str] = ()) -> DataFrame:
+    """(kind, column, type, n_rows, n_present, n_states) for the visible columns
+    of tables: rows of the table, those that have a value, and for columns of
+    states the number of states that occur. One pass over each table."""
+    found = None
+    for kind, df in tables.items():
+        shown = [(c, t) for c, t in df.dtypes if c not in HIDDEN]
+        counts = [F.count(F.col(c)).alias(f"present_{c}") for c, _ in shown] + [F.count_distinct(F.col(c)).alias(f"states_{c}") for c, _ in shown if c in states]
+        one = [
+            F.struct(F.lit(c).alias("column"), F.lit(t).alias("type"), F.col("n_rows"), F.col(f"present_{c}").alias("n_present"), (F.col(f"states_{c}") if c in states else F.lit(0).cast("bigint")).alias("n_states"))
+            for c, t in shown
+        ]
+        each = df.agg(F.count("*").alias("n_rows"), *counts).select(F.lit(kind).alias("kind"), F.inline(F.array(*one)))
+        found = each if found is None else found.unionByName(each)
+    return found
 
 
 def sample_table(samples: DataFrame, low: int, high: int) -> DataFrame:

@@ -11,6 +11,7 @@ from stackloom.functions import expressions as ex
 from stackloom.functions import text
 from stackloom.operators import filters, groups, heap, intervals, metrics, sorting, stacks, timeline
 from stackloom.plans import fixtures as fx
+from stackloom.sources import experiments as ingest
 from stackloom.sources import reports
 from stackloom.streaming.bins import streamed_bins
 
@@ -632,9 +633,69 @@ def load_object_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.load_object_list(rows)
 
 
-@register()
+def _catalogue(kind: str, columns: str, states: str) -> str:
+    """SQL of one table's part, for columns written as name:type."""
+    each = [c.split(":") for c in columns.split()]
+    parts = (f"SELECT '{kind}' AS kind, '{c}' AS \"column\", '{t}' AS type, count(*) AS n_rows, count({c}) AS n_present, {f'count(DISTINCT {c})' if c == states else '0::BIGINT'} AS n_states FROM {kind}" for c, t in each)
+    return "\nUNION ALL ".join(parts)
+
+
+_CATALOGUE = [
+    _catalogue("clock", "row_id:bigint exp_id:int tstamp:bigint thrid:bigint cpuid:int mstate:int nticks:bigint value:double start_ns:bigint ptimer_usec:bigint", "mstate"),
+    _catalogue("heap", "exp_id:int row_id:bigint tstamp:bigint thrid:bigint htype:int hvaddr:bigint hovaddr:bigint hsize:bigint", "htype"),
+]
+
+
+@register("\nUNION ALL ".join(_CATALOGUE), fx.CLOCK, fx.HEAP)
 def column_catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.column_catalogue({"clock": fx.clock_events(spark, sf_dir), "heap": fx.heap_events(spark, sf_dir)})
+    return reports.column_catalogue({"clock": fx.clock_events(spark, sf_dir), "heap": fx.heap_events(spark, sf_dir)}, ("mstate", "htype"))
+
+
+_SHOWN = " ".join(f"WHEN {code} THEN '{shown}'" for code, _, shown in ingest.DEFAULT_STATES)
+
+
+@register(f"SELECT row_id, mstate, CASE mstate {_SHOWN} END AS mstate_name FROM clock", fx.CLOCK)
+def labelled_states(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.clock_events(spark, sf_dir).select("row_id", F.col("exp_id").alias("experiment"), "mstate")
+    return ingest.label_states(rows, None, "mstate").select("row_id", "mstate", "mstate_name")
+
+
+@register("""SELECT exp_id, kind, count(*) AS n, string_agg(said, '|' ORDER BY event_id) AS texts
+FROM (SELECT 1 + event_id % 3 AS exp_id, event_id, CASE event_type WHEN 'error' THEN 'error' WHEN 'signup' THEN 'warning' ELSE 'comment' END AS kind, 'm' || event_id AS said
+  FROM events WHERE event_type IN ('error', 'signup', 'purchase')) GROUP BY ALL""")
+def messages_by_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = fx._read(spark, sf_dir, "events")
+    kind = F.when(F.col("event_type") == "error", "cerror").when(F.col("event_type") == "signup", "cwarn").when(F.col("event_type") == "purchase", "comment").otherwise("sample")
+    attributes = F.create_map(F.lit("kind"), kind, F.lit("id"), F.col("event_id").cast("string"), F.lit("ec"), F.lit("0"))
+    elements = e.select((F.col("event_id") % 3 + 1).alias("experiment"), F.lit("event").alias("element"), attributes.alias("attributes"), F.concat(F.lit("m"), "event_id").alias("text"), F.col("event_id").alias("ord"))
+    found = ingest.messages_by_run(ingest.messages(elements))
+    return found.select(F.col("experiment").alias("exp_id"), "kind", "n", F.array_join("texts", "|").alias("texts"))
+
+
+@register("""SELECT row_id, h.exp_id, pid, CASE WHEN h.exp_id = 2 THEN NULL ELSE 2000 END AS freq_mhz, hsize AS io_or_heap, -hsize AS below,
+  (hsize <> hvaddr)::BIGINT AS other, hovaddr || ',' || hvaddr AS listed FROM heap h JOIN experiments USING (exp_id)""", fx.CLOCK, fx.EXPERIMENTS, fx.HEAP)
+def run_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.heap_events(spark, sf_dir).join(fx.experiments(spark, sf_dir).select("exp_id", "pid", F.when(F.col("exp_id") == 2, 0).otherwise(F.col("clock_mhz")).alias("mhz")), "exp_id")
+    listed = F.array_join(F.transform(ex.listed(F.col("hvaddr"), F.col("hovaddr")), lambda x: x.cast("string")), ",")
+    return rows.select("row_id", "exp_id", "pid", ex.freq_mhz(F.col("mhz")).alias("freq_mhz"), ex.io_or_heap_bytes(rows).alias("io_or_heap"), ex.negative(F.col("hsize")).alias("below"), ex.differs(F.col("hsize"), F.col("hvaddr")).alias("other"), listed.alias("listed"))
+
+
+_METRICS = "SELECT function, sum(CASE WHEN function = stack[len(stack)] THEN weight ELSE 0 END)::BIGINT AS e_cpu{} FROM (SELECT stack, weight, unnest(list_distinct(stack)) AS function FROM samples) GROUP BY function"
+
+
+def _function_metrics(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    totals = stacks.function_table(fx.stacks(spark, sf_dir), "weight").where(F.col("function") != stacks.TOTAL)
+    return metrics.project(totals.withColumnsRenamed({"excl": "e_cpu", "incl": "i_cpu"}), ["cpu", "absent"], table, ["function"])
+
+
+@register(_METRICS.format(", sum(weight)::BIGINT AS i_cpu"), fx.STACKS)
+def metrics_normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _function_metrics(spark, sf_dir, "normal")
+
+
+@register(_METRICS.format(""), fx.STACKS)
+def metrics_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _function_metrics(spark, sf_dir, "index")
 
 
 @register("""SELECT event_id, (event_id % 1000) * 1000000000 + event_id % 77 AS ns, (event_id * 31)::BIGINT AS hex_value, CASE WHEN event_id % 5 = 0 THEN '0.' ELSE printf('%.3f', (event_id % 5)::DOUBLE) END AS shown, 'pkg.sub.' || event_type AS dotted FROM events""")
