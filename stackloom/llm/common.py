@@ -65,7 +65,8 @@ def sample_keys(df: DataFrame, id_col: str, size: int, by: str | None = None) ->
     large is sorted."""
     group = F.col(by) if by else F.lit(1)
     rows = df.withColumn("h", F.xxhash64(id_col)).withColumn("__group", group)
-    stats = rows.groupBy("__group").agg(F.count("*").alias("__n"), F.min("h").alias("__low"))
+    # stored, so that its size is known: a few groups are broadcast, and rows aren't dealt by theirs
+    stats = materialize(rows.groupBy("__group").agg(F.count("*").alias("__n"), F.min("h").alias("__low")), "groups")
     below = F.lit(-(2.0**63)) + F.lit(2.0**64) * 2 * size / F.col("__n")
     near = rows.join(stats, "__group").where((F.col("__n") <= 4 * size) | (F.col("h") < below) | (F.col("h") == F.col("__low")))
     order = Window.partitionBy("__group").orderBy("h")
