@@ -4,8 +4,9 @@ A text is reduced to its words: A-Z lower-cased, every other ASCII character
 but digits and letters a separator. Rules are regular expressions over the
 words joined by single spaces. Each is gated by keywords: it runs only where
 all of them occur. A match is suppressed where the interval of a match of
-higher priority contains it (of equal intervals, the earlier rule stays). The
-base rules report all their places and always keep their labels.
+higher priority contains it (of equal intervals, the earlier rule stays), or
+where it is denied ("not licensed under the ..."). A version with a plus sign
+counts as "or later"; exceptions have labels of their own. The base rules report all their places and always keep their labels.
 
 Null text counts as empty: no words, no labels, score 0. Empty tables give
 empty results, repeated rows repeated results.
@@ -16,7 +17,7 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import lru_cache
 
 import pyarrow as pa
@@ -28,6 +29,7 @@ from .common import check_names
 
 #: Bytes that end a word become spaces, A-Z become a-z.
 _FOLD = bytes(b + 32 if 0x41 <= b <= 0x5A else b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
+_WORD = re.compile(rb"[^ ]+")
 
 
 @dataclass(frozen=True)
@@ -124,6 +126,75 @@ _PHRASES = (
     ("elastic", r"elastic licen[cs]e", "elastic"),
 )
 
+#: Sentences of the licenses themselves, as label, pattern, keyword. Longer ones have the higher priority.
+_SIGNATURES = (
+    ("mit", r"to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "to deal in the software"),
+    ("x11", r"except as contained in this notice the names? of .{1,80}? shall not be used in advertising or otherwise to promote the sale use or other dealings in this software without prior written authorization", "in this notice"),
+    ("isc", r"permission to use copy modify and(?: or)? distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "permission to use"),
+    ("0bsd", r"permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "permission to use"),
+    ("hpnd", r"permission to use copy modify and distribute this software and its documentation for any purpose(?: and)? without fee is hereby granted", "permission to use"),
+    ("postgresql", r"permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement is hereby granted", "written agreement"),
+    ("libtiff", r"permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee", "distribute and sell"),
+    ("bsd-3-clause", r"may be used to endorse or promote products derived from this software without specific prior written permission", "endorse or promote"),
+    ("bsd-4-clause", r"all advertising materials mentioning features or use of this software must display the following acknowledge?ment", "advertising materials"),
+    ("ncsa", r"to deal with the software without restriction including without limitation the rights", "to deal with the software"),
+    ("zlib", r"permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely", "granted to anyone"),
+    ("zlib", r"the origin of this software must not be misrepresented you must not claim that you wrote the original software", "misrepresented"),
+    ("zlib", r"this notice may not be removed or altered from any source distribution", "removed or altered"),
+    ("apache-2.0", r"unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", "agreed to in writing"),
+    ("apache-2.0", r"each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license", "each contributor hereby grants"),
+    ("apache-1.1", r"this product includes software developed by the apache software foundation", "apache software foundation"),
+    ("mpl-2.0", r"this source code form is subject to the terms of the mozilla public license v 2 0", "source code form"),
+    ("mpl-2.0", r"if a copy of the mpl was not distributed with this file you can obtain one at", "copy of the mpl"),
+    ("mpl-1.1", r"the contents of this file are subject to the mozilla public license version 1 1", "contents of this file"),
+    ("epl-1.0", r"made available under the terms of the eclipse public license v(?:ersion)? ?1 0", "eclipse"),
+    ("epl-2.0", r"made available under the terms of the eclipse public license v(?:ersion)? ?2 0", "eclipse"),
+    ("gpl", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license", "implied warranty"),
+    ("lgpl", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu (?:lesser|library) general public license", "implied warranty"),
+    ("agpl", r"without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license", "implied warranty"),
+    ("gpl", r"you should have received a copy of the gnu general public license along with", "should have received a copy"),
+    ("lgpl", r"you should have received a copy of the gnu (?:lesser|library) general public license along with", "should have received a copy"),
+    ("agpl", r"you should have received a copy of the gnu affero general public license along with", "should have received a copy"),
+    ("gpl", r"everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed", "verbatim copies"),
+    ("gfdl", r"permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license", "free documentation"),
+    ("boost-1.0", r"permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "person or organization"),
+    ("unlicense", r"this is free and unencumbered software released into the public domain", "unencumbered"),
+    ("unlicense", r"anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary", "anyone is free to copy"),
+    ("cc0", r"to the extent possible under law .{1,80}? has waived all copyright and related or neighboring rights", "neighboring rights"),
+    ("ofl-1.1", r"this font software is licensed under the sil open font license version 1 1", "font software"),
+    ("artistic", r"the intent of this document is to state the conditions under which a package may be copied", "intent of this document"),
+    ("openssl", r"this product includes software developed by the openssl project for use in the openssl toolkit", "openssl project"),
+    ("beerware", r"as long as you retain this notice you can do whatever you want with this stuff", "retain this notice"),
+    ("wtfpl", r"everyone is permitted to copy and distribute verbatim or modified copies of this license document", "verbatim or modified copies"),
+    ("upl-1.0", r"free of charge and under any and all copyright rights in the software", "any and all copyright"),
+    ("eupl", r"licensed under the eupl", "eupl"),
+    ("odbl", r"made available under the open database license", "open database"),
+    ("unicode", r"permission is hereby granted free of charge to any person obtaining a copy of the unicode data files", "unicode data files"),
+    ("php", r"this product includes php software freely available from", "php software"),
+    ("psf", r"psf is making python available to licensee on an as is basis", "making python available"),
+    ("busl", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", "licensed work"),
+    ("elastic", r"you may not provide the software to third parties as a hosted or managed service", "hosted or managed service"),
+    ("proprietary", r"no part of this (?:publication|work|document|book) may be reproduced .{0,120}? without (?:the )?prior written permission", "no part of this"),
+)
+#: Exceptions, reported beside the license that they widen.
+_EXCEPTIONS = (
+    ("classpath-exception", r"class ?path exception", "exception"),
+    ("classpath-exception", r"linking this library statically or dynamically with other modules is making a combined work based on this library", "combined work"),
+    ("gcc-exception", r"gcc runtime library exception", "exception"),
+    ("autoconf-exception", r"configure? script generated by autoconf|configuration script generated by autoconf", "generated by autoconf"),
+    ("bison-exception", r"you may create a larger work that contains part or all of the bison parser skeleton", "bison parser skeleton"),
+    ("font-exception", r"font (?:embedding )?exception", "exception"),
+    ("llvm-exception", r"llvm exceptions?", "exception"),
+    ("openssl-exception", r"openssl (?:linking )?exception", "exception"),
+    ("linking-exception", r"(?:static |dynamic )?linking exception", "exception"),
+    ("foss-exception", r"(?:universal )?foss (?:licen[cs]e )?exception", "exception"),
+    ("syscall-note", r"linux syscall note", "syscall note"),
+)
+#: SPDX identifiers outside the families, as words.
+_SPDX = ("mit", "mit 0", "x11", "isc", "0bsd", "bsd 2 clause", "bsd 3 clause", "bsd 4 clause", "zlib", "unlicense", "wtfpl", "cc0 1 0", "ncsa", "openssl", "curl", "json", "ruby", "vim", "beerware", "postgresql", "hpnd", "upl 1 0", "elastic 2 0", "busl 1 1", "sspl 1 0")
+#: Words between a denial and what it denies; matches after them don't count, but for base labels.
+_DENIED = re.compile(r"(?:^| )(?:not|never|cannot)(?: (?:be|been|being|yet|currently|licen[cs]ed|released|distributed|available|covered|governed|offered|published|made|used|under|by|with|the|terms|of|a|an|any))* $")
+
 
 def _number(version: str) -> str:
     """A version as words: 2.0 is 2 or 2 0, 2.1 is 2 1."""
@@ -158,7 +229,12 @@ def build_rules() -> tuple[Rule, ...]:
             add(f"{label}-{v}-spdx", f"{label}-{v}", rf"spdx license identifier cc {short} {n}", ("spdx", "cc by"), 90 + len(short), 1.0)
     for i, (label, pattern, keyword) in enumerate(_PHRASES):
         add(f"{label}-phrase-{i}", label, pattern, (keyword,), 30, 0.7)
-        add(f"{label}-spdx-{i}", label, rf"spdx license identifier {label.replace('-', ' ')}", ("spdx",), 80, 1.0)
+    for i, (label, pattern, keyword) in enumerate(_SIGNATURES):
+        add(f"{label}-text-{i}", label, pattern, (keyword,), 30 + len(pattern.split()), 1.0)
+    for i, (label, pattern, keyword) in enumerate(_EXCEPTIONS):
+        add(f"{label}-{i}", label, pattern, (keyword,), 100, 0.9)
+    for words in _SPDX:
+        add(f"{words.replace(' ', '-')}-spdx", re.sub(r"-(\d)-(\d)$", r"-\1.\2", words.replace(" ", "-")), rf"spdx license identifier {words}", ("spdx",), 80 + len(words), 1.0)
     return tuple(rules)
 
 
@@ -170,12 +246,14 @@ class Scanner:
         number = {k: i for i, k in enumerate(self.gates)}
         self.needs = [[number[k] for k in r.keywords] for r in rules]
         # one word that every rule's text holds at least one of, checked first
-        self.first = re.compile("licen|copyright|spdx|creative ?commons|general public|affero|artistic|rights reserved|cc|gpl|apache|public domain|clause|redistribut|permission|confidential|unauthorized|without warranty|not evil|beer|altered source|in compliance|neither the name|bsd|wtfpl|same terms|" + "|".join(sorted({s for f in _VERSIONED for s in f[2]}, key=len)))
+        self.first = re.compile("licen|copyright|spdx|creative ?commons|general public|affero|artistic|rights reserved|cc|gpl|apache|public domain|clause|redistribut|permission|confidential|unauthorized|without warranty|not evil|beer|altered source|in compliance|neither the name|bsd|wtfpl|same terms|hereby|implied warranty|endorse or promote|in this notice|advertising materials|misrepresented|removed or altered|to deal with the software|anyone is free to copy|intent of this document|openssl|retain this notice|php software|hosted or managed|no part of this|exception|syscall note|combined work|generated by autoconf|bison parser|" + "|".join(sorted({s for f in _VERSIONED for s in f[2]}, key=len)))
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, Rule, bool]]]:
         """Number of words, and the matches as (first word, end word, rule,
         whether a match of higher priority contains it)."""
-        words = (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+        raw = (text or "").encode("utf-8", "surrogatepass")
+        folded = raw.translate(_FOLD)
+        words = folded.split()
         line = b" ".join(words).decode("utf-8", "surrogatepass")
         if not self.first.search(line):
             return len(words), []
@@ -186,16 +264,24 @@ class Scanner:
                 found += [(m.start(), m.end(), i) for m in self.patterns[i].finditer(line)]
         found.sort(key=lambda m: (-self.rules[m[2]].priority, m[2], m[0]))
         starts = [0, *(i + 1 for i, c in enumerate(line) if c == " ")] if found else []
+        # "2.1+" means or later; the sign itself is no part of a word
+        plus = {k for k, m in enumerate(_WORD.finditer(folded), 1) if raw[m.end() : m.end() + 1] == b"+"} if found and b"+" in raw else ()
         from_, to = [], []  # live intervals that lie in no other, both ends ascending
         out = []
         for start, end, i in found:
+            rule, end_word = self.rules[i], bisect_left(starts, end)
+            if end_word in plus and rule.label[-1].isdigit() and not rule.base:
+                rule = replace(rule, label=f"{rule.label}-or-later")
+            if not rule.base and _DENIED.search(line, max(0, start - 120), start):
+                out.append((bisect_right(starts, start) - 1, end_word, rule, True))
+                continue
             k = bisect_right(from_, start)
             hidden = k > 0 and to[k - 1] >= end
             if not hidden:
                 k = bisect_left(from_, start)
                 j = bisect_right(to, end, k)
                 from_[k:j], to[k:j] = [start], [end]
-            out.append((bisect_right(starts, start) - 1, bisect_left(starts, end), self.rules[i], hidden))
+            out.append((bisect_right(starts, start) - 1, end_word, rule, hidden))
         return len(words), sorted(out, key=lambda m: (m[0], m[1], m[2].name))
 
 

@@ -1,6 +1,7 @@
 """Corpus operators against brute force, round trips and held-out accuracy."""
 
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -473,6 +474,35 @@ def test_license_texts(spark):
     assert "cc-by-nc-4.0" in labels[len(ODD)] and "apache-2.0" in labels[len(ODD) + 3]
 
 
+def test_license_labels(spark):
+    """Versions with a plus sign, denials, exceptions, sentences of licenses."""
+    cases = [
+        ("Licensed under LGPL-2.1+ only here", {"lgpl-2.1-or-later"}),
+        ("SPDX-License-Identifier: GPL-2.0+", {"gpl-2.0-or-later"}),
+        ("This is not licensed under the MIT license.", {"mit"}),  # the base label stays
+        ("It is not released under the Boost Software License.", set()),
+        ("It is released under the ISC license, not the zlib license", {"isc"}),
+        ("GPL-2.0 with the Classpath exception", {"gpl-2.0", "classpath-exception"}),
+        ("SPDX-License-Identifier: BSD-3-Clause", {"bsd-3-clause"}),
+        ("SPDX-License-Identifier: MIT-0", {"mit-0"}),
+        ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.", {"0bsd"}),
+        ("c++ apache 2.0 text", {"apache-2.0"}),
+    ]
+    rows = licenses.summarize(licenses.scan(docs(spark, [t for t, _ in cases]))).collect()
+    assert {r.doc_id: {x for x in r.labels.split(",") if x} for r in rows} == {i: labels for i, (_, labels) in enumerate(cases)}
+
+
+def test_license_sentences_pass_their_gates():
+    scanner = licenses.scanner()
+    assert len({r.name for r in scanner.rules}) == len(scanner.rules)
+    for label, pattern, keyword in licenses._SIGNATURES + licenses._EXCEPTIONS:
+        line = re.sub(r"\(\?:([^|)]*)[^)]*\)\??", r"\1", re.sub(r"\.\{\d,\d+\}\?", "x", pattern.split("|")[0] if pattern.count("(") == 0 else pattern))
+        line = re.sub(r"\[(.)[^]]*\]", r"\1", re.sub(r".\?", "", line))
+        line = re.sub(" +", " ", line).strip()
+        assert keyword in line and scanner.first.search(line), (label, line)
+        assert any(r.label == label for _, _, r, _ in scanner.scan(line)[1]), (label, line)
+
+
 def test_rules_are_gated_soundly():
     """No rule can match where its keywords or the first gate are absent."""
     scanner = licenses.scanner()
