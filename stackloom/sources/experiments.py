@@ -38,9 +38,15 @@ def discover(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_groups(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """(group, ord, experiment): the paths that group files list. Files without
-    the header list nothing; comments and empty lines are skipped."""
-    text = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("group"), F.split("value", "\r?\n").alias("lines"))
+    """group_entries() of group files."""
+    return group_entries(spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("group"), "value"))
+
+
+def group_entries(files: DataFrame) -> DataFrame:
+    """(group, ord, experiment): the paths that group files (group, value)
+    list. Files without the header list nothing; comments and empty lines are
+    skipped."""
+    text = files.select("group", F.split("value", "\r?\n").alias("lines"))
     lines = text.where(F.trim(F.element_at("lines", 1)) == GROUP_HEADER).select("group", F.posexplode("lines").alias("ord", "line"))
     kept = lines.where(~F.col("line").startswith("#") & (F.trim("line") != ""))
     return kept.select("group", "ord", F.split(F.trim("line"), r"\s+")[0].alias("experiment"))
@@ -59,10 +65,15 @@ def _unescape(c: Column) -> Column:
 
 
 def read_elements(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
+    """elements() of files."""
+    text = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
+    return elements(text.select(_experiment(F.input_file_name()).alias("experiment"), "value"))
+
+
+def elements(files: DataFrame) -> DataFrame:
     """(experiment, ord, element, attributes map<string,string>, text) of files
-    of XML fragments without a root."""
-    text = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True).select(F.input_file_name().alias("path"), "value")
-    found = text.select(_experiment("path").alias("experiment"), F.posexplode(F.regexp_extract_all("value", F.lit(_ELEMENT), F.lit(0))).alias("ord", "__raw"))
+    (experiment, value) of XML fragments without a root."""
+    found = files.select("experiment", F.posexplode(F.regexp_extract_all("value", F.lit(_ELEMENT), F.lit(0))).alias("ord", "__raw"))
     raw = F.regexp_extract("__raw", _ELEMENT, 2)
     names = F.regexp_extract_all(raw, F.lit(_ATTRIBUTE), F.lit(1))
     values = F.transform(F.regexp_extract_all(raw, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: _unescape(F.regexp_replace(F.regexp_replace(a, r"^[\w.-]+\s*=\s*", ""), "^[\"']|[\"']$", "")))

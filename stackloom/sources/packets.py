@@ -7,8 +7,10 @@ which columns come out. Little-endian throughout.
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from itertools import batched
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +28,13 @@ _FORMATS = {"INT32": "<i", "UINT32": "<I", "INT64": "<q", "UINT64": "<q"}
 _TIMES = {"create": 24, "term": 40, "rtime": 56, "utime": 72, "stime": 88, "ttime": 104, "tftime": 120, "dftime": 136, "kftime": 152, "ltime": 168, "slptime": 184, "wtime": 200, "stoptime": 216}
 _COUNTS = {"minf": 328, "majf": 336, "nswap": 344, "inblk": 352, "oublk": 360, "msnd": 368, "mrcv": 376, "sigs": 384, "vctx": 392, "ictx": 400, "sysc": 408, "ioch": 416}
 COUNTERS = (*_TIMES, *_COUNTS)
+#: packets that are decoded at a time
+BLOCK = 10_000
 
 
-def packets(data: bytes) -> Iterator[tuple[int, int, bytes]]:
-    """(offset, kind, packet) of a file. Size 0 goes on at the next chunk; a
-    packet that the file cuts short ends it."""
+def _walk(data: bytes) -> Iterator[tuple[int, int, int]]:
+    """(offset, size, kind) of the packets of a file. Size 0 goes on at the
+    next chunk; a packet that the file cuts short ends it."""
     at, end = 0, len(data)
     while end - at >= 4:
         size, kind = struct.unpack_from("<HH", data, at)
@@ -39,51 +43,82 @@ def packets(data: bytes) -> Iterator[tuple[int, int, bytes]]:
             continue
         if at + size > end:
             return
-        yield at, kind, data[at : at + size]
+        yield at, size, kind
         at += size
 
 
-def _files(spark: SparkSession, path: str) -> DataFrame:
+def packets(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    """(offset, kind, packet) of a file."""
+    for at, size, kind in _walk(data):
+        yield at, kind, data[at : at + size]
+
+
+def files_of(spark: SparkSession, path: str) -> DataFrame:
+    """(experiment, content) of the files of a path."""
     return spark.read.format("binaryFile").load(path).select(F.regexp_extract("path", r"^(.*\.er)/", 1).alias("experiment"), "content")
 
 
-def read_events(spark: SparkSession, path: str, fields: Mapping[int, Sequence[tuple[str, int, str]]]) -> DataFrame:
-    """(experiment, kind, row_id, one column for each declared field) of event
-    packets; fields: kind -> (name, offset, type). Kinds that aren't declared
-    are skipped; unsigned 32-bit values keep their value."""
-    names = list(dict.fromkeys(n for fs in fields.values() for n, _, _ in fs))
-    kinds = {n: t for fs in fields.values() for n, _, t in fs}
-    schema = "experiment string, kind int, row_id long" + "".join(f", `{n}` {'string' if kinds[n] == 'STRING' else 'long'}" for n in names)
-    fields = {k: list(v) for k, v in fields.items()}
+def _decoded(files: DataFrame, decode: Callable[[bytes], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
+    """The frames that decode makes of each file, with its experiment."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for experiment, content in zip(batch["experiment"], batch["content"], strict=True):
-                rows, n = [], dict.fromkeys(fields, 0)
-                for _, kind, packet in packets(content):
-                    if kind not in fields:
-                        continue
-                    row = {"experiment": experiment, "kind": kind, "row_id": n[kind]}
-                    n[kind] += 1
-                    for name, offset, kind_of in fields[kind]:
-                        if kind_of == "STRING":
-                            text = packet[offset:].split(b"\0", 1)[0]
-                            row[name] = text.decode("ascii", "replace") or None
-                        elif kind_of in _FORMATS and offset + struct.calcsize(_FORMATS[kind_of]) <= len(packet):
-                            row[name] = struct.unpack_from(_FORMATS[kind_of], packet, offset)[0]
-                    rows.append(row)
-                    if len(rows) == 10_000:
-                        yield _frame(rows, names, kinds)
-                        rows = []
-                if rows:
-                    yield _frame(rows, names, kinds)
-
-    return _files(spark, path).mapInPandas(run, schema)
-
-
-def _frame(rows: list[dict], names: list[str], kinds: Mapping[str, str]) -> pd.DataFrame:
-    out = pd.DataFrame(rows, columns=["experiment", "kind", "row_id", *names])
-    return out.astype({n: object if kinds[n] == "STRING" else "Int64" for n in names})
+                for out in decode(content):
+                    out.insert(0, "experiment", experiment)
+                    yield out
+
+    return files.select("experiment", "content").mapInPandas(run, f"experiment string, {schema}")
+
+
+def read_events(spark: SparkSession, path: str, fields: Mapping[int, Sequence[tuple[str, int, str]]]) -> DataFrame:
+    """decode_events() of files."""
+    return decode_events(files_of(spark, path), fields)
+
+
+def decode_events(files: DataFrame, fields: Mapping[int, Sequence[tuple[str, int, str]]]) -> DataFrame:
+    """(experiment, kind, row_id, one column for each declared field) of event
+    packets; fields: kind -> (name, offset, type). Kinds that aren't declared
+    are skipped; unsigned 32-bit values keep their value. Rows are numbered by
+    kind, and the fields of BLOCK packets of a kind are taken out at a time."""
+    fields = {k: list(v) for k, v in fields.items()}
+    types = {n: t for fs in fields.values() for n, _, t in fs}
+
+    def rows(data: bytes, kind: int, first: int, found: list[tuple[int, int]]) -> pd.DataFrame:
+        at, size = np.array(found, dtype="int64").T
+        out = {"kind": np.full(len(at), kind), "row_id": np.arange(first, first + len(at))}
+        for name, t in types.items():
+            out[name] = pd.array([None] * len(at), dtype=object if t == "STRING" else "Int64")
+        for name, offset, t in fields[kind]:
+            if t == "STRING":
+                out[name] = [data[a + offset : a + s].split(b"\0", 1)[0].decode("ascii", "replace") or None for a, s in found]
+            elif t in _FORMATS:
+                out[name] = _integers(data, at + offset, offset + np.dtype(_FORMATS[t]).itemsize <= size, _FORMATS[t])
+        return pd.DataFrame(out)
+
+    def decode(data: bytes) -> Iterator[pd.DataFrame]:
+        found: dict[int, list[tuple[int, int]]] = {k: [] for k in fields}
+        done = dict.fromkeys(fields, 0)
+        for at, size, kind in _walk(data):
+            if kind in found:
+                found[kind].append((at, size))
+                if len(found[kind]) == BLOCK:
+                    yield rows(data, kind, done[kind], found[kind])
+                    done[kind] += BLOCK
+                    found[kind] = []
+        for kind, left in found.items():
+            if left:
+                yield rows(data, kind, done[kind], left)
+
+    return _decoded(files, decode, "kind int, row_id long" + "".join(f", `{n}` {'string' if t == 'STRING' else 'long'}" for n, t in types.items()))
+
+
+def _integers(data: bytes, at: np.ndarray, whole: np.ndarray, form: str) -> pd.api.extensions.ExtensionArray:
+    """Integers of a format at places in data; NULL where one isn't whole."""
+    places = at[whole, None] + np.arange(np.dtype(form).itemsize)
+    values = np.zeros(len(at), dtype="int64")
+    values[whole] = np.frombuffer(data, "uint8")[places].view(form)[:, 0]
+    return pd.arrays.IntegerArray(values, ~whole)
 
 
 def _stack(packet: bytes, at: int, size: int, wide: bool, java: bool) -> list[int]:
@@ -130,17 +165,20 @@ def frame_records(data: bytes, wide: bool = True) -> Iterator[tuple]:
 
 
 def read_frames(spark: SparkSession, path: str, wide: bool = True) -> DataFrame:
+    """decode_frames() of files."""
+    return decode_frames(files_of(spark, path), wide)
+
+
+def decode_frames(files: DataFrame, wide: bool = True) -> DataFrame:
     """(experiment, record, id, uid_native, uid_java, omp_state, values, link)
     of frame files, as frame_records() gives them."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for experiment, content in zip(batch["experiment"], batch["content"], strict=True):
-                rows = [(experiment, *r) for r in frame_records(content, wide)]
-                out = pd.DataFrame(rows, columns=["experiment", "record", "id", "uid_native", "uid_java", "omp_state", "values", "link"])
-                yield out.astype({c: "Int64" for c in ("id", "uid_native", "uid_java", "omp_state", "link")})
+    def decode(data: bytes) -> Iterator[pd.DataFrame]:
+        for block in batched(frame_records(data, wide), BLOCK):
+            out = pd.DataFrame(block, columns=["record", "id", "uid_native", "uid_java", "omp_state", "values", "link"])
+            yield out.astype({c: "Int64" for c in ("id", "uid_native", "uid_java", "omp_state", "link")})
 
-    return _files(spark, path).mapInPandas(run, "experiment string, record string, id long, uid_native long, uid_java long, omp_state long, values array<long>, link long")
+    return _decoded(files, decode, "record string, id long, uid_native long, uid_java long, omp_state long, values array<long>, link long")
 
 
 def merge_nodes(uids: DataFrame) -> DataFrame:
@@ -177,25 +215,32 @@ def _text(packet: bytes, at: int) -> tuple[str, int]:
     return raw.decode("utf-8", "replace"), at + ((len(raw) + 4) & ~3)
 
 
+def class_records(data: bytes) -> Iterator[tuple]:
+    """(ord, record, id, tstamp, name, extra) of a file of classes and methods."""
+    for i, (_, kind, p) in enumerate(packets(data)):
+        if kind in (CLASS_RECORD, METHOD_RECORD):
+            name, at = _text(p, 24)
+            extra, _ = _text(p, at)
+            first, second = struct.unpack_from("<qq", p, 8)
+            is_class = kind == CLASS_RECORD
+            yield i, "class" if is_class else "method", first if is_class else second, second if is_class else None, name, extra
+
+
 def read_classes(spark: SparkSession, path: str) -> DataFrame:
+    """decode_classes() of files."""
+    return decode_classes(files_of(spark, path))
+
+
+def decode_classes(files: DataFrame) -> DataFrame:
     """(experiment, ord, record, id, tstamp, name, extra): classes with their
     source file, and methods, with their signature, after the class they belong
     to."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for experiment, content in zip(batch["experiment"], batch["content"], strict=True):
-                rows = []
-                for i, (_, kind, p) in enumerate(packets(content)):
-                    if kind in (CLASS_RECORD, METHOD_RECORD):
-                        name, at = _text(p, 24)
-                        extra, _ = _text(p, at)
-                        first, second = struct.unpack_from("<qq", p, 8)
-                        is_class = kind == CLASS_RECORD
-                        rows.append((experiment, i, "class" if is_class else "method", first if is_class else second, second if is_class else None, name, extra))
-                yield pd.DataFrame(rows, columns=["experiment", "ord", "record", "id", "tstamp", "name", "extra"]).astype({"tstamp": "Int64"})
+    def decode(data: bytes) -> Iterator[pd.DataFrame]:
+        for block in batched(class_records(data), BLOCK):
+            yield pd.DataFrame(block, columns=["ord", "record", "id", "tstamp", "name", "extra"]).astype({"tstamp": "Int64"})
 
-    return _files(spark, path).mapInPandas(run, "experiment string, ord long, record string, id long, tstamp long, name string, extra string")
+    return _decoded(files, decode, "ord long, record string, id long, tstamp long, name string, extra string")
 
 
 def method_versions(classes: DataFrame) -> DataFrame:
@@ -213,18 +258,21 @@ def method_versions(classes: DataFrame) -> DataFrame:
 
 
 def read_snapshots(spark: SparkSession, path: str) -> DataFrame:
-    """(experiment, rec, tstamp, COUNTERS) of resource usage files."""
+    """decode_snapshots() of files."""
+    return decode_snapshots(files_of(spark, path))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for experiment, content in zip(batch["experiment"], batch["content"], strict=True):
-                rows = []
-                for rec in range(len(content) // SNAPSHOT_SIZE):
-                    time = lambda at, base=rec * SNAPSHOT_SIZE: sum(x * y for x, y in zip(struct.unpack_from("<qq", content, base + at), (10**9, 1), strict=True))
-                    rows.append((experiment, rec, time(8), *map(time, _TIMES.values()), *(struct.unpack_from("<q", content, rec * SNAPSHOT_SIZE + at)[0] for at in _COUNTS.values())))
-                yield pd.DataFrame(rows, columns=["experiment", "rec", "tstamp", *COUNTERS])
 
-    return _files(spark, path).mapInPandas(run, "experiment string, rec long, tstamp long" + "".join(f", {c} long" for c in COUNTERS))
+def decode_snapshots(files: DataFrame) -> DataFrame:
+    """(experiment, rec, tstamp, COUNTERS) of resource usage files; a snapshot
+    that the file cuts short is left out."""
+
+    def decode(data: bytes) -> Iterator[pd.DataFrame]:
+        n = len(data) // SNAPSHOT_SIZE
+        words = np.frombuffer(data, "<i8", n * SNAPSHOT_SIZE // 8).reshape(n, SNAPSHOT_SIZE // 8)
+        time = lambda at: words[:, at // 8] * 10**9 + words[:, at // 8 + 1]
+        yield pd.DataFrame({"rec": np.arange(n), "tstamp": time(8)} | {c: time(at) for c, at in _TIMES.items()} | {c: words[:, at // 8] for c, at in _COUNTS.items()})
+
+    return _decoded(files, decode, "rec long, tstamp long" + "".join(f", {c} long" for c in COUNTERS))
 
 
 def write_events(events: DataFrame, path: str) -> None:

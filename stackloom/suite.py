@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,30 +9,18 @@ from stackloom.functions import expressions as ex
 from stackloom.functions import text
 from stackloom.operators import filters, groups, heap, intervals, metrics, sorting, stacks, timeline
 from stackloom.plans import fixtures as fx
+from stackloom.registry import ORACLE_SQL, QUERIES, register
 from stackloom.sources import experiments as ingest
 from stackloom.sources import reports
 from stackloom.streaming.bins import streamed_bins
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
 
 START, DAY = fx.START_NS, fx.DAY_NS
 BINS = 31
 NS = "nticks * ptimer_usec * 1000"
 
 
-def register(sql: str | None = None, *frames: str) -> Callable:
-    """Registers a query under its name; frames are the tables of its SQL."""
-
-    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = ("WITH " + ",\n".join(frames) + "\n" if frames else "") + sql
-        return f
-
-    return add
-
-
 # ---- stacks ----
 
 
@@ -708,3 +694,5 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def windowed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx._read(spark, sf_dir, "events")
     return streamed_bins(e, "ts", "1 day", "1 hour", ["event_type"], {"total": F.floor("value")}).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+from stackloom import recorded  # noqa: E402, F401  (registers its queries)

@@ -5,19 +5,23 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once below spark.checkpoint.dir (a temporary folder where
-    a local session names none) and read back, with its lineage cut."""
-    spark = df.sparkSession
+def folder(spark: SparkSession) -> str:
+    """A folder below spark.checkpoint.dir (a temporary one where a local
+    session names none)."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stackloom-"))
         at = spark.sparkContext.getCheckpointDir()
-    path = f"{at}/stackloom/{name}-{uuid.uuid4().hex}"
+    return f"{at}/stackloom"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to folder() and read back, with its lineage cut."""
+    path = f"{folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
