@@ -92,12 +92,22 @@ def noted_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.read_notes(spark, f"{_runs(spark, sf_dir)}/*").select(rec.block_of(), "line")
 
 
-@register(f"SELECT block AS listed_in, {_NUMBER} AS ord, 'u' || user_id || '.er' AS experiment FROM {_BLOCKS} WHERE block % 3 <> 2")
-def grouped_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Groups of runs; every third has no header."""
-    rows = rec.events(spark, sf_dir)
+def _groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files (group, value) that list a run for each event; every third has no header."""
     line = F.concat(F.lit(" u"), "user_id", F.lit(".er more"))
-    logs = rec.log_files(rows, "event_id", line).withColumn("block", rec.block_of())
+    logs = rec.log_files(rec.events(spark, sf_dir), "event_id", line).withColumn("block", rec.block_of())
     head = F.when(F.col("block") % 3 == 2, "# another file\n").otherwise(ingest.GROUP_HEADER + "\n")
-    files = logs.select(F.col("block").alias("group"), F.concat(head, "value").alias("value"))
-    return ingest.group_entries(files).select(F.col("group").alias("listed_in"), "ord", "experiment")
+    return logs.select(F.col("block").alias("group"), F.concat(head, "value").alias("value"))
+
+
+_LISTED = f"SELECT block AS listed_in, {_NUMBER} AS ord, 'u' || user_id || '.er' AS experiment{{}} FROM {_BLOCKS} WHERE block % 3 <> 2"
+
+
+@register(_LISTED.format(""))
+def grouped_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.group_entries(_groups(spark, sf_dir)).select(F.col("group").alias("listed_in"), "ord", "experiment")
+
+
+@register(_LISTED.format(", row_number() OVER (ORDER BY event_id) AS exp_id"))
+def opened_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.open_all(ingest.group_entries(_groups(spark, sf_dir))).select("exp_id", F.col("group").alias("listed_in"), "ord", "experiment")

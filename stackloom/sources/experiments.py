@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stackloom.operators.ranges import running
+
 SUFFIX = ".er"
 #: Code, name and displayed name of the thread states of a run that declares none.
 DEFAULT_STATES = [
@@ -52,6 +54,13 @@ def group_entries(files: DataFrame) -> DataFrame:
     return kept.select("group", "ord", F.split(F.trim("line"), r"\s+")[0].alias("experiment"))
 
 
+def open_all(entries: DataFrame) -> DataFrame:
+    """Adds exp_id to what group_entries() gives: the runs of all groups as one
+    union, numbered 1, 2, 3 ... by group and place. A run that is listed twice
+    is opened twice."""
+    return running(entries, [], ["group", "ord"], {"exp_id": F.lit(1).cast("long")})
+
+
 def number_experiments(experiments: DataFrame) -> DataFrame:
     """Adds exp_id: 1, 2, 3 ... by path."""
     numbers = experiments.select("experiment").distinct().withColumn("exp_id", F.row_number().over(Window.orderBy("experiment")))

@@ -4,6 +4,7 @@ import struct
 
 from pyspark.sql import functions as F
 
+from stackloom.plans import recordings
 from stackloom.sources import experiments, packets, reports
 from stackloom.streaming.bins import streamed_bins
 
@@ -138,3 +139,26 @@ def test_messages_of_a_run_stay_in_the_order_of_the_log(spark):
     rows = spark.createDataFrame([("a.er", 3, "error", "b"), ("a.er", 1, "error", "z"), ("a.er", 2, "error", "a"), ("a.er", 4, "comment", "c")], "experiment string, ord int, kind string, text string")
     got = {r.kind: (r.n, r.texts) for r in experiments.messages_by_run(rows).collect()}
     assert got == {"error": (3, ["z", "a", "b"]), "comment": (1, ["c"])}
+
+
+def test_events_of_several_kinds_and_blocks(spark, tmp_path):
+    fields = {3: FIELDS[3], 4: [("tstamp", 4, "INT64"), ("flag", 12, "INT32"), ("odd", 4, "FLOAT")]}
+    other = lambda ts, *flag: struct.pack("<HHq", 12 + 4 * len(flag), 4, ts) + struct.pack(f"<{len(flag)}i", *flag)
+    n = packets.BLOCK + 5
+    data = other(-7, -1) + b"".join(event(i, 2**32 - 1, "a") for i in range(n)) + other(8)
+    write(tmp_path, "profile", recordings.packed([data]))
+    rows = packets.read_events(spark, str(tmp_path / "*.er/profile"), fields).cache()
+    assert [(r.row_id, r.tstamp, r.flag, r.odd, r.thrid, r.name) for r in rows.where("kind = 4").orderBy("row_id").collect()] == [(0, -7, -1, None, None, None), (1, 8, None, None, None, None)]
+    assert [(r.row_id, r.tstamp, r.thrid) for r in rows.where("kind = 3").orderBy("row_id").collect()] == [(i, i, 2**32 - 1) for i in range(n)]
+
+
+def test_files_without_a_packet(spark, tmp_path):
+    write(tmp_path, "profile", b"")
+    path = str(tmp_path / "*.er/profile")
+    assert packets.read_events(spark, path, FIELDS).count() == packets.read_frames(spark, path).count() == packets.read_classes(spark, path).count() == packets.read_snapshots(spark, path).count() == 0
+
+
+def test_runs_of_several_groups_are_one_union(spark):
+    files = spark.createDataFrame([("g", "#analyzer experiment group\nb.er\na.er\n"), ("h", "#analyzer experiment group\na.er\n"), ("i", "c.er")], "group string, value string")
+    opened = experiments.open_all(experiments.group_entries(files)).orderBy("exp_id").collect()
+    assert [(r.exp_id, r.group, r.experiment) for r in opened] == [(1, "g", "b.er"), (2, "g", "a.er"), (3, "h", "a.er")]
