@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, language, licenses, neighbours, packing, quality, secrets, simhash, surrogates, toxicity
+from . import bpe, centroids, conversations, language, licenses, neighbours, packing, pages, quality, secrets, simhash, surrogates, toxicity
 from .common import held_out, table
 
 WORD_BPE = "word_bpe_49k.json"
@@ -66,15 +66,29 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ledger.select("doc_id", *quality.MEASURES, "failed_bits", quality.failed(quality.BASE).alias("base_failed"), "kept")
 
 
+def op11_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.extract(table(spark, sf_dir, "pages"))
+
+
+def op13_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the default policy costs, from the ledger's bits."""
     return quality.ablations(quality.measure(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_toxicity, op4_pii, op5_packing, op6_simhash, op7_licenses, op8_language, op9_neighbours, op10_quality, quality_ablations)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_secrets, op3_toxicity, op4_pii, op5_packing, op6_simhash, op7_licenses, op8_language, op9_neighbours, op10_quality, op11_conversations, op12_pages, op13_centroids, quality_ablations)}
 
 #: DuckDB SQL for the queries that it can express.
 ORACLE_SQL: dict[str, str] = {
     "op10_quality": quality.ledger_sql() + f"SELECT doc_id, {', '.join(quality.MEASURES)}, failed_bits, base_failed, kept FROM ledger",
+    "op11_conversations": conversations.repair_sql(),
+    "op13_centroids": centroids.cluster_sql(),
     "quality_ablations": quality.ablations_sql(),
 }
