@@ -34,15 +34,23 @@ from .common import check_names, materialize, sample_keys
 _NAMES = r"passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|bearer|credential|signature"
 KEY_WORDS = rf"(?i)({_NAMES})"
 #: formats that are issued to be keys
-_ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}|eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]*"
-_BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:\s{0,4}[A-Za-z0-9+/=]{16,80}){0,200}(?:\s{0,4}[A-Za-z0-9+/=]{1,80})?(?:\s{0,4}-----END [A-Z ]{0,30}PRIVATE KEY-----)?"
+_ISSUED = r"(?:AKIA|ASIA)[0-9A-Z]{16}(?![0-9A-Za-z])|gh[pousr]_[A-Za-z0-9]{36,}+|xox[abprs]-[A-Za-z0-9-]{10,}+|sk_live_[A-Za-z0-9]{16,}+|AIza[A-Za-z0-9_-]{35}|glpat-[A-Za-z0-9_-]{20,}+|(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]{10,}+\.[A-Za-z0-9_-]*+"
+#: A private key: lines that say how it is encrypted, then its body, cut off or not; breaks may be spelt out. All
+#: groups of varying length are possessive, which the engine runs through in a loop; others it works through by recursion.
+_BREAK = r"(?:\s|\\[nrt])*+"
+_KEY = r"[A-Z0-9 ]{0,40}PRIVATE KEY(?: BLOCK)?-----"
+_HEADER = r"(?:Proc-Type: ?4,ENCRYPTED|DEK-Info: ?[A-Z0-9-]{1,40}(?:,[0-9A-Fa-f]++)?|(?:Comment|Version|Hash|Charset|MessageID|Subject|X-[A-Za-z-]{1,40}):[^\n\r\\]*+)"
+_TAIL = rf"(?:{_BREAK}(?:[A-Za-z0-9+/=]{{1,15}}+(?={_BREAK}(?:-----END|\z)|(?:[ \t\r]*+(?:\n|\\n)){{2}})|(?=[A-Za-z/]{{0,15}}[0-9=+])[A-Za-z0-9+/=]{{1,15}}+))?+"
+_BLOCK = rf"-----BEGIN {_KEY}(?:{_BREAK}{_HEADER})*+(?:{_BREAK}[A-Za-z0-9+/=]{{16,}}+)*+{_TAIL}(?:{_BREAK}-----END {_KEY})?+"
 ISSUED = rf"^(?:{_ISSUED}|-----BEGIN .*)"
 #: what stands before the value in a match: a key word and what assigns to it, or an address up to its password
 _ASSIGN = rf"(?i:{_NAMES})[A-Za-z0-9_-]{{0,20}}[\"'`]?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}"
-_LOGIN = r"://[^\s:/@]{1,100}:"
+_LOGIN = r"://[^\s:/@]++:"
 #: A run starts where none goes on, the look-ahead wants a digit in it, and it ends before an issued key.
-_RUN = rf"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*[0-9])(?:(?!{_ISSUED})[A-Za-z0-9+/_.@-]){{12,}}+={{0,2}}"
-CANDIDATE = rf"{_BLOCK}|{_ISSUED}|{_ASSIGN}(?:\"[^\"\n]{{6,200}}\"|'[^'\n]{{6,200}}'|[^\s\"'`,;]{{6,200}})|{_LOGIN}[^\s/@]{{3,100}}@|{_RUN}"
+_RUN = rf"(?<![A-Za-z0-9+/_.@-])(?=[A-Za-z+/_.@-]*+[0-9])(?:(?!{_ISSUED})[A-Za-z0-9+/_.@-]){{12,}}+={{0,2}}"
+#: A value of any length; one whose quote isn't closed ends with its word. A key block isn't cut short by the word before it.
+_VALUE = r"(?![\"'`]?-----BEGIN)(?:\"[^\"\n]{6,}+\"|'[^'\n]{6,}+'|[\"'`]?+[^\s\"'`,;]{6,}+)"
+CANDIDATE = rf"{_BLOCK}|{_ISSUED}|{_ASSIGN}{_VALUE}|{_LOGIN}[^\s/@]{{3,}}+@|{_RUN}"
 _BEFORE_VALUE = rf"^(?:{_ASSIGN}[\"'`]?|{_LOGIN})"
 PLACEHOLDER = r"(?i)(example|sample|dummy|placeholder|changeme|x{6,}|your[_-]?|0{8,}|1234567|abcdef0)"
 DICTIONARY = tuple(
@@ -58,11 +66,20 @@ def _count(column: str, pattern: str) -> Column:
     return F.regexp_count(F.col(column), F.lit(pattern)).cast("double")
 
 
+#: Set around matches, so that one pass finds and cuts; a text that holds it is cut in two passes.
+_MARK = "\x00\ue5a7\x00"
+
+
 def _cut(text: Column | str) -> tuple[Column, Column]:
     """A text as between[0] found[0] between[1] ... between[n]; each of found as
     (lead, value, tail), where lead names the value and tail ends it."""
-    between = F.split(text, CANDIDATE, -1)
-    found = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    text = F.col(text) if isinstance(text, str) else text
+    marked = F.split(F.regexp_replace(text, f"({CANDIDATE})", f"{_MARK}$1{_MARK}"), _MARK, -1)
+    pieces = F.when(
+        text.contains(_MARK),
+        F.flatten(F.transform(F.arrays_zip(F.split(text, CANDIDATE, -1).alias("b"), F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)).alias("f")), lambda p: F.when(p["f"].isNull(), F.array(p["b"])).otherwise(F.array(p["b"], p["f"])))),
+    ).otherwise(marked)
+    between, found = F.filter(pieces, lambda _, i: i % 2 == 0), F.filter(pieces, lambda _, i: i % 2 == 1)
 
     def parts(match: Column) -> Column:
         lead = F.regexp_extract(match, _BEFORE_VALUE, 0)
@@ -137,7 +154,7 @@ def seed_labels(found: DataFrame) -> DataFrame:
     null."""
     named = F.col("before").rlike(KEY_WORDS + r"[A-Za-z0-9_-]{0,20}\W{0,6}$")
     value = F.col("value")
-    no = value.rlike(PLACEHOLDER) | value.rlike(r"@[A-Za-z0-9-]+\.") | value.rlike(r"^[0-9.,:+/_-]+$") | value.rlike(r"^[^A-Za-z0-9]*(/|[A-Za-z0-9-]+\.)*[A-Za-z0-9-]+\.(com|org|net|html?|png|jpe?g|js|css)\b") | F.lower(value).isin(*DICTIONARY)
+    no = value.rlike(PLACEHOLDER) | value.rlike(r"@[A-Za-z0-9-]+\.") | value.rlike(r"^[0-9.,:+/_-]+$") | value.rlike(r"^[^A-Za-z0-9]*+[A-Za-z0-9./-]*[A-Za-z0-9-]\.(com|org|net|html?|png|jpe?g|js|css)\b") | F.lower(value).isin(*DICTIONARY)
     long_key = value.rlike(r"^[A-Za-z0-9+/_-]{20,}={0,2}$") & value.rlike("[A-Za-z]") & value.rlike("[0-9]")
     yes = value.rlike(ISSUED) | (named & long_key) | (F.col("before").rlike(r"://[^\s:/@]+:$") & value.rlike("[0-9]"))
     return found.withColumn("label", F.when(value.rlike(ISSUED) & ~value.rlike(PLACEHOLDER), 1).when(no, 0).when(yes, 1))

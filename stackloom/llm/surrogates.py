@@ -3,7 +3,8 @@
 Mail addresses, phone, card, bank and social security numbers, host addresses
 and names of persons are found in every whole text. A name is found after a
 title, after a common given name, or (in Han script) before a title; once found,
-its parts are replaced wherever else they stand in the same text. Each mention has
+its parts are replaced wherever else they stand in the same text, but for those that
+are common words too: they have to follow a lower-case word. Each mention has
 a canonical form (the digits of a number, a lower-cased address, a given name
 and a surname without the title), so that spellings and parts of one entity get
 one surrogate, in all documents. A surrogate is drawn from a keyed hash of kind
@@ -45,7 +46,24 @@ _GIVEN = {
 #: syllables that surnames are made of; family and given names in Han script
 _SYLLABLES = {"latin": "ba co de fi ga he ki lo ma ne po ra si to va zu".split(), "cyrillic": "ба во га де жи зо ка ли мо на по ра си то фе ду".split()}
 _HAN_FAMILY, _HAN_GIVEN = list("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧"), list("明华文平安宁海云春林晨雨思佳子欣")
-_NAME = r"\p{Lu}[\p{L}'’]*\p{Ll}(?:-\p{Lu}\p{L}*\p{Ll})*"
+#: Repeated groups are possessive or bounded: the engine works others through by recursion. Of more than four titles the
+#: last ones belong to the match; those before them are words that stay.
+_NAME = r"\p{Lu}[\p{L}'’]*\p{Ll}(?:-\p{Lu}\p{L}*+(?<=\p{Ll}))*+"
+_TITLED = rf"(?:{_TITLES}\.? ){{1,4}}"
+#: Words that are surnames and other words too. As a part of a name they count only where a lower-case word that is no
+#: article stands right before them, so that their capital letter tells.
+COMMON_WORDS = frozenset(
+    """will may can must might would could should do does did is are was has had have let mark bill grant rose hope faith grace joy dawn
+    summer winter april june august page price rich young long short small little brown white black green gray grey gold silver king queen
+    prince bishop pope knight hunter fisher farmer baker cook carter north south east west hill wood woods stone rock field forest lake brook
+    rivers bridge bush berry cherry day weeks moon star snow rain frost hall house church park street lane rush sharp swift strong best good
+    love cross bond cash chance case law cruise drew frank art pat sue guy jack read reed bell ball power case story
+    koch bauer richter jäger wolf fuchs vogel stein berg klein groß lang kurz schwarz weiß braun roth jung alt kaiser könig herzog graf ritter
+    engel sommer herbst sonntag montag freitag schäfer schneider schuster weber zimmermann kaufmann kraft ernst sauer süß
+    petit grand blanc noir roi rey león cruz santos flores campos""".split()
+)
+_ARTICLES = "the a an this that der die das den dem des ein eine einen einem einer le la les un une el los las il lo".split()
+_AFTER_WORD = rf"(?<=\p{{Ll}}[,;]? )(?<!(?<!\p{{L}})(?i:{'|'.join(_ARTICLES)}) )"
 #: kind: pattern; of patterns that match at one place the first counts. Only the card pattern has groups.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]+@(?:[A-Za-z0-9-]{1,63}\.){1,126}[A-Za-z]{2,63}",
@@ -54,7 +72,7 @@ PATTERNS = {
     "ssn": _START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "ip": _START + r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{L}\p{N}_]|\.[0-9])",
     "phone": r"(?<![\p{L}\p{N}_+])(?:\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4}){1,5}[ .-]?[0-9]{2,4}|(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|0[1-9][0-9]?(?:[ .-][0-9]{2}){4})" + _END,
-    "person": _START + rf"(?:(?:{_TITLES}\.? )+{_NAME}(?: {_NAME})?|(?:{'|'.join(n for names in _GIVEN.values() for n in names)}) {_NAME})" + _END,
+    "person": _START + rf"(?:{_TITLED}{_NAME}(?: {_NAME})?|(?:{'|'.join(n for names in _GIVEN.values() for n in names)}) {_NAME})" + _END,
     "han": "[" + "".join(_HAN_FAMILY) + r"]\p{IsHan}{1,2}(?=先生|女士|小姐|教授|医生|老师)",
 }
 _ALL = "|".join(PATTERNS.values())
@@ -207,7 +225,7 @@ def render(kind: Column, mention: Column, surrogate: Column) -> Column:
 
 def _person(left: Column, mention: Column) -> Column:
     """The pieces of a name with its title: the given name, if any, and the surname."""
-    title = F.regexp_extract(mention, rf"^((?:{_TITLES}\.? )*)", 1)
+    title = F.regexp_extract(mention, rf"^((?:{_TITLES}\.? )*+)", 1)
     name = F.substring(mention, F.length(title) + 1, F.length(mention))
     surname = F.substring_index(name, " ", -1)
     given = F.when(F.length(name) > F.length(surname), F.left(name, F.length(name) - F.length(surname) - 1))
@@ -228,11 +246,14 @@ def mentions(df: DataFrame, text_col: str = "text") -> DataFrame:
     rows = df.where(F.col(f"`{text_col}`").rlike(_ALL)).select(F.struct(*rest, F.lit(0).alias("__none")).alias("rest"), F.col(f"`{text_col}`").alias("text"))
     # parts of the names found, the longer first; letters, apostrophes and dashes alone
     named = F.regexp_extract_all("text", F.lit("(" + PATTERNS["person"] + ")"), F.lit(1))
-    parts = F.array_distinct(F.flatten(F.transform(named, lambda m: F.split(F.regexp_replace(m, rf"^(?:{_TITLES}\.? )+", ""), " "))))
+    parts = F.array_distinct(F.flatten(F.transform(named, lambda m: F.split(F.regexp_replace(m, rf"^(?:{_TITLES}\.? )++", ""), " "))))
     parts = F.array_sort(parts, lambda x, y: F.length(y) - F.length(x))
     han = F.array_distinct(F.regexp_extract_all("text", F.lit("(" + PATTERNS["han"] + ")"), F.lit(1)))
     rows = rows.withColumn("parts", F.when(F.col("text").rlike(PATTERNS["person"]), parts)).withColumn("han", F.when(F.col("text").rlike(PATTERNS["han"]), han))
-    of_parts = F.when(F.size("parts") > 0, F.concat(F.lit(_START + "(?:"), F.array_join("parts", "|"), F.lit(")" + _END)))
+    usual = lambda p: F.lower(p).isin(*COMMON_WORDS)
+    either = lambda before, some: F.when(F.size(some) > 0, F.concat(F.lit(before + "(?:"), F.array_join(some, "|"), F.lit(")" + _END)))
+    of_parts = F.concat_ws("|", either(_START, F.filter("parts", lambda p: ~usual(p))), either(_AFTER_WORD, F.filter("parts", usual)))
+    of_parts = F.when(of_parts != "", of_parts)
     pattern = F.concat_ws("|", F.lit(_ALL), of_parts, F.array_join("han", "|"))
     some = F.coalesce(F.size("parts") > 0, F.lit(False)) | F.col("han").isNotNull()
     between = F.when(some, F.split("text", pattern, -1)).otherwise(F.split("text", _ALL, -1))
@@ -277,7 +298,7 @@ def surrogate(df: DataFrame, key: str, text_col: str = "text", count_col: str =
     """df with the personal data in its texts replaced, and count_col long, the
     number of mentions in each. Where df has a column of that name, the new one
     has an underscore before it (or more)."""
-    while count_col in df.columns:
+    while count_col.lower() in map(str.lower, df.columns):
         count_col = "_" + count_col
     # the rows' numbers are written with them
     cut = materialize(mentions(df, text_col).withColumn("row", F.monotonically_increasing_id()), "mentions")

@@ -166,7 +166,12 @@ def fit(df: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id"
     texts = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("text"))
     # at most sample ids and lengths come first, to see which texts may
     sizes = texts.join(F.broadcast(keys), "i").groupBy("i", "label", "h").agg(F.max(F.coalesce(F.length("text"), F.lit(0))).alias("n")).toPandas().sort_values("h", kind="stable")
-    fits = sizes[sizes["n"].cumsum() <= chars]
+    # a text that doesn't fit any more is passed over, those after it aren't
+    used, take = 0, []
+    for n in sizes["n"].tolist():
+        take.append(used + n <= chars)
+        used += n if take[-1] else 0
+    fits = sizes[take]
     if not len(fits):
         return learn(pd.DataFrame({"text": [], "label": []}))
     schema = T.StructType([T.StructField("i", df.schema[id_col].dataType), T.StructField("label", T.IntegerType())])

@@ -616,3 +616,11 @@ def test_pipeline(spark, sf_dir, corpus):
 def quality_fails(text):
     m = dict(zip(quality.MEASURES, quality.measure_text(text), strict=True))
     return any(eval(r.fails.replace(" OR ", " or ").replace(" AND ", " and ").replace(" = ", " == "), {}, m) for r in quality.RULES)
+
+
+def test_toxicity_passes_over_a_text_above_the_bound(spark):
+    rows = [(i, "vile words here" if i % 2 else "kind words here", i % 2) for i in range(200)]
+    order = spark.createDataFrame(rows, DOCS + ", toxic int").orderBy(F.xxhash64("doc_id")).select("doc_id").collect()
+    first = order[0].doc_id
+    df = spark.createDataFrame([(i, "long " * 1_000_000 if i == first else t, y) for i, t, y in rows], DOCS + ", toxic int")
+    assert toxicity.fit(df, df, "toxic", chars=100_000).weights

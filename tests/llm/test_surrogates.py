@@ -3,6 +3,8 @@
 import re
 from collections import defaultdict
 
+import pytest
+
 from stackloom.llm import common, surrogates
 
 
@@ -95,3 +97,27 @@ def test_stored_mentions_can_be_deleted(spark):
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(common.shared_dir(spark))
     common.discard(spark)
     assert not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+RUNS = ["Mr " * 8_000 + "Smith", "Mr " * 340_000 + "Smith", "Mr " + "Ab-" * 8_000 + "Ab", "Mr " + "Ab-" * 340_000 + "Ab", "Mr A" + "b" * 1_000_000, "Anna " * 200_000, "a.b" * 340_000 + "@x.org", "1-" * 500_000, "+1" * 500_000, "x@" + "a." * 500_000, "AB12" * 250_000]
+
+
+@pytest.mark.parametrize("text", RUNS, ids=range(len(RUNS)))
+def test_a_million_characters_of_anything(spark, text):
+    df = spark.createDataFrame([(1, text), (2, "Mr Smith")], "doc_id long, text string")
+    got = {r.doc_id: r.text for r in surrogates.surrogate(df, "key").collect()}
+    assert "Smith" not in got[2] and "Smith" not in got[1] and "Ab-Ab-Ab" not in got[1]
+
+
+def test_names_that_are_words_too(spark):
+    texts = ["Jane Will left. Will you come? Will it? They told Will of it.", "Mr Koch kam. Der Koch kocht, und der Koch isst. Gestern rief Koch an.", "Mrs Miller left. Miller came back. Miller's bag. The Miller case."]
+    got = [r.text for r in surrogates.surrogate(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), "key").orderBy("doc_id").collect()]
+    assert "Will you come? Will it?" in got[0] and got[0].count("Will") == 2
+    assert "Der Koch kocht, und der Koch isst." in got[1] and got[1].count("Koch") == 2
+    assert "Miller" not in got[2]
+
+
+def test_columns_that_clash_by_case(spark):
+    df = spark.createDataFrame([(1, "Mr Smith", 5)], "doc_id int, text string, N_Entities int")
+    row = surrogates.surrogate(df, "key").first()
+    assert row.N_Entities == 5 and row["_n_entities"] == 1
