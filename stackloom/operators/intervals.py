@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackloom.operators.boxes import box_join
+from stackloom.operators.ranges import Over, scan
 from stackloom.tables import stored
 
 FOREVER = 2**63 - 1
@@ -59,26 +61,30 @@ def first_interval(probes: DataFrame, intervals: DataFrame, row: Sequence[str],
     return probes.join(best, list(row), "left")
 
 
-def resolve_addresses(probes: DataFrame, segments: DataFrame, row: Sequence[str], address: str, at: str, width: int) -> DataFrame:
+def resolve_addresses(probes: DataFrame, segments: DataFrame, row: Sequence[str], address: str, at: str) -> DataFrame:
     """Adds function_id: that of the live segment that holds the address; the
     last to be loaded, then the highest base, then the last recorded counts.
     NULL if there is none. segments: (base, size, load_ns, unload_ns,
-    function_id, ord)."""
-    inner = segments.select(F.col("base").alias("__base"), (F.col("base") + F.col("size")).alias("__top"), "load_ns", "unload_ns", F.col("function_id").alias("__function"), F.col("ord").alias("__ord"))
-    hit = range_join(probes.select(*row, address, at), inner, address, "__base", "__top", width)
-    live = hit.where((F.col("load_ns") <= F.col(at)) & (F.col(at) < F.coalesce("unload_ns", F.lit(FOREVER))))
-    best = live.groupBy(*row).agg(F.max_by("__function", F.struct("load_ns", "__base", "__ord")).alias("function_id"))
+    function_id, ord). Address and time are joined together, so that a base that
+    is loaded again and again is met once."""
+    inner = segments.select(F.col("base").alias("__base"), (F.col("base") + F.col("size")).alias("__top"), F.col("load_ns").alias("__load"), F.col("unload_ns").alias("__unload"), F.col("function_id").alias("__function"), F.col("ord").alias("__ord"))
+    live = box_join(probes.select(*dict.fromkeys([*row, address, at])), inner, [(address, "__base", "__top"), (at, "__load", "__unload")])
+    best = live.groupBy(*row).agg(F.max_by("__function", F.struct("__load", "__base", "__ord")).alias("function_id"))
     return probes.join(best, list(row), "left")
 
 
 def as_of(probes: DataFrame, versions: DataFrame, key: str, at: str, since: str, value: str) -> DataFrame:
     """Adds value: that of the latest version of the key not after the probe's
-    time (of equal ones the largest); NULL before the first. One sort by key."""
+    time (of equal ones the largest); NULL before the first. Versions and probes
+    are dealt by ranges of key and time, and the last version of a range is
+    carried on into the next, so a key may hold all rows."""
     versions = versions.groupBy(F.col(key), F.col(since).alias("__t")).agg(F.max(value).alias("__value"))
     left = probes.withColumn("__t", F.col(at)).withColumn("__probe", F.lit(1)).withColumn("__value", F.lit(None).cast(dict(versions.dtypes)["__value"]))
     both = left.unionByName(versions.withColumn("__probe", F.lit(0)), allowMissingColumns=True)
-    order = Window.partitionBy(key).orderBy("__t", "__probe").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn(value, F.last("__value", ignorenulls=True).over(order)).where("__probe = 1").select(*probes.columns, value)
+    # probes of one key and time needn't be in one range
+    both = both.withColumn("__tie", F.xxhash64(*[F.col(f"`{c}`") for c in probes.columns if not probes.schema[c].dataType.typeName() == "map"]))
+    found = scan(both, [key], ["__t", "__probe", "__tie"], {"__found": Over("latest", F.col("__value"))})
+    return found.where("__probe = 1").drop(*({value} & set(probes.columns))).withColumnRenamed("__found", value).select(*dict.fromkeys([*probes.columns, value]))
 
 
 def densify(rows: DataFrame, tid: str, order: str, out: str) -> DataFrame:
@@ -201,15 +207,23 @@ def drop_duplicate_segments(segments: DataFrame) -> DataFrame:
     return rows.where(F.col("__prior").isNull() | ~(live & F.coalesce(same, F.lit(False)))).drop("__prior")
 
 
-def overlapping_segments(segments: DataFrame, width: int) -> DataFrame:
+def overlapping_segments(segments: DataFrame) -> DataFrame:
     """(exp_id, a, b): segments b that were loaded while a, loaded before, was
-    live and shared addresses with it. Of two intervals that overlap, one holds
-    the other's base, so two range joins on bases find all pairs."""
-    one = segments.select("exp_id", F.col("ord").alias("x"), F.col("base").alias("x_base"), F.col("load_ns").alias("x_load"), F.coalesce("unload_ns", F.lit(FOREVER)).alias("x_unload"))
-    two = segments.select("exp_id", F.col("ord").alias("y"), F.col("base").alias("y_base"), (F.col("base") + F.col("size")).alias("y_top"), F.col("load_ns").alias("y_load"), F.coalesce("unload_ns", F.lit(FOREVER)).alias("y_unload"))
-    met = range_join(one, two, "x_base", "y_base", "y_top", width, ["exp_id"]).where("x <> y AND x_load < y_unload AND y_load < x_unload")
-    x_first = F.struct("x_load", "x") < F.struct("y_load", "y")
-    return met.select("exp_id", F.when(x_first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(x_first, F.col("y")).otherwise(F.col("x")).alias("b")).distinct()
+    live and shared addresses with it. Two boxes of addresses and time that overlap
+    do so from the higher base and the later load on. Where one segment has
+    both, that point lies in the box of the other; where each has one, the life of
+    the one with the higher base crosses the addresses of the other at its load.
+    So two joins in both dimensions find each pair once."""
+    forever = F.lit(FOREVER)
+    side = lambda n: segments.select("exp_id", F.col("ord").alias(n), F.col("base").alias(f"{n}_base"), (F.col("size") <= 0).alias(f"{n}_void"), (F.col("base") + F.col("size")).alias(f"{n}_top"), F.col("load_ns").alias(f"{n}_load"), F.coalesce("unload_ns", forever).alias(f"{n}_unload"))
+    x, y = side("x"), side("y")
+    # of two equal bases that of a segment without addresses is the higher one: it may lie in the other
+    higher = F.struct("x_base", "x_void", "x") > F.struct("y_base", "y_void", "y")
+    later = F.struct("x_load", "x") > F.struct("y_load", "y")
+    both_live = (F.col("x_load") < F.col("y_unload")) & (F.col("y_load") < F.col("x_unload"))
+    inside = box_join(x, y, [("x_base", "y_base", "y_top"), ("x_load", "y_load", "y_unload")], ["exp_id"]).where(higher & later & both_live)
+    across = box_join(x, y, [("x_base", "y_base", "y_top"), ("y_load", "x_load", "x_unload")], ["exp_id"]).where(higher & ~later & both_live)
+    return inside.select("exp_id", F.col("y").alias("a"), F.col("x").alias("b")).unionByName(across.select("exp_id", F.col("x").alias("a"), F.col("y").alias("b")))
 
 
 def last_event(kinds: Sequence[DataFrame]) -> DataFrame:

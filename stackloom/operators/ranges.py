@@ -1,12 +1,14 @@
-"""Running sums and numbers over a whole order, without one task for all of it.
+"""Running values over a whole order, without one task for all of it or for a key.
 
-Rows are dealt by ranges of their order, each range is summed by itself, and
-the sums of the ranges before are added; only one row for each range and key
-is ever in one task."""
+Rows are dealt by ranges of their keys and order, so that a key with many rows lies in
+many ranges. Each range is worked through by itself, and what the ranges before
+hold of its first key is added: of the pairs of a key and a range that the key
+comes into from the one before there is at most one for each range."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -14,18 +16,56 @@ from pyspark.sql import functions as F
 from stackloom.tables import stored
 
 
-def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
-    """Adds to each row, for each name in sums, the sum of its expression over
-    the rows of the same keys up to this one. The order must tell rows apart."""
-    named = {f"__v{i}": expr for i, expr in enumerate(sums.values())}
-    rows = df.withColumns(named).repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
+@dataclass(frozen=True)
+class Over:
+    """A value of the rows up to one: the ``total`` or ``least`` of an expression,
+    or the ``latest`` that isn't null. With before, the row itself is left out."""
+
+    how: str
+    value: Column
+    before: bool = False
+
+    def whole(self, v: str, order: Sequence[str]) -> Column:
+        """Of all rows of a group."""
+        if self.how == "total":
+            return F.sum(v)
+        return F.min(v) if self.how == "least" else F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order)))
+
+    def running(self, v: Column, over: Window) -> Column:
+        return {"total": F.sum, "least": F.min}[self.how](v).over(over) if self.how != "latest" else F.last(v, ignorenulls=True).over(over)
+
+    def joined(self, inside: Column, carried: Column) -> Column:
+        """What is so far in the range, and what came before it."""
+        if self.how == "total":
+            return F.coalesce(inside, F.lit(0)) + F.coalesce(carried, F.lit(0))
+        return F.least(inside, carried) if self.how == "least" else F.coalesce(inside, carried)
+
+
+def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], made: Mapping[str, Over], ranges: str | None = None) -> DataFrame:
+    """df with the values in made, over the rows of the same keys (null is a key
+    like any other) in order, which must tell rows apart but for ``latest`` and
+    ``least``. ranges: a column that already numbers ranges of that order."""
+    named = {f"__v{i}": over.value for i, over in enumerate(made.values())}
+    rows = df.withColumns(named)
+    rows = rows.withColumn("__range", F.col(ranges)) if ranges else rows.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id())
     rows = stored(rows, "ranges")
-    before = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(*keys, "__range").agg(*[F.sum(v).alias(v) for v in named])
-    parts = parts.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"{v}_before") for v in named])
+    by = Window.partitionBy(*keys).orderBy("__range")
+    parts = rows.groupBy(*keys, "__range").agg(*[over.whole(v, order).alias(v) for v, over in zip(named, made.values(), strict=True)])
+    carried = [over.running(F.col(v), by.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{v}_before") for v, over in zip(named, made.values(), strict=True)]
+    parts = parts.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), F.row_number().over(by).alias("__n"), *carried)
+    # a range can only be entered by one key from the range before it
+    parts = parts.where("__n > 1").drop("__n")
+    windows = {before: Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0) for before in (False, True)}
+    rows = rows.withColumns({f"{v}_inside": over.running(F.col(v), windows[over.before]) for v, over in zip(named, made.values(), strict=True)})
     same = F.col("__range") == F.col("__r")
     for i, k in enumerate(keys):
-        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
-    inside = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    summed = [(F.sum(v).over(inside) + F.col(f"{v}_before")).alias(name) for name, v in zip(sums, named, strict=True)]
-    return rows.join(parts, same).select(*df.columns, *summed)
+        same &= F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
+    both = rows.join(F.broadcast(parts), same, "left")  # a row for each range at most
+    values = [over.joined(F.col(f"{v}_inside"), F.col(f"{v}_before")).alias(name) for (name, over), v in zip(made.items(), named, strict=True)]
+    return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *values)
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
+    """Adds to each row, for each name in sums, the sum of its expression over
+    the rows of the same keys up to this one. The order must tell rows apart."""
+    return scan(df, keys, order, {name: Over("total", value) for name, value in sums.items()})

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.operators.ranges import running
@@ -98,31 +98,83 @@ def caller_callee_report(df: DataFrame, weight: str, total: object = TOTAL) -> D
     return rows.groupBy("center", "role", "neighbour").agg(F.sum("v").alias("attributed"))
 
 
-def path_tree(df: DataFrame, weight: str, order: str | None = None) -> DataFrame:
+def _prefixes(rows: DataFrame, seed: int) -> DataFrame:
+    """(row, w[, first], size, d, function, a, b, pa, pb): a row for each prefix
+    of each stack, of d functions; a, b are its hash of 128 bits, pa, pb that of
+    the prefix before. A prefix's hash is the one before it combined with its last
+    function and depth, so a stack costs as many rows as it is deep."""
+    each = rows.repartition("row").select(*[c for c in rows.columns if c != "stack"], F.size("stack").alias("size"), F.posexplode(F.concat(F.array(F.lit(None)), "stack")).alias("d", "function"))
+    own = lambda k: F.when(F.col("d") == 0, F.lit(0).cast("bigint")).otherwise(F.xxhash64(F.lit(seed + k), "d", F.col("function").isNull(), "function"))
+    upto = Window.partitionBy("row").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    each = each.withColumn("x", own(0)).withColumn("y", own(1)).withColumn("a", F.bit_xor("x").over(upto)).withColumn("b", F.bit_xor("y").over(upto))
+    return each.withColumn("pa", F.col("a").bitwiseXOR(F.col("x"))).withColumn("pb", F.col("b").bitwiseXOR(F.col("y"))).drop("x", "y")
+
+
+def _nodes(each: DataFrame, order: bool) -> DataFrame:
+    """(a, b, pa, pb, level, function, row, incl, excl[, first]): prefixes summed
+    up. Where two prefixes had one hash, that hash would have two parents, levels
+    or functions, which is an error: take another seed."""
+    same = lambda c: F.min(c).eqNullSafe(F.max(c)) & ((F.count(c) == 0) | (F.count(c) == F.count("*")))
+    # a parent of one hash is one node, down from the root, so a hash is a node if its parent and function are one
+    sound = same("pa") & same("pb") & same("d") & same("function")
+    leaf = F.col("d") == F.col("size")
+    nodes = each.groupBy("a", "b").agg(
+        F.min("pa").alias("pa"), F.min("pb").alias("pb"), F.min("d").alias("level"), F.min("function").alias("function"), F.min("row").alias("row"),
+        F.sum("w").alias("incl"), F.sum(F.when(leaf, F.col("w")).otherwise(0)).alias("excl"), *([F.min("first").alias("first")] if order else []), sound.alias("sound"),
+    )
+    kept = F.when(F.col("sound"), F.col("incl")).otherwise(F.raise_error(F.lit("two paths have one hash: take another seed")))
+    return nodes.withColumn("incl", kept).drop("sound")
+
+
+def _numbered(df: DataFrame, weight: str, order: str | None) -> DataFrame:
+    # stored with their numbers, which then stay
+    return stored(by_stack(df, weight, order=order).withColumn("row", F.monotonically_increasing_id()), "stacks")
+
+
+def path_trie(df: DataFrame, weight: str, order: str | None = None, seed: int = 0) -> DataFrame:
+    """(a, b, pa, pb, level, function, incl, excl[, first]): the nodes of the
+    path tree under hashes of 128 bits, with those of their parents; the root is
+    0, 0 on level 0. A stack of n functions costs n rows."""
+    return _nodes(_prefixes(_numbered(df, weight, order), seed), bool(order)).drop("row")
+
+
+def path_tree(df: DataFrame, weight: str, order: str | None = None, seed: int = 0) -> DataFrame:
     """(path, level, incl, excl[, first]): every prefix of every stack, the
-    empty one, the root, included."""
-    rows = by_stack(df, weight, order=order)
-    prefixes = F.transform(F.sequence(F.lit(0), F.size("stack")), lambda i: F.slice(F.col("stack"), F.lit(1), i))
-    each = rows.select("stack", "w", *(["first"] if order else []), F.explode(prefixes).alias("path"))
-    first = [F.min("first").alias("first")] if order else []
-    leaf = F.size("path") == F.size("stack")
-    return each.groupBy("path").agg(F.size(F.first("path")).alias("level"), F.sum("w").alias("incl"), F.sum(F.when(leaf, F.col("w")).otherwise(0)).alias("excl"), *first)
+    empty one, the root, included. Paths are written out at the end, each once."""
+    rows = _numbered(df, weight, order)
+    nodes = _nodes(_prefixes(rows, seed), bool(order))
+    told = nodes.join(rows.select("row", "stack"), "row")
+    return told.select(F.slice("stack", F.lit(1), F.col("level")).alias("path"), "level", "incl", "excl", *(["first"] if order else []))
 
 
-def flame_levels(df: DataFrame, weight: str, order: str, total: object = TOTAL) -> DataFrame:
+def flame_levels(df: DataFrame, weight: str, order: str, total: object = TOTAL, seed: int = 0) -> DataFrame:
     """(idx, parent_idx, level, function, value): nodes of the path tree in
     breadth-first order, children in the order in which they were first seen.
-    The root is 1 on level 0, its parent 0."""
-    tree = stored(path_tree(df, weight, order), "tree")  # summed up once, used several times
-    # the order numbers of all nodes from the root down to this one
-    up = tree.select("path", "level", F.explode(F.transform(F.sequence(F.lit(0), F.col("level")), lambda i: F.slice(F.col("path"), F.lit(1), i))).alias("__prefix"))
-    seen = up.join(tree.select(F.col("path").alias("__prefix"), F.col("first").alias("__first"), F.col("level").alias("__at")), "__prefix")
-    seen = seen.groupBy("path").agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__first"))), lambda s: s["__first"]).alias("__order"))
-    nodes = running(tree.join(seen, "path"), [], ["level", "__order", "path"], {"idx": F.lit(1).cast("long")})
-    parents = nodes.select(F.col("path").alias("__parent"), F.col("idx").alias("parent_idx"))
-    nodes = nodes.withColumn("__parent", F.when(F.col("level") > 0, F.slice("path", F.lit(1), F.greatest(F.col("level") - 1, F.lit(0)))))
-    out = nodes.join(parents, "__parent", "left")
-    return out.select("idx", F.coalesce("parent_idx", F.lit(0)).alias("parent_idx"), "level", F.when(F.col("level") > 0, F.element_at("path", F.greatest(F.col("level"), F.lit(1)))).otherwise(F.lit(total)).alias("function"), F.col("incl").alias("value"))
+    The root is 1 on level 0, its parent 0.
+
+    Stacks are sorted by when their prefixes were first seen, one after the other.
+    Those whose prefixes of some depth were seen alike then stand together, so the first
+    place among them puts the nodes of a level in order; nodes that tie
+    (where rows share a number of the order) go by their paths, which only they need."""
+    rows = _numbered(df, weight, order)
+    each = stored(_prefixes(rows, seed), "prefixes")
+    nodes = _nodes(each, True)
+    seen = each.where("d > 0").select("row", "a", "b", "d").join(nodes.select("a", "b", F.col("first").alias("__first")), ["a", "b"])
+    upto = Window.partitionBy("row").orderBy("d").rowsBetween(Window.unboundedPreceding, 0)
+    alike = [F.bit_xor(F.xxhash64(F.lit(seed + k), "d", "__first")).over(upto).alias(n) for k, n in enumerate(("__fa", "__fb"))]
+    seen = stored(seen.select("row", "a", "b", "d", "__first", *alike), "seen")
+    keyed = seen.groupBy("row").agg(F.transform(F.array_sort(F.collect_list(F.struct("d", "__first"))), lambda s: s["__first"]).alias("__key"))
+    places = running(keyed, [], ["__key", "row"], {"__place": F.lit(1).cast("long")}).select("row", "__place")
+    first = seen.select("row", "a", "b", "__fa", "__fb").join(places, "row").groupBy("a", "b").agg(F.min("__fa").alias("__fa"), F.min("__fb").alias("__fb"), F.min("__place").alias("__place"))
+    groups = first.groupBy("__fa", "__fb").agg(F.min("__place").alias("__group"), (F.count("*") > 1).alias("__tied"))
+    placed = nodes.join(first.drop("__place").join(groups, ["__fa", "__fb"]), ["a", "b"], "left")
+    told = rows.select(F.col("row").alias("__row"), "stack")
+    path = F.slice("stack", F.lit(1), F.col("level")).alias("__path")
+    placed = placed.join(told, (F.col("row") == F.col("__row")) & F.col("__tied"), "left").select("a", "b", "pa", "pb", "level", "function", "incl", F.coalesce("__group", F.lit(0)).alias("__group"), path)
+    numbered = running(placed, [], ["level", "__group", "__path"], {"idx": F.lit(1).cast("long")})
+    parents = numbered.select(F.col("a").alias("pa"), F.col("b").alias("pb"), (F.col("level") + 1).alias("level"), F.col("idx").alias("parent_idx"))
+    out = numbered.join(parents, ["pa", "pb", "level"], "left")
+    return out.select("idx", F.coalesce("parent_idx", F.lit(0)).alias("parent_idx"), "level", F.when(F.col("level") > 0, F.col("function")).otherwise(F.lit(total)).alias("function"), F.col("incl").alias("value"))
 
 
 def flame_children(levels: DataFrame, nodes: Sequence[int]) -> DataFrame:

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackloom.operators.ranges import running
+from stackloom.operators.ranges import Over, running, scan
 
 
 def select_events(df: DataFrame, exp_id: int | None = None, entity: str | None = None, value: int | None = None, aux: str | None = None, aux_value: int | None = None) -> DataFrame:
@@ -73,13 +73,24 @@ def state_spread(df: DataFrame, start: int, delta: int, bins: int, state: str =
     rows = rows.select(*lane, code.alias("state"), w.cast("bigint").alias("w"), (dur + widen).alias("dur"), (F.col("tstamp") - dur - widen).alias("from"), F.col("tstamp").alias("to"))
     rows = rows.withColumn("lo", _bin(F.greatest("from", F.lit(start)), start, delta)).withColumn("hi", _bin(F.least("to", F.lit(end - 1)), start, delta))
     share = F.when(F.col("lo") == F.col("hi"), F.col("w").cast("double")).otherwise(F.col("w") / (F.col("dur").cast("double") / delta))
-    rows = rows.withColumn("share", share).withColumn("bin", F.explode(F.sequence("lo", "hi")))
-    bin_start = F.col("bin") * delta + start
-    bin_end = bin_start + delta - 1
-    first = F.when(F.col("from") < bin_start, F.col("share")).otherwise(F.col("share") * ((bin_end - F.col("from")).cast("double") / delta))
-    last = F.when(F.col("to") > bin_end, F.col("share")).otherwise(F.col("share") * ((F.col("to") - bin_start).cast("double") / delta))
-    add = F.when((F.col("lo") == F.col("hi")) | ((F.col("bin") > F.col("lo")) & (F.col("bin") < F.col("hi"))), F.col("share")).when(F.col("bin") == F.col("lo"), first).otherwise(last)
-    return rows.groupBy(*lane, "bin", "state").agg(F.sum(add.cast("bigint")).alias("value"))
+    rows = rows.withColumn("share", share)
+    # an event of any length is at most four edges: what its first and last bins get, and where its whole bins and its cover begin and end
+    begin = lambda b: F.col(b) * delta + start
+    first = F.when(F.col("from") < begin("lo"), F.col("share")).otherwise(F.col("share") * ((begin("lo") + delta - 1 - F.col("from")).cast("double") / delta))
+    last = F.when(F.col("to") > begin("hi") + delta - 1, F.col("share")).otherwise(F.col("share") * ((F.col("to") - begin("hi")).cast("double") / delta))
+    whole, zero = F.col("share").cast("bigint"), F.lit(0).cast("bigint")
+    edge = lambda b, add, step, cover: F.struct(b.cast("bigint").alias("bin"), add.cast("bigint").alias("add"), step.cast("bigint").alias("step"), F.lit(cover).cast("bigint").alias("cover"))
+    lo, hi = F.col("lo"), F.col("hi")
+    one = F.array(edge(lo, whole, zero, 1), edge(hi + 1, zero, zero, -1))
+    many = F.array(edge(lo, first, zero, 1), edge(lo + 1, zero, whole, 0), edge(hi, last, -whole, 0), edge(hi + 1, zero, zero, -1))
+    edges = rows.select(*lane, "state", F.inline(F.when(lo == hi, one).otherwise(many)))
+    edges = edges.groupBy(*lane, "state", "bin").agg(F.sum("add").alias("add"), F.sum("step").alias("step"), F.sum("cover").alias("cover"))
+    # bins + 1 rows at most for each lane and state
+    w = Window.partitionBy(*lane, "state").orderBy("bin")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    levels = edges.select(*lane, "state", F.col("bin").alias("edge"), "add", F.sum("step").over(upto).alias("level"), F.sum("cover").over(upto).alias("covered"), F.lead("bin").over(w).alias("next")).where("covered > 0")
+    spread = levels.withColumn("bin", F.explode(F.sequence("edge", F.col("next") - 1)))
+    return spread.select(*lane, "bin", "state", (F.col("level") + F.when(F.col("bin") == F.col("edge"), F.col("add")).otherwise(0)).alias("value"))
 
 
 def high_water(df: DataFrame, value: str, start: int, delta: int, bins: int, lane: Sequence[str] = ("exp_id",)) -> DataFrame:
@@ -110,20 +121,19 @@ def representatives(df: DataFrame, start: int, delta: int, bins: int, reverse: b
 
 
 def prune_hidden(reps: DataFrame, lane: Sequence[str] = ("exp_id",)) -> DataFrame:
-    """Drops events that a later one that started no later hides."""
-    w = Window.partitionBy(*lane).orderBy(F.desc("tstamp"), F.desc("row_id")).rowsBetween(Window.unboundedPreceding, -1)
-    rows = reps.withColumn("__start", F.col("tstamp") - F.col("evt_time"))
-    rows = rows.withColumn("__least", F.min("__start").over(w))
-    return rows.where(F.col("__least").isNull() | (F.col("__start") < F.col("__least"))).drop("__start", "__least")
+    """Drops events that a later one that started no later hides. The least
+    start so far is carried over ranges of time, from the latest event back."""
+    rows = reps.withColumn("__start", F.col("tstamp") - F.col("evt_time")).withColumn("__back", -F.col("tstamp")).withColumn("__row", -F.col("row_id"))
+    seen = scan(rows, lane, ["__back", "__row"], {"__least": Over("least", F.col("__start"), before=True)})
+    return seen.where(F.col("__least").isNull() | (F.col("__start") < F.col("__least"))).select(*reps.columns)
 
 
 def representative_rows(reps: DataFrame, start: int, delta: int, bins: int, durations: bool = False, lane: Sequence[str] = ("exp_id",)) -> DataFrame:
     """(lane, row_id, start_bin, n_bins, time_start, time_end): a start bin
     that the event before covers moves past its end."""
     dur = F.col("evt_time") if durations else F.lit(0)
-    w = Window.partitionBy(*lane).orderBy("tstamp", "row_id")
     end_bin = F.least(_bin(F.col("tstamp"), start, delta), F.lit(bins - 1))
-    rows = reps.withColumn("__end", end_bin).withColumn("__prev", F.lag("__end", 1).over(w))
+    rows = scan(reps.withColumn("__end", end_bin), lane, ["tstamp", "row_id"], {"__prev": Over("latest", F.col("__end"), before=True)})
     first = F.greatest(_bin(F.col("tstamp") - dur, start, delta), F.coalesce("__prev", F.lit(-1)) + 1)
     return rows.select(*lane, "row_id", first.alias("start_bin"), (F.col("__end") - first + 1).alias("n_bins"), (F.col("tstamp") - dur).alias("time_start"), F.col("tstamp").alias("time_end"))
 
@@ -153,6 +163,53 @@ def nearest(df: DataFrame, at: int, lane: Sequence[str] = ("exp_id",), direction
     return sides.withColumn("best", best).select(*lane, "best.row_id", "best.tstamp")
 
 
+def _around(probes: DataFrame, df: DataFrame, lane: Sequence[str], at: str, sides: Sequence[str]) -> DataFrame:
+    """probes with the event (row_id, tstamp, evt_time) of their lane on each
+    of the sides: the last with < or <=, the first with > or >=. Events and probes are
+    dealt by ranges of time, once for each direction."""
+    event = F.struct("row_id", "tstamp", F.coalesce("evt_time", F.lit(0).cast("bigint")).cast("bigint").alias("evt_time"))
+    kind = "struct<row_id:bigint,tstamp:bigint,evt_time:bigint>"
+    made = df.select(*lane, F.col("tstamp").alias("__t"), F.col("row_id").cast("bigint").alias("__row"), event.cast(kind).alias("__event")).withColumn("__probe", F.lit(0))
+    out = probes
+    for back in (False, True):
+        wanted = [s for s in sides if s.startswith(">") == back]
+        if not wanted:
+            continue
+        names = out.columns
+        tie = F.xxhash64(*[F.col(f"`{c}`") for c in probes.columns])
+        asked = out.withColumn("__t", F.col(at)).withColumn("__row", tie).withColumn("__event", F.lit(None).cast(kind)).withColumn("__probe", F.lit(1))
+        both = asked.unionByName(made, allowMissingColumns=True)
+        if back:
+            both = both.withColumn("__t", -F.col("__t")).withColumn("__row", F.when(F.col("__probe") == 0, -F.col("__row")).otherwise(F.col("__row")))
+        for side in wanted:
+            # at one time a probe comes before the events, or, to see them too, after
+            rank = F.when(F.col("__probe") == 1, F.lit(2 if side.endswith("=") else 0)).otherwise(F.lit(1))
+            both = scan(both.withColumn("__rank", rank), lane, ["__t", "__rank", "__row"], {f"__{side}": Over("latest", F.col("__event"))}).drop("__rank")
+        out = both.where("__probe = 1").select(*names, *[f"`__{s}`" for s in wanted])
+    return out
+
+
+def lookup_all(probes: DataFrame, df: DataFrame, relation: str, lane: Sequence[str] = ("exp_id",), at: str = "at") -> DataFrame:
+    """lookup for a table of (lane, at, ...): probes with row_id and tstamp of
+    their event, null where there is none."""
+    side = ">=" if relation == "=" else relation
+    found = F.col(f"`__{side}`")
+    if relation == "=":
+        found = F.when(found["tstamp"] == F.col(at), found)
+    return _around(probes, df, lane, at, [side]).select(*probes.columns, found["row_id"].alias("row_id"), found["tstamp"].alias("tstamp"))
+
+
+def nearest_all(probes: DataFrame, df: DataFrame, lane: Sequence[str] = ("exp_id",), at: str = "at", direction: int = 0) -> DataFrame:
+    """nearest for a table of (lane, at, ...): probes with row_id and tstamp of
+    their event, null where the lane has none."""
+    rows = _around(probes, df, lane, at, ["<", "<=", ">="] if direction < 0 else ["<", ">="])
+    left, right = F.col("`__<`"), F.col("`__>=`")
+    nearer = F.col(at) - left["tstamp"] > right["tstamp"] - right["evt_time"] - F.col(at)
+    generic = F.when(left.isNull() | nearer, right).otherwise(left)
+    best = F.coalesce(*([F.col("`__<=`")] if direction < 0 else []), *([right] if direction else []), generic)
+    return rows.withColumn("__best", best).select(*probes.columns, "__best.row_id", "__best.tstamp")
+
+
 def step(df: DataFrame, n: int, lane: Sequence[str] = ("exp_id",)) -> DataFrame:
     """(lane, row_id, to_row, center): for each event the one n further on (or
     back), and the middle of its time; NULL where there is none."""

@@ -413,7 +413,7 @@ def interval_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 LEFT JOIN segments s ON a.pc >= s.base AND a.pc < s.base + s.size AND s.load_ns <= a.at_ns AND a.at_ns < s.unload_ns
 GROUP BY ALL""", fx.SEGMENTS, fx.ADDRESSES)
 def pc_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.resolve_addresses(fx.addresses(spark, sf_dir).distinct(), fx.segments(spark, sf_dir), ["l_orderkey", "l_linenumber", "pc", "at_ns"], "pc", "at_ns", 2048)
+    return intervals.resolve_addresses(fx.addresses(spark, sf_dir).distinct(), fx.segments(spark, sf_dir), ["l_orderkey", "l_linenumber", "pc", "at_ns"], "pc", "at_ns")
 
 
 @register("SELECT l.l_orderkey, l.l_linenumber, v.function_id FROM lookups l ASOF LEFT JOIN versions v ON l.id = v.id AND l.at_ns >= v.from_ns", fx.VERSIONS)
@@ -424,7 +424,7 @@ def asof_version(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("""SELECT a.exp_id, CASE WHEN (a.load_ns, a.ord) < (b.load_ns, b.ord) THEN a.ord ELSE b.ord END AS a, CASE WHEN (a.load_ns, a.ord) < (b.load_ns, b.ord) THEN b.ord ELSE a.ord END AS b
 FROM segments a JOIN segments b ON a.base < b.base + b.size AND b.base < a.base + a.size AND a.load_ns < b.unload_ns AND b.load_ns < a.unload_ns AND a.ord < b.ord""", fx.SEGMENTS)
 def overlapping_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return intervals.overlapping_segments(fx.segments(spark, sf_dir), 2048)
+    return intervals.overlapping_segments(fx.segments(spark, sf_dir))
 
 
 @register("SELECT exp_id, base, load_ns, unload_ns FROM segments", fx.SEGMENTS)
@@ -560,6 +560,26 @@ def timeline_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.lookup(fx.clock_events(spark, sf_dir), _AT, "<")
 
 
+_PROBES = "probes AS (SELECT row_id AS probe, exp_id, tstamp + (row_id * 7919 % 86400) * 1000000000 AS at FROM clock)"
+
+
+def _probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A time for each event, up to a day after it."""
+    return fx.clock_events(spark, sf_dir).selectExpr("row_id AS probe", "exp_id", "tstamp + (row_id * 7919 % 86400) * 1000000000 AS at")
+
+
+@register("SELECT probe, p.exp_id, p.at, c.row_id, c.tstamp FROM probes p ASOF LEFT JOIN clock c ON p.exp_id = c.exp_id AND p.at <= c.tstamp", fx.CLOCK, _PROBES)
+def timeline_lookup_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.lookup_all(_probes(spark, sf_dir), fx.clock_events(spark, sf_dir), ">=")
+
+
+@register("""SELECT probe, exp_id, at, CASE WHEN lt IS NULL OR at - lt > rt - rd - at THEN rid ELSE lid END AS row_id, CASE WHEN lt IS NULL OR at - lt > rt - rd - at THEN rt ELSE lt END AS tstamp FROM (
+  SELECT l.*, r.row_id AS rid, r.tstamp AS rt, r.evt_time AS rd FROM (SELECT p.probe, p.exp_id, p.at, c.row_id AS lid, c.tstamp AS lt FROM probes p ASOF LEFT JOIN clock c ON p.exp_id = c.exp_id AND p.at > c.tstamp) l
+  ASOF LEFT JOIN clock r ON l.exp_id = r.exp_id AND l.at <= r.tstamp)""", fx.CLOCK, _PROBES)
+def timeline_nearest_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return timeline.nearest_all(_probes(spark, sf_dir), fx.clock_events(spark, sf_dir))
+
+
 @register("SELECT exp_id, thrid, row_id, lead(row_id, 3) OVER w AS to_row, lead(tstamp - evt_time // 2, 3) OVER w AS center FROM clock WINDOW w AS (PARTITION BY exp_id, thrid ORDER BY tstamp, row_id)", fx.CLOCK)
 def timeline_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.step(fx.clock_events(spark, sf_dir), 3, ["exp_id", "thrid"])

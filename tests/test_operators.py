@@ -215,7 +215,7 @@ def test_segments_nest(spark):
 def test_latest_load_wins_and_version_before_first(spark):
     segs = frame(spark, [(0, 100, 1, None, 11, 1), (50, 100, 5, None, 12, 2)], "base long, size long, load_ns long, unload_ns long, function_id long, ord long")
     probes = frame(spark, [(1, 60, 9), (2, 60, 3), (3, 999, 9)], "id long, pc long, at long")
-    assert {r.id: r.function_id for r in intervals.resolve_addresses(probes, segs, ["id"], "pc", "at", 16).collect()} == {1: 12, 2: 11, 3: None}
+    assert {r.id: r.function_id for r in intervals.resolve_addresses(probes, segs, ["id"], "pc", "at").collect()} == {1: 12, 2: 11, 3: None}
     versions = frame(spark, [(1, 10, 5), (1, 20, 6)], "k long, since long, v long")
     asked = frame(spark, [(1, 9), (1, 10), (1, 25)], "k long, t long")
     assert sorted((r.t, r.v) for r in intervals.as_of(asked, versions, "k", "t", "since", "v").collect() if r.v) == [(10, 5), (25, 6)]
