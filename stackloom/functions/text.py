@@ -35,14 +35,23 @@ def dotted_name(name: Column | str) -> Column:
 
 
 def parameter_list(descriptor: Column | str) -> Column:
-    """(ILjava/lang/String;[D)V to (int, java.lang.String, double[])."""
+    """(ILjava/lang/String;[D)V to (int, java.lang.String, double[]); NULL for
+    what is no descriptor."""
     descriptor = F.col(descriptor) if isinstance(descriptor, str) else descriptor
-    inside = F.regexp_extract(descriptor, r"^\((.*)\)", 1)
+    form = r"^[^()]*\(([^)]*)\)"
+    inside = F.regexp_extract(descriptor, form, 1)
     items = F.regexp_extract_all(inside, F.lit(r"(\[*(?:L[^;]*;|[BCDFIJSVZ]))"), F.lit(1))
     base = lambda t: F.regexp_replace(t, r"^\[+", "")
     named = lambda t: F.coalesce(F.create_map(*[F.lit(x) for kv in DESCRIPTOR_TYPES.items() for x in kv])[base(t)], dotted_name(base(t)))
     shown = F.transform(items, lambda t: F.concat(named(t), F.repeat(F.lit("[]"), F.length(t) - F.length(base(t)))))
-    return F.concat(F.lit("("), F.array_join(shown, ", "), F.lit(")"))
+    sound = descriptor.rlike(form) & (F.array_join(items, "") == inside)
+    return F.when(sound, F.concat(F.lit("("), F.array_join(shown, ", "), F.lit(")")))
+
+
+def method_name(name: Column | str, descriptor: Column | str) -> Column:
+    """A method's name with its parameters, or alone where they can't be told."""
+    name = F.col(name) if isinstance(name, str) else name
+    return F.coalesce(F.concat(name, parameter_list(descriptor)), name)
 
 
 def shown_number(value: Column | str) -> Column:

@@ -45,13 +45,20 @@ def metric_columns(metrics: list[str], kinds: str = "ei") -> list[str]:
     return [f"{k}_{m}" for m in metrics for k in kinds]
 
 
-#: Which kinds of a metric a table shows.
-TABLE_KINDS = {"normal": "ei", "call": "aei", "index": "e", "heap": "e"}
-
-
-def project(df: DataFrame, metrics: list[str], table: str, keys: list[str]) -> DataFrame:
-    """The visible columns of a kind of table; absent ones are left out."""
-    return df.select(*keys, *[c for c in metric_columns(metrics, TABLE_KINDS[table]) if c in df.columns])
+#: Which kinds of a metric a table has.
+TABLE_KINDS = {"normal": "ei", "common": "ei", "call": "aei", "index": "e", "source": "i", "heap": "e", "io": "e"}
+#: Tables that have metrics of one kind of event alone, and columns that a table has but doesn't show.
+TABLE_EVENTS, TABLE_HIDDEN = {"heap": "heap", "io": "io"}, {"call": "ei"}
+
+
+def project(df: DataFrame, metrics: list[str], table: str, keys: list[str], events: Mapping[str, str] | None = None, hidden: bool = True) -> DataFrame:
+    """The columns of a kind of table; absent ones are left out. events: the
+    kind of event that a metric is of, for tables of one kind alone. Without hidden,
+    columns that the table sorts by but doesn't show are left out too."""
+    only = TABLE_EVENTS.get(table)
+    of = [m for m in metrics if only is None or (events or {}).get(m, only) == only]
+    kinds = [k for k in TABLE_KINDS[table] if hidden or k not in TABLE_HIDDEN.get(table, "")]
+    return df.select(*keys, *[c for c in metric_columns(of, "".join(kinds)) if c in df.columns])
 
 
 def measures(df: DataFrame, keys: list[str], defined: Mapping[str, Column]) -> DataFrame:

@@ -19,7 +19,8 @@ from stackloom.tables import stored
 @dataclass(frozen=True)
 class Over:
     """A value of the rows up to one: the ``total`` or ``least`` of an expression,
-    or the ``latest`` that isn't null. With before, the row itself is left out."""
+    or the ``latest`` that isn't null. With before, the row itself is left out.
+    ``next`` is the value of the one row after it."""
 
     how: str
     value: Column
@@ -29,15 +30,27 @@ class Over:
         """Of all rows of a group."""
         if self.how == "total":
             return F.sum(v)
+        if self.how == "next":
+            return F.min_by(F.struct(F.col(v).alias("x")), F.struct(*order))
         return F.min(v) if self.how == "least" else F.max_by(v, F.when(F.col(v).isNotNull(), F.struct(*order)))
 
     def running(self, v: Column, over: Window) -> Column:
         return {"total": F.sum, "least": F.min}[self.how](v).over(over) if self.how != "latest" else F.last(v, ignorenulls=True).over(over)
 
+    def carried(self, v: Column, by: Window) -> Column:
+        """What a range is given by those before it, or by the one after it."""
+        return F.lead(v).over(by) if self.how == "next" else self.running(v, by.rowsBetween(Window.unboundedPreceding, -1))
+
+    def inside(self, v: str, by: Window) -> Column:
+        """What the rows of its own range give a row."""
+        return F.lead(F.struct(F.col(v).alias("x"))).over(by) if self.how == "next" else self.running(F.col(v), by.rowsBetween(Window.unboundedPreceding, -1 if self.before else 0))
+
     def joined(self, inside: Column, carried: Column) -> Column:
         """What is so far in the range, and what came before it."""
         if self.how == "total":
             return F.coalesce(inside, F.lit(0)) + F.coalesce(carried, F.lit(0))
+        if self.how == "next":
+            return F.coalesce(inside, carried).getField("x")
         return F.least(inside, carried) if self.how == "least" else F.coalesce(inside, carried)
 
 
@@ -51,16 +64,16 @@ def scan(df: DataFrame, keys: Sequence[str], order: Sequence[str], made: Mapping
     rows = stored(rows, "ranges")
     by = Window.partitionBy(*keys).orderBy("__range")
     parts = rows.groupBy(*keys, "__range").agg(*[over.whole(v, order).alias(v) for v, over in zip(named, made.values(), strict=True)])
-    carried = [over.running(F.col(v), by.rowsBetween(Window.unboundedPreceding, -1)).alias(f"{v}_before") for v, over in zip(named, made.values(), strict=True)]
-    parts = parts.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), F.row_number().over(by).alias("__n"), *carried)
-    # a range can only be entered by one key from the range before it
+    carried = [over.carried(F.col(v), by).alias(f"{v}_before") for v, over in zip(named, made.values(), strict=True)]
+    parts = parts.select(*[F.col(f"`{k}`").alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__r"), F.count("*").over(Window.partitionBy(*keys)).alias("__n"), *carried)
+    # keys of several ranges: a range can only be entered by one key from the range before it, and left by one
     parts = parts.where("__n > 1").drop("__n")
-    windows = {before: Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if before else 0) for before in (False, True)}
-    rows = rows.withColumns({f"{v}_inside": over.running(F.col(v), windows[over.before]) for v, over in zip(named, made.values(), strict=True)})
+    inside = Window.partitionBy(*keys, "__range").orderBy(*order)
+    rows = rows.withColumns({f"{v}_inside": over.inside(v, inside) for v, over in zip(named, made.values(), strict=True)})
     same = F.col("__range") == F.col("__r")
     for i, k in enumerate(keys):
         same &= F.col(f"`{k}`").eqNullSafe(F.col(f"__k{i}"))
-    both = rows.join(F.broadcast(parts), same, "left")  # a row for each range at most
+    both = rows.join(F.broadcast(parts), same, "left")  # two rows for each range at most
     values = [over.joined(F.col(f"{v}_inside"), F.col(f"{v}_before")).alias(name) for (name, over), v in zip(made.items(), named, strict=True)]
     return both.select(*[F.col(f"`{c}`") for c in df.columns if c not in made], *values)
 

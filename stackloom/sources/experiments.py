@@ -1,8 +1,10 @@
 """Experiments as directories of files: discovery, groups, logs and maps.
 
 An experiment is a directory whose name ends in ".er". Every reader takes a
-path that Spark can open and returns rows with the experiment's path; readers of
-whole files deal one file to one task.
+path that Spark can open and returns rows with the experiment's path. Logs are
+read in splits, so that many tasks share a long one: Spark cuts the text where an element
+may begin, and what goes on from one split into the next (an element's end, the profile
+and packet that a field belongs to) is carried over.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from stackloom.operators.ranges import running
+from stackloom.operators.ranges import Over, running, scan
 
 SUFFIX = ".er"
 #: Code, name and displayed name of the thread states of a run that declares none.
@@ -20,6 +22,8 @@ DEFAULT_STATES = [
     (0, "USER", "User CPU"), (1, "SYSTEM", "System CPU"), (2, "TRAP", "Trap CPU"), (3, "TFAULT", "Text Page Fault"), (4, "DFAULT", "Data Page Fault"), (5, "KFAULT", "Kernel Page Fault"),
     (6, "USER_LOCK", "User Lock"), (7, "SLEEP", "Sleep"), (8, "WAIT_CPU", "Wait CPU"), (9, "STOPPED", "Stopped"), (10, "LINUX_CPU", "User+System CPU"), (11, "KERNEL_CPU", "Kernel CPU"),
 ]
+#: Fixed value: number of the warning that files are written to a file system that may distort a run.
+WARN_FILE_SYSTEM = 201
 #: Fixed value: the first line of a group file.
 GROUP_HEADER = "#analyzer experiment group"
 _ELEMENT = r"<([A-Za-z_][\w.-]*)((?:\s+[\w.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(?:/>|>([^<]*)</\1>|>)"
@@ -74,9 +78,28 @@ def _unescape(c: Column) -> Column:
 
 
 def read_elements(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
-    """elements() of files."""
-    text = spark.read.text(paths if isinstance(paths, str) else list(paths), wholetext=True)
-    return elements(text.select(_experiment(F.input_file_name()).alias("experiment"), "value"))
+    """elements() of files of any size. A "<" begins a tag and nothing else, so
+    the text is read as the pieces between them, which Spark deals to tasks by
+    splits of the file; pieces are in order within a split, and splits by where they begin."""
+    text = spark.read.option("lineSep", "<").text(paths if isinstance(paths, str) else list(paths))
+    pieces = text.select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value")
+    tag = r"^([A-Za-z_][\w.-]*)((?:\s+[\w.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*+)\s*(/?)>"
+    is_tag = F.col("value").rlike(tag)
+    closes = F.regexp_extract("value", r"^/([A-Za-z_][\w.-]*)>", 1)
+    made = {"ord": Over("total", F.when(is_tag, 1).otherwise(0).cast("long")), "closed": Over("next", closes)}
+    found = scan(pieces, ["file"], ["split", "place"], made, "split").where(is_tag)
+    name = F.regexp_extract("value", tag, 1)
+    # the text of an element that nothing else stands in
+    inner = F.when((F.regexp_extract("value", tag, 3) == "") & (F.col("closed") == name), F.regexp_replace("value", tag, "")).otherwise(F.lit(""))
+    return found.select(_experiment("file").alias("experiment"), (F.col("ord") - 1).alias("ord"), name.alias("element"), _attributes(F.regexp_extract("value", tag, 2)).alias("attributes"), _unescape(inner).alias("text"))
+
+
+def _attributes(raw: Column) -> Column:
+    """name="value" ... as a map; of a name that stands twice, the first counts."""
+    names = F.regexp_extract_all(raw, F.lit(_ATTRIBUTE), F.lit(1))
+    values = F.transform(F.regexp_extract_all(raw, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: _unescape(F.regexp_replace(F.regexp_replace(a, r"^[\w.-]+\s*=\s*", ""), "^[\"']|[\"']$", "")))
+    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
+    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1))
 
 
 def elements(files: DataFrame) -> DataFrame:
@@ -84,12 +107,7 @@ def elements(files: DataFrame) -> DataFrame:
     (experiment, value) of XML fragments without a root."""
     found = files.select("experiment", F.posexplode(F.regexp_extract_all("value", F.lit(_ELEMENT), F.lit(0))).alias("ord", "__raw"))
     raw = F.regexp_extract("__raw", _ELEMENT, 2)
-    names = F.regexp_extract_all(raw, F.lit(_ATTRIBUTE), F.lit(1))
-    values = F.transform(F.regexp_extract_all(raw, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: _unescape(F.regexp_replace(F.regexp_replace(a, r"^[\w.-]+\s*=\s*", ""), "^[\"']|[\"']$", "")))
-    pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    # of an attribute that stands twice, the first counts
-    firsts = F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1)
-    return found.select("experiment", "ord", F.regexp_extract("__raw", _ELEMENT, 1).alias("element"), F.map_from_entries(firsts).alias("attributes"), _unescape(F.regexp_extract("__raw", _ELEMENT, 3)).alias("text"))
+    return found.select("experiment", "ord", F.regexp_extract("__raw", _ELEMENT, 1).alias("element"), _attributes(raw).alias("attributes"), _unescape(F.regexp_extract("__raw", _ELEMENT, 3)).alias("text"))
 
 
 def log_events(elements: DataFrame) -> DataFrame:
@@ -103,20 +121,19 @@ def log_events(elements: DataFrame) -> DataFrame:
 def schema_declarations(elements: DataFrame) -> DataFrame:
     """(experiment, profile, packet_kind, field, offset, type, ord): declared
     columns; a repeated declaration of a field is ignored."""
-    w = Window.partitionBy("experiment").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     a = F.col("attributes")
     rows = elements.where("element IN ('profile', 'profpckt', 'field')")
-    rows = rows.withColumn("profile", F.last(F.when(F.col("element") == "profile", a["name"]), True).over(w)).withColumn("packet_kind", F.last(F.when(F.col("element") == "profpckt", a["kind"]), True).over(w).cast("int"))
-    fields = rows.where("element = 'field'").select("experiment", "profile", "packet_kind", a["name"].alias("field"), a["offset"].cast("int").alias("offset"), a["type"].alias("type"), "ord")
+    within = {"profile": Over("latest", F.when(F.col("element") == "profile", a["name"])), "packet": Over("latest", F.when(F.col("element") == "profpckt", a["kind"]))}
+    rows = scan(rows, ["experiment"], ["ord"], within)
+    fields = rows.where("element = 'field'").select("experiment", "profile", F.col("packet").cast("int").alias("packet_kind"), a["name"].alias("field"), a["offset"].cast("int").alias("offset"), a["type"].alias("type"), "ord")
     return fields.groupBy("experiment", "profile", "packet_kind", "field").agg(F.min(F.struct("ord", "offset", "type")).alias("f")).select("experiment", "profile", "packet_kind", "field", "f.offset", "f.type", "f.ord")
 
 
 def state_names(elements: DataFrame) -> DataFrame:
     """(experiment, field, value, name, uname) from state elements, which stand
     inside the field that they belong to."""
-    w = Window.partitionBy("experiment").orderBy("ord").rowsBetween(Window.unboundedPreceding, 0)
     a = F.col("attributes")
-    rows = elements.where("element IN ('field', 'state')").withColumn("field", F.last(F.when(F.col("element") == "field", a["name"]), True).over(w))
+    rows = scan(elements.where("element IN ('field', 'state')"), ["experiment"], ["ord"], {"field": Over("latest", F.when(F.col("element") == "field", a["name"]))})
     return rows.where("element = 'state'").select("experiment", "field", a["value"].cast("int").alias("value"), a["name"].alias("name"), F.coalesce(a["uname"], a["name"]).alias("uname"))
 
 
@@ -150,6 +167,22 @@ def messages_by_run(found: DataFrame) -> DataFrame:
     return found.groupBy("experiment", "kind").agg(F.count("*").alias("n"), texts.alias("texts"))
 
 
+def message_queues(elements: DataFrame, ignore_fs_warnings: bool = False) -> DataFrame:
+    """(experiment, ord, queue, id, text) as they are shown: a comment's text
+    attribute is a note; what has no number is dropped else; an error's system error
+    follows its text. Warnings of file systems that may distort a run can go to the comments."""
+    a = F.col("attributes")
+    queue = F.create_map(*[F.lit(x) for kv in {"cerror": "error", "cwarn": "warning", "comment": "comment"}.items() for x in kv])[a["kind"]]
+    number, errno = a["id"].try_cast("int"), F.coalesce(F.when(a["kind"] == "cerror", a["ec"].try_cast("int")), F.lit(0))
+    moved = F.lit(ignore_fs_warnings) & (queue == "warning") & (number == WARN_FILE_SYSTEM)
+    said = F.concat(F.coalesce("text", F.lit("")), F.when(errno > 0, F.concat(F.lit(" -- errno "), errno.cast("string"))).otherwise(F.lit("")))
+    note = F.struct(F.lit(0).alias("part"), F.lit("comment").alias("queue"), F.lit(None).cast("int").alias("id"), F.concat(F.lit("*** Note: "), a["text"]).alias("text"))
+    message = F.struct(F.lit(1).alias("part"), F.when(moved, F.lit("comment")).otherwise(queue).alias("queue"), number.alias("id"), said.alias("text"))
+    both = F.filter(F.array(F.when((queue == "comment") & a["text"].isNotNull(), note), F.when(number >= 0, message)), lambda m: m.isNotNull())
+    rows = elements.where((F.col("element") == "event") & queue.isNotNull())
+    return rows.select("experiment", "ord", F.inline(both)).select("experiment", (2 * F.col("ord") + F.col("part")).alias("ord"), "queue", "id", "text")
+
+
 def map_records(elements: DataFrame) -> DataFrame:
     """(experiment, ord, kind, object_type, tstamp, base, size, name) of map and
     unmap events. Of segments only readable and executable ones stay, and those
@@ -167,9 +200,24 @@ def read_notes(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     return spark.read.text(paths if isinstance(paths, str) else list(paths)).select(_experiment(F.input_file_name()).alias("experiment"), F.col("value").alias("line"))
 
 
-def preview(spark: SparkSession, root: str) -> DataFrame:
-    """(experiment, element, attributes, text) from logs, and notes as elements
-    of their own; no event data is read."""
-    logs = read_elements(spark, f"{root}/*{SUFFIX}/log.xml").select("experiment", "element", "attributes", "text")
-    notes = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "notes").text(root).select(_experiment(F.input_file_name()).alias("experiment"), F.lit("note").alias("element"), F.lit(None).cast("map<string,string>").alias("attributes"), F.col("value").alias("text"))
-    return logs.unionByName(notes)
+def preview(spark: SparkSession, root: str, log: str = "log.xml", notes: str = "notes") -> DataFrame:
+    """(experiment, ord, element, attributes, text) from logs, and notes as
+    elements of their own; no event data is read. log and notes are the names of files,
+    or of folders of files."""
+    logs = read_elements(spark, f"{root}/*{SUFFIX}/{log}").select("experiment", "ord", "element", "attributes", "text")
+    found = spark.read.option("recursiveFileLookup", "true")
+    found = found.option("pathGlobFilter", notes).text(root) if notes == "notes" else found.text(f"{root}/*{SUFFIX}/{notes}")
+    lines = found.select(_experiment(F.input_file_name()).alias("experiment"), F.monotonically_increasing_id().alias("ord"), F.lit("note").alias("element"), F.lit(None).cast("map<string,string>").alias("attributes"), F.col("value").alias("text"))
+    return logs.unionByName(lines)
+
+
+def preview_sections(found: DataFrame) -> DataFrame:
+    """(experiment, section, place, text) of a preview: the lines of header,
+    errors, warnings and notes of each run; a section without any says so."""
+    titles = {"comment": ("Experiment header", "Empty header"), "error": ("Error message", "No errors"), "warning": ("Warning message", "No warnings"), "note": ("Notes", "")}
+    notes = found.where("element = 'note'").select("experiment", "ord", F.lit("note").alias("queue"), "text")
+    lines = message_queues(found.where("element <> 'note'")).select("experiment", "ord", "queue", "text").unionByName(notes)
+    listed = F.array(*[F.struct(F.lit(q).alias("queue"), F.lit(title).alias("section"), F.lit(none).alias("none")) for q, (title, none) in titles.items()])
+    every = found.select("experiment").distinct().select("experiment", F.inline(listed))
+    placed = running(lines, ["experiment", "queue"], ["ord"], {"place": F.lit(1).cast("long")})
+    return every.join(placed, ["experiment", "queue"], "left").select("experiment", "section", F.coalesce("place", F.lit(0)).alias("place"), F.coalesce("text", "none").alias("text"))

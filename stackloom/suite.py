@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from stackloom.plans import fixtures as fx
 from stackloom.registry import ORACLE_SQL, QUERIES, register
 from stackloom.sources import experiments as ingest
 from stackloom.sources import reports
-from stackloom.streaming.bins import streamed_bins
+from stackloom.streaming.bins import store_bins, stored_bins, streamed_bins
+from stackloom.tables import folder
 
 __all__ = ["ORACLE_SQL", "QUERIES"]
 
@@ -573,9 +576,9 @@ def timeline_lookup_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.lookup_all(_probes(spark, sf_dir), fx.clock_events(spark, sf_dir), ">=")
 
 
-@register("""SELECT probe, exp_id, at, CASE WHEN lt IS NULL OR at - lt > rt - rd - at THEN rid ELSE lid END AS row_id, CASE WHEN lt IS NULL OR at - lt > rt - rd - at THEN rt ELSE lt END AS tstamp FROM (
-  SELECT l.*, r.row_id AS rid, r.tstamp AS rt, r.evt_time AS rd FROM (SELECT p.probe, p.exp_id, p.at, c.row_id AS lid, c.tstamp AS lt FROM probes p ASOF LEFT JOIN clock c ON p.exp_id = c.exp_id AND p.at > c.tstamp) l
-  ASOF LEFT JOIN clock r ON l.exp_id = r.exp_id AND l.at <= r.tstamp)""", fx.CLOCK, _PROBES)
+@register("""SELECT probe, exp_id, "at", CASE WHEN lt IS NULL OR "at" - lt > rt - rd - "at" THEN rid ELSE lid END AS row_id, CASE WHEN lt IS NULL OR "at" - lt > rt - rd - "at" THEN rt ELSE lt END AS tstamp FROM (
+  SELECT l.*, r.row_id AS rid, r.tstamp AS rt, r.evt_time AS rd FROM (SELECT p.probe, p.exp_id, p."at", c.row_id AS lid, c.tstamp AS lt FROM probes p ASOF LEFT JOIN clock c ON p.exp_id = c.exp_id AND p.at > c.tstamp) l
+  ASOF LEFT JOIN clock r ON l.exp_id = r.exp_id AND l."at" <= r.tstamp)""", fx.CLOCK, _PROBES)
 def timeline_nearest_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return timeline.nearest_all(_probes(spark, sf_dir), fx.clock_events(spark, sf_dir))
 
@@ -704,6 +707,46 @@ def metrics_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _function_metrics(spark, sf_dir, "index")
 
 
+_CALLS = """edges AS (SELECT stack[d] AS caller, stack[d + 1] AS function, weight FROM (SELECT stack, weight, unnest(range(1, len(stack))) AS d FROM samples)),
+sums AS (SELECT function, sum(weight)::BIGINT AS i_cpu, sum(CASE WHEN function = stack[len(stack)] THEN weight ELSE 0 END)::BIGINT AS e_cpu FROM (SELECT stack, weight, unnest(list_distinct(stack)) AS function FROM samples) GROUP BY 1),
+called AS (SELECT p[d] AS neighbour, sum(CASE WHEN d = last THEN w ELSE 0 END)::BIGINT AS a_cpu FROM each_hit WHERE d >= 1 GROUP BY 1)"""
+
+
+def _call_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The callers of one function with their own sums."""
+    samples = fx.stacks(spark, sf_dir)
+    called = stacks.callers(samples, ["view"], "weight").withColumnsRenamed({"neighbour": "function", "attributed": "a_cpu"})
+    totals = stacks.function_table(samples, "weight").withColumnsRenamed({"excl": "e_cpu", "incl": "i_cpu"})
+    return called.join(totals, "function")
+
+
+@register("SELECT neighbour AS function, a_cpu, coalesce(e_cpu, total) AS e_cpu, coalesce(i_cpu, total) AS i_cpu FROM called LEFT JOIN sums ON neighbour = function, (SELECT sum(weight)::BIGINT AS total FROM samples)", fx.STACKS, _MATCH, _CALLS)
+def metrics_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.project(_call_table(spark, sf_dir), ["cpu"], "call", ["function"])
+
+
+@register("SELECT neighbour AS function, a_cpu FROM called", fx.STACKS, _MATCH, _CALLS)
+def metrics_call_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.project(_call_table(spark, sf_dir), ["cpu"], "call", ["function"], hidden=False)
+
+
+@register("SELECT thrid, sum(hsize)::BIGINT AS e_bytes, count(*) AS e_allocs FROM heap WHERE htype = 0 GROUP BY thrid", fx.HEAP)
+def metrics_heap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.heap_events(spark, sf_dir)
+    sums = rows.where("htype = 0").groupBy("thrid").agg(F.sum("hsize").alias("e_bytes"), F.sum("hsize").alias("i_bytes"), F.count("*").alias("e_allocs"), F.max("tstamp").alias("e_cpu"))
+    return metrics.project(sums, ["bytes", "allocs", "cpu"], "heap", ["thrid"], {"bytes": "heap", "allocs": "heap", "cpu": "clock"})
+
+
+@register("""SELECT p_partkey, p_name || coalesce(CASE WHEN p_partkey % 11 <> 0 THEN '(' || CASE p_size % 4 WHEN 0 THEN 'int' WHEN 1 THEN 'java.lang.String' WHEN 2 THEN 'double' ELSE 'boolean' END || repeat('[]', p_size % 3) || ', long' || ')' END, '') AS method FROM part""")
+def method_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = fx._read(spark, sf_dir, "part")
+    kind = F.element_at(F.array(*map(F.lit, ("I", "Ljava/lang/String;", "D", "Z"))), (F.col("p_size") % 4 + 1).cast("int"))
+    # every eleventh is no descriptor
+    last = F.when(F.col("p_partkey") % 11 == 0, "Q").otherwise("J")
+    descriptor = F.concat(F.lit("("), F.repeat(F.lit("["), (F.col("p_size") % 3).cast("int")), kind, last, F.lit(")V"))
+    return part.select("p_partkey", text.method_name(F.col("p_name"), descriptor).alias("method"))
+
+
 @register("""SELECT event_id, (event_id % 1000) * 1000000000 + event_id % 77 AS ns, (event_id * 31)::BIGINT AS hex_value, CASE WHEN event_id % 5 = 0 THEN '0.' ELSE printf('%.3f', (event_id % 5)::DOUBLE) END AS shown, 'pkg.sub.' || event_type AS dotted FROM events""")
 def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx._read(spark, sf_dir, "events")
@@ -715,4 +758,19 @@ def windowed_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = fx._read(spark, sf_dir, "events")
     return streamed_bins(e, "ts", "1 day", "1 hour", ["event_type"], {"total": F.floor("value")}).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
 
+
+@register("SELECT event_type, strftime(date_trunc('day', ts), '%Y-%m-%d %H:%M:%S') AS start, count(*) AS n, sum(CAST(floor(value) AS BIGINT))::BIGINT AS total FROM events GROUP BY ALL")
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same bins from a stream of the events in four micro-batches, late rows
+    put aside and counted at the end."""
+    root = f"{folder(spark)}/stream-{uuid.uuid4().hex}"
+    events = fx._read(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    events.repartition(4, "event_id").write.parquet(f"{root}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+    writer = store_bins(stream, f"{root}/out", "ts", "1 day", "1 hour", ["event_type"], {"total": F.floor("value")})
+    writer.trigger(availableNow=True).start().awaitTermination()
+    found = stored_bins(spark, f"{root}/out", ["event_type"], ["total"], late=True)
+    return found.withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm:ss"))
+
+
 from stackloom import recorded  # noqa: E402, F401  (registers its queries)

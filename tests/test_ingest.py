@@ -1,12 +1,15 @@
 """Recordings written here, little-endian, and read back."""
 
+import datetime
 import struct
 
+import pytest
 from pyspark.sql import functions as F
 
+from stackloom.functions import text as texts
 from stackloom.plans import recordings
 from stackloom.sources import experiments, packets, reports
-from stackloom.streaming.bins import streamed_bins
+from stackloom.streaming.bins import late_rows, store_bins, stored_bins, streamed_bins
 
 FIELDS = {3: [("tstamp", 4, "INT64"), ("thrid", 12, "UINT32"), ("name", 16, "STRING")]}
 
@@ -162,3 +165,67 @@ def test_runs_of_several_groups_are_one_union(spark):
     files = spark.createDataFrame([("g", "#analyzer experiment group\nb.er\na.er\n"), ("h", "#analyzer experiment group\na.er\n"), ("i", "c.er")], "group string, value string")
     opened = experiments.open_all(experiments.group_entries(files)).orderBy("exp_id").collect()
     assert [(r.exp_id, r.group, r.experiment) for r in opened] == [(1, "g", "b.er"), (2, "g", "a.er"), (3, "h", "a.er")]
+
+
+@pytest.mark.parametrize("size", [40, 97, 10**6])
+def test_a_log_is_read_in_splits(spark, tmp_path, size):
+    """Elements that splits cut anywhere, against the whole text in one row."""
+    lines = [f'<event kind="k{i % 3}" note="a>b" tstamp="{i}.5">text &lt;{i}&gt;\n</event>' if i % 4 else f"<event kind='k' i='{i}'/>" for i in range(60)]
+    head = '<?xml version="1.0"?>\n<experiment v="1">\n<profile name="clock">\n<profpckt kind="3">'
+    fields = [f'<field name="f{i}" offset="{i}" type="INT32"><state value="{i}" name="s{i}"/></field>' for i in range(40)]
+    whole = head + "\n".join(fields) + "</profpckt></profile>\n" + "\n".join(lines) + "<event kind='last'>open"
+    write(tmp_path, "log.xml", whole)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        found = experiments.read_elements(spark, str(tmp_path / "*.er/log.xml"))
+        assert size > 1000 or spark.read.option("lineSep", "<").text(str(tmp_path / "*.er/log.xml")).rdd.getNumPartitions() > 4
+        got = [(r.ord, r.element, r.attributes, r.text) for r in found.orderBy("ord").collect()]
+        declared = sorted(map(tuple, experiments.schema_declarations(found).select("profile", "packet_kind", "field", "offset").collect()))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    one = experiments.elements(spark.createDataFrame([("x", whole)], "experiment string, value string"))
+    assert got == [(r.ord, r.element, r.attributes, r.text) for r in one.orderBy("ord").collect()]
+    assert declared == sorted(("clock", 3, f"f{i}", i) for i in range(40))
+
+
+def test_message_queues(spark):
+    rows = [(1, "event", {"kind": "cerror", "id": "5", "ec": "3"}, "bad"), (2, "event", {"kind": "cerror", "ec": "9"}, "dropped"), (3, "event", {"kind": "cwarn", "id": "201"}, "slow"), (4, "event", {"kind": "comment", "text": "hi"}, ""), (5, "event", {"kind": "comment", "text": "ho", "id": "7"}, "more"), (6, "event", {"kind": "cerror", "id": "8", "ec": "0"}, None), (7, "other", {"kind": "cerror", "id": "1"}, "")]
+    df = spark.createDataFrame([("a", *r) for r in rows], "experiment string, ord long, element string, attributes map<string,string>, text string")
+    shown = lambda ignore: [(r.queue, r.id, r.text) for r in experiments.message_queues(df, ignore).orderBy("ord").collect()]
+    want = [("error", 5, "bad -- errno 3"), ("warning", 201, "slow"), ("comment", None, "*** Note: hi"), ("comment", None, "*** Note: ho"), ("comment", 7, "more"), ("error", 8, "")]
+    assert shown(False) == want
+    assert shown(True) == [("comment", 201, "slow") if m == ("warning", 201, "slow") else m for m in want]
+
+
+def test_descriptors(spark):
+    df = spark.createDataFrame([("(I[[Ljava/lang/String;[D)V",), ("()V",), ("(Q)V",), ("(Lno",), (")(",), (None,), ("(L;",)], "d string")
+    got = [r[0] for r in df.select(texts.method_name(F.lit("m"), "d")).collect()]
+    assert got == ["m(int, java.lang.String[][], double[])", "m()", "m", "m", "m", "m", "m"]
+
+
+def test_stored_bins_keep_late_rows_and_survive_a_restart(spark, tmp_path):
+    day = lambda d: datetime.datetime(2024, 1, d)
+    parts = [[("a", day(1), 1), ("a", day(5), 2)], [("a", day(5), 4), ("b", day(3), 8), ("a", None, 64)], [("b", day(9), 16)], [("a", day(2), 32), ("b", day(9), 128)]]
+    schema = "k string, ts timestamp, v long"
+    out = str(tmp_path / "out")
+
+    def run():
+        stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+        query = store_bins(stream, out, "ts", "1 day", "1 day", ["k"], {"total": F.col("v")}).trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    for i, rows in enumerate(parts):  # each run is a new query, which goes on from the checkpoint
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run()
+        if i == 1:  # the micro-batch had been worked through but not committed: it is run again
+            (tmp_path / "out/checkpoint/commits/1").unlink()
+            (tmp_path / "out/checkpoint/commits/.1.crc").unlink(missing_ok=True)
+            run()
+    late = sorted((r.k, r.ts.day, r.v, r.batch) for r in late_rows(spark, out).collect())
+    assert late == [("a", 2, 32, 3), ("b", 3, 8, 1)]
+    bins = lambda late: sorted((r.k, r.start.day, r.n, r.total) for r in stored_bins(spark, out, ["k"], ["total"], late).collect())
+    assert bins(False) == [("a", 1, 1, 1), ("a", 5, 2, 6), ("b", 9, 2, 144)]
+    batch = streamed_bins(spark.createDataFrame([r for p in parts for r in p], schema), "ts", "1 day", "1 day", ["k"], {"total": F.col("v")})
+    assert bins(True) == sorted((r.k, r.start.day, r.n, r.total) for r in batch.collect())
