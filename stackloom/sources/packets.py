@@ -189,24 +189,49 @@ def merge_nodes(uids: DataFrame) -> DataFrame:
     return per.groupBy("experiment", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("values"), F.max("link").alias("link"))
 
 
-def flatten_stacks(nodes: DataFrame, rounds: int = 24) -> DataFrame:
+def flatten_stacks(nodes: DataFrame, rounds: int = 40) -> DataFrame:
     """(experiment, id, stack): values followed by those of all linked nodes.
-    Links double in length each round; a link to itself, to nothing, or back
-    into the chain ends it."""
+    A link to itself, to nothing, or back into the chain ends it.
+
+    Lists are ranked by jumps that double in length each round, on the numbers
+    of nodes alone: what a node knows of the nodes less than 2^k ahead of it and what
+    the node 2^k ahead knows of those ahead of itself are all nodes less than 2^(k+1)
+    ahead. Values are joined once, at the end. In a chain that runs into a
+    circle nodes come again at larger distances; their first place counts, and
+    the rounds end where no node is new to any chain."""
     from stackloom.tables import stored
 
-    # chain holds the ids in the stack, so that a link back into it is seen
-    rows = stored(nodes.select("experiment", "id", F.col("values").alias("stack"), F.when(F.col("link") != F.col("id"), F.nullif("link", F.lit(0).cast("long"))).alias("next"), F.array("id").alias("chain")), "stacks")
+    key = ["experiment", "id"]
+    link = F.when((F.col("link") != F.col("id")) & (F.col("link") != 0), F.col("link"))
+    ids = nodes.select("experiment", F.col("id").alias("jump"))
+    jumps = stored(nodes.select(*key, link.alias("jump")).where("jump IS NOT NULL").join(ids, ["experiment", "jump"], "left_semi").select(*key, "jump"), "jumps")
+    known = [nodes.select(*key, F.col("id").alias("node"), F.lit(0).cast("long").alias("far"))]
+    size = 1
     for _ in range(rounds):
-        if rows.where("next IS NOT NULL").isEmpty():
-            return rows.select("experiment", "id", "stack")
-        tail = rows.select("experiment", F.col("id").alias("next"), F.col("stack").alias("__stack"), F.col("next").alias("__next"), F.col("chain").alias("__chain"))
-        met = rows.join(tail, ["experiment", "next"], "left")
-        back = F.coalesce(F.arrays_overlap("chain", "__chain"), F.lit(True))  # or dangling
-        rows = stored(met.select("experiment", "id", F.when(back, F.col("stack")).otherwise(F.concat("stack", "__stack")).alias("stack"), F.when(~back, F.col("__next")).alias("next"), F.when(back, F.col("chain")).otherwise(F.concat("chain", "__chain")).alias("chain")), "stacks")
-    if not rows.where("next IS NOT NULL").isEmpty():
-        raise RuntimeError(f"stacks are longer than {rounds} rounds can join")
-    return rows.select("experiment", "id", "stack")
+        if jumps.isEmpty():
+            break
+        so_far = known[0]
+        for part in known[1:]:
+            so_far = so_far.unionByName(part)
+        ahead = so_far.select("experiment", F.col("id").alias("jump"), "node", (F.col("far") + size).alias("far"))
+        fresh = jumps.join(ahead, ["experiment", "jump"]).select(*key, "node", "far").join(so_far.select(*key, "node"), [*key, "node"], "left_anti")
+        fresh = stored(fresh, "ranked")
+        # a jump is of use as long as it led its node to something new
+        useful = fresh.select(*key).distinct()
+        further = jumps.select("experiment", F.col("id").alias("jump"), F.col("jump").alias("__next"))
+        jumps = stored(jumps.join(useful, key, "left_semi").join(further, ["experiment", "jump"]).select(*key, F.col("__next").alias("jump")), "jumps")
+        known.append(fresh)
+        size *= 2
+    else:
+        if not jumps.isEmpty():
+            raise RuntimeError(f"stacks are longer than {rounds} rounds can join")
+    ranked = known[0]
+    for part in known[1:]:
+        ranked = ranked.unionByName(part)
+    # within a round a circle can give a node two distances
+    ranked = ranked.groupBy(*key, "node").agg(F.min("far").alias("far")) if len(known) > 1 else ranked
+    pieces = ranked.join(nodes.select("experiment", F.col("id").alias("node"), "values"), ["experiment", "node"])
+    return pieces.groupBy(*key).agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("far", "values"))), lambda p: p["values"])).alias("stack"))
 
 
 def _text(packet: bytes, at: int) -> tuple[str, int]:

@@ -229,3 +229,23 @@ def test_stored_bins_keep_late_rows_and_survive_a_restart(spark, tmp_path):
     assert bins(False) == [("a", 1, 1, 1), ("a", 5, 2, 6), ("b", 9, 2, 144)]
     batch = streamed_bins(spark.createDataFrame([r for p in parts for r in p], schema), "ts", "1 day", "1 day", ["k"], {"total": F.col("v")})
     assert bins(True) == sorted((r.k, r.start.day, r.n, r.total) for r in batch.collect())
+
+
+def test_stacks_are_ranked_lists(spark):
+    """Chains, trees, links to nothing and circles, against a walk."""
+    link = {i: i + 1 for i in range(1, 40)} | {100: 5, 101: 5, 102: 101, 103: 103, 104: 999, 105: 0, 106: None}
+    link |= {200: 201, 201: 202, 202: 200, 203: 202, 204: 203, 205: 204, 206: 205, 207: 206, 300: 301, 301: 300} | {i: i + 1 for i in range(400, 406)} | {406: 400}
+    link.setdefault(40, None)
+    rows = [(e, i, [i, -i] if i % 3 else [i], n) for e in ("x", "y") for i, n in link.items() if e == "x" or i < 30]
+    got = packets.flatten_stacks(spark.createDataFrame(rows, "experiment string, id long, values array<long>, link long")).collect()
+    want = {}
+    for e in ("x", "y"):
+        mine = {i: (v, n) for f, i, v, n in rows if f == e}
+        for start in mine:
+            at, seen, stack = start, set(), []
+            while at in mine and at not in seen:
+                seen.add(at)
+                stack += mine[at][0]
+                at = mine[at][1]
+            want[e, start] = stack
+    assert {(r.experiment, r.id): r.stack for r in got} == want
