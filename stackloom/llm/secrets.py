@@ -149,6 +149,13 @@ def describe(found: DataFrame) -> DataFrame:
     return found.withColumns(columns)
 
 
+def settled(value: Column) -> Column:
+    """True where the format alone makes a value a secret: an issued key that
+    is no placeholder, or a private key with a body (whose digits may be any)."""
+    block = value.startswith("-----BEGIN ") & (F.length(value) >= 200)
+    return block | (value.rlike(ISSUED) & ~value.rlike(PLACEHOLDER))
+
+
 def seed_labels(found: DataFrame) -> DataFrame:
     """Adds label int to candidates: 1 and 0 where the format settles it, else
     null."""
@@ -157,7 +164,7 @@ def seed_labels(found: DataFrame) -> DataFrame:
     no = value.rlike(PLACEHOLDER) | value.rlike(r"@[A-Za-z0-9-]+\.") | value.rlike(r"^[0-9.,:+/_-]+$") | value.rlike(r"^[^A-Za-z0-9]*+[A-Za-z0-9./-]*[A-Za-z0-9-]\.(com|org|net|html?|png|jpe?g|js|css)\b") | F.lower(value).isin(*DICTIONARY)
     long_key = value.rlike(r"^[A-Za-z0-9+/_-]{20,}={0,2}$") & value.rlike("[A-Za-z]") & value.rlike("[0-9]")
     yes = value.rlike(ISSUED) | (named & long_key) | (F.col("before").rlike(r"://[^\s:/@]+:$") & value.rlike("[0-9]"))
-    return found.withColumn("label", F.when(value.rlike(ISSUED) & ~value.rlike(PLACEHOLDER), 1).when(no, 0).when(yes, 1))
+    return found.withColumn("label", F.when(settled(value), 1).when(no, 0).when(yes, 1))
 
 
 def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 24, depth: int = 6, seed: int = 13) -> RandomForestClassificationModel | None:
@@ -175,14 +182,15 @@ def train(labelled: DataFrame, sample: int = SAMPLE, trees: int = 24, depth: int
 
 def score(found: DataFrame, model: RandomForestClassificationModel | None, threshold: float = THRESHOLD) -> DataFrame:
     """Adds score double and is_secret boolean to described candidates. Without
-    a model the score is the seed label, 0.5 where there is none."""
+    a model the score is the seed label, 0.5 where there is none. What its format
+    settles is a secret whatever a model of few findings scores it."""
     if model is None:
         scored = seed_labels(found).withColumn("score", F.coalesce(F.col("label").cast("double"), F.lit(0.5))).drop("label")
         return scored.withColumn("is_secret", F.col("score") > 0.5)
     data = VectorAssembler(inputCols=list(FEATURES), outputCol="__features").transform(found)
     model = model.copy().setFeaturesCol("__features").setPredictionCol("__prediction").setProbabilityCol("__probability").setRawPredictionCol("__raw")
     scored = model.transform(data).withColumn("score", vector_to_array("__probability")[1])
-    return scored.drop("__features", "__prediction", "__probability", "__raw").withColumn("is_secret", F.col("score") >= threshold)
+    return scored.drop("__features", "__prediction", "__probability", "__raw").withColumn("is_secret", (F.col("score") >= threshold) | settled(F.col("value")))
 
 
 def scan(df: DataFrame, labels: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None, threshold: float = THRESHOLD) -> DataFrame:
