@@ -42,16 +42,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates: SimHash candidates from
     BK-trees, verified as five-word shingles of Jaccard similarity 0.8 or more."""
-    return simhash.drop_near_duplicates(docs)
+    rows, text = _numbered(docs)
+    ids = rows.columns[docs.columns.index("doc_id")]
+    return simhash.drop_near_duplicates(rows, id_col=ids, text_col=text).toDF(*docs.columns)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets masked and n_chars to match. Ids may be null or
     repeat, so findings go by text and path."""
-    key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col("source").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))).cast("binary"))
-    rows = docs.withColumn("__key", key)
-    clean = secrets.redact(rows, secrets.scan(rows, id_col="__key", path_col="source"), id_col="__key")
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    rows, text = _numbered(docs)
+    path = rows.columns[docs.columns.index("source")]
+    key = F.md5(F.concat_ws("\x1f", F.coalesce(F.col(path).cast("string"), F.lit("")), F.coalesce(text, F.lit(""))).cast("binary"))
+    keyed = rows.withColumn("key", key)
+    clean = secrets.redact(keyed, secrets.scan(keyed, id_col="key", text_col=text, path_col=path), id_col="key", text_col=text)
+    columns = [F.length(text).cast("long").alias(c) if name == "n_chars" else F.col(c) for c, name in zip(rows.columns, docs.columns, strict=True)]
+    return clean.select(*columns).toDF(*docs.columns)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
