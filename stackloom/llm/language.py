@@ -12,8 +12,12 @@ landmarks times the map times the weights, the last three multiplied beforehand.
 
 N-grams are kept as they are, none stands for another. Learning uses at most
 ``sample`` labelled rows of each language (fewer where ROWS / languages is less),
-the first by a hash of the id, and of each at most LEARN_CHARS characters from a
-place drawn by that hash; languages may be any number. Prediction covers all
+the first by a hash of the id, with their whole texts; a row's kernels with the
+landmarks are worked out where the row is, and only these reach the driver. A
+landmark is one segment of a row, drawn by that hash. Presences are sparse
+everywhere: a landmark holds at most MAX_N n-grams for each symbol of its segment,
+so that a model's size follows the landmarks, whose number is bounded, and not
+languages times n-grams. Languages may be any number. Prediction covers all
 rows and whole texts. A text that is null or has no letter is UNDETERMINED with
 score 0. Without labelled rows every text is UNDETERMINED. Of languages that
 score the same, the first in order is taken. Repeated rows have a row of the
@@ -28,26 +32,27 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import check_names, sample_keys
+from .common import check_names, materialize, sample_keys
 
 UNDETERMINED = "und"
 MAX_N = 3
 #: Letters and gaps of a segment, about.
 SEGMENT = 2_048
 #: Labelled rows of a language that a model is learned from at most, and of all together (but one for each language).
-SAMPLE, ROWS = 300, 60_000
-#: Characters of a row that is learned from.
-LEARN_CHARS = 20_000
+SAMPLE, ROWS = 300, 20_000
 #: Landmarks of a language at most, and of all together (but one for each language).
-LANDMARKS, ALL_LANDMARKS = 40, 4_000
+LANDMARKS, ALL_LANDMARKS = 40, 1_024
 RIDGE = 0.01
-#: Largest table that n-grams are looked up in by place.
-_TABLE = 1 << 26
+#: Largest table that n-grams are looked up in by place; n-grams x languages up to which their weights are added beforehand.
+_TABLE, _FOLD = 1 << 22, 1 << 23
+#: Marks of segments, sums of kernels and characters that are worked on at a time.
+_BLOCK, _SUMS, _CHARS = 1 << 22, 1 << 21, 1 << 20
 _LETTER = regex.compile(r"\p{L}")
 
 
@@ -106,16 +111,14 @@ class Index:
             a, b, c = (self.of_letter[p] for p in np.split(parts, 3))
             self.table[(a * self.base + b) * self.base + c] = np.arange(len(known))
 
-    def presences(self, symbol: np.ndarray, segment: np.ndarray, n: int) -> np.ndarray:
-        """n rows with 1 for each n-gram that the segment holds, over the square
-        root of how many it holds."""
-        out = np.zeros((n, len(self.known)), np.float32)
-        flat = out.reshape(-1)
+    def presences(self, symbol: np.ndarray, segment: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(segments, n-grams) that hold each other, ascending, each pair once."""
+        held = np.zeros(n * len(self.known), np.uint8)
         if self.table is None:
             for gram, of in grams(symbol, segment):
                 at = np.minimum(np.searchsorted(self.known, gram), len(self.known) - 1)
                 hit = self.known[at] == gram
-                flat[of[hit] * len(self.known) + at[hit]] = 1
+                held[of[hit] * len(self.known) + at[hit]] = 1
         else:
             letter = self.of_letter[np.minimum(symbol, len(self.of_letter) - 1)]
             key = np.zeros(len(symbol), np.int64)
@@ -126,37 +129,100 @@ class Index:
                 key = key[:m] * self.base + letter[k - 1 :]
                 at = self.table[key]
                 hit = (at >= 0) & (segment[:m] == segment[k - 1 :])
-                flat[segment[:m][hit] * len(self.known) + at[hit]] = 1
-        return out / np.sqrt(np.maximum(out.sum(1, keepdims=True), 1))
+                held[segment[:m][hit] * len(self.known) + at[hit]] = 1
+        return np.divmod(np.flatnonzero(held), len(self.known))
 
-    def means(self, texts: list[str | None], times: np.ndarray) -> np.ndarray:
-        """The mean over each text's segments of presences times a matrix."""
+    def means(self, texts: list[str | None], times, width: int) -> np.ndarray:
+        """The mean over each text's segments of presences, over the square root
+        of how many a segment holds, times a matrix of this width: ``times``
+        gives the products of some segments' presences."""
         symbol, row = symbols(texts)
         segment, text = segments(row, len(texts))
-        out = np.zeros((len(texts), times.shape[1]))
-        step = max(1, 4_000_000 // max(len(self.known), 1))
+        out = np.zeros((len(texts), width))
+        step = min(256, max(1, _BLOCK // len(self.known)))
         ends = np.searchsorted(segment, np.arange(len(text) + 1))
         for at in range(0, len(text), step):
             to = min(at + step, len(text))
             part = slice(ends[at], ends[to])
-            np.add.at(out, text[at:to], self.presences(symbol[part], segment[part] - at, to - at) @ times)
+            of, gram = self.presences(symbol[part], segment[part] - at, to - at)
+            size = np.sqrt(np.maximum(np.bincount(of, minlength=to - at), 1))
+            np.add.at(out, text[at:to], times(of, gram, to - at) / size[:, None])
         return out / np.bincount(text, minlength=len(texts))[:, None]
 
 
+class Marks:
+    """Landmarks: for each n-gram those that hold it."""
+
+    def __init__(self, texts: list[str]):
+        symbol, row = symbols(texts)
+        self.known = np.unique(np.concatenate([np.zeros(0, np.int64), *(g for g, _ in grams(symbol, row))]))
+        self.n = len(texts)
+        if not len(self.known):
+            return
+        index, ends = Index(self.known), np.searchsorted(row, np.arange(self.n + 1))
+        held = [index.presences(symbol[ends[i] : ends[i + 1]], row[ends[i] : ends[i + 1]] - i, 1)[1] for i in range(self.n)]
+        mark = np.repeat(np.arange(self.n, dtype=np.int32), [len(h) for h in held])
+        gram = np.concatenate(held)
+        order = np.argsort(gram, kind="stable")
+        self.mark, self.start = mark[order], np.searchsorted(gram[order], np.arange(len(self.known) + 1))
+        self.value = (1 / np.sqrt(np.maximum([len(h) for h in held], 1)))[self.mark].astype(np.float32)
+
+    def kernels(self, of: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+        """Segments' presences times landmarks, some n-grams at a time."""
+        out = np.zeros(n * self.n)
+        first, many = self.start[gram], np.diff(self.start)[gram]
+        sums = np.cumsum(many)
+        at = 0
+        while at < len(gram):
+            to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + _SUMS, "right")))
+            k = many[at:to]
+            place = np.repeat(first[at:to] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            out += np.bincount(np.repeat(of[at:to] * self.n, k) + self.mark[place], weights=self.value[place], minlength=len(out))
+            at = to
+        return out.reshape(n, self.n)
+
+    def nystroem(self) -> np.ndarray:
+        """The map from kernels with the landmarks to the explicit space."""
+        each, gram = self.mark, np.repeat(np.arange(len(self.known)), np.diff(self.start))
+        order = np.argsort(each, kind="stable")
+        each, gram = each[order], gram[order]
+        ends = np.searchsorted(each, np.arange(self.n + 1))
+        size = np.sqrt(np.maximum(np.diff(ends), 1))
+        square = np.concatenate([self.kernels(np.zeros(ends[i + 1] - ends[i], np.int64), gram[ends[i] : ends[i + 1]], 1) for i in range(self.n)]) / size[:, None]
+        value, vector = np.linalg.eigh((square + square.T) / 2)
+        good = value > 1e-6 * value.max()
+        return vector[:, good] / np.sqrt(value[good])
+
+    def times(self, weights: np.ndarray) -> np.ndarray:
+        """n-grams x landmarks times landmarks x languages."""
+        gram = np.repeat(np.arange(len(self.known)), np.diff(self.start))
+        return np.stack([np.bincount(gram, self.value * w[self.mark], len(self.known)) for w in weights.T], 1)
+
+
 @dataclass(frozen=True)
 class Model:
     languages: tuple[str, ...]
-    known: np.ndarray  # n-grams of the landmarks
-    weights: np.ndarray  # n-grams x languages: landmarks times the Nyström map times the regressions
+    marks: Marks | None
+    weights: np.ndarray  # landmarks x languages: the Nyström map times the regressions
 
     def scorer(self):
-        index = Index(self.known)
+        if self.languages:
+            index, width = Index(self.marks.known), len(self.languages)
+            if len(index.known) * width <= _FOLD:
+                folded = self.marks.times(self.weights)
+
+                def times(of: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+                    return np.stack([np.bincount(of, folded[gram, k], n) for k in range(width)], 1)
+            else:
+
+                def times(of: np.ndarray, gram: np.ndarray, n: int) -> np.ndarray:
+                    return self.marks.kernels(of, gram, n) @ self.weights
 
         def score(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
             names, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
             if not self.languages:
                 return names, scores
-            each = index.means(texts, self.weights)
+            each = index.means(texts, times, width)
             for i, (k, text) in enumerate(zip(each.argmax(1).tolist(), texts, strict=True)):
                 if text and _LETTER.search(text):
                     names[i], scores[i] = self.languages[k], min(1.0, max(0.0, float(each[i, k])))
@@ -165,46 +231,76 @@ class Model:
         return score
 
 
-def learn(rows: pd.DataFrame, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    """Fit to columns text and lang, in the given order."""
-    rows = rows[[bool(t) and _LETTER.search(t) is not None for t in rows["text"]]] if len(rows) else rows
-    languages = tuple(sorted(set(rows["lang"])))
-    if not languages:
-        return Model((), np.zeros(0, np.int64), np.zeros((0, 0), np.float32))
-    texts = rows["text"].tolist()
-    y = (rows["lang"].to_numpy()[:, None] == np.array(languages, object)[None, :]).astype(float)
-    landmarks = max(1, min(landmarks, ALL_LANDMARKS // len(languages)))
-    chosen = np.concatenate([np.flatnonzero(y[:, k])[:landmarks] for k in range(len(languages))])
-    # a landmark is the first segment of a text
-    symbol, row = symbols([texts[i] for i in chosen])
-    segment, text = segments(row, len(chosen))
-    first = np.searchsorted(text, np.arange(len(chosen)))
-    keep = np.isin(segment, first)
-    symbol, row = symbol[keep], row[keep]
-    index = Index(np.unique(np.concatenate([g for g, _ in grams(symbol, row)])))
-    marks = index.presences(symbol, row, len(chosen))
-    value, vector = np.linalg.eigh((marks @ marks.T).astype(np.float64))
-    good = value > 1e-6 * value.max()
-    nystroem = vector[:, good] / np.sqrt(value[good])
-    to_marks = np.ascontiguousarray(marks.T)
-    z = np.concatenate([index.means(texts[at : at + 256], to_marks) for at in range(0, len(texts), 256)]) @ nystroem
+def blocks(sizes: list[int]) -> Iterator[tuple[int, int]]:
+    """Runs of texts of these sizes: 256 at most, and _CHARS unless one is longer."""
+    at = total = 0
+    for i, size in enumerate(sizes):
+        if i > at and (i - at == 256 or total + size > _CHARS):
+            yield at, i
+            at, total = i, 0
+        total += size
+    if at < len(sizes):
+        yield at, len(sizes)
+
+
+def drawn_segment(text: str, draw: int) -> str:
+    """One segment's letters and gaps."""
+    symbol, row = symbols([text])
+    segment, parts = segments(row, 1)
+    return "".join(map(chr, symbol[segment == draw % len(parts)].tolist()))
+
+
+def kernels(texts: list[str], marks: Marks) -> np.ndarray:
+    """Kernels of whole texts with the landmarks."""
+    index = Index(marks.known)
+    return np.concatenate([np.zeros((0, marks.n)), *(index.means(texts[at:to], marks.kernels, marks.n) for at, to in blocks([len(t) for t in texts]))])
+
+
+def regress(near: np.ndarray, langs: list[str], marks: Marks, ridge: float = RIDGE) -> Model:
+    """One ridge regression for each language against the others, from kernels with the landmarks."""
+    languages = tuple(sorted(set(langs)))
+    y = (np.array(langs, object)[:, None] == np.array(languages, object)[None, :]).astype(float)
+    nystroem = marks.nystroem()
+    z = near @ nystroem
     weight = (1 / y.sum(0)) @ y.T  # every language counts alike
     a = z.T @ (z * weight[:, None])
     beta = np.linalg.solve(a + ridge * np.eye(len(a)) * len(languages) / len(a), z.T @ (y * weight[:, None]))
-    return Model(languages, index.known, (to_marks @ (nystroem @ beta)).astype(np.float32))
+    return Model(languages, marks, nystroem @ beta)
+
+
+NOTHING = Model((), None, np.zeros((0, 0)))
 
 
-def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Model:
-    """Learn from at most ``sample`` rows of each language."""
-    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    languages = rows.select("lang").distinct().count()
-    keys = sample_keys(rows.select("i", "lang"), "i", max(1, min(sample, ROWS // max(languages, 1))), "lang")
-    # at most ROWS ids, or one for each language
-    got = rows.join(F.broadcast(keys.select("i", "lang", "h")), ["i", "lang"])
-    # of a longer text, what begins at a drawn place
-    place = F.pmod(F.col("h"), F.greatest(F.length("text") - LEARN_CHARS + 1, F.lit(1))).cast("int") + 1
-    got = got.select("lang", "h", F.substring("text", place, F.lit(LEARN_CHARS)).alias("text")).groupBy("lang", "h").agg(F.min("text").alias("text")).toPandas()
-    return learn(got.sort_values(["h", "lang"], kind="stable"))
+def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Learn from at most ``sample`` rows of each language, of which at most
+    ``landmarks`` give a landmark. The driver gets the landmarks and the rows'
+    kernels with them (ROWS x ALL_LANDMARKS at most, but for one row and one landmark of each language)."""
+    rows = df.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select(F.col(id_col).alias("i"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    languages = max(1, rows.select("lang").distinct().count())
+    keys = sample_keys(rows.select("i", "lang"), "i", max(1, min(sample, ROWS // languages)), "lang")
+    keys = keys.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy("h")))
+    # at most ROWS ids, or one for each language; rows with one id count once
+    got = rows.join(F.broadcast(keys.select("i", "lang", "h", "k")), ["i", "lang"]).groupBy("lang", "h", "k").agg(F.min("text").alias("text"))
+    got = materialize(got, "learned")
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["lang", "h"]].assign(segment=[drawn_segment(t, h) for t, h in zip(batch["text"], batch["h"], strict=True)])
+
+    each = max(1, min(landmarks, ALL_LANDMARKS // languages))
+    chosen = got.where(F.col("k") <= each).mapInPandas(draw, T.StructType([got.schema["lang"], got.schema["h"], T.StructField("segment", T.StringType())])).toPandas()
+    marks = Marks(chosen.sort_values(["lang", "h"], kind="stable")["segment"].tolist())
+    if not len(marks.known):
+        return NOTHING
+    shared = df.sparkSession.sparkContext.broadcast(marks)  # n-grams of a bounded number of segments
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = kernels(batch["text"].tolist(), shared.value).astype(np.float32)
+            yield batch[["lang", "h"]].assign(near=[x.tobytes() for x in found])
+
+    all_near = got.mapInPandas(near, T.StructType([got.schema["lang"], got.schema["h"], T.StructField("near", T.BinaryType())])).toPandas().sort_values(["h", "lang"], kind="stable")
+    return regress(np.stack([np.frombuffer(x, np.float32) for x in all_near["near"]]).astype(np.float64), all_near["lang"].tolist(), marks, ridge)
 
 
 def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: bool = False) -> DataFrame:
@@ -220,8 +316,8 @@ def predict(df: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = shared.value.scorer()
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                part = batch.slice(i, 256)
+            for i, to in blocks(pc.fill_null(pc.utf8_length(batch.column(at)), 0).to_pylist()):
+                part = batch.slice(i, to - i)
                 names, scores = score(part.column(at).to_pylist())
                 yield pa.RecordBatch.from_arrays([*part.columns[: len(kept)], pa.array(names, pa.string()), pa.array(scores)], [*kept, "lang_pred", "score"])
 
