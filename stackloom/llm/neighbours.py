@@ -9,9 +9,10 @@ list of neighbours, and the lists of all shards are united to one flat graph.
 Each vector is looked up by greedy search from the shards' medoids (and from
 itself), which then expands over all neighbours in range. Every link is
 verified in double precision, so none is false; how many are found is audited
-against brute force on a bounded set of queries of each label, and if too few
-are, all is done again with wider overlap and beams. Labels that still miss too
-many are then compared whole, block by block.
+against brute force, in blocks, for every label: with all vectors whose id is
+divisible by AUDIT_STEP and some more of each label. If too few are found of a
+label, all is done again with wider overlap and beams. Labels that still miss too
+many are then compared whole, block by block. The recall is logged.
 
 Vectors that are null, zero, empty, or hold null or non-finite components, and
 those without a label, link with nothing. Vectors of different length don't
@@ -23,6 +24,7 @@ results.
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,14 +38,18 @@ from .common import check_names, materialize
 from .components import connected_components
 from .simhash import Forest
 
+_log = logging.getLogger(__name__)
 #: Classes that a cell is to hold on average; a part of a cell holds at most about twice as many.
 CELL = 2_000
-#: Pivots at most, for all labels; with more vectors, cells are larger and have more parts.
-MAX_PIVOTS = 65_536
+#: Numbers in all pivots at most, about; with more vectors, cells are larger and have more parts.
+MAX_PIVOT_NUMBERS = 1 << 22
 #: Vectors of a shard, neighbours of a node, candidates for them, slack of pruning, width of the beam.
 SHARD, DEGREE, CANDIDATES, ALPHA, BEAM = 256, 16, 128, 1.2, 16
-#: queries of the audit for each label, as many of those with a link found, and for all labels
-LABEL_QUERIES, AUDIT_QUERIES = 50, 4_000
+#: The audit asks for each vector whose id is divisible by the first (for ids that aren't integers: the id's
+#: crc32), and for this many of each label besides, and as many of those with a link found.
+AUDIT_STEP, LABEL_QUERIES = 20, 50
+#: Vectors of a block of the audit.
+AUDIT_BLOCK = 4_096
 TARGET_RECALL = 0.95
 
 
@@ -192,15 +198,20 @@ def valid_vector(vector_col: str, label_col: str) -> Column:
 def _cells(classes: DataFrame, cell: int, overlap: int) -> DataFrame:
     """Adds cell int and cells array<int>, one row for each of a class's cells."""
     sizes = classes.groupBy("label", "dim").agg(F.count("*").alias("size"))
-    total = sizes.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    cell = max(cell, -(-total // MAX_PIVOTS))
-    # labels of more than one cell: MAX_PIVOTS at most, as each holds more than total / MAX_PIVOTS classes
+    total = sizes.agg(F.coalesce(F.sum(F.col("size") * F.col("dim")), F.lit(0))).first()[0]
+    cell = max(cell, -(-total // MAX_PIVOT_NUMBERS))
+    # labels of more than one cell: each has more than cell classes, so they have MAX_PIVOT_NUMBERS numbers at most
     wanted = sizes.withColumn("k", F.ceil(F.col("size") / cell)).where("k > 1")
-    # about k pivots for each of them, by a hash of the id: 2 x MAX_PIVOTS in all on average at most
+    # about k pivots for each of them, by a hash of the id: 2 x MAX_PIVOT_NUMBERS numbers in all on average at most
     draw = F.pmod(F.xxhash64("id", F.lit(7)), F.lit(1 << 30)) / float(1 << 30)
     pivots = classes.join(F.broadcast(wanted), ["label", "dim"]).where(draw < F.col("k") / F.col("size"))
-    drawn = pivots.select("label", "dim", "id", "vector").toPandas().sort_values("id", kind="stable")
-    shared = classes.sparkSession.sparkContext.broadcast({k: _unit(g["vector"]).astype(np.float32) for k, g in drawn.groupby(["label", "dim"])})
+
+    def packed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch[["label", "dim", "id"]].assign(unit=[_unit(batch["vector"].iloc[i : i + 1]).astype(np.float32).tobytes() for i in range(len(batch))])
+
+    drawn = pivots.select("label", "dim", "id", "vector").mapInPandas(packed, T.StructType([*(classes.schema[c] for c in ("label", "dim", "id")), T.StructField("unit", T.BinaryType())])).toPandas().sort_values("id", kind="stable")
+    shared = classes.sparkSession.sparkContext.broadcast({k: np.stack([np.frombuffer(x, np.float32) for x in g["unit"]]) for k, g in drawn.groupby(["label", "dim"])})
     schema = T.StructType([*classes.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("cells", T.ArrayType(T.IntegerType()))])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -297,35 +308,38 @@ def _exact_links(classes: DataFrame, threshold: float, cell: int) -> DataFrame:
     return rows.select(*keys, "low", "high", "own", "id", "n", "vector").groupBy(*keys, "low", "high").applyInPandas(find, "a long, b long, n long")
 
 
-def audit(classes: DataFrame, counts: DataFrame, threshold: float, queries: int = AUDIT_QUERIES, each: int = LABEL_QUERIES) -> list[tuple]:
-    """(label, dim, links, links that counts (a, n) has) of a bounded set of
-    vectors of each label, against brute force over the label's classes: of any,
-    and of those that have a link in counts, as many each, so that labels with
-    few links are seen to have some."""
-    order = Window.partitionBy("label", "dim", "linked").orderBy(F.xxhash64("id", F.lit(11)), "id")
-    drawn = classes.select("id", "label", "dim", F.lit(False).alias("linked")).unionByName(classes.join(counts.select(F.col("a").alias("id")), "id").select("id", "label", "dim", F.lit(True).alias("linked")))
+def audit(classes: DataFrame, counts: DataFrame, threshold: float, each: int = LABEL_QUERIES, block: int = AUDIT_BLOCK) -> DataFrame:
+    """(label, dim, links, found): the links of the classes that are asked about
+    with all of their label, by brute force, and how many of these counts (a, n)
+    has. Asked are those marked so, ``each`` of any in a label, and of those that
+    have a link in counts as many, so that labels with few links are seen to have
+    some. Blocks of them meet blocks of all."""
+    keys, place = ["label", "dim"], ["label", "dim", "block", "part"]
+    order = Window.partitionBy(*keys, "linked").orderBy(F.xxhash64("id", F.lit(11)), "id")
+    linked = classes.join(counts.select(F.col("a").alias("id")), "id").select("id", *keys, F.lit(True).alias("linked"))
     # the window keeps the first of each group before the shuffle
-    asked = drawn.withColumn("k", F.row_number().over(order)).where(F.col("k") <= each).orderBy("k", F.xxhash64("id", F.lit(11)), "id", "linked").limit(queries)
-    asked = classes.join(F.broadcast(asked.select("id")), "id", "left_semi").select("id", "label", "dim", "vector").toPandas()
-    if not len(asked):
-        return []
-    shared = classes.sparkSession.sparkContext.broadcast([(k, g["id"].to_numpy(), _unit(g["vector"])) for k, g in asked.groupby(["label", "dim"])])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for key, ids, x in shared.value:
-                g = batch[(batch["label"] == key[0]) & (batch["dim"] == key[1])]
-                if len(g):
-                    near = (x @ _unit(g["vector"]).T >= threshold) & (ids[:, None] != g["id"].to_numpy()[None, :])
-                    yield pd.DataFrame({"a": ids, "n": near @ g["n"].to_numpy()})
-
-    true = classes.mapInPandas(run, "a long, n long").groupBy("a").agg(F.sum("n").alias("true"))
-    both = {r.a: r for r in true.join(counts, "a", "left").select("a", "true", F.least("true", F.coalesce("n", F.lit(0))).alias("got")).collect()}
-    out = []
-    for (label, dim), g in asked.groupby(["label", "dim"]):
-        of = [both[i] for i in g["id"].tolist() if i in both]
-        out.append((g["label"].tolist()[0], int(dim), sum(r.true for r in of), sum(r.got for r in of)))
-    return out
+    some = classes.select("id", *keys, F.lit(False).alias("linked")).unionByName(linked).withColumn("k", F.row_number().over(order)).where(F.col("k") <= each)
+    ids = classes.where("asked").select("id").unionByName(some.select("id")).distinct()
+    asked = materialize(classes.join(ids, "id", "left_semi").select("id", *keys, "vector"), "asked")
+    count = lambda df, name: df.groupBy(*keys).agg(F.ceil(F.count("*") / block).cast("int").alias(name))
+    sizes = materialize(count(asked, "blocks").join(count(classes, "parts"), keys), "sizes")
+    own = lambda of: F.pmod(F.xxhash64("id", F.lit(29)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    left = asked.join(sizes, keys).withColumn("block", own("blocks")).withColumn("part", every("parts")).select(*place, "id", "vector")
+    right = classes.join(sizes, keys).withColumn("part", own("parts")).withColumn("block", every("blocks")).select(*place, "id", "vector", "n")
+
+    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ids, n = a["id"].to_numpy(), np.zeros(len(a), np.int64)
+        if len(a) and len(b):
+            x, y, of, many = _unit(a["vector"]), _unit(b["vector"]), b["id"].to_numpy(), b["n"].to_numpy()
+            for at in range(0, len(x), 512):
+                near = (x[at : at + 512] @ y.T >= threshold) & (ids[at : at + 512, None] != of)
+                n[at : at + 512] = near @ many
+        return pd.DataFrame({"a": ids, "n": n})
+
+    true = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(compare, "a long, n long").groupBy("a").agg(F.sum("n").alias("true"))
+    both = asked.select(F.col("id").alias("a"), *keys).join(true, "a").join(counts, "a", "left")
+    return both.groupBy(*keys).agg(F.sum("true").alias("links"), F.sum(F.least("true", F.coalesce("n", F.lit(0)))).alias("found"))
 
 
 def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", cell: int = CELL, target_recall: float = TARGET_RECALL) -> DataFrame:
@@ -336,16 +350,20 @@ def near_duplicates(df: DataFrame, threshold: float = 0.93, id_col: str = "vec_i
     # all that follows goes by a row's number, which is written with it
     rows = materialize(rows.withColumn("id", F.monotonically_increasing_id()), "vectors")
     members = rows.where("vector IS NOT NULL").select("id", "key", "label", F.size("vector").alias("dim"), "vector")
-    classes = materialize(members.groupBy("label", "dim", "vector").agg(F.min("id").alias("id"), F.count("*").alias("n")), "classes")
+    whole_number = isinstance(df.schema[id_col].dataType, T.IntegralType)
+    drawn = F.pmod(F.col("key") if whole_number else F.crc32(F.col("key").cast("string")), F.lit(AUDIT_STEP)) == 0
+    classes = materialize(members.groupBy("label", "dim", "vector").agg(F.min("id").alias("id"), F.count("*").alias("n"), F.coalesce(F.bool_or(drawn), F.lit(False)).alias("asked")), "classes")
     for overlap, beam in ((2, BEAM), (4, 4 * BEAM), (8, 16 * BEAM)):
         found = materialize(_links(classes, threshold, cell, overlap, beam), "found")
         counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))
-        poor = [r[:2] for r in audit(classes, counts, threshold) if r[3] < target_recall * r[2]]
-        if not poor:
+        recall = materialize(audit(classes, counts, threshold), "recall")
+        poor = recall.where(F.col("found") < target_recall * F.col("links"))
+        told = recall.agg(F.count("*"), F.sum("links"), F.sum("found"), F.count_if(F.col("found") < target_recall * F.col("links"))).first()
+        _log.info("overlap %d, beam %d: of %d labels' %s audited links %s were found; labels below %s: %d", overlap, beam, told[0], told[1], told[2], target_recall, told[3])
+        if not told[3]:
             break
     else:
-        bad = df.sparkSession.createDataFrame(poor, T.StructType([classes.schema["label"], classes.schema["dim"]]))  # one row for audited labels at most
-        whole = materialize(classes.join(F.broadcast(bad), ["label", "dim"], "left_semi"), "poor")
+        whole = materialize(classes.join(poor.select("label", "dim"), ["label", "dim"], "left_semi"), "poor")
         rest = found.join(whole.select(F.col("id").alias("a")), "a", "left_anti")
         found = materialize(rest.unionByName(_exact_links(whole, threshold, cell)), "found")
         counts = found.where("b IS NULL").groupBy("a").agg(F.sum("n").alias("n"))

@@ -64,6 +64,31 @@ def test_op9_against_brute_force(spark, sf_dir, tmp_path):
     assert all(r.kept == (r.vec_id == r.component_id) for r in got.values())
 
 
+def test_audit_covers_every_label_against_brute_force(spark):
+    """Each id divisible by 20, in more labels than were once audited, in blocks smaller than a label."""
+    rng = np.random.default_rng(12)
+    rows = []
+    for label in range(30):
+        center = rng.normal(size=(3, 16))
+        rows += [(len(rows) + i, (center[i % 3] + 0.3 * rng.normal(size=16)).tolist(), label) for i in range(40 if label else 900)]
+    df = spark.createDataFrame(rows, "id long, vector array<double>, label int")
+    classes = df.selectExpr("id", "label", "size(vector) AS dim", "vector", "1L AS n", "id % 20 = 0 AS asked")
+    want = {label: [0, 0] for label in range(30)}
+    counts = []
+    for (i, _, label), (n, _) in zip(rows, brute(rows), strict=True):
+        if i % 3 and n:  # links of every third vector were missed
+            counts.append((i, n))
+        if i % 20 == 0:
+            want[label][0] += n
+            want[label][1] += n if i % 3 else 0
+    found = spark.createDataFrame(counts, "a long, n long")
+    got = {r.label: [r.links, r.found] for r in neighbours.audit(classes, found, 0.93, each=0, block=100).collect()}
+    assert got == want and want[0][0] > want[0][1] > 0
+    # with some of each label besides, no label goes unaudited
+    few = classes.where("id % 20 != 0")
+    assert neighbours.audit(few, found, 0.93, each=3).count() == 30
+
+
 def test_parts_of_cells_give_both_ends_the_same_links(spark):
     rng = np.random.default_rng(3)
     center = rng.normal(size=24)
