@@ -2,11 +2,14 @@
 
 A text is reduced to its words: A-Z lower-cased, every other ASCII character
 but digits and letters a separator. Rules are regular expressions over the
-words joined by single spaces. Each is gated by keywords: it runs only where
+words joined by single spaces; most are written by hand (here and in ``signatures``), and a
+family of licenses has a rule for each of its forms, whose match tells the version. Each is
+gated by keywords, which one automaton looks for in a text: it runs only where
 all of them occur. A match is suppressed where the interval of a match of
-higher priority contains it (of equal intervals, the earlier rule stays), or
-where it is denied ("not licensed under the ..."). A version with a plus sign
-counts as "or later"; exceptions have labels of their own. The base rules report all their places and always keep their labels.
+higher priority, or of the same one but longer, contains it (of equal intervals, the earlier
+rule stays), or where it is denied ("not licensed under the ..."). A version with a plus sign
+counts as "or later"; exceptions have labels of their own. The base rules report all their
+places and always keep their labels.
 
 Null text counts as empty: no words, no labels, score 0. Empty tables give
 empty results, repeated rows repeated results.
@@ -20,11 +23,13 @@ from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import lru_cache
 
+import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import signatures
 from .common import check_names
 
 #: Bytes that end a word become spaces, A-Z become a-z.
@@ -36,7 +41,9 @@ _WORD = re.compile(rb"[^ ]+")
 class Rule:
     name: str
     label: str
+    #: groups ``version`` and ``later``, if any, are added to the label
     pattern: str
+    #: each is in every match, or one of them where they are divided by a ``|``
     keywords: tuple[str, ...]
     priority: int
     score: float
@@ -78,7 +85,7 @@ _CC = (("cc-by", "by", "attribution"), ("cc-by-sa", "by sa", "attribution share
 _CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
 #: label, pattern, keyword
 _PHRASES = (
-    ("mit", r"(?:the )?(?:mit|expat|x11) licen[cs]e", "licen"),
+    ("mit", r"(?:the )?(?:mit|expat|x11) licen[cs]e", "mit licen|expat licen|x11 licen"),
     ("mit", r"licensed under (?:the )?(?:terms of )?(?:the )?mit\b", "mit"),
     ("mit", r"permission is hereby granted free of charge to any person obtaining a copy", "hereby granted"),
     ("mit", r"the above copyright notice and this permission notice shall be included", "permission notice"),
@@ -97,8 +104,8 @@ _PHRASES = (
     ("unlicense", r"(?:the )?unlicense\b", "unlicense"),
     ("unlicense", r"released into the public domain", "public domain"),
     ("public-domain", r"(?:in|into|to) the public domain", "public domain"),
-    ("wtfpl", r"do what the fuck you want to public licen[cs]e|wtfpl", "w"),
-    ("cc0", r"cc0(?: 1 0)?(?: universal)?|cc zero", "cc"),
+    ("wtfpl", r"do what the fuck you want to public licen[cs]e|wtfpl", "do what the fuck|wtfpl"),
+    ("cc0", r"cc0(?: 1 0)?(?: universal)?|cc zero", "cc0|cc zero"),
     ("cc0", r"creative commons zero", "creative commons"),
     ("creative-commons", r"creative commons licen[cs]e", "creative commons"),
     ("cc-by", r"cc by\b", "cc by"),
@@ -196,10 +203,23 @@ _SPDX = ("mit", "mit 0", "x11", "isc", "0bsd", "bsd 2 clause", "bsd 3 clause", "
 _DENIED = re.compile(r"(?:^| )(?:not|never|cannot)(?: (?:be|been|being|yet|currently|licen[cs]ed|released|distributed|available|covered|governed|offered|published|made|used|under|by|with|the|terms|of|a|an|any))* $")
 
 
-def _number(version: str) -> str:
-    """A version as words: 2.0 is 2 or 2 0, 2.1 is 2 1."""
-    major, minor = version.split(".")
-    return major + (r"(?: 0)?" if minor == "0" else rf" {minor}") + r"(?! \d)"
+#: What may follow a version.
+_LATER = r"(?P<later>(?: of the licen[cs]e)? or (?:at your option )?(?:any )?(?:later|newer)(?: versions?)?)"
+
+
+def _version(versions: tuple[str, ...]) -> str:
+    """One of the versions, as words: 2.0 is 2 or 2 0, 2.1 is 2 1."""
+    forms = [(major, minor) for major, minor in (v.split(".") for v in versions)]
+    return "(?P<version>" + "|".join(rf"{major}(?: 0)?(?! \d)" if minor == "0" else rf"{major} {minor}(?! \d)" for major, minor in forms) + ")"
+
+
+def _labelled(label: str, match: re.Match[str]) -> str:
+    """The label with the version that the match tells."""
+    told = match.groupdict()
+    if not told.get("version"):
+        return label
+    number = told["version"].replace(" ", ".")
+    return f"{label}-{number if '.' in number else number + '.0'}" + ("-or-later" if told.get("later") else "")
 
 
 def build_rules() -> tuple[Rule, ...]:
@@ -207,34 +227,29 @@ def build_rules() -> tuple[Rule, ...]:
     rules = [Rule(f"base-{label}", label, phrase, (phrase,), 10, 0.8, True) for phrase, label in BASE_PHRASES]
     add = lambda name, label, pattern, words, priority, score: rules.append(Rule(name, label, pattern, words, priority, score))
     for family, long, shorts, versions, keyword in _VERSIONED:
+        n = _version(versions)
         add(f"{family}-name", family, long, (keyword,), 20, 0.8)
-        for v in versions:
-            label, n = f"{family}-{v}", _number(v)
-            add(f"{label}-long", label, rf"{long} (?:v|ver|version|as published by the free software foundation (?:either )?version)? ?{n}", (keyword,), 60, 1.0)
-            add(f"{label}-later", f"{label}-or-later", rf"{long} (?:v|version)? ?{n} or (?:\(?at your option\)? )?(?:any )?(?:later|newer)(?: version)?", (keyword, " or "), 70, 1.0)
-            add(f"{label}-url", label, rf"(?:licenses|license|legal) {shorts[0]} {n}", (shorts[0],), 50, 0.7)
-            for short in shorts:
-                add(f"{label}-{short.replace(' ', '-')}", label, rf"{short} ?v?(?:ersion )?{n}", (short,), 40, 0.9)
-                add(f"{label}-{short.replace(' ', '-')}-plus", f"{label}-or-later", rf"{short} ?v?(?:ersion )?{n} or later", (short, "or later"), 65, 1.0)
-                add(f"{label}-{short.replace(' ', '-')}-spdx", label, rf"spdx license identifier {short} {n}(?: only)?", ("spdx", short), 90, 1.0)
-                add(f"{label}-{short.replace(' ', '-')}-spdx-later", f"{label}-or-later", rf"spdx license identifier {short} {n} or later", ("spdx", short), 95, 1.0)
+        add(f"{family}-long", family, rf"{long} (?:v|ver|version|as published by the free software foundation (?:either )?version)? ?{n}{_LATER}?", (keyword,), 60, 1.0)
+        add(f"{family}-url", family, rf"(?:licenses|license|legal) {shorts[0]} {n}", (shorts[0],), 50, 0.7)
+        for short in shorts:
+            add(f"{family}-{short.replace(' ', '-')}", family, rf"{short} ?v?(?:ersion )?{n}{_LATER}?", (short,), 40, 0.9)
+            add(f"{family}-{short.replace(' ', '-')}-spdx", family, rf"spdx license identifier {short} {n}(?: only|{_LATER})?", ("spdx license identifier", short), 90, 1.0)
+    n = _version(_CC_VERSIONS)
     for label, short, long in _CC:
         add(f"{label}-name", label, rf"creative commons {long}(?: licen[cs]e)?", ("creative commons",), 20, 0.8)
         add(f"{label}-short", label, rf"cc {short}", ("cc by",), 20 + len(short), 0.8)
-        for v in _CC_VERSIONS:
-            n = _number(v)
-            add(f"{label}-{v}-short", f"{label}-{v}", rf"cc {short} {n}", ("cc by",), 50 + len(short), 1.0)
-            add(f"{label}-{v}-long", f"{label}-{v}", rf"creative commons {long} (?:version )?{n}(?: international| unported| generic)?", ("creative commons",), 50 + len(short), 1.0)
-            add(f"{label}-{v}-url", f"{label}-{v}", rf"creativecommons org licenses {short} {n}", ("creativecommons",), 60 + len(short), 1.0)
-            add(f"{label}-{v}-spdx", f"{label}-{v}", rf"spdx license identifier cc {short} {n}", ("spdx", "cc by"), 90 + len(short), 1.0)
-    for i, (label, pattern, keyword) in enumerate(_PHRASES):
+        add(f"{label}-short-version", label, rf"cc {short} {n}", ("cc by",), 50 + len(short), 1.0)
+        add(f"{label}-long", label, rf"creative commons {long} (?:licen[cs]e )?(?:version )?{n}(?: international| unported| generic)?", ("creative commons",), 50 + len(short), 1.0)
+        add(f"{label}-url", label, rf"creativecommons org licenses {short} {n}", ("creativecommons",), 60 + len(short), 1.0)
+        add(f"{label}-spdx", label, rf"spdx license identifier cc {short} {n}", ("spdx license identifier", "cc by"), 90 + len(short), 1.0)
+    for i, (label, pattern, keyword) in enumerate(_PHRASES + signatures.NAMES):
         add(f"{label}-phrase-{i}", label, pattern, (keyword,), 30, 0.7)
-    for i, (label, pattern, keyword) in enumerate(_SIGNATURES):
+    for i, (label, pattern, keyword) in enumerate(_SIGNATURES + signatures.SENTENCES):
         add(f"{label}-text-{i}", label, pattern, (keyword,), 30 + len(pattern.split()), 1.0)
-    for i, (label, pattern, keyword) in enumerate(_EXCEPTIONS):
+    for i, (label, pattern, keyword) in enumerate(_EXCEPTIONS + signatures.EXCEPTIONS):
         add(f"{label}-{i}", label, pattern, (keyword,), 100, 0.9)
     for words in _SPDX:
-        add(f"{words.replace(' ', '-')}-spdx", re.sub(r"-(\d)-(\d)$", r"-\1.\2", words.replace(" ", "-")), rf"spdx license identifier {words}", ("spdx",), 80 + len(words), 1.0)
+        add(f"{words.replace(' ', '-')}-spdx", re.sub(r"-(\d)-(\d)$", r"-\1.\2", words.replace(" ", "-")), rf"spdx license identifier {words}", ("spdx license identifier",), 80 + len(words), 1.0)
     return tuple(rules)
 
 
@@ -242,11 +257,13 @@ class Scanner:
     def __init__(self, rules: tuple[Rule, ...]):
         self.rules = rules
         self.patterns = [re.compile(rf"(?<![^ ])(?:{r.pattern})(?![^ ])") for r in rules]
-        self.gates = sorted({k for r in rules for k in r.keywords})
+        self.gates = sorted({k for r in rules for words in r.keywords for k in words.split("|")})
         number = {k: i for i, k in enumerate(self.gates)}
-        self.needs = [[number[k] for k in r.keywords] for r in rules]
-        # one word that every rule's text holds at least one of, checked first
-        self.first = re.compile("licen|copyright|spdx|creative ?commons|general public|affero|artistic|rights reserved|cc|gpl|apache|public domain|clause|redistribut|permission|confidential|unauthorized|without warranty|not evil|beer|altered source|in compliance|neither the name|bsd|wtfpl|same terms|hereby|implied warranty|endorse or promote|in this notice|advertising materials|misrepresented|removed or altered|to deal with the software|anyone is free to copy|intent of this document|openssl|retain this notice|php software|hosted or managed|no part of this|exception|syscall note|combined work|generated by autoconf|bison parser|" + "|".join(sorted({s for f in _VERSIONED for s in f[2]}, key=len)))
+        self.needs = [[frozenset(number[k] for k in words.split("|")) for words in r.keywords] for r in rules]
+        self.automaton = ahocorasick.Automaton()
+        for k, i in number.items():
+            self.automaton.add_word(k, i)
+        self.automaton.make_automaton()
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int, Rule, bool]]]:
         """Number of words, and the matches as (first word, end word, rule,
@@ -255,23 +272,26 @@ class Scanner:
         folded = raw.translate(_FOLD)
         words = folded.split()
         line = b" ".join(words).decode("utf-8", "surrogatepass")
-        if not self.first.search(line):
+        present = {k for _, k in self.automaton.iter(line)}
+        if not present:
             return len(words), []
-        present = [k in line for k in self.gates]
         found = []
         for i, need in enumerate(self.needs):
-            if all(present[k] for k in need):
-                found += [(m.start(), m.end(), i) for m in self.patterns[i].finditer(line)]
-        found.sort(key=lambda m: (-self.rules[m[2]].priority, m[2], m[0]))
+            if not any(present.isdisjoint(some) for some in need):
+                label = self.rules[i].label
+                found += [(m.start(), m.end(), i, _labelled(label, m)) for m in self.patterns[i].finditer(line)]
+        found.sort(key=lambda m: (-self.rules[m[2]].priority, m[0] - m[1], m[2], m[0]))
         starts = [0, *(i + 1 for i, c in enumerate(line) if c == " ")] if found else []
         # "2.1+" means or later; the sign itself is no part of a word
         plus = {k for k, m in enumerate(_WORD.finditer(folded), 1) if raw[m.end() : m.end() + 1] == b"+"} if found and b"+" in raw else ()
         from_, to = [], []  # live intervals that lie in no other, both ends ascending
         out = []
-        for start, end, i in found:
+        for start, end, i, label in found:
             rule, end_word = self.rules[i], bisect_left(starts, end)
-            if end_word in plus and rule.label[-1].isdigit() and not rule.base:
-                rule = replace(rule, label=f"{rule.label}-or-later")
+            if end_word in plus and label[-1].isdigit() and not rule.base:
+                label += "-or-later"
+            if label != rule.label:
+                rule = replace(rule, label=label)
             if not rule.base and _DENIED.search(line, max(0, start - 120), start):
                 out.append((bisect_right(starts, start) - 1, end_word, rule, True))
                 continue
