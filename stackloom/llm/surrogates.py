@@ -2,9 +2,12 @@
 
 Mail addresses, phone, card, bank and social security numbers, host addresses
 and names of persons are found in every whole text. A name is found after a
-title, after a common given name, or (in Han script) before a title; once found,
-its parts are replaced wherever else they stand in the same text, but for those that
-are common words too: they have to follow a lower-case word. Each mention has
+title, after a common given name, after words that introduce or sign (``my name is``, ``Regards,``:
+two words then), or (in Han script) before a title; a phone number of seven digits after a word such as ``Tel``. Once found, a name has
+its parts replaced wherever else they stand in the same text, but for those that
+are common words too: they have to follow a lower-case word. A gender is known by
+given name or title; where neither tells it, or where they differ, the given name becomes one that any gender bears. A surname is
+an entity of its own, whoever bears it: titles stay beside it. Each mention has
 a canonical form (the digits of a number, a lower-cased address, a given name
 and a surname without the title), so that spellings and parts of one entity get
 one surrogate, in all documents. A surrogate is drawn from a keyed hash of kind
@@ -43,6 +46,13 @@ _GIVEN = {
     ("f", "cyrillic"): "Анна Вера Дарья Елена Жанна Зоя Инна Клара Лидия Мария Нина Ольга Полина Раиса София Юлия".split(),
     ("m", "cyrillic"): "Антон Борис Вадим Глеб Денис Егор Иван Кирилл Лев Марк Никита Олег Павел Роман Семён Юрий".split(),
 }
+#: given names that surrogates of unknown gender are drawn from; they begin no name
+_NEUTRAL = {"latin": "Alex Camille Casey Charlie Dominique Jamie Jordan Kim Morgan Quinn Riley Robin Sam Sascha Taylor Toni".split(), "cyrillic": "Валя Женя Мика Саша Слава Шура".split()}
+#: what a name of two words is introduced or signed by; words that begin no such name
+_INTRODUCED = r"(?<=(?i:my name is|full name:|signed by|sincerely,|regards,|mein name ist|ich heiße|grüßen,|je m['’]appelle|cordialement,|me llamo|mi nombre es|atentamente,)[ \n])"
+_NO_NAME = r"(?!(?:The|Your|Our|All|Team|Die|Der|Das|Ihre?|Unser|Les?|La|Votre|Notre|El|Los|Las|Su|Nuestro)(?![\p{L}]))"
+#: what a phone number of seven digits stands after
+_CALLED = r"(?<=(?<!\p{L})(?i:call|phone|tel|telephone|mobile|fax|telefon|handy|téléphone|teléfono|móvil)[.:]{0,2} ?)"
 #: syllables that surnames are made of; family and given names in Han script
 _SYLLABLES = {"latin": "ba co de fi ga he ki lo ma ne po ra si to va zu".split(), "cyrillic": "ба во га де жи зо ка ли мо на по ра си то фе ду".split()}
 _HAN_FAMILY, _HAN_GIVEN = list("王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧"), list("明华文平安宁海云春林晨雨思佳子欣")
@@ -71,8 +81,8 @@ PATTERNS = {
     "card": _START + r"(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -]?)[0-9]{6}\2[0-9]{5})" + _END,
     "ssn": _START + r"[0-9]{3}-[0-9]{2}-[0-9]{4}" + _END,
     "ip": _START + r"(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![\p{L}\p{N}_]|\.[0-9])",
-    "phone": r"(?<![\p{L}\p{N}_+])(?:\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4}){1,5}[ .-]?[0-9]{2,4}|(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|0[1-9][0-9]?(?:[ .-][0-9]{2}){4})" + _END,
-    "person": _START + rf"(?:{_TITLED}{_NAME}(?: {_NAME})?|(?:{'|'.join(n for names in _GIVEN.values() for n in names)}) {_NAME})" + _END,
+    "phone": r"(?<![\p{L}\p{N}_+])(?:\+[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)|[ .-]?[0-9]{1,4}){1,5}[ .-]?[0-9]{2,4}|(?:\([0-9]{2,4}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}|0[1-9][0-9]?(?:[ .-][0-9]{2}){4})" + _END + r"|(?=[0-9]{3}[ .-][0-9]{4}(?![0-9]))" + _CALLED + "[0-9]{3}[ .-][0-9]{4}" + _END,
+    "person": _START + rf"(?:{_TITLED}{_NAME}(?: {_NAME})?|(?:{'|'.join(n for names in _GIVEN.values() for n in names)}) {_NAME})" + _END + rf"|(?=\p{{Lu}}){_INTRODUCED}{_NO_NAME}{_NAME} {_NAME}" + _END,
     "han": "[" + "".join(_HAN_FAMILY) + r"]\p{IsHan}{1,2}(?=先生|女士|小姐|教授|医生|老师)",
 }
 _ALL = "|".join(PATTERNS.values())
@@ -136,11 +146,12 @@ def _words(words: list[str], digest: Column, count: Column, start: int) -> Colum
 
 
 def kind_of(mention: Column) -> Column:
-    """The first kind whose pattern the whole mention fits; ``name`` for a part of a name."""
+    """The first kind whose pattern the whole mention fits. What none fits was found by the words before it (a
+    short phone number, a name of two words) or is part of a name: ``name``."""
     out = F.when(mention.rlike(r"^\p{IsHan}+$"), F.lit("han"))
     for kind, pattern in PATTERNS.items():
         out = out.when(mention.rlike(f"^(?:{pattern})$"), F.lit(kind))
-    return out.otherwise(F.lit("name"))
+    return out.otherwise(F.when(mention.rlike("^[0-9 .-]+$"), F.lit("phone")).when(mention.contains(" "), F.lit("person")).otherwise(F.lit("name")))
 
 
 def canonical(kind: Column, mention: Column) -> Column:
@@ -193,7 +204,8 @@ def _surrogate(kind: Column, value: Column, gender: Column, digest: Column, digi
     surname = F.initcap(
         F.when(cyrillic, F.concat(_words(_SYLLABLES["cyrillic"], digest, syllables - 1, 1), F.when(value.rlike("[ая]$"), F.lit("нова")).otherwise(F.lit("нов")))).otherwise(_words(_SYLLABLES["latin"], digest, syllables, 1))
     )
-    of = lambda at: F.when(cyrillic, F.when(gender == "f", _pick(_GIVEN["f", "cyrillic"], at)).otherwise(_pick(_GIVEN["m", "cyrillic"], at))).otherwise(F.when(gender == "f", _pick(_GIVEN["f", "latin"], at)).otherwise(_pick(_GIVEN["m", "latin"], at)))
+    names = lambda script, at: F.when(gender == "f", _pick(_GIVEN["f", script], at)).when(gender == "m", _pick(_GIVEN["m", script], at)).otherwise(_pick(_NEUTRAL[script], at))
+    of = lambda at: F.when(cyrillic, names("cyrillic", at)).otherwise(names("latin", at))
     two = lambda i: _nibble(digest, i) * 16 + _nibble(digest, i + 1)
     given = of(two(0))
     if attempt:
@@ -230,7 +242,7 @@ def _person(left: Column, mention: Column) -> Column:
     surname = F.substring_index(name, " ", -1)
     given = F.when(F.length(name) > F.length(surname), F.left(name, F.length(name) - F.length(surname) - 1))
     known = F.when(given.isin(_GIVEN["f", "latin"] + _GIVEN["f", "cyrillic"]), F.lit("f")).when(given.isin(_GIVEN["m", "latin"] + _GIVEN["m", "cyrillic"]), F.lit("m"))
-    gender = F.coalesce(known, F.when(title.rlike(_START + "(?:" + "|".join(_FEMALE_TITLES) + ")" + _END), F.lit("f")), F.lit("m"))
+    gender = F.coalesce(known, F.when(title.rlike(_START + "(?:" + "|".join(_FEMALE_TITLES) + ")" + _END), F.lit("f")).when(title.rlike(_START + "(?:" + "|".join(_MALE_TITLES) + ")" + _END), F.lit("m")))
     piece = lambda left, mention, kind, head: F.struct(left.alias("left"), mention.alias("mention"), F.lit(kind).alias("kind"), mention.alias("value"), gender.alias("gender"), F.lit(head).alias("head"))
     alone = piece(F.concat(left, title), surname, "surname", True)
     both = F.array(piece(F.concat(left, title), given, "given", True), piece(F.lit(" "), surname, "surname", False))
@@ -275,12 +287,12 @@ def assign(entities: DataFrame, key: str) -> DataFrame:
     for the values of a kind, none of them a value that occurs, but for given names."""
     parts = int(entities.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # drawing is slow for its few bytes: the rows are dealt to all tasks
-    known = entities.groupBy("kind", "value").agg(F.max("gender").alias("gender")).repartition(parts, "kind", "value")
+    known = entities.groupBy("kind", "value").agg(F.when(F.min("gender") == F.max("gender"), F.max("gender")).alias("gender")).repartition(parts, "kind", "value")
     entities = materialize(known, "entities")
     real = entities.where("kind <> 'given'").select("kind", F.col("value").alias("surrogate"))
     left, done, attempt = entities, None, 0
     while True:
-        drawn = left.withColumn("surrogate", draw(F.col("kind"), F.col("value"), F.coalesce("gender", F.lit("m")), key, attempt))
+        drawn = left.withColumn("surrogate", draw(F.col("kind"), F.col("value"), F.coalesce("gender", F.lit("n")), key, attempt))
         free = drawn.join(real, ["kind", "surrogate"], "left_anti")
         if done is not None:
             free = free.join(done, ["kind", "surrogate"], "left_anti")

@@ -121,3 +121,27 @@ def test_columns_that_clash_by_case(spark):
     df = spark.createDataFrame([(1, "Mr Smith", 5)], "doc_id int, text string, N_Entities int")
     row = surrogates.surrogate(df, "key").first()
     assert row.N_Entities == 5 and row["_n_entities"] == 1
+
+
+def test_gender_that_nothing_tells(spark):
+    """Given names whose bearer's gender is not known, or told in two ways, become names of any gender."""
+    texts = ["Dr. Priya Patel", "Mrs Wangari Maathai", "Prof. Sasha Grey and Mr Sasha Grey", "Mr Sunny Day", "Mrs Sunny Day", "Dr Зара Иванова"]
+    got = run(spark, texts)
+    given = lambda t: t.split()[1].split("-")[0]
+    assert given(got[0]) in surrogates._NEUTRAL["latin"] and given(got[5]) in surrogates._NEUTRAL["cyrillic"]
+    assert given(got[1]) in surrogates._GIVEN["f", "latin"]
+    assert given(got[2]) in surrogates._GIVEN["m", "latin"]  # told once
+    assert given(got[3]) == given(got[4]) and given(got[3]) in surrogates._NEUTRAL["latin"]
+
+
+def test_names_and_numbers_that_words_introduce(spark):
+    texts = ["My name is Priya Patel. Later Patel rang.", "Mein Name ist Wei Zhang und ich heiße Wei Zhang.", "Regards,\nPriya Patel", "Regards, The Team", "Tel.: 555-1234 or 555-1234-9", "pages 555-1234 to 666-1234", "je m'appelle Amélie Poulain", "call 555 1234 now", "His name is Big Ben"]
+    got = run(spark, texts)
+    first = re.fullmatch(r"My name is (\S+) (\S+)\. Later (\S+) rang\.", got[0])
+    assert first[2] == first[3] and not {"Priya", "Patel"} & {first[1], first[2]}
+    assert got[2] == f"Regards,\n{first[1]} {first[2]}"
+    twice = re.fullmatch(r"Mein Name ist (\S+ \S+) und ich heiße (\S+ \S+)\.", got[1])
+    assert twice[1] == twice[2] and "Wei" not in got[1] and "Zhang" not in got[1]
+    assert (got[3], got[5], got[8]) == (texts[3], texts[5], texts[8])
+    assert re.fullmatch(r"Tel\.: \d{3}-\d{4} or 555-1234-9", got[4]) and got[4] != texts[4]
+    assert "Poulain" not in got[6] and re.fullmatch(r"call \d{3} \d{4} now", got[7]) and got[7] != texts[7]
