@@ -63,7 +63,9 @@ def box_join(left: DataFrame, right: DataFrame, dims: Sequence[tuple[str, str, s
             side = side.select("*", F.inline(F.array(*(asked or [none]))))
         sides[i] = side
     places = [f"__{what}{n}" for n in range(len(dims)) for what in ("level", "bucket")]
-    met = sides[0].join(sides[1], [*keys, *places])
+    # a row stands for all its buckets here, but Spark would take the side for as small as the table that it comes
+    # from, and broadcast it: both sides are shuffled, whatever their size
+    met = sides[0].hint("shuffle_merge").join(sides[1], [*keys, *places])
     for at, low, high in dims:
         met = met.where((F.col(low) <= F.col(at)) & (F.col(at) < F.coalesce(F.col(high), forever)))
     return met.drop(*places)

@@ -68,6 +68,14 @@ def test_boxes_equal_brute_force(spark):
     assert boxes.box_join(left.limit(0), right, [("x", "x0", "x1")]).count() == boxes.box_join(left, right.limit(0), [("x", "x0", "x1")]).count() == 0
 
 
+def test_boxes_are_never_broadcast(spark):
+    """pc_resolve, overlapping_segments: Spark's figure for a side is that of its table without the entries."""
+    segments = spark.range(500).selectExpr("id * 1000 AS base", "id * 1000 + 900 AS top", "id AS load_ns", "id + 7000 AS unload_ns")
+    probes = spark.range(500).selectExpr("id AS probe", "id * 997 AS pc", "id * 3 AS at")
+    plan = boxes.box_join(probes, segments, [("pc", "base", "top"), ("at", "load_ns", "unload_ns")])._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_an_address_loaded_ten_thousand_times(spark):
     n = 10_000
     segments = spark.range(n).selectExpr("4096L AS base", "4096L AS size", "id * 1000 AS load_ns", "IF(id = 9999, NULL, (id + 1) * 1000) AS unload_ns", "id AS function_id", "id AS ord", "1 AS exp_id")
