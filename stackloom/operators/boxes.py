@@ -28,9 +28,11 @@ def _bucket(at: Column, width: Column) -> Column:
 
 def _level(low: Column, last: Column) -> Column:
     """The first level, from 0, on which low and last are fewer than FANOUT buckets apart."""
-    widths = F.array(*[F.lit(w).cast("bigint") for w in _WIDTHS])
-    near = F.transform(widths, lambda w: _bucket(last, w) - _bucket(low, w) < FANOUT)
-    return (F.array_position(near, F.lit(True)) - 1).cast("int")
+    # a level has 3 bits more than the one before; where low and last are further apart than a long goes, the last one serves
+    bits = F.length(F.bin(F.try_subtract(last, low)))
+    first = F.coalesce(F.call_function("div", bits - 1, F.lit(3)).cast("int"), F.lit(len(_WIDTHS) - 1))
+    width = _width(first)
+    return F.when(_bucket(last, width) - _bucket(low, width) < FANOUT, first).otherwise(first + 1)
 
 
 def _width(level: Column) -> Column:
@@ -52,6 +54,8 @@ def box_join(left: DataFrame, right: DataFrame, dims: Sequence[tuple[str, str, s
     # combinations of levels, at most (levels) ** dims, of a few rows here
     used = [[tuple(r) for r in side.select(*[f"__level{n}" for n in mine]).distinct().collect()] if mine else [] for side, mine in zip(sides, holds, strict=True)]
     for i, (side, mine) in enumerate(zip(sides, holds, strict=True)):
+        if mine:  # a small file of many intervals is one task, which would make all their entries
+            side = side.repartition(*keys, *[c for n in mine for c in dims[n][1:]])
         for n in mine:  # enters its own intervals
             _, low, high = dims[n]
             width = _width(F.col(f"__level{n}"))

@@ -76,6 +76,14 @@ def test_boxes_are_never_broadcast(spark):
     assert "SortMergeJoin" in plan and "Broadcast" not in plan
 
 
+def test_levels_are_the_first_that_fit(spark):
+    draw = random.Random(4)
+    ends = [0, 1, 7, 8, 9, 63, 64, 65, 2**62, 2**63 - 2, -(2**62), -(2**63) + 2**62, *[draw.randint(-(2 ** draw.randint(1, 62)), 2 ** draw.randint(1, 62)) for _ in range(300)]]
+    rows = [(a, b) for a, b in zip(ends, draw.sample(ends, len(ends))) if a <= b] + [(a, a + d) for a in ends[:4] for d in range(70)] + [(-5, 2**63 - 2), (-(2**62), 2**63 - 2)]
+    got = frame(spark, rows, "low long, last long").withColumn("level", boxes._level(F.col("low"), F.col("last"))).collect()
+    assert all(r.level == next(i for i, w in enumerate(boxes._WIDTHS) if r["last"] // w - r.low // w < boxes.FANOUT) for r in got)
+
+
 def test_an_address_loaded_ten_thousand_times(spark):
     n = 10_000
     segments = spark.range(n).selectExpr("4096L AS base", "4096L AS size", "id * 1000 AS load_ns", "IF(id = 9999, NULL, (id + 1) * 1000) AS unload_ns", "id AS function_id", "id AS ord", "1 AS exp_id")
