@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from stackloom.operators.ranges import Over, running, scan
+from stackloom.tables import stored
 
 SUFFIX = ".er"
 #: Code, name and displayed name of the thread states of a run that declares none.
@@ -27,6 +28,7 @@ WARN_FILE_SYSTEM = 201
 #: Fixed value: the first line of a group file.
 GROUP_HEADER = "#analyzer experiment group"
 _ELEMENT = r"<([A-Za-z_][\w.-]*)((?:\s+[\w.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*)\s*(?:/>|>([^<]*)</\1>|>)"
+_TAG = r"^([A-Za-z_][\w.-]*)((?:\s+[\w.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*+)\s*(/?)>"
 _ATTRIBUTE = r"([\w.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')"
 
 
@@ -83,23 +85,24 @@ def read_elements(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     splits of the file; pieces are in order within a split, and splits by where they begin."""
     text = spark.read.option("lineSep", "<").text(paths if isinstance(paths, str) else list(paths))
     pieces = text.select(F.input_file_name().alias("file"), F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"), "value")
-    tag = r"^([A-Za-z_][\w.-]*)((?:\s+[\w.-]+\s*=\s*(?:\"[^\"]*\"|'[^']*'))*+)\s*(/?)>"
-    is_tag = F.col("value").rlike(tag)
-    closes = F.regexp_extract("value", r"^/([A-Za-z_][\w.-]*)>", 1)
-    made = {"ord": Over("total", F.when(is_tag, 1).otherwise(0).cast("long")), "closed": Over("next", closes)}
-    found = scan(pieces, ["file"], ["split", "place"], made, "split").where(is_tag)
-    name = F.regexp_extract("value", tag, 1)
+    # a piece is matched once, and the length of its tag kept; what is made of it is written once, since users go over the elements several times
+    pieces = pieces.withColumn("__tag", F.length(F.regexp_extract("value", _TAG, 0)))
+    closes = F.when(F.col("value").startswith("/"), F.regexp_extract("value", r"^/([A-Za-z_][\w.-]*)>", 1)).otherwise(F.lit(""))
+    made = {"ord": Over("total", F.when(F.col("__tag") > 0, 1).otherwise(0).cast("long")), "closed": Over("next", closes)}
+    found = scan(pieces, ["file"], ["split", "place"], made, "split").where("__tag > 0")
+    found = found.withColumn("tag", F.substring("value", F.lit(1), F.col("__tag"))).withColumn("element", F.regexp_extract("tag", r"^[A-Za-z_][\w.-]*", 0))
     # the text of an element that nothing else stands in
-    inner = F.when((F.regexp_extract("value", tag, 3) == "") & (F.col("closed") == name), F.regexp_replace("value", tag, "")).otherwise(F.lit(""))
-    return found.select(_experiment("file").alias("experiment"), (F.col("ord") - 1).alias("ord"), name.alias("element"), _attributes(F.regexp_extract("value", tag, 2)).alias("attributes"), _unescape(inner).alias("text"))
+    inner = F.when(~F.col("tag").endswith("/>") & (F.col("closed") == F.col("element")), F.substring("value", F.col("__tag") + 1, F.length("value"))).otherwise(F.lit(""))
+    return stored(found.select(_experiment("file").alias("experiment"), (F.col("ord") - 1).alias("ord"), "element", _attributes(F.col("tag")).alias("attributes"), _unescape(inner).alias("text")), "elements")
 
 
 def _attributes(raw: Column) -> Column:
     """name="value" ... as a map; of a name that stands twice, the first counts."""
-    names = F.regexp_extract_all(raw, F.lit(_ATTRIBUTE), F.lit(1))
-    values = F.transform(F.regexp_extract_all(raw, F.lit(_ATTRIBUTE), F.lit(0)), lambda a: _unescape(F.regexp_replace(F.regexp_replace(a, r"^[\w.-]+\s*=\s*", ""), "^[\"']|[\"']$", "")))
+    names, quoted, single = (F.regexp_extract_all(raw, F.lit(_ATTRIBUTE), F.lit(g)) for g in (1, 2, 3))
+    values = F.transform(F.zip_with(quoted, single, lambda d, s: F.concat(d, s)), lambda v: F.when(F.contains(v, F.lit("&")), _unescape(v)).otherwise(v))
     pairs = F.arrays_zip(names.alias("k"), values.alias("v"))
-    return F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1))
+    first = F.map_from_entries(F.filter(pairs, lambda p, i: F.array_position(names, p["k"]) == i + 1))
+    return F.when(F.size(F.array_distinct(names)) == F.size(names), F.map_from_arrays(names, values)).otherwise(first)
 
 
 def elements(files: DataFrame) -> DataFrame:
@@ -122,10 +125,10 @@ def schema_declarations(elements: DataFrame) -> DataFrame:
     """(experiment, profile, packet_kind, field, offset, type, ord): declared
     columns; a repeated declaration of a field is ignored."""
     a = F.col("attributes")
-    rows = elements.where("element IN ('profile', 'profpckt', 'field')")
-    within = {"profile": Over("latest", F.when(F.col("element") == "profile", a["name"])), "packet": Over("latest", F.when(F.col("element") == "profpckt", a["kind"]))}
+    rows = elements.where("element IN ('profile', 'profpckt', 'field')").select("experiment", "ord", "element", a["name"].alias("field"), a["kind"].alias("kind"), F.when(F.col("element") == "field", a["offset"]).cast("int").alias("offset"), a["type"].alias("type"))
+    within = {"profile": Over("latest", F.when(F.col("element") == "profile", F.col("field"))), "packet": Over("latest", F.when(F.col("element") == "profpckt", F.col("kind")))}
     rows = scan(rows, ["experiment"], ["ord"], within)
-    fields = rows.where("element = 'field'").select("experiment", "profile", F.col("packet").cast("int").alias("packet_kind"), a["name"].alias("field"), a["offset"].cast("int").alias("offset"), a["type"].alias("type"), "ord")
+    fields = rows.where("element = 'field'").select("experiment", "profile", F.col("packet").cast("int").alias("packet_kind"), "field", "offset", "type", "ord")
     return fields.groupBy("experiment", "profile", "packet_kind", "field").agg(F.min(F.struct("ord", "offset", "type")).alias("f")).select("experiment", "profile", "packet_kind", "field", "f.offset", "f.type", "f.ord")
 
 
@@ -133,8 +136,9 @@ def state_names(elements: DataFrame) -> DataFrame:
     """(experiment, field, value, name, uname) from state elements, which stand
     inside the field that they belong to."""
     a = F.col("attributes")
-    rows = scan(elements.where("element IN ('field', 'state')"), ["experiment"], ["ord"], {"field": Over("latest", F.when(F.col("element") == "field", a["name"]))})
-    return rows.where("element = 'state'").select("experiment", "field", a["value"].cast("int").alias("value"), a["name"].alias("name"), F.coalesce(a["uname"], a["name"]).alias("uname"))
+    rows = elements.where("element IN ('field', 'state')").select("experiment", "ord", "element", F.when(F.col("element") == "state", a["value"]).cast("int").alias("value"), a["name"].alias("name"), F.coalesce(a["uname"], a["name"]).alias("uname"))
+    rows = scan(rows, ["experiment"], ["ord"], {"field": Over("latest", F.when(F.col("element") == "field", F.col("name")))})
+    return rows.where("element = 'state'").select("experiment", "field", "value", "name", "uname")
 
 
 def default_states(rows: DataFrame, field: str = "mstate") -> DataFrame:

@@ -249,3 +249,18 @@ def test_stacks_are_ranked_lists(spark):
                 at = mine[at][1]
             want[e, start] = stack
     assert {(r.experiment, r.id): r.stack for r in got} == want
+
+
+def test_elements_are_parsed_once(spark, tmp_path):
+    """previewed_runs, declared_states, scanned_declarations: users go over the elements again and again."""
+    (tmp_path / "a.er").mkdir()
+    (tmp_path / "a.er" / "log.xml").write_text("""<event kind="x" a='say "hi"' b="it's &lt;&amp;lt;" kind='y' c = "/>"> 1 &lt; 2 </event>\n<event/><field  name='' ><state value="1"/></field>""")
+    found = experiments.read_elements(spark, f"{tmp_path}/*/log.xml")
+    assert "regexp" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = [(r.ord, r.element, r.attributes, r.text) for r in found.orderBy("ord").collect()]
+    assert got == [
+        (0, "event", {"kind": "x", "a": 'say "hi"', "b": "it's <&lt;", "c": "/>"}, " 1 < 2 "),
+        (1, "event", {}, ""),
+        (2, "field", {"name": ""}, ""),
+        (3, "state", {"value": "1"}, ""),
+    ]
