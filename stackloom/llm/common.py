@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 #: Remainder of crc32(doc_id as text) modulo 4 that is never learned from.
 HELD_OUT_FOLD = 2
+#: Bits for each key of a Bloom filter, and its words of 64 bits at most.
+FILTER_BITS, FILTER_WORDS = 16, 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +53,21 @@ def discard(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def marked_as_near(df: DataFrame, keys: DataFrame, key: str, mark: str) -> DataFrame:
+    """df with a column mark: true where keys may hold the key, false only where
+    it does not. What is false needn't be shuffled for a join with keys. That is a
+    Bloom filter of FILTER_BITS bits for each key in FILTER_WORDS words at most,
+    which are broadcast; with more keys it is true more often."""
+    words = min(FILTER_WORDS, keys.count() * FILTER_BITS // 64 + 1)
+    word, bits = F.pmod(F.xxhash64(key, F.lit(7)), F.lit(words)), F.xxhash64(key, F.lit(8))
+    mask = F.lit(0).cast("long")
+    for i in range(0, 24, 6):
+        mask = mask.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(bits, i).bitwiseAND(F.lit(63)).cast("int")))
+    held = keys.select(word.alias("__word"), mask.alias("__mask")).groupBy("__word").agg(F.bit_or("__mask").alias("__held"))
+    both = df.withColumns({"__word": word, "__mask": mask}).join(F.broadcast(held), "__word", "left")
+    return both.withColumn(mark, F.coalesce(F.col("__held").bitwiseAND(F.col("__mask")) == F.col("__mask"), F.lit(False))).drop("__word", "__mask", "__held")
+
+
 def check_names(id_col: str, outputs: tuple[str, ...]) -> None:
     """Operators return the id column and columns of their own; they refuse an
     id column that bears one of these names."""

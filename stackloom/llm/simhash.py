@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import check_names, materialize
+from .common import check_names, marked_as_near, materialize
 from .components import connected_components
 
 #: bits of a fingerprint that may differ
@@ -435,7 +435,8 @@ def verified_links(groups: DataFrame, sets: DataFrame, texts: DataFrame, shingle
     size = groups.groupBy("component").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     groups = groups.join(size, "component").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     wanted = materialize(sets.select("node", "key", "fp", "fp2", "fp3").join(groups, "node"), "groups")
-    some = texts.join(wanted, "key").dropDuplicates(["node"])
+    # most texts are in no group: they stay where they are, and copies of one text become one
+    some = marked_as_near(texts, wanted, "key", "__near").where("__near").drop("__near").dropDuplicates(["key"]).join(wanted, "key")
     # a text goes to each pair of blocks that its own is in: just one where the group is small
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     sent = some.withColumn("other", other).select("component", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "fp", "fp2", "fp3", "text")
@@ -463,7 +464,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """df with one row for each component of its texts (text_components): that
     of its smallest id, null last, then of the smallest md5 of its text. Rows
     with a null id or the same id are told apart by their texts."""
-    check_names(id_col, ("__key", "__n"))
+    check_names(id_col, ("__key", "__n", "__near"))
     linked = text_components(df, text_col=text_col, **how).select(F.col("key").alias("__key"), "component")
     rows = df.select(F.col(id_col).alias("__id"), _key(text_col).alias("__key")).groupBy("__id", "__key").agg(F.count("*").alias("__n"))
     rows = rows.join(linked, "__key", "left").withColumn("component", F.coalesce("component", "__key"))
@@ -473,9 +474,11 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     heads = rows.groupBy("component").agg(F.min(place).alias("__head"))
     marked = rows.join(heads, "component").withColumn("__drop", ~F.col("__id").eqNullSafe(F.col("__head.id")) | (F.col("__key") != F.col("__head.key")))
     marked = materialize(marked.where("__drop OR __n > 1").select("__id", "__key", "__drop"), "marked")
-    keyed = df.withColumn("__key", _key(text_col))
+    # only texts that may be marked are shuffled
+    rest = marked_as_near(df.withColumn("__key", _key(text_col)), marked, "__key", "__near")
+    keyed = rest.where("__near").drop("__near")
     same = lambda m: (keyed["__key"] == m["__key"]) & keyed[id_col].eqNullSafe(m["__id"])
-    kept = keyed.join(marked, same(marked), "left_anti").select(*df.columns)
+    kept = rest.where("NOT __near").select(*df.columns).unionByName(keyed.join(marked, same(marked), "left_anti").select(*df.columns))
     again = marked.where("NOT __drop")
     if again.isEmpty():
         return kept

@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from stackloom.llm import components, simhash
+from stackloom.llm.common import marked_as_near, materialize
 
 
 def grams(text):
@@ -105,3 +108,38 @@ def test_large_buckets_are_split(spark):
                     up[x] = start
                     todo += want[x]
         assert {n: got.get(n, n) for n in up} == up and got.keys() <= up.keys()
+
+
+def test_texts_without_near_copies_are_not_shuffled(spark):
+    """Their keys are; a wide join shuffled all texts twice where its other side was too large to broadcast."""
+    rng = random.Random(7)
+    texts = [" ".join(f"{rng.getrandbits(64):016x}" for _ in range(1500)) for _ in range(200)]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(200, texts[0] + " end"), (None, texts[1]), (201, texts[2]), (3, texts[3]), (202, None), (203, "")]
+    docs = materialize(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), "docs")
+
+    def written():
+        of = spark.sparkContext._jsc.sc().statusStore().executorList(True)
+        return sum(of.apply(i).totalShuffleWrite() for i in range(of.size()))
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        start = written()
+        got = [(r.doc_id, r.text) for r in simhash.drop_near_duplicates(docs).collect()]
+        shuffled = written() - start
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert sorted(got) == sorted([(i, t) for i, t in enumerate(texts)] + [(202, None)], key=lambda r: r[0])
+    assert shuffled < 0.25 * sum(map(len, texts))
+
+
+def test_keys_that_may_be_held(spark):
+    keys = spark.range(500).select((F.col("id") * 7).cast("string").alias("key"))
+    rows = spark.range(35_000).select(F.col("id").cast("string").alias("key")).union(spark.createDataFrame([(None,)], "key string"))
+    got = marked_as_near(rows, keys, "key", "near").groupBy((F.coalesce(F.col("key").cast("long"), F.lit(1)) % 7 == 0).alias("k"), (F.coalesce(F.col("key").cast("long"), F.lit(1)) < 3500).alias("low"), "near").count().collect()
+    counts = {(r.k and r.low, r.near): 0 for r in got}
+    for r in got:
+        counts[(r.k and r.low, r.near)] += r["count"]
+    assert counts[(True, True)] == 500 and (True, False) not in counts
+    assert counts[(False, True)] < 0.1 * counts[(False, False)]
+    assert {r.near for r in marked_as_near(rows, keys.where("false"), "key", "near").collect()} == {False}
