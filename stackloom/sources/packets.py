@@ -185,7 +185,7 @@ def merge_nodes(uids: DataFrame) -> DataFrame:
     """(experiment, id, values, link): one row for each uid; where two records
     of one differ in a value, the conflict marker stands for it."""
     each = uids.where("record = 'uid' AND id <> 0").select("experiment", "id", "link", F.posexplode("values").alias("pos", "v"))
-    per = each.groupBy("experiment", "id", "pos").agg(F.when(F.countDistinct("v") > 1, F.lit(CONFLICT)).otherwise(F.min("v")).cast("long").alias("v"), F.max("link").alias("link"))
+    per = each.groupBy("experiment", "id", "pos").agg(F.when(F.min("v") != F.max("v"), F.lit(CONFLICT)).otherwise(F.min("v")).cast("long").alias("v"), F.max("link").alias("link"))
     return per.groupBy("experiment", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "v"))), lambda s: s["v"]).alias("values"), F.max("link").alias("link"))
 
 
@@ -202,6 +202,7 @@ def flatten_stacks(nodes: DataFrame, rounds: int = 40) -> DataFrame:
     from stackloom.tables import stored
 
     key = ["experiment", "id"]
+    nodes = stored(nodes, "nodes")  # every round asks for them, and they come from files
     link = F.when((F.col("link") != F.col("id")) & (F.col("link") != 0), F.col("link"))
     ids = nodes.select("experiment", F.col("id").alias("jump"))
     jumps = stored(nodes.select(*key, link.alias("jump")).where("jump IS NOT NULL").join(ids, ["experiment", "jump"], "left_semi").select(*key, "jump"), "jumps")

@@ -264,3 +264,27 @@ def test_elements_are_parsed_once(spark, tmp_path):
         (2, "field", {"name": ""}, ""),
         (3, "state", {"value": "1"}, ""),
     ]
+
+
+def test_stacks_decode_their_nodes_once(spark):
+    """recorded_stacks: rounds of ranking go over the nodes, not over the files they come from."""
+    decoded = spark.sparkContext.accumulator(0)
+
+    def decode(batches):
+        for batch in batches:
+            decoded.add(len(batch))
+            yield batch
+
+    rows = [("x", i, [i], i + 1 if i < 20 else None) for i in range(1, 21)]
+    schema = "experiment string, id long, values array<long>, link long"
+    nodes = spark.createDataFrame(rows, schema).mapInPandas(decode, schema)
+    got = {r.id: r.stack for r in packets.flatten_stacks(nodes).collect()}
+    assert got == {i: list(range(i, 21)) for i in range(1, 21)}
+    assert decoded.value == len(rows)
+
+
+def test_records_of_one_uid_are_merged(spark):
+    """Records that differ in a value, in length, or hold a null."""
+    rows = [("uid", 1, [5, 6], 0), ("uid", 1, [5, 7, 8], 9), ("uid", 2, [None, 4], 0), ("uid", 2, [3, 4], 0), ("uid", 3, [], 1), ("uid", 0, [1], 1), ("frame", 4, [1], 1)]
+    got = packets.merge_nodes(spark.createDataFrame([("x", *r) for r in rows], "experiment string, record string, id long, values array<long>, link long"))
+    assert {r["id"]: (r["values"], r["link"]) for r in got.collect()} == {1: ([5, -1, 8], 9), 2: ([3, 4], 0)}
