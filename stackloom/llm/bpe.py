@@ -17,6 +17,7 @@ from __future__ import annotations
 import heapq
 import json
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -32,8 +33,10 @@ from .common import check_names
 
 #: Distinct chunks whose ids a task remembers; beyond it, it starts anew.
 CACHE_CHUNKS = 250_000
-#: Characters of text that are encoded at a time.
-BLOCK_CHARS = 4_000_000
+#: Characters of text that are encoded at a time, and texts whose ids are given out at a time.
+BLOCK_CHARS, PART_TEXTS = 4_000_000, 500
+#: Symbols whose pairs are looked up at a time.
+_STEP = 1 << 16
 _SHIFT = 17
 _WALL, _GONE = -1, -2
 #: stands before a chunk that is a special token; a space, which parts all other chunks
@@ -63,16 +66,17 @@ class Vocabulary:
         self.last = np.array([vocab[c + end] for c in chars], np.int64)
         merges = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         made = {i: -1 for i in [*self.inner.tolist(), *self.last.tolist()]}
-        self.merges: dict[int, tuple[int, int, int, int]] = {}
+        parts = np.zeros((len(merges), 3), np.int64)
         for rank, (a, b) in enumerate(merges):
             x, y, z = vocab[a], vocab[b], vocab[a + b]
             if z in made or made.get(x, rank) >= rank or made.get(y, rank) >= rank:
                 raise ValueError(f"merge {rank} isn't newer than its parts: {a!r} {b!r}")
             made[z] = rank
-            self.merges[x << _SHIFT | y] = (rank, x, y, z)
-        self.by_rank = sorted(self.merges.values())
-        self.keys = np.array(sorted(self.merges), np.int64)
-        self.key_ranks = np.array([self.merges[k][0] for k in self.keys.tolist()], np.int64)
+            parts[rank] = x, y, z
+        self.by_rank = parts
+        keys = parts[:, 0] << _SHIFT | parts[:, 1]
+        self.key_ranks = np.argsort(keys, kind="stable")
+        self.keys = keys[self.key_ranks]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = added
         self.special_at = regex.compile("(" + "|".join(map(regex.escape, added)) + ")") if added else None
@@ -93,24 +97,22 @@ class Vocabulary:
         if not len(sizes):
             return np.zeros(0, np.int32), sizes
         flat = np.frombuffer(b"".join(raw), np.uint8)
+        del raw
         walls = np.concatenate([[0], np.cumsum(sizes + 1)])
-        sym = np.full(walls[-1] + 1, _WALL, np.int64)
+        sym = np.full(walls[-1] + 1, _WALL, np.int32)
         inside = np.ones(len(sym), bool)
         inside[walls] = False
         sym[inside] = self.inner[flat]
         sym[walls[1:] - 1] = self.last[flat[np.cumsum(sizes) - 1]]
-        nxt, prv = np.arange(1, len(sym) + 1), np.arange(-1, len(sym) - 1)
-
-        rank = self._ranks(np.where((sym[:-1] >= 0) & (sym[1:] >= 0), sym[:-1] << _SHIFT | sym[1:], -1))
-        at = np.flatnonzero(rank >= 0)
-        index: dict[int, list[int]] = {}
-        self._enter(index, [], rank[at], at)
-        active = list(index)
-        heapq.heapify(active)
-        while active:
-            r = heapq.heappop(active)
-            _, a, b, new = self.by_rank[r]
-            p = np.array(index.pop(r), np.int64)
+        del flat, inside
+        place = np.int32 if len(sym) < 2**31 else np.int64
+        nxt, prv = np.arange(1, len(sym) + 1, dtype=place), np.arange(-1, len(sym) - 1, dtype=place)
+
+        index = _Places(place)
+        index.enter(*self._pairs_of(sym, place))
+        while index.ranks:
+            r, p = index.pop()
+            a, b, new = self.by_rank[r].tolist()
             p = p[(sym[p] == a) & (sym[nxt[p]] == b)]
             if a == b and len(p) > 1:  # of overlapping places in a run, every other one counts, from the left
                 p.sort()
@@ -127,32 +129,22 @@ class Vocabulary:
             left = left[(sym[left] >= 0) & (sym[left] != new)]  # beside another merge, that one's right pair is it
             p = p[sym[nxt[p]] >= 0]
             pos = np.concatenate([left, p])
-            found = self._ranks(sym[pos] << _SHIFT | sym[nxt[pos]])
+            found = self._ranks(sym[pos].astype(np.int64) << _SHIFT | sym[nxt[pos]])
             ok = found >= 0
-            self._enter(index, active, found[ok], pos[ok])
-        alive = sym != _GONE
-        ends = np.cumsum(alive)[walls]
-        return sym[sym >= 0].astype(np.int32), np.diff(ends) - 1
-
-    @staticmethod
-    def _enter(index: dict[int, list[int]], active: list[int], ranks: np.ndarray, at: np.ndarray) -> None:
-        if len(at) < 32:
-            for r, p in zip(ranks.tolist(), at.tolist(), strict=True):
-                if r in index:
-                    index[r].append(p)
-                else:
-                    index[r] = [p]
-                    heapq.heappush(active, r)
-            return
-        order = np.argsort(ranks, kind="stable")
-        ranks, at = ranks[order], at[order].tolist()
-        starts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])).tolist()
-        for r, i, j in zip(ranks[starts].tolist(), starts, [*starts[1:], len(at)], strict=True):
-            if r in index:
-                index[r] += at[i:j]
-            else:
-                index[r] = at[i:j]
-                heapq.heappush(active, r)
+            index.enter(found[ok], pos[ok])
+        ends = np.cumsum(sym != _GONE, dtype=place)[walls]
+        return sym[sym >= 0], np.diff(ends).astype(np.int64) - 1
+
+    def _pairs_of(self, sym: np.ndarray, place: type) -> tuple[np.ndarray, np.ndarray]:
+        """Ranks of the mergeable pairs in a row of symbols, and their places."""
+        ranks, at = [], []
+        for i in range(0, len(sym) - 1, _STEP):
+            x = sym[i : i + _STEP + 1].astype(np.int64)
+            rank = self._ranks(np.where((x[:-1] >= 0) & (x[1:] >= 0), x[:-1] << _SHIFT | x[1:], -1))
+            ok = np.flatnonzero(rank >= 0)
+            ranks.append(rank[ok].astype(np.int32))
+            at.append((ok + i).astype(place))
+        return np.concatenate(ranks), np.concatenate(at)
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
         """Texts of lists of ids: the tokens joined by a space, as the library
@@ -169,6 +161,48 @@ class Vocabulary:
         return pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), words), " ")
 
 
+class _Places:
+    """The index from ranks to places: arrays where many are entered at a time,
+    lists for those that come one by one."""
+
+    def __init__(self, place: type):
+        self.place = place
+        self.many: dict[int, list[np.ndarray]] = {}
+        self.few: dict[int, list[int]] = {}
+        self.ranks: list[int] = []  # a heap
+
+    def enter(self, ranks: np.ndarray, at: np.ndarray) -> None:
+        if len(at) < 32:
+            for r, p in zip(ranks.tolist(), at.tolist(), strict=True):
+                if r in self.few:
+                    self.few[r].append(p)
+                else:
+                    self._note(r)
+                    self.few[r] = [p]
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, at = ranks[order], at[order]
+        starts = np.flatnonzero(np.concatenate([[True], ranks[1:] != ranks[:-1]])).tolist()
+        for r, i, j in zip(ranks[starts].tolist(), starts, [*starts[1:], len(at)], strict=True):
+            self._note(r)
+            if j - i < 8:
+                self.few.setdefault(r, []).extend(at[i:j].tolist())
+            else:
+                self.many.setdefault(r, []).append(at[i:j])
+
+    def _note(self, r: int) -> None:
+        if r not in self.few and r not in self.many:
+            heapq.heappush(self.ranks, r)
+
+    def pop(self) -> tuple[int, np.ndarray]:
+        """The lowest rank and all its places."""
+        r = heapq.heappop(self.ranks)
+        parts = self.many.pop(r, [])
+        if r in self.few:
+            parts.append(np.array(self.few.pop(r), self.place))
+        return r, parts[0] if len(parts) == 1 else np.concatenate(parts)
+
+
 @lru_cache(2)
 def vocabulary(text: str) -> Vocabulary:
     return Vocabulary(text)
@@ -220,30 +254,30 @@ class Encoder:
         return np.fromiter(map(self.known.__getitem__, chunks), np.int32, len(chunks))
 
     def ids_of(self, block: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the block's texts in a row, and how many each text has."""
-        self._learn()
+        """Ids of the texts in a row, and how many each text has; all chunks
+        are learned."""
         chunks = np.concatenate([*block, np.zeros(0, np.int32)])
         sizes = self.sizes[chunks]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
         ids = self.flat[np.arange(total) + np.repeat(self.starts[chunks] - (ends - sizes), sizes)]
-        counts = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in block])]).astype(np.int64)])
-        if len(self.known) > CACHE_CHUNKS:
-            self._forget()
-        return ids, counts
+        return ids, np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(x) for x in block])]).astype(np.int64)])
 
     def _learn(self) -> None:
         special, pieces = self.vocab.special, self.vocab.pieces
-        cut = []
+        number = _Numbers()
+        order, cuts = array("q"), array("q")
         for c in self.known.fresh:  # letters alone, with a stop or comma or without, are cut as the pattern would
             if c.isalpha():
-                cut.append((c,))
+                cut = (c,)
             elif c[-1] in ".," and c[:-1].isalpha():
-                cut.append((c[:-1], c[-1]))
+                cut = (c[:-1], c[-1])
             else:
-                cut.append([c] if c[0] == _MARK else pieces(c))
-        number = _Numbers()
-        order = np.array([number[p] for ps in cut for p in ps], np.int64)
+                cut = [c] if c[0] == _MARK else pieces(c)
+            order.extend(map(number.__getitem__, cut))
+            cuts.append(len(cut))
+        self.known.fresh = []
+        order, cuts = np.array(order, np.int64), np.array(cuts, np.int64)
         plain = [p for p in number if p[0] != _MARK]
         flat, sizes = self.vocab.index_encode(plain)
         if len(plain) < len(number):
@@ -255,24 +289,30 @@ class Encoder:
         each = sizes[order]
         ends = np.cumsum(each)
         got = flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts[order] - (ends - each), each)]
-        per = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum([len(c) for c in cut])]).astype(np.int64)])
+        per = np.diff(np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(cuts)])])
         self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(per) - per])
         self.sizes = np.concatenate([self.sizes, per])
         self.flat = np.concatenate([self.flat, got])
-        self.known.fresh = []
 
     def blocks(self, rows: Iterable[tuple[object, str | None]]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
-        """Keys of a block's rows, their ids in a row, and how many each has."""
+        """Keys of some rows, their ids in a row, and how many each has."""
         keys, block, size = [], [], 0
         for key, text in rows:
             keys.append(key)
             block.append(self.add(text))
             size += len(text or "")
             if size >= BLOCK_CHARS:
-                yield keys, *self.ids_of(block)
+                yield from self._given(keys, block)
                 keys, block, size = [], [], 0
         if keys:
-            yield keys, *self.ids_of(block)
+            yield from self._given(keys, block)
+
+    def _given(self, keys: list, block: list[np.ndarray]) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+        self._learn()
+        for i in range(0, len(keys), PART_TEXTS):
+            yield keys[i : i + PART_TEXTS], *self.ids_of(block[i : i + PART_TEXTS])
+        if len(self.known) > CACHE_CHUNKS:
+            self._forget()
 
 
 def read_vocabulary(path: str) -> str:

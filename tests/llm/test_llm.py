@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -68,6 +69,24 @@ def test_random_words_encode_as_the_library_does(library):
             assert ids.tolist() == library.encode(texts[k], add_special_tokens=False).ids
 
 
+def test_memory_of_a_block_of_new_words(library):
+    rng = random.Random(4)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randrange(4, 12))) for _ in range(120_000)]
+    texts = [" ".join(rng.choices(words, k=500)) for _ in range(1_200)]
+    encoder = bpe.Encoder(bpe.vocabulary(bpe.read_vocabulary(PATH)))
+    tracemalloc.start()
+    most, seen = 0, []
+    for keys, flat, counts in encoder.blocks(enumerate(texts)):
+        most = max(most, len(flat))
+        seen += keys
+        if not keys[0] % 400:
+            assert flat[: counts[0]].tolist() == library.encode(texts[keys[0]], add_special_tokens=False).ids
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == list(range(len(texts)))
+    assert peak < 90e6 and most < 1_000_000  # the peak was 132 MB when all places were lists and a block was given out whole
+
+
 def test_special_tokens_by_their_spelling_alone(library):
     rng = random.Random(5)
     parts = ["<|endoftext|>", "<|ENDOFTEXT|>", "<|EndOfText|>", "<|startoftext|>", " ", "a", "B ", "<|", "|>", "<|endoftext", "é", "\n", "K"]
